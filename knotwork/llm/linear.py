@@ -18,25 +18,31 @@ BUCKETS = 1 << 18
 FOLDED = folded_table()
 
 
+#: Lengths in bytes of the word beginnings that are features besides whole words; inflected forms share them.
+PREFIXES = (3, 4, 5, 6)
+
+
 @dataclass
 class Sentences:
-    """Words of rows cut into sentences: bucket of each word, first word of each sentence, row and first byte of each sentence."""
+    """Buckets of the words and their beginnings, the sentence of each, and each sentence's row and first byte."""
 
     bucket: np.ndarray
-    word_at: np.ndarray
+    sentence: np.ndarray
     row: np.ndarray
     byte: np.ndarray
 
 
 def sentences(buf: np.ndarray, offs: np.ndarray) -> Sentences:
-    h, start, row = word_hashes(buf, offs, FOLDED)
+    h, start, row, cut = word_hashes(buf, offs, FOLDED, PREFIXES)
     if not len(h):
         none = np.empty(0, np.int64)
         return Sentences(none, none, none, none)
     begins = sentence_starts(buf, offs)
     which = np.searchsorted(begins, start, "right") - 1
-    word_at = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
-    return Sentences((h & np.uint64(BUCKETS - 1)).astype(np.int64), word_at, row[word_at], begins[which[word_at]])
+    new = np.concatenate(([True], which[1:] != which[:-1]))
+    sentence, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    features = np.concatenate([h, *(c for c, _ in cut)]) & np.uint64(BUCKETS - 1)
+    return Sentences(features.astype(np.int64), np.concatenate([sentence, *(sentence[w] for _, w in cut)]), row[first], begins[which[first]])
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
@@ -58,11 +64,14 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: s
     return joined.select(F.col("_y").alias("label"), F.col("_w").alias("weight"), F.coalesce(F.col("text"), F.lit("")).alias("text")).dropDuplicates(["text"])
 
 
-_FEATURES = "label int, weight double, bucket binary, word_at binary"
+_FEATURES = "label int, weight double, bucket binary, sentence binary"
 
 
-def sample_features(sample: DataFrame) -> list:
-    """The bounded sample's word buckets and sentences; made by tasks, gathered to fit the model."""
+def sample_features(sample: DataFrame, prefixes: bool = False) -> list:
+    """The bounded sample's buckets and their sentences; made by tasks, gathered to fit the model.
+
+    ``prefixes``: with the words' beginnings; else whole words alone, as one sentence.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,13 +79,19 @@ def sample_features(sample: DataFrame) -> list:
             cols = [[], []]
             for i in range(batch.num_rows):
                 own = buf[offs[i] : offs[i + 1]]
-                s = sentences(own, np.array([0, len(own)]))
-                cols[0].append(s.bucket.astype(np.int32).tobytes())
-                cols[1].append(s.word_at.astype(np.int32).tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["label", "weight", "bucket", "word_at"])
+                ends = np.array([0, len(own)])
+                if prefixes:
+                    s = sentences(own, ends)
+                    bucket, sentence = s.bucket, s.sentence
+                else:
+                    bucket = word_hashes(own, ends, FOLDED)[0] & np.uint64(BUCKETS - 1)
+                    sentence = np.zeros(len(bucket))
+                cols[0].append(bucket.astype(np.int32).tobytes())
+                cols[1].append(sentence.astype(np.int32).tobytes())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["label", "weight", "bucket", "sentence"])
 
     rows = arrow_map(sample, features, _FEATURES).collect()
-    rows.sort(key=lambda r: (r.label, bytes(r.bucket), bytes(r.word_at)))
+    rows.sort(key=lambda r: (r.label, bytes(r.bucket), bytes(r.sentence)))
     return rows
 
 

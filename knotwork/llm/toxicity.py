@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: labels of documents train scores of sentences.
 
-A sentence's score is a logistic function of its distinct words' weights. A
+A sentence's score is a logistic function of the weights of its words and of
+their beginnings (so that inflected forms share evidence). A
 document is toxic unless all its sentences are clean, so their scores combine by
 noisy-or; the weights are fitted to the documents' labels through that rule.
 The model is fitted on a bounded sample: at most SAMPLE documents of each class,
@@ -25,7 +26,7 @@ from knotwork.llm.common import arrow_map, sized_batches
 from knotwork.llm.linear import BUCKETS, common_buckets, each_slice, sample_features, sampled, sentences
 
 #: Documents of each class that the fit takes at most, and epochs of it.
-SAMPLE, EPOCHS = 4000, 150
+SAMPLE, EPOCHS = 3000, 12
 THRESHOLD, OFFENDING = 0.3, 0.5
 _SCORED = "doc_id long, score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>"
 
@@ -35,64 +36,59 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _unique_words(bucket: np.ndarray, word_at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sentence, bucket) with each word once a sentence."""
-    which = np.repeat(np.arange(len(word_at)), np.diff(np.append(word_at, n)))
-    key = np.unique(which * BUCKETS + bucket)
-    return key // BUCKETS, key % BUCKETS
-
-
-def fit(rows: list, epochs: int = EPOCHS, least: int = 5, l2: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the weighted log-likelihood of the noisy-or."""
-    weights, bias = np.zeros(BUCKETS), -6.0
+def fit(rows: list, epochs: int = EPOCHS, least: int = 3, l2: float = 1e-5, rate: float = 0.05, batch: int = 64) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam over small batches, on the weighted log-likelihood of the noisy-or."""
+    theta = np.zeros(BUCKETS + 1)
+    theta[-1] = -6.0
+    rows = [r for r in rows if len(r.bucket)]
     if len({r.label for r in rows}) < 2:
-        return weights, -50.0
+        return theta[:-1], -50.0
     usable = common_buckets(rows, least)
-    sent, buck, doc, n_sent = [], [], [], 0
-    for k, r in enumerate(rows):
-        b, at = np.frombuffer(r.bucket, np.int32).astype(np.int64), np.frombuffer(r.word_at, np.int32).astype(np.int64)
-        if not len(at):
-            continue
-        s, u = _unique_words(b, at, len(b))
-        keep = usable[u]
-        sent.append(s[keep] + n_sent)
-        buck.append(u[keep])
-        doc.append(np.full(len(at), k))
-        n_sent += len(at)
-    sent, buck, doc = np.concatenate(sent), np.concatenate(buck), np.concatenate(doc)
-    names, local = np.unique(buck, return_inverse=True)
-    y, w = np.array([r.label for r in rows], float), np.array([r.weight for r in rows])
-    w = w / w.sum()
-    theta, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    theta[-1] = bias
-    for t in range(1, epochs + 1):
-        z = np.bincount(sent, theta[local], n_sent) + theta[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(rows))
-        toxic = np.clip(-np.expm1(clean), 1e-12, 1)
-        # d(-log likelihood) / dz = p for a clean document, p - p / toxic for a toxic one
-        g = w[doc] * p * np.where(y[doc] > 0, 1 - 1 / toxic[doc], 1.0)
-        grad = np.append(np.bincount(local, g[sent], len(names)), g.sum())
-        grad[:-1] += l2 * theta[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    weights[names] = theta[:-1]
-    return weights, float(theta[-1])
+    share = np.array([r.weight for r in rows])
+    share /= share.mean()
+    rng = np.random.default_rng(7)
+    m, v, t = np.zeros_like(theta), np.zeros_like(theta), 0
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), batch):
+            own = order[at : at + batch]
+            buckets, sentence, doc, n = [], [], [], 0
+            for k, i in enumerate(own):
+                b, s = np.frombuffer(rows[i].bucket, np.int32), np.frombuffer(rows[i].sentence, np.int32)
+                keep = usable[b]
+                buckets.append(b[keep])
+                sentence.append(s[keep] + n)
+                doc.append(np.full(int(s.max()) + 1, k))
+                n += len(doc[-1])
+            buckets, sentence, doc = np.concatenate(buckets), np.concatenate(sentence), np.concatenate(doc)
+            y, w = np.array([rows[i].label for i in own], float), share[own] / len(own)
+            z = np.bincount(sentence, theta[buckets], n) + theta[-1]
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            toxic = np.clip(-np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(own))), 1e-12, 1)
+            # d(-log likelihood) / dz = p for a clean document, p - p / toxic for a toxic one
+            g = w[doc] * p * np.where(y[doc] > 0, 1 - 1 / toxic[doc], 1.0)
+            grad = np.append(np.bincount(buckets, g[sentence], BUCKETS), g.sum())
+            grad[:-1] += l2 * theta[:-1]
+            t += 1
+            m += 0.1 * (grad - m)
+            v += 0.001 * (grad * grad - v)
+            theta -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return theta[:-1], float(theta[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> tuple[np.ndarray, float]:
     sized_batches(docs.sparkSession)
     learn = labels.where(~held_out(F.col("doc_id")))
-    return fit(sample_features(sampled(docs.select("doc_id", "text"), learn.select("doc_id", label), label, most)))
+    return fit(sample_features(sampled(docs.select("doc_id", "text"), learn.select("doc_id", label), label, most), prefixes=True))
 
 
 def sentence_scores(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray, bias: float):
     """(row, first byte, probability) of each sentence with a word."""
     s = sentences(buf, offs)
-    if not len(s.word_at):
+    if not len(s.row):
         return s.row, s.byte, np.empty(0)
-    which, bucket = _unique_words(s.bucket, s.word_at, len(s.bucket))
-    z = np.bincount(which, weights[bucket], len(s.word_at)) + bias
+    z = np.bincount(s.sentence, weights[s.bucket], len(s.row)) + bias
     return s.row, s.byte, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

@@ -39,8 +39,11 @@ def folded_table() -> np.ndarray:
     return t
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, row) of each word of rows laid end to end in ``buf``."""
+def word_hashes(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
+    """(hash, start byte, row) of each word of rows laid end to end in ``buf``.
+
+    ``prefixes``: also a list of (hash, word) of the words' first bytes, for words longer than that.
+    """
     mapped = table[buf]
     is_word = mapped != 0
     start = is_word.copy()
@@ -49,7 +52,7 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[n
     start[heads] = is_word[heads]
     starts = np.flatnonzero(start)
     if not len(starts):
-        return np.empty(0, np.uint64), starts, starts
+        return np.empty(0, np.uint64), starts, starts, *[[]][: bool(prefixes)]
     at = np.arange(len(buf), dtype=np.int64)
     place = at - np.maximum.accumulate(np.where(start, at, 0))
     value = (mapped.astype(np.uint64) + np.uint64(1)) * _PLACES[place & 1023]
@@ -58,7 +61,18 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[n
         value *= (far.astype(np.uint64) << np.uint64(1)) + np.uint64(1)
     value[~is_word] = 0
     h = mix(np.add.reduceat(value, starts))
-    return h, starts, np.searchsorted(offs, starts, "right") - 1
+    row = np.searchsorted(offs, starts, "right") - 1
+    if not prefixes:
+        return h, starts, row
+    length = np.add.reduceat(is_word.astype(np.int64), starts)
+    cut = []
+    for k in prefixes:
+        longer = np.flatnonzero(length > k)
+        total = np.zeros(len(longer), np.uint64)
+        for j in range(k):
+            total += value[starts[longer] + j]
+        cut.append((mix(total + np.uint64(k)), longer))
+    return h, starts, row, cut
 
 
 def shingles(h: np.ndarray, row: np.ndarray, n_rows: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import exact_dedup, jaccard, mixing, neighbours, packing, quotes, token_count, token_store, toxicity
+from knotwork.llm import exact_dedup, jaccard, mixing, neighbours, packing, quotes, suffix, token_count, token_store, toxicity
 from knotwork.llm.common import shared_dir, table
 
 #: Shares of the expected tokens that low-quality and good documents are to have.
@@ -42,6 +42,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_similar": op2_similar, "op3_quotes": op3_quotes, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours,
-    "op7_toxicity": op7_toxicity, "op8_packing": op8_packing, "op9_token_count": op9_token_count, "op10_token_store": op10_token_store, "pipeline": pipeline,
+    "op6_suffix_dedup": op6_suffix_dedup, "op7_toxicity": op7_toxicity, "op8_packing": op8_packing, "op9_token_count": op9_token_count, "op10_token_store": op10_token_store, "pipeline": pipeline,
 }
 
 _EXACT = r"""

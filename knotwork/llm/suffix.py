@@ -43,7 +43,7 @@ from knotwork.llm.common import arrow_map, batches_by_key, sized_batches, utf8,
 
 LENGTH, K = 50, 24
 #: Bytes of a block (a longer document stands alone), of input to a part, and windows hashed at once.
-BLOCK, PART, SLICE = 1 << 20, 8 << 20, 1 << 16
+BLOCK, PART, SLICE = 4 << 20, 8 << 20, 1 << 16
 #: Symbols of one suffix array; an anchor's strings are never divided.
 SYMBOLS = 1 << 17
 LAST_ID = (1 << 63) - 1
@@ -393,6 +393,7 @@ def shared_segments(blocks: DataFrame, flags: DataFrame, parts: int, length: int
                     if p in told:
                         flag[a:b] = np.unpackbits(np.frombuffer(told[p], np.uint8), count=b - a)
                 keep = own.order[np.repeat(flag, own.sizes)]
+                keep = keep[np.lexsort((own.first[keep], part_of(own.hash[keep], parts)))]
                 if not len(keep):
                     continue
                 key = np.array([LAST_ID if i is None else i for i in ids], np.int64)
@@ -406,7 +407,8 @@ def shared_segments(blocks: DataFrame, flags: DataFrame, parts: int, length: int
                     size = np.column_stack((left[a:b], right[a:b])).reshape(-1)
                     ends = np.cumsum(size)
                     content = buf[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
-                    head = [h[a:b].astype("<u8"), key[doc[a:b]].astype("<i8"), first[a:b].astype("<u4"), left[a:b].astype(np.uint8), right[a:b].astype(np.uint8), content]
+                    low = np.ascontiguousarray(h[a:b], "<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                    head = [low, key[doc[a:b]].astype("<i8"), np.diff(first[a:b], prepend=0).astype("<u4"), left[a:b].astype(np.uint8), right[a:b].astype(np.uint8), content]
                     rows.append(press.compress(np.array([b - a], "<u4").tobytes() + b"".join(x.tobytes() for x in head)))
                 yield pa.record_batch([pa.array(part[heads], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["part", "block", "payload"])
 
@@ -418,11 +420,15 @@ def shared_segments(blocks: DataFrame, flags: DataFrame, parts: int, length: int
 def read_segments(raw: bytes) -> tuple:
     data = zstandard.decompress(raw)
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    at, out = 4, []
-    for kind, size in (("<u8", 8), ("<i8", 8), ("<u4", 4), (np.uint8, 1), (np.uint8, 1)):
+    h = np.zeros((n, 8), np.uint8)
+    h[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 4).reshape(n, 6)
+    at, out = 4 + 6 * n, []
+    for kind, size in (("<i8", 8), ("<u4", 4), (np.uint8, 1), (np.uint8, 1)):
         out.append(np.frombuffer(data, kind, n, at))
         at += n * size
-    return (*out, data[at:])
+    doc, step, left, right = out
+    return h.reshape(-1).view("<u8"), doc, np.cumsum(step, dtype=np.int64), left, right, data[at:]
+
 
 
 def matched_spans(sent: DataFrame, length: int) -> DataFrame:
@@ -465,7 +471,7 @@ def matched_spans(sent: DataFrame, length: int) -> DataFrame:
             matched |= array.matches()
             owner = np.array(least, np.int64)[string_of]
             whole = np.flatnonzero(doc > owner)
-            start = first.astype(np.int64)
+            start = first
             found.append(np.column_stack((whole, start[whole], (start + size + K)[whole])))
             rows = np.flatnonzero(doc == owner)
             if matched:

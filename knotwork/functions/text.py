@@ -53,7 +53,7 @@ def overlap(query_tokens: Column, content_tokens: Column) -> Column:
 
 
 def alias_list(aliases: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(aliases, F.lit("")), r"[,|;]"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(F.coalesce(aliases, F.lit("")), r"[,|;]"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def truncated(text: Column, most: int = 100) -> Column:

@@ -308,7 +308,7 @@ def _(spark, d):
     return stats.running_progress(S.audit_logs(spark, d), "actor", "created_at", "value").select("id", "actor", "progress")
 
 
-@query("client_activity", _A + ", seen AS (SELECT actor, max(created_at) AS at FROM audit GROUP BY actor), b AS (SELECT CASE WHEN at IS NULL THEN 'unknown' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(at) <= 300 THEN 'active' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(at) <= 3600 THEN 'recent' ELSE 'stale' END AS bucket FROM seen) SELECT bucket, count(*) AS n FROM b GROUP BY 1")
+@query("client_activity", _A + ", seen AS (SELECT actor, max(created_at) AS seen_at FROM audit GROUP BY actor), b AS (SELECT CASE WHEN seen_at IS NULL THEN 'unknown' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(seen_at) <= 300 THEN 'active' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(seen_at) <= 3600 THEN 'recent' ELSE 'stale' END AS bucket FROM seen) SELECT bucket, count(*) AS n FROM b GROUP BY 1")
 def _(spark, d):
     seen = S.audit_logs(spark, d).groupBy("actor").agg(F.max("created_at").alias("at"))
     return stats.activity(seen, "at", "2024-01-30")

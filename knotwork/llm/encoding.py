@@ -3,13 +3,16 @@
 The tokenizer drops white space and never lets a token span it, so a text's
 identifiers are those of its white-space separated chunks laid end to end. Each
 distinct chunk is encoded by the library once and then remembered (in two
-bounded generations). Texts with the four control characters that Python, but
+bounded generations); a new one is first taken apart into its word and the marks
+around it, which are remembered, too. Texts with the four control characters that Python, but
 not the tokenizer, holds to be white space go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +22,10 @@ from knotwork.llm.common import utf8
 
 #: Entries in one generation of remembered chunks.
 REMEMBERED = 400_000
+#: Stands between chunks that the library encodes together; chunks that hold it go alone.
+MARK = "\x01"
+#: Fixed value: the end of the pre-tokenizer's pattern, as it stands in the file, by which a run of marks is one piece.
+PATTERN = json.dumps(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").strip('"')
 
 
 class ChunkEncoder:
@@ -30,29 +37,81 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.young, self.old = {}, {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+        spec = json.loads(self.tokenizer.to_str())
+        self.edge = ""
+        if PATTERN in json.dumps(spec["pre_tokenizer"]) and '"Lowercase"' in json.dumps(spec["normalizer"]):
+            kept = "'" + "".join(t["content"] for t in spec["added_tokens"])
+            self.edge = "".join(c for c in string.punctuation if c not in kept)
+
+    def pieces(self, chunk: str) -> list[str]:
+        """Chunks that have the same identifiers end to end: marks before and after a word are pieces of their own, and case is dropped."""
+        if not self.edge:
+            return [chunk]
+        core = chunk.strip(self.edge)
+        if not core or not (core[0].isalpha() or core[0] in string.digits) or not (core[-1].isalpha() or core[-1] in string.digits):
+            return [chunk]
+        at = chunk.index(core)
+        low = core.lower() if core.isascii() else core
+        return [x for x in (chunk[:at], low, chunk[at + len(core) :]) if x]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Identifiers of each chunk; many go to the library as one text, with marks between them."""
+        if self.mark is None or any(MARK in c for c in chunks):
+            return self._whole(chunks)
+        ids = np.frombuffer(self._whole([f" {MARK} ".join(chunks)])[0], "<u4")
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) != len(chunks) - 1:
+            return self._whole(chunks)
+        raw = ids.tobytes()
+        begin, end = (np.concatenate(([0], at + 1)) * 4).tolist(), (np.append(at, len(ids)) * 4).tolist()
+        return [raw[a:b] for a, b in zip(begin, end, strict=True)]
+
     def encode(self, texts: list[str], odd: bool) -> list[bytes]:
         """``odd``: a text may hold characters 1C to 1F."""
         if odd:
             return [self._whole([t])[0] if any(c in t for c in "\x1c\x1d\x1e\x1f") else self.encode([t], False)[0] for t in texts]
         split = [t.split() for t in texts]
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = set().union(*split).difference(young)
-        kept = {w: old[w] for w in new if w in old} if old else {}
-        fresh = [w for w in new if w not in kept]
-        if len(young) + len(new) > REMEMBERED:
-            self.old, self.young = young, {}
-            kept |= {w: young[w] for words in split for w in words if w in young}
-            young = self.young
-        young.update(kept)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            young.update(zip(part, self._whole(part), strict=True))
-        get = young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = [list(map(young.get, words)) for words in split]
+        lost = []
+        for words, got in zip(split, found, strict=True):
+            k, n = -1, got.count(None)
+            for _ in range(n):
+                k = got.index(None, k + 1)
+                lost.append((got, k, words[k]))
+        made, need = [], set()
+        for w in dict.fromkeys(w for _, _, w in lost):
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+                continue
+            pieces = self.pieces(w)
+            need.update(pieces)
+            if len(pieces) > 1 or pieces[0] != w:
+                made.append((w, pieces))
+        fresh = []
+        for w in need:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    fresh.append(w)
+        for i in range(0, len(fresh), 512):
+            part = fresh[i : i + 512]
+            young.update(zip(part, self._chunks(part), strict=True))
+        for w, pieces in made:
+            young[w] = b"".join([young[x] for x in pieces])
+        for got, k, w in lost:
+            got[k] = young[w]
+        return [b"".join(got) for got in found]
 
 
 @lru_cache(2)

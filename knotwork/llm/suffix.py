@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import arrow_map, batches_by_key, sized_batches, utf8, written
+from knotwork.llm.common import arrow_map, batches_by_key, sized_batches, written
 
 LENGTH, K = 50, 24
 #: Bytes of a block (a longer document stands alone), of input to a part, and windows hashed at once.

@@ -106,7 +106,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 row, byte, p = sentence_scores(buf, offs, weights, bias)
                 clean[i:j] = np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), j - i)
                 count[i:j] = np.bincount(row, minlength=j - i)
-                for k in np.flatnonzero(p >= OFFENDING).tolist():
+                hit = p >= OFFENDING
+                if len(row):  # a toxic document has its worst sentence located at least
+                    order = np.lexsort((p, row))
+                    worst = order[np.append(row[order][1:] != row[order][:-1], True)]
+                    hit[worst] |= -np.expm1(clean[i:j])[row[worst]] >= THRESHOLD
+                for k in np.flatnonzero(hit).tolist():
                     r = int(row[k])
                     end = byte[k + 1] if k + 1 < len(row) and row[k + 1] == r else offs[r + 1]
                     spans[i + r].append({"start": int(byte[k] - offs[r]), "end": int(end - offs[r]), "score": float(p[k])})

@@ -133,7 +133,8 @@ def test_toxicity_finds_sentences_and_holds_out(spark):
             if r.doc_id % 5 == 0:
                 raw = docs[r.doc_id][1].encode()
                 assert [b"zorg" in raw[o.start : o.end].lower() for o in r.offending] == [True]
-    held = spark.range(200).select("id", toxicity.held_out(spark.range(200).id)).collect()
+    held = spark.range(200).selectExpr("id", "id AS doc_id")
+    held = held.select("id", toxicity.held_out(held.doc_id)).collect()
     assert all(r[1] == (zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in held)
     none = toxicity.score(d, toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int")))
     assert none.agg({"score": "max"}).first()[0] < 0.01

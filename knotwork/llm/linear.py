@@ -24,7 +24,7 @@ PREFIXES = (3, 4, 5, 6)
 
 @dataclass
 class Sentences:
-    """Buckets of the words and their beginnings, the sentence of each, and each sentence's row and first byte."""
+    """Distinct buckets of each sentence's words and their beginnings, their sentences, and each sentence's row and first byte."""
 
     bucket: np.ndarray
     sentence: np.ndarray
@@ -41,8 +41,9 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> Sentences:
     which = np.searchsorted(begins, start, "right") - 1
     new = np.concatenate(([True], which[1:] != which[:-1]))
     sentence, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    features = np.concatenate([h, *(c for c, _ in cut)]) & np.uint64(BUCKETS - 1)
-    return Sentences(features.astype(np.int64), np.concatenate([sentence, *(sentence[w] for _, w in cut)]), row[first], begins[which[first]])
+    features = (np.concatenate([h, *(c for c, _ in cut)]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    both = np.unique(np.concatenate([sentence, *(sentence[w] for _, w in cut)]) * BUCKETS + features)
+    return Sentences(both % BUCKETS, both // BUCKETS, row[first], begins[which[first]])
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning: labels of documents train scores of sentences.
 
 A sentence's score is a logistic function of the weights of its words and of
-their beginnings (so that inflected forms share evidence). A
-document is toxic unless all its sentences are clean, so their scores combine by
-noisy-or; the weights are fitted to the documents' labels through that rule.
+their beginnings (so that inflected forms share evidence), each counted once a
+sentence. A document is toxic unless all its sentences are clean, so their
+scores combine by noisy-or; the weights are fitted to the documents' labels
+through that rule.
 The model is fitted on a bounded sample: at most SAMPLE documents of each class,
 spread by a hash of their ids. Every document is then scored whole.
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from knotwork.llm.common import arrow_map, sized_batches
 from knotwork.llm.linear import BUCKETS, common_buckets, each_slice, sample_features, sampled, sentences
 
-#: Documents of each class that the fit takes at most, and epochs of it.
-SAMPLE, EPOCHS = 3000, 12
+#: Documents of each class that the fit takes at most; epochs of it, more where they would make fewer steps.
+SAMPLE, EPOCHS, STEPS = 3000, 12, 600
 THRESHOLD, OFFENDING = 0.3, 0.5
 _SCORED = "doc_id long, score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>"
 
@@ -36,45 +37,55 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(rows: list, epochs: int = EPOCHS, least: int = 3, l2: float = 1e-5, rate: float = 0.05, batch: int = 64) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam over small batches, on the weighted log-likelihood of the noisy-or."""
-    theta = np.zeros(BUCKETS + 1)
-    theta[-1] = -6.0
+def fit(rows: list, epochs: int = EPOCHS, least: int = 3, l1: float = 1e-4, l2: float = 1e-5, rate: float = 0.05, batch: int = 64) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam over small batches, on the weighted log-likelihood of the noisy-or.
+
+    ``l1`` and ``l2`` penalise weights; the first keeps rare words of a few toxic
+    documents from being learnt by heart.
+    """
     rows = [r for r in rows if len(r.bucket)]
     if len({r.label for r in rows}) < 2:
-        return theta[:-1], -50.0
-    usable = common_buckets(rows, least)
+        return np.zeros(BUCKETS), -50.0
+    names = np.flatnonzero(common_buckets(rows, least))
+    place = np.full(BUCKETS, -1)
+    place[names] = np.arange(len(names))
+    examples = []
+    for r in rows:
+        b, s = place[np.frombuffer(r.bucket, np.int32)], np.frombuffer(r.sentence, np.int32)
+        examples.append((b[b >= 0], s[b >= 0], int(s.max()) + 1))
+    label = np.array([r.label for r in rows], float)
     share = np.array([r.weight for r in rows])
     share /= share.mean()
+    theta = np.zeros(len(names) + 1)
+    theta[-1] = -6.0
     rng = np.random.default_rng(7)
     m, v, t = np.zeros_like(theta), np.zeros_like(theta), 0
+    epochs = max(epochs, -(-STEPS * batch // len(rows)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
             own = order[at : at + batch]
-            buckets, sentence, doc, n = [], [], [], 0
-            for k, i in enumerate(own):
-                b, s = np.frombuffer(rows[i].bucket, np.int32), np.frombuffer(rows[i].sentence, np.int32)
-                keep = usable[b]
-                buckets.append(b[keep])
-                sentence.append(s[keep] + n)
-                doc.append(np.full(int(s.max()) + 1, k))
-                n += len(doc[-1])
-            buckets, sentence, doc = np.concatenate(buckets), np.concatenate(sentence), np.concatenate(doc)
-            y, w = np.array([rows[i].label for i in own], float), share[own] / len(own)
-            z = np.bincount(sentence, theta[buckets], n) + theta[-1]
+            sizes = np.array([examples[i][2] for i in own])
+            first = np.cumsum(sizes) - sizes
+            word = np.concatenate([examples[i][0] for i in own])
+            sentence = np.concatenate([examples[i][1] + k for i, k in zip(own, first, strict=True)])
+            doc, n = np.repeat(np.arange(len(own)), sizes), int(sizes.sum())
+            y, w = label[own], share[own] / len(own)
+            z = np.bincount(sentence, theta[word], n) + theta[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             toxic = np.clip(-np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(own))), 1e-12, 1)
             # d(-log likelihood) / dz = p for a clean document, p - p / toxic for a toxic one
             g = w[doc] * p * np.where(y[doc] > 0, 1 - 1 / toxic[doc], 1.0)
-            grad = np.append(np.bincount(buckets, g[sentence], BUCKETS), g.sum())
-            grad[:-1] += l2 * theta[:-1]
+            grad = np.append(np.bincount(word, g[sentence], len(names)), g.sum())
+            grad[:-1] += l2 * theta[:-1] + l1 * np.sign(theta[:-1])
             t += 1
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             theta -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+    weights = np.zeros(BUCKETS)
+    weights[names] = theta[:-1]
+    return weights, float(theta[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> tuple[np.ndarray, float]:

@@ -4,10 +4,13 @@ A classifier fitted on a bounded sample of the labelled table gives each documen
 posteriors over domains. Projected-gradient least squares then finds nonnegative
 document rates whose expected domain token totals match the targets: with S the
 totals at the present rates and T the targets, a step moves rate d by
-``posterior_d . M (T - S)`` times its tokens' share, and projects it onto the
-allowed rates. M is the inverse of the domains' second-moment matrix, so a few
-steps do. Only vectors of one number a domain pass through the driver: tasks
-replay the steps so far from them, so no state of the documents is kept.
+``posterior_d . M (T - S)`` times its tokens, and projects it onto the allowed
+rates. M is the inverse of the domains' second-moment matrix over the documents
+whose rate is above the least (only those can still fall), so a few steps do. A
+step that brings the totals no nearer is halved, and at last replaced by a plain
+gradient step, which always does. Only sums of a few numbers a domain pass
+through the driver: tasks replay the steps so far from them, so no state of the
+documents is kept.
 
 Defined cases: a null or empty text has no tokens and keeps rate 1 (or the least
 rate); without labels of two classes all documents are one domain; a null label
@@ -110,38 +113,51 @@ def fit_rates(known: DataFrame, targets: list[float], least: float = 0.0, budget
     """Steps of the projected gradient, the targets, and the totals reached.
 
     ``budget``: expected tokens in all; by default the fewest at which no domain
-    has to shrink.
+    has to shrink. ``steps`` bounds the jobs; where the targets cannot be met, the
+    totals end as near as they get.
     """
     k = len(targets)
-    first = known.select(*[F.sum(F.col("n_tokens") * F.col("posterior")[i]) for i in range(k)], *[F.sum(F.col("n_tokens") * F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[j]) for i in range(k) for j in range(k)]).first()
-    now = np.array([x or 0.0 for x in first[:k]], float)
-    moments = np.array([x or 0.0 for x in first[k:]], float).reshape(k, k)
-    share = np.array(targets, float) * (now > 0)
-    if not share.sum():
-        return [], now, now
-    share /= share.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        want = share * (budget if budget is not None else float(np.max(np.where(share > 0, now / share, 0))))
-    inverse = np.linalg.pinv(moments, rcond=1e-12)
-    done: list[np.ndarray] = []
 
-    def totals() -> np.ndarray:
+    def totals(done: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals and the second moments of the documents above the least rate."""
+
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k)
+            total, moments = np.zeros(k), np.zeros((k, k))
             for batch in batches:
                 if batch.num_rows:
                     n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
                     p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                    total += (p * (n * replayed(p, n, done, least))[:, None]).sum(0)
-            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+                    rate, own = replayed(p, n, done, least), p * n[:, None]
+                    total += own.T @ rate
+                    free = own[rate > least] if done else own
+                    moments += free.T @ free
+            yield pa.record_batch([pa.array([[*total, *moments.reshape(-1)]], pa.list_(pa.float64()))], names=["sums"])
 
-        return np.sum([r.total for r in arrow_map(known.select("n_tokens", "posterior"), part, "total array<double>").collect()] or [np.zeros(k)], axis=0)
+        rows = [r.sums for r in arrow_map(known.select("n_tokens", "posterior"), part, "sums array<double>").collect()]
+        sums = np.sum(rows or [np.zeros(k + k * k)], axis=0)
+        return sums[:k], sums[k:].reshape(k, k)
 
-    for _ in range(steps):
-        done.append(inverse @ (want - now))
-        now = totals()
-        if np.abs(want - now).sum() <= CLOSE * want.sum():
+    done: list[np.ndarray] = []
+    now, moments = totals(done)
+    share = np.array(targets, float) * (now > 0)
+    if not share.sum():
+        return [], now, now
+    share /= share.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = share * (budget if budget is not None else float(np.max(np.where(share > 0, now / share, 0))))
+    plain = 1 / np.trace(moments)
+    jobs, shrink = 0, 1.0
+    while jobs < steps and np.abs(want - now).sum() > CLOSE * want.sum():
+        step = shrink * (np.linalg.pinv(moments, rcond=1e-12) @ (want - now)) if shrink > 0.2 else plain * (want - now)
+        then, free = totals([*done, step])
+        jobs += 1
+        if np.linalg.norm(want - then) < np.linalg.norm(want - now):
+            done.append(step)
+            now, moments, shrink = then, free, 1.0
+        elif shrink <= 0.2:
             break
+        else:
+            shrink /= 2
     return done, want, now
 
 

@@ -3,6 +3,10 @@
 Toxicity (rejected documents go), exact dedup (owners stay), n-gram Jaccard join
 (one document of each group stays), mixing to target weights (documents are
 repeated at their rates; each stays once at least) and packing.
+
+Every stage decides by row, known by its id and text together: rows that share an
+id (or have none) but differ in text are documents each. Rows equal in id and text
+are told apart by nothing; exact dedup leaves one of them.
 """
 
 from __future__ import annotations
@@ -15,34 +19,57 @@ from knotwork.llm.common import table, written
 from knotwork.llm.queries import QUALITY_TARGETS, tokenizer
 
 
-def _kept(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``keep``; a null id meets a null id."""
-    k = keep.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(k, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a hash of id and text."""
+    return docs.withColumn("_row", F.xxhash64(F.lit(1), "doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) for an operator that is to decide by row: the row's key stands for its id."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _kept(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows whose key is in ``keep``."""
+    return rows.join(keep.select("_row").distinct(), "_row", "left_semi").drop("_row")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return _kept(docs, scored.where(F.col("score") < toxicity.THRESHOLD))
+    rows = _keyed(docs)
+    scored = toxicity.score(_texts(rows), model)
+    return _kept(rows, scored.where(F.col("score") < toxicity.THRESHOLD).select(F.col("doc_id").alias("_row")))
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_dedup.exact_dedup(docs).where("kept")).dropDuplicates(["doc_id"])
+    """One row of each group of equal texts (white space aside): of the owner's rows the longest text, then the least."""
+    owner = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_owned")).distinct()
+    rows = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    own = rows.join(owner, (F.col("_sha") == F.col("_owned")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    order = F.struct(-F.length(F.coalesce("text", F.lit(""))), F.col("text"), others)
+    return own.groupBy("_sha").agg(F.min_by(F.struct(*docs.columns), order).alias("_r")).select("_r.*")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, jaccard.similar(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("class_id").isNull()))
+    """The row with the least id (null is the largest), then the least key, of each group."""
+    rows = _keyed(docs)
+    none = F.lit(None).cast("long")
+    found = jaccard.similar(_texts(rows)).select(F.col("doc_id").alias("_row"), none.alias("_id"), F.col("class_id").alias("_class"))
+    named = rows.select("_row", F.col("doc_id").cast("long").alias("_id"), none.alias("_class")).unionByName(found)
+    one = named.groupBy("_row").agg(F.min("_id").alias("_id"), F.min("_class").alias("_class"))
+    least = one.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_r"))
+    return _kept(rows, least.select("_r._row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says; the fraction is settled by a hash of the id."""
-    rated = mixing.mixed(docs, table(spark, sf_dir, "labels"), QUALITY_TARGETS, least=1.0)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    times = rated.groupBy(F.col("doc_id").alias("_id")).agg(F.max("rate").alias("rate")).select("_id", "rate")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    n = F.floor("rate").cast("int") + (part < F.col("rate") - F.floor("rate")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).select(*docs.columns)
+    """Documents as often as their rate says; the fraction is settled by a hash of the row."""
+    rows = _keyed(docs)
+    rated = mixing.mixed(rows, table(spark, sf_dir, "labels"), QUALITY_TARGETS, least=1.0, row_id="_row")
+    part = F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) / F.lit(1 << 20)
+    times = rated.groupBy(F.col("doc_id").alias("_row")).agg(F.max("rate").alias("_rate"))
+    n = F.floor("_rate").cast("int") + (part < F.col("_rate") - F.floor("_rate")).cast("int")
+    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

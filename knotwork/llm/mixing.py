@@ -161,14 +161,17 @@ def fit_rates(known: DataFrame, targets: list[float], least: float = 0.0, budget
     return done, want, now
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], label: str = "quality", least: float = 0.0, budget: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate. ``targets``: share of expected tokens of each value 0, 1, ... of ``label``."""
+def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], label: str = "quality", least: float = 0.0, budget: float | None = None, row_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, posterior, rate. ``targets``: share of expected tokens of each value 0, 1, ... of ``label``.
+
+    Labels are found by ``doc_id``; the ``doc_id`` given back is what ``row_id`` holds.
+    """
     spark = docs.sparkSession
     sized_batches(spark)
     n_domains = len(targets)
     examples = labels.select("doc_id", label).where(F.col(label).between(0, n_domains - 1))
     model = fit_domains(sample_features(sampled(docs.select("doc_id", "text"), examples, label, SAMPLE)), n_domains)
-    known = written(posteriors(docs, model), "posteriors")
+    known = written(posteriors(docs.select(F.col(row_id).alias("doc_id"), "text"), model), "posteriors")
     steps, _, _ = fit_rates(known, targets, least, budget)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,20 +3,23 @@
 A line's quote level is the number of ``>`` marks before its text. Runs of lines
 of one level above 0 are quoted passages. Passages and messages are normalised
 (lower case, white space squeezed) and hashed; a passage is joined to the latest
-earlier message of its conversation whose body, or a line of it, has that hash.
+earlier message of its conversation whose body has that hash, or a line, run,
+paragraph or any so many consecutive lines of it. A passage of several lines that
+stands nowhere as it is belongs to the earlier message that holds most of its lines,
+if that is more than half (each counted once; of equal messages the later).
 A message replies to the message that its shallowest linked passage comes from
 (whole bodies before lines, then the later turn), or else to the one before it.
 Conversations are given message by message in reply order: (conv_id,
 parent_turn, turn) puts a parent before its replies and replies to one message
 together; quoted lines are gone from ``body``.
 
-The join is a union sorted by (conversation, hash, turn) with a running maximum,
+The first join is a union sorted by (conversation, hash, turn) with a running maximum,
 so a passage quoted a thousand times makes no thousand squared pairs.
 
 Defined cases: a null text is an empty message; a null role counts as ``user``;
 a message without an earlier one has parent_turn -1; a null turn comes first and
 nothing replies to it; rows that repeat (conv_id, turn) are one turn's messages,
-linked each; a null conv_id is a conversation of its own; other columns are
+linked each (equal rows alike); a null conv_id is a conversation of its own; other columns are
 ignored.
 """
 
@@ -26,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from knotwork.llm.common import written
+
 #: Marks kept out of texts before they delimit runs and levels.
 RUN, LEVEL = "\u0001", "\u0002"
 _QUOTE = r"^((?:\s*>)+)"
@@ -43,11 +48,11 @@ def unquoted(line: Column) -> Column:
     return F.regexp_replace(line, _QUOTE + " ?", "")
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body (no quoted lines) and passages (level, text) of each message."""
+def parsed(messages: DataFrame, *more: str) -> DataFrame:
+    """conv_id, turn, role, body (no quoted lines), passages (level, text) and free (the unquoted runs) of each message."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), RUN + LEVEL + "\r", "")
     rows = messages.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.split(text, "\n").alias("lines")
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.split(text, "\n").alias("lines"), *more
     )
     rows = rows.withColumn("levels", F.transform("lines", line_level))
     # a run begins where the level changes; it carries its level before its lines
@@ -65,25 +70,75 @@ def parsed(messages: DataFrame) -> DataFrame:
     )
     runs = F.transform(F.split(joined, RUN), lambda r: F.struct(F.substring_index(r, LEVEL, 1).cast("int").alias("level"), F.substring_index(r, LEVEL, -1).alias("text")))
     rows = rows.withColumn("runs", runs)
-    body = F.trim(F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["text"]), "\n"))
-    return rows.select("conv_id", "turn", "role", body.alias("body"), F.filter("runs", lambda r: r["level"] > 0).alias("passages"))
+    free = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["text"])
+    return rows.select("conv_id", "turn", "role", F.trim(F.array_join(free, "\n")).alias("body"), F.filter("runs", lambda r: r["level"] > 0).alias("passages"), free.alias("free"), *more)
 
 
 def hashed(text: Column) -> Column:
     return F.md5(normalised(text))
 
 
+def filled(text: Column) -> Column:
+    """The normalised lines of a text without the blank ones."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
+def blocks(runs: Column) -> Column:
+    """Unquoted runs and their paragraphs, normalised."""
+    paragraphs = F.flatten(F.transform(runs, lambda r: F.split(r, r"\n[\x20\x09-\x0D]*\n")))
+    return F.filter(F.transform(F.concat(runs, paragraphs), normalised), lambda x: x != "")
+
+
+def windows(lines: Column, lengths: Column) -> Column:
+    """Texts of so many consecutive lines, for each of the lengths."""
+    fit = F.filter(lengths, lambda k: (k > 1) & (k <= F.size(lines)))
+    return F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), F.size(lines) - k + 1), lambda i: F.array_join(F.slice(lines, i, k), " "))))
+
+
+def most_held(left: DataFrame, held: DataFrame) -> DataFrame:
+    """(row, at, turn): the earlier message that holds most lines of a passage, and more than half of them; of equal ones the later.
+
+    ``left``: conv_id, turn, row, at, lines (hashes); ``held``: conv_id, source, hash. A
+    message with more than half of m lines holds one of any m - m / 2 of them: only the
+    lines that the fewest messages hold make candidates.
+    """
+    count = held.groupBy("conv_id", "hash").agg(F.count("*").alias("n")).withColumnsRenamed({"conv_id": "_c", "hash": "_h"})
+    each = left.select("conv_id", "turn", "row", "at", "lines", F.explode("lines").alias("hash"))
+    known = each.join(count, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")), "left").drop("_c", "_h")
+    rank = F.row_number().over(W.partitionBy("row", "at").orderBy(F.coalesce("n", F.lit(0)), "hash"))
+    rare = known.withColumn("_k", rank).where(F.col("n").isNotNull() & (F.col("_k") <= F.ceil(F.size("lines") / 2))).drop("_k", "n")
+    named = held.withColumnsRenamed({"conv_id": "_c", "hash": "_h"})
+    met = rare.join(named, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("source") < F.col("turn")))
+    met = met.select("conv_id", "row", "at", "lines", "source").dropDuplicates(["row", "at", "source"])
+    whole = held.groupBy(F.col("conv_id").alias("_c"), F.col("source").alias("_s")).agg(F.collect_set("hash").alias("all"))
+    n = F.size(F.array_intersect("lines", "all"))
+    counted = met.join(whole, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("source") == F.col("_s"))).withColumn("n", n)
+    return counted.where(F.col("n") * 2 > F.size("lines")).groupBy("row", "at").agg(F.max(F.struct("n", "source")).alias("best")).select("row", "at", F.col("best.source").alias("turn"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, parent_turn, n_passages, n_linked, body, chat."""
-    rows = parsed(messages).withColumn("row", F.xxhash64("conv_id", "turn", "role", "body", F.to_json("passages")))
-    # what can be quoted: whole bodies (kind 1) and their lines (kind 0)
-    lines = F.filter(F.split("body", "\n"), lambda x: normalised(x) != "")
-    offered = F.array_union(F.array(F.struct(F.lit(1).alias("whole"), hashed(F.col("body")).alias("hash"))), F.transform(lines, lambda x: F.struct(F.lit(0).alias("whole"), hashed(x).alias("hash"))))
-    index = rows.where((F.col("body") != "") & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode(offered).alias("o")).select("conv_id", "o.hash", "turn", F.col("o.whole").alias("whole"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("at"))
-    asked = rows.select("conv_id", "turn", "row", F.posexplode("passages").alias("at", "p")).select("conv_id", hashed(F.col("p.text")).alias("hash"), "turn", F.lit(None).cast("int").alias("whole"), "row", F.col("p.level").alias("level"), "at")
+    # equal rows share their key and their links
+    key = F.xxhash64(F.to_json(F.struct("conv_id", "turn", "role", "body", "passages"), {"ignoreNullFields": "false"}))
+    rows = parsed(messages).withColumn("row", key)
+    quoting = parsed(messages.where(F.col("text").contains(">"))).where(F.size("passages") > 0).withColumn("row", key)
+    asked = quoting.select("conv_id", "turn", "row", F.posexplode("passages").alias("at", "p")).select("conv_id", "turn", "row", "at", F.col("p.level").alias("level"), F.md5(normalised(F.col("p.text"))).alias("hash"), filled(F.col("p.text")).alias("lines"))
+    asked = written(asked.dropDuplicates(["row", "at"]), "passages")
+    # what can be quoted, in conversations that quote: whole bodies (kind 1); lines, runs, paragraphs and as many consecutive lines as a passage has (kind 0)
+    lengths = asked.groupBy(F.col("conv_id").alias("_c")).agg(F.collect_set(F.size("lines")).alias("lengths"))
+    quoted = parsed(messages.join(lengths, F.col("conv_id").cast("long").eqNullSafe(F.col("_c"))).drop("_c"), "lengths").where((F.col("body") != "") & F.col("turn").isNotNull())
+    lines = filled(F.col("body"))
+    parts = F.array_distinct(F.concat(lines, blocks(F.col("free")), windows(lines, F.col("lengths"))))
+    offered = F.concat(F.array(F.struct(F.lit(1).alias("whole"), hashed(F.col("body")).alias("hash"))), F.transform(parts, lambda x: F.struct(F.lit(0).alias("whole"), F.md5(x).alias("hash"))))
+    index = quoted.select("conv_id", "turn", F.explode(offered).alias("o")).select("conv_id", "o.hash", "turn", F.col("o.whole").alias("whole"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("lines"))
     earlier = W.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    found = index.unionByName(asked).withColumn("source", F.max(F.when(F.col("row").isNull(), F.struct(F.col("whole"), F.col("turn")))).over(earlier)).where(F.col("row").isNotNull())
-    best = found.groupBy("row").agg(F.max(F.when(F.col("source").isNotNull(), F.struct(-F.col("level"), F.col("source.whole"), F.col("source.turn").alias("turn")))).alias("best"), F.count_if(F.col("source").isNotNull()).alias("n_linked"))
+    both = index.unionByName(asked.withColumn("whole", F.lit(None).cast("int")))
+    found = written(both.withColumn("source", F.max(F.when(F.col("row").isNull(), F.struct(F.col("whole"), F.col("turn")))).over(earlier)).where(F.col("row").isNotNull()), "found")
+    left = found.where(F.col("source").isNull() & (F.size("lines") > 1)).withColumn("lines", F.array_distinct(F.transform("lines", F.md5)))
+    held = quoted.select("conv_id", F.col("turn").alias("source"), F.explode(F.transform(lines, F.md5)).alias("hash")).distinct()
+    partly = most_held(left, held).select("row", "at", F.struct(F.lit(0).alias("whole"), "turn").alias("partly"))
+    linked = found.join(partly, ["row", "at"], "left").withColumn("source", F.coalesce("source", "partly"))
+    best = linked.groupBy("row").agg(F.max(F.when(F.col("source").isNotNull(), F.struct(-F.col("level"), F.col("source.whole"), F.col("source.turn").alias("turn")))).alias("best"), F.count_if(F.col("source").isNotNull()).alias("n_linked"))
     turns = rows.select("conv_id", "turn").distinct()
     before = turns.withColumn("previous", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")))
     joined = rows.join(best, "row", "left").alias("m").join(before.alias("b"), F.col("m.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("m.turn").eqNullSafe(F.col("b.turn")), "left")

@@ -194,3 +194,26 @@ def test_quotes_link_and_leave_no_quotes(spark):
     assert by[2, 0, ""].role == "user" and by[2, None, "x"].parent_turn == -1
     assert by[None, 3, ""].parent_turn == -1
     assert all(not line.startswith(">") for r in by.values() for line in r.body.split("\n"))
+
+
+def test_quotes_of_several_lines_out_of_longer_messages(spark):
+    long = "Dear all,\nthe bus leaves at nine.\nBring water.\n\nLunch is at noon\nin the old mill.\n\nYours,\nAda"
+    rows = [
+        (1, 0, "user", long),
+        (1, 1, "user", "Bring water.\nLunch is at noon"),
+        (1, 2, "user", "Yours,\nEve"),
+        (1, 3, "user", "> the bus leaves at nine.\n> Bring water.\nFine."),  # two lines of many
+        (1, 4, "user", "> Lunch is at noon in\n> the old mill.\nOn foot?"),  # a paragraph, wrapped anew
+        (1, 5, "user", "> the bus leaves at nine.\nFirst part\nof mine.\n> Yours,\nSecond part\nof mine."),
+        (1, 6, "user", "> First part of\n> mine.\nA."),  # one block of an interleaved reply
+        (1, 7, "user", "> Dear all,\n> [...]\n> Bring water.\n> Lunch is at noon\nB."),  # most lines, not in one piece
+        (1, 8, "user", "> Dear all,\n> who\nC."),  # half of the lines
+        (1, 9, "user", "> of mine.\n> Second part\n> of mine.\nD."),
+        (1, 10, "user", "> Fine.\n\n> On foot?\nE."),
+        (1, 10, "user", "> Fine.\n\n> On foot?\nE."),
+        (None, 0, "user", "a\nb\nc"), (None, 1, "user", "x"), (None, 2, "user", "> b\n> c\ny"),
+    ]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    out = sorted(((r.conv_id, r.turn, r.parent_turn, r.n_passages, r.n_linked) for r in got.collect()), key=repr)
+    want = [(1, 0, -1, 0, 0), (1, 1, 0, 0, 0), (1, 2, 1, 0, 0), (1, 3, 0, 1, 1), (1, 4, 0, 1, 1), (1, 5, 2, 2, 2), (1, 6, 5, 1, 1), (1, 7, 0, 1, 1), (1, 8, 7, 1, 0), (1, 9, 5, 1, 1), (1, 10, 4, 2, 2), (1, 10, 4, 2, 2), (None, 0, -1, 0, 0), (None, 1, 0, 0, 0), (None, 2, 0, 1, 1)]
+    assert out == sorted(want, key=repr)

@@ -8,7 +8,8 @@ sets share; sets that choose the same token meet in a bucket. A bucket that is
 too large is split again on further tokens along its path, unless splitting
 stalls, as it does for large groups of near copies. Buckets are then searched by
 brute force, large ones in pairs of blocks, so no task holds a whole one. Runs
-are repeated until a pair at the threshold is missed with probability 1 - recall.
+are repeated until a pair at the threshold is missed with probability 1 - recall
+at most, also where its buckets are split at all levels.
 
 A pair that meets in several buckets belongs to the least of them. Brute force
 first compares 32-bin sketches and passes on only the sets with a plausible
@@ -48,9 +49,19 @@ _SETS = "uid long, doc_id long, key binary, n long, paths array<long>, sketch bi
 _U = np.uint64
 
 
-def runs_needed(threshold: float, recall: float) -> int:
-    """A pair at the threshold shares 2 t / (1 + t) of a set, each chosen with probability 1 / (t n): so many runs reach the recall."""
-    return max(1, math.ceil(-math.log(1 - recall) / (2 / (1 + threshold))))
+def runs_needed(threshold: float, recall: float, levels: int = 1) -> int:
+    """Runs that reach the recall for every pair at the threshold, whose buckets may be split up to ``levels`` deep.
+
+    A pair shares t / (1 + t) of both sizes together, at least t times the larger
+    size if one set holds the other; the larger set chooses with probability
+    1 / (t n), so one common choice a level is expected at least. A pair must meet
+    at every level down to the bucket that is searched: the runs are as many as the
+    deepest one asks for.
+    """
+    survival = 1.0
+    for _ in range(levels - 1):
+        survival = 1 - math.exp(-survival)
+    return max(1, math.ceil(-math.log(1 - recall) / survival))
 
 
 def chosen(tokens: np.ndarray, path: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -75,7 +86,7 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 
 def token_sets(docs: DataFrame, threshold: float, recall: float, width: int, id_col: str, text_col: str) -> DataFrame:
-    runs = mix(np.arange(1, runs_needed(threshold, recall) + 1, dtype=_U))
+    runs = mix(np.arange(1, runs_needed(threshold, recall, LEVELS) + 1, dtype=_U))
     table = plain_table()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

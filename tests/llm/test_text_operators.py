@@ -85,6 +85,19 @@ def test_similar_against_brute_force(spark, monkeypatch, small, block):
     assert got == brute_similar(rows)
 
 
+def test_similar_reaches_its_recall_where_all_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "STALL", 2.0)
+    rows = []
+    for g in range(400):  # pairs of 90 runs of words, 80 of them shared
+        text = [f"g{g}w{i}" for i in range(94)]
+        rows.append((2 * g, " ".join(text)))
+        text[10 + g % 20] = text[50 + g % 30] = f"e{g}"
+        rows.append((2 * g + 1, " ".join(text)))
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).agg({"n_links": "sum"}).first()[0]
+    assert jaccard.RECALL * 800 <= got <= 800
+
+
 def test_similar_of_nothing(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = jaccard.similar(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).collect()

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from knotwork.llm import exact_dedup, jaccard, mixing, quotes, toxicity
@@ -24,8 +25,8 @@ def test_exact_dedup_against_brute_force(spark):
         groups.setdefault(body, []).append((-len(t or ""), i is None, i or 0, i))
     want = []
     for body, own in groups.items():
-        keep = min(own)[3]
-        want += [(x[3], keep, len(own), x[3] == keep, hashlib.sha256(body.encode()).hexdigest()) for x in own]
+        points, _, _, keep = min(own)
+        want += [(x[3], keep, len(own), x[3] == keep and x[0] == points, hashlib.sha256(body.encode()).hexdigest()) for x in own]
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert exact_dedup.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -41,6 +42,32 @@ def test_trie_holds_each_string_once():
     assert {s: (o[1], o[2]) for s, o in trie.terminals()} == {s: (min(v), len(v)) for s, v in want.items()}
 
 
+def test_spilled_subtrees_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ab ") for _ in range(rng.randrange(60)))) for i in range(900)] + [(7, None), (5, "b" * 5000)]
+    batches = [pa.record_batch([pa.array([i for i, _ in rows[k : k + 90]], pa.int64()), pa.array([t for _, t in rows[k : k + 90]], pa.string())], names=["doc_id", "text"]) for k in range(0, len(rows), 90)]
+    held = []
+    real = exact_dedup.PatriciaTrie.spilled
+
+    def watched(trie):
+        held.append(sum(1 for _ in trie.terminals()))
+        return real(trie)
+
+    monkeypatch.setattr(exact_dedup.PatriciaTrie, "spilled", watched)
+
+    def owners(most):
+        monkeypatch.setattr(exact_dedup, "TRIE_BYTES", most)
+        sent = pa.Table.from_batches(list(exact_dedup._local(iter(batches)))).sort_by([("len", "ascending"), ("hash", "ascending")])
+        found = pa.Table.from_batches(list(exact_dedup._merge(iter(sent.to_batches(max_chunksize=100))))).to_pylist()
+        return sent.num_rows, sorted(map(str, found))
+
+    few, whole = owners(1 << 30)
+    assert not held
+    more, spilled = owners(20_000)
+    assert spilled == whole and more > few and held and min(held) > 1
+    assert len(whole) == len({(t or "").replace(" ", "") for _, t in rows})
+
+
 def near_copies(rng, n_groups=12, n_words=120):
     rows, next_id = [], 0
     passage = " ".join(f"p{k}" for k in range(60))

@@ -4,9 +4,16 @@ Toxicity (rejected documents go), exact dedup (owners stay), n-gram Jaccard join
 (one document of each group stays), mixing to target weights (documents are
 repeated at their rates; each stays once at least) and packing.
 
-Every stage decides by row, known by its id and text together: rows that share an
-id (or have none) but differ in text are documents each. Rows equal in id and text
-are told apart by nothing; exact dedup leaves one of them.
+Every stage decides by row: a document's whole row travels with what is found out
+about it, so rows that share an id (or have none) are documents each, and no row
+comes or goes with its namesake.
+
+Defined cases: a null text counts as empty; empty texts are clean, are one group of
+exact copies, and are no near copies; of rows equal in text (white space aside) the
+longest stays, then the least id (null is the largest), then the least row; of near
+copies the least id stays; rows that repeat an id are judged each by their own text
+(labels are found by id); an empty table gives no rows at any stage; columns of any
+other name are carried through.
 """
 
 from __future__ import annotations
@@ -19,26 +26,9 @@ from knotwork.llm.common import table, written
 from knotwork.llm.queries import QUALITY_TARGETS, tokenizer
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a hash of id and text."""
-    return docs.withColumn("_row", F.xxhash64(F.lit(1), "doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
-
-
-def _texts(rows: DataFrame) -> DataFrame:
-    """(doc_id, text) for an operator that is to decide by row: the row's key stands for its id."""
-    return rows.select(F.col("_row").alias("doc_id"), "text")
-
-
-def _kept(rows: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows whose key is in ``keep``."""
-    return rows.join(keep.select("_row").distinct(), "_row", "left_semi").drop("_row")
-
-
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rows = _keyed(docs)
-    scored = toxicity.score(_texts(rows), model)
-    return _kept(rows, scored.where(F.col("score") < toxicity.THRESHOLD).select(F.col("doc_id").alias("_row")))
+    return toxicity.score(docs, model, rows=True).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,24 +42,18 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least id (null is the largest), then the least key, of each group."""
-    rows = _keyed(docs)
-    none = F.lit(None).cast("long")
-    found = jaccard.similar(_texts(rows)).select(F.col("doc_id").alias("_row"), none.alias("_id"), F.col("class_id").alias("_class"))
-    named = rows.select("_row", F.col("doc_id").cast("long").alias("_id"), none.alias("_class")).unionByName(found)
-    one = named.groupBy("_row").agg(F.min("_id").alias("_id"), F.min("_class").alias("_class"))
-    least = one.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_r"))
-    return _kept(rows, least.select("_r._row"))
+    return jaccard.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says; the fraction is settled by a hash of the row."""
-    rows = _keyed(docs)
-    rated = mixing.mixed(rows, table(spark, sf_dir, "labels"), QUALITY_TARGETS, least=1.0, row_id="_row")
-    part = F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) / F.lit(1 << 20)
-    times = rated.groupBy(F.col("doc_id").alias("_row")).agg(F.max("rate").alias("_rate"))
-    n = F.floor("_rate").cast("int") + (part < F.col("_rate") - F.floor("_rate")).cast("int")
-    return rows.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).select(*docs.columns)
+    """Documents as often as their rate says, but once at least: clean documents stay, so the targets are met by repeating.
+
+    The fraction of a rate is settled by a hash of the id and text.
+    """
+    rated = mixing.mixed(docs, table(spark, sf_dir, "labels"), QUALITY_TARGETS, least=1.0, rows=True)
+    part = F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(1 << 20)) / F.lit(1 << 20)
+    n = F.floor("rate").cast("int") + (part < F.col("rate") - F.floor("rate")).cast("int")
+    return rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch: whole texts are long, so few rows go at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -25,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only in local mode, where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="knotwork-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -109,5 +113,34 @@ def _last_change(batch: pa.RecordBatch, keys: list[str]) -> int:
     return low
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def row_of(docs: DataFrame) -> Column:
+    """A document's whole row as one column ``row``, so that it travels with what is found out about it."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
+def with_row(schema: str, docs: DataFrame, rows: bool = True) -> StructType:
+    """A schema, with that column at its end if ``rows``."""
+    made = StructType.fromDDL(schema)
+    return made.add("row", docs.schema) if rows else made
+
+
+#: A group is hot if more than one in so many rows belong to it; its rows are dealt over so many tasks.
+HOT, SALTS = 1000, 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str) -> DataFrame:
+    """Left join of rows with one row for each group (written before; ``size``: its rows).
+
+    Hot groups are fewer than HOT, whatever the size of the table, so their keys
+    are broadcast; their rows are dealt by a hash of ``spread`` and meet a copy of
+    the group's row in each task.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first().n or 0
+    hot = F.broadcast(groups.where(F.col(size) * HOT > total).select(*keys, F.lit(SALTS).alias("_salts")))
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), "_salts").cast("int"), F.lit(0))).drop("_salts")
+    copies = groups.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)

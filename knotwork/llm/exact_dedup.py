@@ -9,9 +9,8 @@ and dropped. Those rows are dealt by length and content hash to the second round
 of tries, sorted by both, so equal strings come side by side: there a subtree that
 is spilled holds finished owners, but for the string that came last.
 
-Owners go back to the documents by an equi-join. The texts that more than one in
-``HOT`` rows share (fewer than ``HOT`` texts, whatever the size) are broadcast and
-their rows are dealt over many tasks.
+Owners go back to the documents by an equi-join that deals the rows of hot texts
+over many tasks.
 
 Defined cases: a null text counts as empty, and all empty texts are one group;
 among equally long originals the smallest id stays, and a null id counts as the
@@ -30,14 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import arrow_map, sized_batches, written
+from knotwork.llm.common import arrow_map, join_groups, sized_batches, written
 
 #: Bytes of labels and nodes that a trie holds before subtrees are spilled, until half of them are left.
 TRIE_BYTES = 16 << 20
 #: What a node costs besides its label.
 NODE_BYTES = 200
-#: A text is hot if more than one in so many rows share it; its rows are dealt over so many tasks.
-HOT, SALTS = 1000, 64
 WHITE_SPACE = " \t\n\v\f\r"
 
 
@@ -196,13 +193,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = arrow_map(rows, _local, _PART)
     owners = written(arrow_map(parts.repartition("len", "hash").sortWithinPartitions("len", "hash"), _merge, _OWNER), "owners")
-    total = owners.agg(F.sum("group_size").alias("n")).first().n or 0
-    hot = owners.where(F.col("group_size") * HOT > total).select("len", "sha", F.lit(SALTS).alias("salts"))  # fewer than HOT rows
     body = normalised(F.col("text"))
     members = rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), F.octet_length(body).cast("long").alias("len"), F.sha2(body, 256).alias("sha"))
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts").cast("int"), F.lit(0))
-    members = members.join(F.broadcast(hot), ["len", "sha"], "left").withColumn("salt", salt).drop("salts")
-    dealt = owners.join(F.broadcast(hot), ["len", "sha"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    joined = members.join(dealt.hint("merge"), ["len", "sha", "salt"], "left")
+    joined = join_groups(members, owners, ["len", "sha"], "group_size", "doc_id")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("code_points"))
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))

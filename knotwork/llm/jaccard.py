@@ -13,8 +13,9 @@ at most, also where its buckets are split at all levels.
 
 A pair that meets in several buckets belongs to the least of them. Brute force
 first compares 32-bin sketches and passes on only the sets with a plausible
-partner; those sets are then compared exactly (32-bit token hashes). Links are
-counted and joined into components without listing a group's pairs.
+partner; those sets are then compared in full. Sets hold 32-bit hashes: of a text
+of 20,000 words two runs share one with a chance of 5 %, and its set is then smaller
+by one. Links are counted and joined into components without listing a group's pairs.
 
 Defined cases: a null text is empty; an empty text has no links and a class of
 its own; a null doc_id takes part and counts as the largest id (class_id is null
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import arrow_map, batches_by_key, sized_batches, utf8, written
+from knotwork.llm.common import arrow_map, batches_by_key, join_groups, row_of, sized_batches, utf8, with_row, written
 from knotwork.llm.components import components
 from knotwork.llm.linear import each_slice
 from knotwork.llm.words import mix, plain_table, shingles, word_hashes
@@ -70,7 +71,7 @@ def chosen(tokens: np.ndarray, path: np.ndarray, limit: np.ndarray) -> np.ndarra
 
 
 def next_path(tokens: np.ndarray, path: np.ndarray) -> np.ndarray:
-    return mix(mix(tokens.astype(_U) + _U(1)) + path * _U(0x9E3779B97F4A7C15))
+    return mix(mix(tokens.astype(_U) + _U(1)) + np.atleast_1d(path) * _U(0x9E3779B97F4A7C15))
 
 
 def limits(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -85,7 +86,7 @@ def sketch(tokens: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def token_sets(docs: DataFrame, threshold: float, recall: float, width: int, id_col: str, text_col: str) -> DataFrame:
+def token_sets(docs: DataFrame, threshold: float, recall: float, width: int, id_col: str, text_col: str, rows: bool) -> DataFrame:
     runs = mix(np.arange(1, runs_needed(threshold, recall, LEVELS) + 1, dtype=_U))
     table = plain_table()
 
@@ -114,9 +115,11 @@ def token_sets(docs: DataFrame, threshold: float, recall: float, width: int, id_
                         c.append(v)
                     uid += 1
             arrays = [pa.array(cols[0], pa.int64()), batch.column(0), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())]
-            yield pa.record_batch(arrays, names=[c.split()[0] for c in _SETS.split(", ")])
+            more = {"row": batch.column(2)} if rows else {}
+            yield pa.record_batch([*arrays, *more.values()], names=[*(c.split()[0] for c in _SETS.split(", ")), *more])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), make, _SETS)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([row_of(docs)] if rows else []))
+    return arrow_map(given, make, with_row(_SETS, docs, rows))
 
 
 def split_further(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -145,7 +148,7 @@ def buckets(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     for level in range(1, LEVELS + 1):
         sizes = now.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         met = written(now.join(sizes, "path"), "buckets")
-        large = met.where(F.col("size") > SMALL) if level > 1 else met.where(F.col("size") > SMALL)
+        large = met.where(F.col("size") > SMALL)
         if level == LEVELS or large.isEmpty():
             part = met.select("path", "uid", "size")
             return part if ended is None else ended.unionByName(part)
@@ -327,13 +330,13 @@ def links(members: DataFrame, threshold: float) -> DataFrame:
     return arrow_map(dealt(members), search, "uid long, links long, with long")
 
 
-def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (least id it hangs together with), n_links (documents at the threshold or above), set_size."""
+def classified(docs: DataFrame, threshold: float, recall: float, width: int, id_col: str, text_col: str, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sets of all documents (see _SETS, with ``rows`` also each ``row``), and one row for each distinct set: key, rep, uid, weight, root, links."""
     sized_batches(docs.sparkSession)
-    sets = written(token_sets(docs, threshold, recall, width, id_col, text_col), "sets")
+    sets = written(token_sets(docs, threshold, recall, width, id_col, text_col, rows), "sets")
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))
     classes = written(
-        sets.where("n > 0").groupBy("key").agg(rep.alias("r"), F.count("*").alias("weight"), F.min("n").alias("n"))
+        sets.where("n > 0").groupBy("key").agg(rep.alias("r"), F.count("*").alias("weight"))
         .select("key", F.col("r.uid").alias("uid"), F.col("r.doc_id").alias("rep"), "weight"), "classes",
     )
     first = sets.select("uid", "paths", "sketch").join(classes.select("uid"), "uid", "left_semi")
@@ -345,8 +348,21 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     found = written(links(payload, threshold), "links")
     graph = components(found.select(F.col("uid").alias("a"), F.col("with").alias("b")))
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
-    named = classes.join(counts, "uid", "left").join(graph.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    return sets, classes.join(counts, "uid", "left").join(graph.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+
+
+def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (least id it hangs together with), n_links (documents at the threshold or above), set_size."""
+    sets, named = classified(docs, threshold, recall, width, id_col, text_col)
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    final = named.join(least, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    joined = sets.select("doc_id", "key", "n").join(final, "key", "left")
+    final = written(named.join(least, "root").select("key", "weight", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "classed")
+    joined = join_groups(sets.select("uid", "doc_id", "key", "n"), final, ["key"], "weight", "uid")
     return joined.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce(F.when(F.col("n") > 0, F.col("n_links")), F.lit(0).cast("long")).alias("n_links"), F.col("n").alias("set_size"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay when one document of each class does: the one with the least id (null is the largest); empty texts all stay."""
+    sets, named = classified(docs, threshold, recall, width, id_col, text_col, True)
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "uid")).alias("r"))
+    stay = least.select(F.col("r.uid").alias("uid")).unionAll(sets.where("n = 0").select("uid"))
+    return sets.select("uid", "row").join(stay, "uid", "left_semi").select("row.*")

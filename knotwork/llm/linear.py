@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from knotwork.llm.common import arrow_map, row_slices, utf8
 from knotwork.llm.words import folded_table, sentence_starts, word_hashes
@@ -46,11 +47,16 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> Sentences:
     return Sentences(both % BUCKETS, both // BUCKETS, row[first], begins[which[first]])
 
 
+#: Bytes of the texts of one class that a fit takes at most, and of one of them.
+SAMPLE_BYTES, LONGEST_EXAMPLE = 16 << 20, 1 << 20
+
+
 def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """Up to ``most`` labelled documents of each class (label, weight, text), by the hash of their ids.
+    """Up to ``most`` labelled documents of each class (label, weight, text), by the hash of their ids, within SAMPLE_BYTES.
 
     ``labels`` and ``most`` bound what is broadcast. ``weight`` restores the
-    classes' shares. A document with contradictory labels counts by the larger.
+    classes' shares. A document with contradictory labels counts by the larger, as
+    do equal texts; of rows that share an id the least text counts.
     """
     one = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     one = one.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi").withColumn("_h", F.xxhash64("_id"))
@@ -61,8 +67,13 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: s
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return docs.limit(0).select(F.lit(0).alias("label"), F.lit(1.0).alias("weight"), F.lit("").alias("text"))
-    joined = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"])
-    return joined.select(F.col("_y").alias("label"), F.col("_w").alias("weight"), F.coalesce(F.col("text"), F.lit("")).alias("text")).dropDuplicates(["text"])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    fit = docs.where(F.octet_length(text) <= LONGEST_EXAMPLE).select(F.col(id_col).alias("_id"), text.alias("text"))
+    each = fit.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max(F.struct("_y", "_w", "_h")).alias("x"), F.min("text").alias("text"))
+    once = each.groupBy("text").agg(F.max("x").alias("x")).select("x._y", "x._w", "x._h", "text")
+    before = F.sum(F.octet_length("text").cast("long")).over(W.partitionBy("_y").orderBy("_h", "text"))  # ``most`` rows a class
+    kept = once.withColumn("_bytes", before).where(F.col("_bytes") <= SAMPLE_BYTES)
+    return kept.select(F.col("_y").alias("label"), F.col("_w").alias("weight"), "text")
 
 
 _FEATURES = "label int, weight double, bucket binary, sentence binary"

@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import arrow_map, sized_batches, written
+from knotwork.llm.common import arrow_map, row_of, sized_batches, with_row, written
 from knotwork.llm.linear import BUCKETS, common_buckets, each_slice, sample_features, sampled
 from knotwork.llm.words import folded_table, plain_table, word_hashes
 
 SAMPLE, EPOCHS, STEPS, CLOSE = 3000, 120, 60, 1e-7
-_RATED = "doc_id long, n_tokens long, posterior array<double>, rate double"
+_RATED = "doc_id long, n_tokens long, posterior array<double>, rate double, missed double"
+_RATED_NAMES = [c.split()[0] for c in _RATED.split(", ")]
 _FOLDED, _PLAIN = folded_table(), plain_table()
 
 
@@ -77,8 +78,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens (words between ASCII white space) and the posterior of each domain."""
+def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], rows: bool = False) -> DataFrame:
+    """doc_id, n_tokens (words between ASCII white space) and the posterior of each domain; with ``rows`` also each ``row``."""
     weights, bias = model[0].astype(np.float32), model[1]
     n_domains = len(bias)
 
@@ -96,9 +97,11 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
                     z[i:j, k] = np.bincount(row, weights[bucket, k], j - i) / np.sqrt(count)
             p = softmax(z + bias)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_domains + 1, n_domains, dtype=np.int32)), pa.array(p.reshape(-1)))
-            yield pa.record_batch([batch.column(0), pa.array(tokens), flat], names=["doc_id", "n_tokens", "posterior"])
+            more = {"row": batch.column(2)} if rows else {}
+            yield pa.record_batch([batch.column(0), pa.array(tokens), flat, *more.values()], names=["doc_id", "n_tokens", "posterior", *more])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), predict, "doc_id long, n_tokens long, posterior array<double>")
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([row_of(docs)] if rows else []))
+    return arrow_map(given, predict, with_row("doc_id long, n_tokens long, posterior array<double>", docs, rows))
 
 
 def replayed(p: np.ndarray, n: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
@@ -161,18 +164,22 @@ def fit_rates(known: DataFrame, targets: list[float], least: float = 0.0, budget
     return done, want, now
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], label: str = "quality", least: float = 0.0, budget: float | None = None, row_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, posterior, rate. ``targets``: share of expected tokens of each value 0, 1, ... of ``label``.
+def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], label: str = "quality", least: float = 0.0, budget: float | None = None, rows: bool = False) -> DataFrame:
+    """doc_id, n_tokens, posterior, rate, missed. ``targets``: share of expected tokens of each value 0, 1, ... of ``label``.
 
-    Labels are found by ``doc_id``; the ``doc_id`` given back is what ``row_id`` holds.
+    ``missed`` tells, on every row, by what share of all tokens the totals reached
+    differ from their targets: about 0, unless no nonnegative rates (or none of
+    ``least`` or more) meet them. ``rows``: besides, each document's whole row as a
+    column ``row``.
     """
     spark = docs.sparkSession
     sized_batches(spark)
     n_domains = len(targets)
     examples = labels.select("doc_id", label).where(F.col(label).between(0, n_domains - 1))
     model = fit_domains(sample_features(sampled(docs.select("doc_id", "text"), examples, label, SAMPLE)), n_domains)
-    known = written(posteriors(docs.select(F.col(row_id).alias("doc_id"), "text"), model), "posteriors")
-    steps, _, _ = fit_rates(known, targets, least, budget)
+    known = written(posteriors(docs, model, rows), "posteriors")
+    steps, want, now = fit_rates(known, targets, least, budget)
+    missed = float(np.abs(want - now).sum() / max(want.sum(), 1.0))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +187,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], label: str =
                 continue
             p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_domains)
             r = replayed(p, batch.column(1).to_numpy(zero_copy_only=False).astype(float), steps, least)
-            yield pa.record_batch([*batch.columns, pa.array(r)], names=["doc_id", "n_tokens", "posterior", "rate"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(r), pa.array(np.full(len(r), missed)), *batch.columns[3:]], names=[*_RATED_NAMES, *batch.schema.names[3:]])
 
-    return arrow_map(known, rate, _RATED)
+    return arrow_map(known, rate, with_row(_RATED, docs, rows))

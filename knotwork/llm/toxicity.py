@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import arrow_map, sized_batches
+from knotwork.llm.common import arrow_map, row_of, sized_batches, with_row
 from knotwork.llm.linear import BUCKETS, common_buckets, each_slice, sample_features, sampled, sentences
 
 #: Documents of each class that the fit takes at most; epochs of it, more where they would make fewer steps.
@@ -103,8 +103,11 @@ def sentence_scores(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray, bias
     return s.row, s.byte, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id, score, n_sentences and the offending sentences' byte spans; a scan and one map."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], rows: bool = False) -> DataFrame:
+    """doc_id, score, n_sentences and the offending sentences' byte spans; a scan and one map.
+
+    ``rows``: besides, each document's whole row as a column ``row``.
+    """
     sized_batches(docs.sparkSession)
     weights, bias = model[0].astype(np.float32), model[1]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
@@ -128,4 +131,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                     spans[i + r].append({"start": int(byte[k] - offs[r]), "end": int(end - offs[r]), "score": float(p[k])})
             yield pa.record_batch([batch.column(0), pa.array(-np.expm1(clean)), pa.array(count), pa.array(spans, span)], names=["doc_id", "score", "n_sentences", "offending"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), scored, _SCORED)
+    def scored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for made in scored([batch]):
+                yield pa.record_batch([*made.columns, batch.column(2)], names=[*made.schema.names, "row"])
+
+    texts = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    if rows:
+        return arrow_map(docs.select(*texts, row_of(docs)), scored_rows, with_row(_SCORED, docs))
+    return arrow_map(docs.select(*texts), scored, _SCORED)

@@ -9,7 +9,8 @@ too large is split again on further tokens along its path, unless splitting
 stalls, as it does for large groups of near copies. Buckets are then searched by
 brute force, large ones in pairs of blocks, so no task holds a whole one. Runs
 are repeated until a pair at the threshold is missed with probability 1 - recall
-at most, also where its buckets are split at all levels.
+at most: all sets take the runs that unsplit buckets ask for, and sets that stood
+in a bucket that was split take as many more as the deepest split asks for.
 
 A pair that meets in several buckets belongs to the least of them. Brute force
 first compares 32-bin sketches and passes on only the sets with a plausible
@@ -42,11 +43,11 @@ from knotwork.llm.words import mix, plain_table, shingles, word_hashes
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Sets in a bucket that is searched whole; levels of splitting; share of a bucket at which splitting stalls.
-SMALL, LEVELS, STALL = 512, 5, 0.7
+SMALL, LEVELS, STALL = 4096, 5, 0.7
 #: Sets in a block of a large bucket; bins of a sketch and the agreement that makes a partner plausible.
 BLOCK, BINS, PLAUSIBLE = 4096, 32, 0.5
 _TILE, _COLUMNS = 1024, 8192
-_SETS = "uid long, doc_id long, key binary, n long, paths array<long>, sketch binary, tokens binary"
+_SETS = "uid long, doc_id long, key binary, n long, paths array<long>, later array<array<long>>, sketch binary, tokens binary"
 _U = np.uint64
 
 
@@ -87,13 +88,20 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 
 def token_sets(docs: DataFrame, threshold: float, recall: float, width: int, id_col: str, text_col: str, rows: bool) -> DataFrame:
+    first = runs_needed(threshold, recall)
     runs = mix(np.arange(1, runs_needed(threshold, recall, LEVELS) + 1, dtype=_U))
     table = plain_table()
+    names = [c.split()[0] for c in _SETS.split(", ")]
+
+    def lists(values: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate(values) if values else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)), pa.array(flat, pa.int64()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            cols = [[] for _ in range(6)]
+            uids, keys, sizes, sketches, raws = [], [], [], [], []
+            by_run = [[] for _ in runs]
             for buf, offs, i, j in each_slice(batch.column(1)):
                 h, _, row = word_hashes(buf, offs, table)
                 s, row = shingles(h, row, j - i, width)
@@ -103,20 +111,24 @@ def token_sets(docs: DataFrame, threshold: float, recall: float, width: int, id_
                 ends = np.searchsorted(row, np.arange(j - i + 1))
                 size = np.diff(ends)
                 limit = limits(size, threshold)[row]
-                picked = [np.flatnonzero(chosen(s, r, limit)) for r in runs]
-                at = np.concatenate(picked)
-                path = np.concatenate([next_path(s[p], r) for p, r in zip(picked, runs, strict=True)])
-                order = np.argsort(row[at], kind="stable")
-                path, cuts = path[order].view(np.int64), np.searchsorted(row[at][order], np.arange(j - i + 1))
+                for own, r in zip(by_run, runs, strict=True):
+                    at = np.flatnonzero(chosen(s, r, limit))
+                    path = next_path(s[at], r).view(np.int64)
+                    cuts = np.searchsorted(row[at], np.arange(j - i + 1))
+                    own += [path[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
                 for k in range(j - i):
                     own = s[ends[k] : ends[k + 1]]
                     raw = own.tobytes()
-                    for c, v in zip(cols, (uid, hashlib.blake2b(raw, digest_size=16).digest(), len(own), np.unique(path[cuts[k] : cuts[k + 1]]), sketch(own), raw), strict=True):
+                    for c, v in zip((uids, keys, sizes, sketches, raws), (uid, hashlib.blake2b(raw, digest_size=16).digest(), len(own), sketch(own), raw), strict=True):
                         c.append(v)
                     uid += 1
-            arrays = [pa.array(cols[0], pa.int64()), batch.column(0), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())]
+            n = len(uids)
+            paths = lists([np.unique(np.concatenate([own[k] for own in by_run[:first]])) for k in range(n)])
+            inner = lists([own[k] for k in range(n) for own in by_run[first:]])
+            later = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (len(runs) - first)), inner)
+            arrays = [pa.array(uids, pa.int64()), batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), paths, later, pa.array(sketches, pa.binary()), pa.array(raws, pa.binary())]
             more = {"row": batch.column(2)} if rows else {}
-            yield pa.record_batch([*arrays, *more.values()], names=[*(c.split()[0] for c in _SETS.split(", ")), *more])
+            yield pa.record_batch([*arrays, *more.values()], names=[*names, *more])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([row_of(docs)] if rows else []))
     return arrow_map(given, make, with_row(_SETS, docs, rows))
@@ -142,24 +154,41 @@ def split_further(big: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return arrow_map(rows, step, "path long, uid long, parent long, above long")
 
 
-def buckets(classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(path, uid, size) of the buckets at which splitting ended, of two sets at least."""
-    now, ended = classes.select(F.explode("paths").alias("path"), "uid"), None
+def buckets(now: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, int]:
+    """From (path, uid): (path, uid, size) of the buckets at which splitting ended, of two sets at least; uid of sets in split buckets; the deepest level."""
+    ended, split = None, None
     for level in range(1, LEVELS + 1):
         sizes = now.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         met = written(now.join(sizes, "path"), "buckets")
         large = met.where(F.col("size") > SMALL)
         if level == LEVELS or large.isEmpty():
             part = met.select("path", "uid", "size")
-            return part if ended is None else ended.unionByName(part)
+            return part if ended is None else ended.unionByName(part), split, level
         children = written(split_further(large.select("path", "uid", "size"), sets, threshold), "split")
         stalled = children.groupBy("path", "parent", "above").count().where(F.col("count") >= STALL * F.col("above")).select(F.col("parent").alias("path")).distinct()
         part = met.where(F.col("size") <= SMALL).select("path", "uid", "size").unionByName(large.join(stalled, "path", "left_semi").select("path", "uid", "size"))
         ended = part if ended is None else ended.unionByName(part)
+        opened = large.join(stalled, "path", "left_anti").select("uid").distinct()
+        split = opened if split is None else split.unionByName(opened)
         now = children.join(stalled.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "uid")
     raise AssertionError("the last level returns")
 
 
+def all_buckets(classes: DataFrame, sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(path, uid, size) of all runs; runs go on for sets in split buckets until the recall is reached."""
+    done = runs_needed(threshold, recall)
+    own = sets.join(classes.select("uid"), "uid", "left_semi")
+    ended, split, depth = buckets(own.select(F.explode("paths").alias("path"), "uid"), sets, threshold)
+    first = done
+    while split is not None and (needed := runs_needed(threshold, recall, depth)) > done:
+        split = written(split.distinct(), "again")
+        paths = F.array_distinct(F.flatten(F.slice("later", done - first + 1, needed - done)))
+        more, again, deepest = buckets(sets.select("uid", "later").join(split, "uid", "left_semi").select(F.explode(paths).alias("path"), "uid"), sets, threshold)
+        ended, done, depth = ended.unionByName(more), needed, max(depth, deepest)
+        split = split if again is None else split.unionByName(again)
+    return ended.distinct()
+
+
 def common_bucket(own: list[np.ndarray], path: int) -> np.ndarray | None:
     """Matrix rows that mark in which earlier buckets each set stands; only buckets of several sets."""
     flat = np.concatenate(own) if own else np.empty(0, np.int64)
@@ -175,8 +204,13 @@ def common_bucket(own: list[np.ndarray], path: int) -> np.ndarray | None:
     return out
 
 
-def owned(a: np.ndarray | None, rows: slice, cols: slice) -> np.ndarray | bool:
-    return True if a is None else (a[rows] @ a[cols].T) == 0
+def owned(ok: np.ndarray, a: np.ndarray | None, rows: slice, cols: slice) -> None:
+    """Take from ``ok`` the pairs of a tile that meet in an earlier bucket, too; only rows and columns with a pair are looked at."""
+    if a is None:
+        return
+    r, c = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    if len(r):
+        ok[np.ix_(r, c)] &= (a[rows][r] @ a[cols][c].T) == 0
 
 
 def tile_slices(side: np.ndarray, pair: bool) -> Iterator[tuple[slice, slice, bool]]:
@@ -202,9 +236,10 @@ def plausible_rows(sk: np.ndarray, own: list[np.ndarray], path: int, side: np.nd
             x, y = sk[a, k][:, None], sk[b, k]
             used += (x != 65535) | (y != 65535)
             same += (x == y) & (x != 65535)
-        ok = (same >= PLAUSIBLE * used) & owned(earlier, a, b)
+        ok = same >= PLAUSIBLE * used
         if diagonal:
             np.fill_diagonal(ok, False)
+        owned(ok, earlier, a, b)
         keep[a] |= ok.any(1)
         keep[b] |= ok.any(0)
     return keep
@@ -240,9 +275,10 @@ def exact_links(tokens: list[np.ndarray], weight: np.ndarray, own: list[np.ndarr
                 y[r[inside] - b.start, k[inside]] = 1
             inter += x @ y.T
         union = size[a][:, None] + size[b] - inter
-        ok = (inter / np.maximum(union, 1) >= threshold) & owned(earlier, a, b)
+        ok = inter / np.maximum(union, 1) >= threshold
         if diagonal:
             np.fill_diagonal(ok, False)
+        owned(ok, earlier, a, b)
         if ok.any():
             links[a] += ok @ weight[b]
             if not diagonal:
@@ -339,8 +375,7 @@ def classified(docs: DataFrame, threshold: float, recall: float, width: int, id_
         sets.where("n > 0").groupBy("key").agg(rep.alias("r"), F.count("*").alias("weight"))
         .select("key", F.col("r.uid").alias("uid"), F.col("r.doc_id").alias("rep"), "weight"), "classes",
     )
-    first = sets.select("uid", "paths", "sketch").join(classes.select("uid"), "uid", "left_semi")
-    ended = written(buckets(first, sets, threshold).distinct(), "ended")
+    ended = written(all_buckets(classes, sets, threshold, recall), "ended")
     own = written(ended.groupBy("uid").agg(F.collect_set("path").alias("own")), "own")
     light = ended.join(own, "uid").join(sets.select("uid", "sketch"), "uid")
     pairs = survivors(blocked(light))

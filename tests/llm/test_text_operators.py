@@ -102,7 +102,7 @@ def brute_similar(rows):
     return out
 
 
-@pytest.mark.parametrize(("small", "block"), [(512, 4096), (4, 3)])
+@pytest.mark.parametrize(("small", "block"), [(4096, 4096), (4, 3)])
 def test_similar_against_brute_force(spark, monkeypatch, small, block):
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)

@@ -1,16 +1,17 @@
 """Graph traversal as frontier joins.
 
-A level joins the frontier with the edge list, keeps what wasn't seen (anti join)
-and writes nothing to the driver but counts. Levels are checkpointed to the
-shared folder, so the lineage of a deep walk stays short.
+A walk writes the edges it may take once to the shared folder. A level joins the
+frontier with them, keeps what wasn't seen (anti join) and brings nothing to the
+driver but counts. Levels are written, too, so the lineage of a deep walk stays
+short. Walks without a depth of their own end when nothing new is reached.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from knotwork.operators.order import numbered
 from knotwork.sources.shared import kept
 
 MAX_DEPTH, MAX_NODES, MAX_SCOPE = 5, 1000, 1000
@@ -31,7 +32,7 @@ def expand(relations: DataFrame, start: DataFrame, depth: int = 2, direction: st
     a level there. ``cap=None`` walks without a bound.
     """
     depth = min(depth, MAX_DEPTH) if cap is not None else depth
-    edges = directed(relations, direction, types)
+    edges = directed(kept(relations.select("id", "from_entity_id", "to_entity_id", "relation_type")), direction, types)
     seen = start.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("first_edge", F.lit(-1).cast("long"))
     frontier = seen.select("id")
     count = seen.count() if cap is not None else 0
@@ -66,7 +67,7 @@ def scanned_relations(relations: DataFrame, reached: DataFrame, depth: int, dire
 def shortest_path(relations: DataFrame, source: int, target: int, depth: int = MAX_DEPTH, direction: str = "both", types: list[str] | None = None) -> DataFrame:
     """(position, id, relation_id) of the path on which each node was first reached by its lowest edge; empty if there is none."""
     spark = relations.sparkSession
-    edges = directed(relations, direction, types)
+    edges = kept(directed(relations, direction, types))
     levels = [spark.createDataFrame([(source, None, None)], "id long, parent long, relation_id long")]
     seen = levels[0].select("id")
     found = source == target
@@ -88,22 +89,24 @@ def shortest_path(relations: DataFrame, source: int, target: int, depth: int = M
     return spark.createDataFrame(path, "position int, id long, relation_id long").orderBy("position")
 
 
-def project_subtree(relations: DataFrame, root: DataFrame, cap: int | None = MAX_SCOPE, depth: int = 50) -> DataFrame:
-    """(id, depth) below ``root`` down ``part_of``, the root included; children come by id and the cap cuts there."""
-    seen = root.select("id").withColumn("depth", F.lit(0))
-    frontier, count = seen.select("id"), 1
-    tree = relations.where(F.col("relation_type") == "part_of").select(F.col("to_entity_id").alias("parent"), F.col("from_entity_id").alias("id"))
-    for level in range(1, depth + 1):
+def project_subtree(relations: DataFrame, root: DataFrame, cap: int | None = MAX_SCOPE) -> DataFrame:
+    """(id, depth) below ``root`` down ``part_of``, the root included, however deep; children come by id and the cap cuts there."""
+    seen = root.select("id").distinct().withColumn("depth", F.lit(0))
+    frontier, count, level = seen.select("id"), seen.count() if cap is not None else 0, 0
+    tree = kept(relations.where(F.col("relation_type") == "part_of").select(F.col("to_entity_id").alias("parent"), F.col("from_entity_id").alias("id")))
+    while True:
+        level += 1
         new = tree.join(frontier.withColumnRenamed("id", "parent"), "parent").select("id").distinct().join(seen.select("id"), "id", "left_anti")
         if cap is not None:
             new = new.orderBy("id").limit(max(0, cap - count))
         new = kept(new.withColumn("depth", F.lit(level)))
         n = new.count()
         if not n:
-            break
+            return seen
         count += n
         seen, frontier = seen.unionAll(new), new.select("id")
-    return seen
+        if level % 16 == 0:  # a deep tree's union of levels stays short
+            seen = kept(seen)
 
 
 def first_parents(relations: DataFrame) -> DataFrame:
@@ -111,21 +114,24 @@ def first_parents(relations: DataFrame) -> DataFrame:
     return relations.where(F.col("relation_type") == "part_of").groupBy(F.col("from_entity_id").alias("id")).agg(F.min("to_entity_id").alias("parent"))
 
 
-def ancestor_projects(entities: DataFrame, relations: DataFrame, depth: int = 20) -> DataFrame:
-    """(id, project_id) of each entity that reaches a Project by first parents; a Project is its own."""
-    kind = entities.select("id", (F.col("entity_type") == "Project").alias("is_project"))
-    up = first_parents(relations).withColumnRenamed("id", "at")
-    now = kind.select("id", F.col("id").alias("at"), "is_project")
-    done = now.where("is_project").select("id", F.col("at").alias("project_id"))
-    now = now.where(~F.col("is_project")).select("id", "at")
-    for _ in range(depth):
-        moved = now.join(up, "at").select("id", F.col("parent").alias("at")).where(F.col("at") != F.col("id"))
-        moved = kept(moved.join(kind.withColumnRenamed("id", "at"), "at"))
-        done = done.unionAll(moved.where("is_project").select("id", F.col("at").alias("project_id")))
-        now = moved.where(~F.col("is_project")).select("id", "at")
-        if now.isEmpty():
+def ancestor_projects(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, project_id) of each entity that reaches a Project by first parents; a Project is its own.
+
+    Steps double: a round joins where each node has got to with where that node has
+    got to, so a chain of n parents takes about log2(n) rounds. Loops never end at
+    a Project; the number of rounds that the longest chain could take ends them.
+    """
+    projects = entities.where(F.col("entity_type") == "Project").select("id")
+    up = first_parents(relations).join(projects, "id", "left_anti").join(entities.select("id"), "id", "left_semi")
+    own = projects.withColumnRenamed("id", "at").withColumn("done", F.lit(True))
+    now = kept(up.withColumnRenamed("parent", "at").where(F.col("id") != F.col("at")).join(own, "at", "left").select("id", "at", F.coalesce("done", F.lit(False)).alias("done")))
+    for _ in range(now.count().bit_length() + 1):
+        left = now.where(~F.col("done"))
+        if left.isEmpty():
             break
-    return done
+        step = now.select(F.col("id").alias("at"), F.col("at").alias("then"), F.col("done").alias("arrived"))
+        now = kept(now.where("done").unionAll(left.select("id", "at").join(step, "at").select("id", "then", "arrived")))
+    return projects.select("id", F.col("id").alias("project_id")).unionAll(now.where("done").select("id", F.col("at").alias("project_id")))
 
 
 def descendants(relations: DataFrame, roots: DataFrame) -> DataFrame:
@@ -182,9 +188,9 @@ def export_paths(entities: DataFrame, relations: DataFrame, roots: DataFrame, de
     Children come by ``part_of`` and ``depends_on`` backwards, then by other edges
     forwards; a path never meets a node twice; a nested Project is a leaf.
     """
-    down = relations.where(F.col("relation_type").isin("part_of", "depends_on")).select(F.col("to_entity_id").alias("a"), F.col("from_entity_id").alias("b"), "relation_type", F.lit("incoming").alias("direction"))
-    side = relations.where(~F.col("relation_type").isin("part_of", "depends_on")).select(F.col("from_entity_id").alias("a"), F.col("to_entity_id").alias("b"), "relation_type", F.lit("outgoing").alias("direction"))
-    edges = down.unionAll(side).dropDuplicates(["a", "b", "direction"])
+    down = relations.where(F.col("relation_type").isin("part_of", "depends_on")).select(F.col("to_entity_id").alias("a"), F.col("from_entity_id").alias("b"), "relation_type", F.lit("incoming").alias("direction"), F.col("id").alias("_edge"))
+    side = relations.where(~F.col("relation_type").isin("part_of", "depends_on")).select(F.col("from_entity_id").alias("a"), F.col("to_entity_id").alias("b"), "relation_type", F.lit("outgoing").alias("direction"), F.col("id").alias("_edge"))
+    edges = kept(down.unionAll(side).groupBy("a", "b", "direction").agg(F.min_by("relation_type", "_edge").alias("relation_type")))
     kind = entities.select(F.col("id").alias("b"), (F.col("entity_type") == "Project").alias("leaf"))
     now = roots.select(F.col("id").alias("root"), F.array("id").alias("path"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("relation_type"), F.lit(None).cast("string").alias("direction"))
     out, open_paths = now, now
@@ -199,17 +205,15 @@ def export_paths(entities: DataFrame, relations: DataFrame, roots: DataFrame, de
 
 
 def walk_order(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(id, part, depth): breadth first from Projects by id, then what no Project reaches (part 1)."""
+    """(id, part, depth, position): breadth first from Projects, ids in order within a level, then what no Project reaches (part 1)."""
     tree = project_subtree(relations, entities.where(F.col("entity_type") == "Project"), cap=None)
     rest = entities.where(F.col("entity_type") != "Project").join(tree, "id", "left_anti")
-    return tree.select("id", F.lit(0).alias("part"), "depth").unionAll(rest.select("id", F.lit(1).alias("part"), F.lit(0).alias("depth")))
+    both = tree.select("id", F.lit(0).alias("part"), "depth").unionAll(rest.select("id", F.lit(1).alias("part"), F.lit(0).alias("depth")))
+    return numbered(both, F.asc("part"), F.asc("depth"), F.asc("id"))
 
 
 def root_nodes(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Projects by name (also nested ones), then other parentless nodes by name."""
+    """(id, name, part, position): Projects by name (also nested ones), then other parentless nodes by name."""
     others = hierarchy_orphans(entities, relations)
-    return entities.where(F.col("entity_type") == "Project").select("id", "name", F.lit(0).alias("part")).unionAll(others.select("id", "name", F.lit(1).alias("part")))
-
-
-def numbered(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(W.orderBy(*order)))
+    both = entities.where(F.col("entity_type") == "Project").select("id", "name", F.lit(0).alias("part")).unionAll(others.select("id", "name", F.lit(1).alias("part")))
+    return numbered(both, F.asc("part"), F.asc("name"), F.asc("id"))

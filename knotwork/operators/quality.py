@@ -29,17 +29,19 @@ def duplicate_relations(relations: DataFrame) -> DataFrame:
 
 
 def reverse_pairs(relations: DataFrame) -> DataFrame:
-    """(keep_id, delete_id) of edges of one type that run both ways."""
-    a, b = relations.alias("a"), relations.alias("b")
-    both = a.join(b, (F.col("a.from_entity_id") == F.col("b.to_entity_id")) & (F.col("a.to_entity_id") == F.col("b.from_entity_id")) & (F.col("a.relation_type") == F.col("b.relation_type")) & (F.col("a.id") < F.col("b.id")))
-    return both.select(F.col("a.id").alias("keep_id"), F.col("b.id").alias("delete_id"), F.col("a.relation_type").alias("relation_type"))
-
-
-def opposite_pairs(relations: DataFrame, key_offset: int, modulus: int) -> DataFrame:
-    """Pairs of ends joined both ways by any types, once a pair: (low, high, n)."""
-    del key_offset, modulus
-    ends = relations.select(F.least("from_entity_id", "to_entity_id").alias("low"), F.greatest("from_entity_id", "to_entity_id").alias("high"), (F.col("from_entity_id") < F.col("to_entity_id")).alias("up"))
-    return ends.groupBy("low", "high").agg(F.max("up").alias("u"), F.min("up").alias("d"), F.count("*").alias("n")).where("u AND NOT d").select("low", "high", "n")
+    """(keep_id, delete_id, relation_type): the first edge each way between two ends, by one type; the lower id stays. One aggregation."""
+    up = F.col("from_entity_id") < F.col("to_entity_id")
+    ends = [F.least("from_entity_id", "to_entity_id").alias("low"), F.greatest("from_entity_id", "to_entity_id").alias("high"), "relation_type"]
+    rows = relations.where(F.col("from_entity_id") != F.col("to_entity_id")).select(*ends, F.when(up, F.col("id")).alias("up"), F.when(~up, F.col("id")).alias("down"))
+    both = rows.groupBy("low", "high", "relation_type").agg(F.min("up").alias("up"), F.min("down").alias("down")).where("up IS NOT NULL AND down IS NOT NULL")
+    return both.select(F.least("up", "down").alias("keep_id"), F.greatest("up", "down").alias("delete_id"), "relation_type")
+
+
+def merge_collisions(relations: DataFrame, single_parent: tuple[str, ...] = ("part_of",)) -> DataFrame:
+    """(from_entity_id, relation_type, keep_id, delete_id): of a child's several parents the one with the lowest edge id stays."""
+    rows = relations.where(F.col("relation_type").isin(*single_parent))
+    first = rows.groupBy("from_entity_id", "relation_type").agg(F.min("id").alias("keep_id"), F.min("to_entity_id").alias("_low"), F.max("to_entity_id").alias("_high")).where("_low <> _high").drop("_low", "_high")
+    return rows.join(first, ["from_entity_id", "relation_type"]).where("id <> keep_id").select("from_entity_id", "relation_type", "keep_id", F.col("id").alias("delete_id"))
 
 
 def multi_parent(relations: DataFrame) -> DataFrame:

@@ -2,35 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knotwork.functions import text as T
 from knotwork.functions import vectors as V
+from knotwork.operators.blocks import containing, nearest_pairs, shared_words
+from knotwork.sources.shared import kept
 
 
-def close_pairs(rows: DataFrame, most: float, same_type: bool = True) -> DataFrame:
-    """(a, b, distance) with a < b under ``most``: an equi-join on the type where one is asked for; norms are computed once."""
-    base = rows.where(V.embedded(F.col("embedding"))).select("id", "entity_type", F.col("embedding").cast("array<double>").alias("v"), V.norm(F.col("embedding")).alias("n"))
-    a = base.select(F.col("id").alias("a"), F.col("entity_type").alias("ta"), F.col("v").alias("va"), F.col("n").alias("na"))
-    b = base.select(F.col("id").alias("b"), F.col("entity_type").alias("tb"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-    on = F.col("a") < F.col("b")
-    joined = a.join(b, (F.col("ta") == F.col("tb")) & on if same_type else on)
-    return joined.select("a", "b", V.cosine_distance(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")).alias("distance")).where(F.col("distance") < most)
+def close_pairs(rows: DataFrame, most: float, each: int, same_type: bool = True) -> DataFrame:
+    """(a, b, distance) with a < b: the ``each`` nearest later entities of each, of its type, under ``most``."""
+    key = F.col("entity_type") if same_type else F.lit("")
+    base = rows.where(V.embedded(F.col("embedding"))).select(key.alias("key"), "id", F.col("embedding").alias("v"))
+    return nearest_pairs(base, most, each).drop("key")
 
 
-def suggest_merges(rows: DataFrame, threshold: float = 0.3, limit: int = 20, suppressed: DataFrame | None = None, high: float = 0.15, same_type: bool = True) -> DataFrame:
-    """Up to three nearest later entities of each, then suppression, then the limit in (a, distance, b) order."""
-    near = close_pairs(rows, threshold, same_type).withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where("_n <= 3").drop("_n")
+def suggest_merges(rows: DataFrame, threshold: float = 0.3, limit: int | None = 20, suppressed: DataFrame | None = None, high: float = 0.15, same_type: bool = True) -> DataFrame:
+    """Up to three nearest later entities of each, then suppression (rows of a, b), then the limit in (a, distance, b) order."""
+    near = close_pairs(rows, threshold, 3, same_type)
     if suppressed is not None:
         near = near.join(suppressed.select("a", "b"), ["a", "b"], "left_anti")
-    return near.withColumn("high_confidence", F.col("distance") < high).orderBy("a", "distance", "b").limit(limit)
+    out = near.withColumn("high_confidence", F.col("distance") < high)
+    return out if limit is None else out.orderBy("a", "distance", "b").limit(limit)
 
 
 def merge_evidence(rows: DataFrame, observations: DataFrame, relations: DataFrame, threshold: float = 0.30, limit: int = 3, close: float = 0.10) -> DataFrame:
     """Scored merge candidates with a survivor and a decision (merge or review)."""
-    near = close_pairs(rows.where(F.col("entity_type") != "Project"), threshold).withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where("_n <= 9").drop("_n")
+    near = close_pairs(rows.where(F.col("entity_type") != "Project"), threshold, 9)
     info = rows.select("id", F.lower("name").alias("name"), F.transform(T.alias_list(F.col("aliases")), F.lower).alias("aliases"))
     a = info.withColumnsRenamed({"id": "a", "name": "name_a", "aliases": "aliases_a"})
     b = info.withColumnsRenamed({"id": "b", "name": "name_b", "aliases": "aliases_b"})
@@ -49,35 +49,44 @@ def merge_evidence(rows: DataFrame, observations: DataFrame, relations: DataFram
     return out.select("a", "b", "distance", "score", survivor.alias("survivor"), F.when((F.col("distance") < close) & (F.col("score") >= 10), "merge").otherwise("review").alias("decision"))
 
 
-def contradictions(observations: DataFrame, near: DataFrame, most: float = 0.35, limit: int = 20) -> DataFrame:
-    """Pairs of active embedded observations of ``near`` entities that are close but differ in polarity.
+def contradictions(observations: DataFrame, relations: DataFrame, ids: DataFrame, most: float = 0.35, limit: int = 20) -> DataFrame:
+    """(entity_id, observation_id_1, observation_id_2, distance, confidence) for each entity of ``ids``.
 
-    Each observation meets its ``limit`` nearest first; polarity is tested after that.
+    Active embedded observations of the entity and its neighbours, close to each
+    other but of opposite polarity. Each observation meets its ``limit`` nearest
+    first; polarity is tested after that; each entity keeps its ``limit`` best pairs.
     """
-    rows = observations.where((F.col("status") == "active") & V.embedded(F.col("embedding"))).join(near.select(F.col("id").alias("memory_entity_id")), "memory_entity_id", "left_semi")
-    base = rows.select("id", T.negative(F.col("content")).alias("neg"), F.col("embedding").cast("array<double>").alias("v"), V.norm(F.col("embedding")).alias("n"))
-    a = base.withColumnsRenamed({"id": "a", "neg": "neg_a", "v": "va", "n": "na"})
-    b = base.withColumnsRenamed({"id": "b", "neg": "neg_b", "v": "vb", "n": "nb"})
-    pairs = a.join(b, F.col("a") != F.col("b")).withColumn("distance", V.cosine_distance(F.col("va"), F.col("vb"), F.col("na"), F.col("nb"))).where(F.col("distance") < most)
-    cut = pairs.withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("_n") <= limit).where("neg_a <> neg_b")
-    one = cut.groupBy(F.least("a", "b").alias("observation_id_1"), F.greatest("a", "b").alias("observation_id_2")).agg(F.min("distance").alias("distance"))
-    confidence = F.round(F.least((1 - F.col("distance")) * 1.1, F.lit(0.99)), 4)
-    return one.select("observation_id_1", "observation_id_2", F.round("distance", 6).alias("distance"), confidence.alias("confidence")).orderBy(F.desc("confidence"), "observation_id_1", "observation_id_2").limit(limit)
+    own = ids.select(F.col("id").alias("key")).distinct()
+    out = relations.select(F.col("from_entity_id").alias("key"), F.col("to_entity_id").alias("memory_entity_id"))
+    near = out.unionAll(out.select(F.col("memory_entity_id").alias("key"), F.col("key").alias("memory_entity_id"))).join(own, "key", "left_semi")
+    near = near.unionAll(own.select("key", F.col("key").alias("memory_entity_id"))).distinct()
+    rows = kept(observations.where((F.col("status") == "active") & V.embedded(F.col("embedding"))).select("memory_entity_id", "id", F.col("embedding").alias("v"), T.negative(F.col("content")).alias("neg")))
+    pairs = nearest_pairs(near.join(rows, "memory_entity_id").select("key", "id", "v"), most, limit, later_only=False)
+    neg = rows.select("id", "neg")
+    pairs = pairs.join(neg.withColumnsRenamed({"id": "a", "neg": "neg_a"}), "a").join(neg.withColumnsRenamed({"id": "b", "neg": "neg_b"}), "b").where("neg_a <> neg_b")
+    one = pairs.groupBy(F.col("key").alias("entity_id"), F.least("a", "b").alias("observation_id_1"), F.greatest("a", "b").alias("observation_id_2")).agg(F.min("distance").alias("distance"))
+    scored = one.withColumn("confidence", F.round(F.least((1 - F.col("distance")) * 1.1, F.lit(0.99)), 4))
+    best = F.row_number().over(W.partitionBy("entity_id").orderBy(F.desc("confidence"), "observation_id_1", "observation_id_2"))
+    return scored.withColumn("_n", best).where(F.col("_n") <= limit).drop("_n").withColumn("distance", F.round("distance", 6))
 
 
 def orphan_matches(orphans: DataFrame, projects: DataFrame, observations: DataFrame, current: int | None = None) -> DataFrame:
     """(id, project_id, score): points of an orphan's words in a project's name or aliases.
 
-    Projects are the small side; the orphan's words are compared once a project.
+    The words are those of its name, type, description and first five active
+    observations. Each distinct word is looked up among the projects once.
     """
     first = observations.where("status = 'active'").withColumn("_n", F.row_number().over(W.partitionBy("memory_entity_id").orderBy("id"))).where("_n <= 5")
-    facts = first.groupBy(F.col("memory_entity_id").alias("id")).agg(F.concat_ws(" ", F.sort_array(F.collect_list("content"))).alias("facts"))
+    facts = first.groupBy(F.col("memory_entity_id").alias("id")).agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda x: x["content"])).alias("facts"))
     words = T.tokens(F.concat_ws(" ", "name", "entity_type", "description", "facts"))
-    own = orphans.join(facts, "id", "left").select("id", F.explode(words).alias("t"))
+    own = kept(orphans.join(facts, "id", "left").select("id", F.explode(words).alias("t")))
     known = projects.select(F.col("id").alias("project_id"), F.lower("name").alias("pn"), T.tokens(F.col("name")).alias("pt"), F.lower(F.coalesce("aliases", F.lit(""))).alias("pa"), T.tokens(F.col("aliases")).alias("at"))
+    needles = own.select(F.col("t").alias("needle")).distinct()
+    texts = known.select(F.col("project_id").alias("text_id"), F.concat_ws("\n", "pn", "pa").alias("text"))
+    met = containing(texts, needles).select(F.col("needle").alias("t"), F.col("text_id").alias("project_id"))
     points = F.when(F.array_contains("pt", F.col("t")), 10).when(F.col("pn").contains(F.col("t")), 5).when(F.array_contains("at", F.col("t")), 8).when(F.col("pa").contains(F.col("t")), 3).otherwise(0)
-    # words that meet no project drop out before any grouping
-    scored = own.join(F.broadcast(known), points > 0).groupBy("id", "project_id").agg(F.sum(points).alias("score"))
+    worth = met.join(known, "project_id").select("t", "project_id", points.cast("long").alias("points")).where("points > 0")
+    scored = own.join(worth, "t").groupBy("id", "project_id").agg(F.sum("points").alias("score"))
     if current is not None:
         bonus = orphans.select("id", F.lit(current).cast("long").alias("project_id"), F.lit(2).cast("long").alias("score"))
         scored = scored.unionByName(bonus).groupBy("id", "project_id").agg(F.sum("score").alias("score"))
@@ -91,44 +100,54 @@ def auto_parents(matches: DataFrame, least: int = 10, margin: int = 3) -> DataFr
     return rows.select("id", "project_id", "score", ((F.col("score") >= least) & (F.col("next").isNull() | (F.col("score") - F.col("next") >= margin))).alias("auto"))
 
 
-def shared_observation_links(observations: DataFrame, entities: DataFrame, least: int = 15) -> DataFrame:
-    """(from_id, to_id, n): pairs of entities, no Projects, that share an active content."""
-    facts = observations.where((F.col("status") == "active") & (F.length("content") >= least)).select(F.col("memory_entity_id").alias("id"), F.md5("content").alias("h")).distinct()
+def shared_observation_links(observations: DataFrame, entities: DataFrame, least: int = 15, each: int = 3) -> DataFrame:
+    """(from_id, to_id): for each entity, no Project, the ``each`` next entities by id that share an active content with it.
+
+    All such links score alike, so these are the ones an entity's proposals can
+    keep. Within a content an entity links to its next ones only: a content that n
+    entities hold gives ``each`` x n rows, not all pairs.
+    """
+    facts = observations.where((F.col("status") == "active") & (F.length("content") >= least)).select(F.col("memory_entity_id").alias("id"), F.sha2("content", 256).alias("h")).distinct()
     facts = facts.join(entities.where("entity_type <> 'Project'").select("id"), "id", "left_semi")
-    a, b = facts.withColumnRenamed("id", "from_id"), facts.withColumnRenamed("id", "to_id")
-    return a.join(b, "h").where("from_id < to_id").groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
+    w = W.partitionBy("h").orderBy("id")
+    later = facts.select(F.col("id").alias("from_id"), F.array(*[F.lead("id", k).over(w) for k in range(1, each + 1)]).alias("later"))
+    links = later.select("from_id", F.explode("later").alias("to_id")).where("to_id IS NOT NULL").distinct()
+    return links.withColumn("_n", F.row_number().over(W.partitionBy("from_id").orderBy("to_id"))).where(F.col("_n") <= each).drop("_n")
 
 
-def issue_solution_links(issues: DataFrame, solutions: DataFrame, least: int = 2) -> DataFrame:
-    """Best issue of each solution by shared words: an equi-join on words, then counts. Both: (id, content)."""
-    mine = lambda df, test: df.where(T.mentions_any(F.col("content"), test)).select("id", F.explode(T.tokens(F.col("content"))).alias("t"))
-    a = mine(solutions, T.SOLUTION).withColumnRenamed("id", "solution_id")
-    b = mine(issues, T.ISSUE).withColumnRenamed("id", "issue_id")
-    pairs = a.join(b, "t").groupBy("solution_id", "issue_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    best = pairs.withColumn("_n", F.row_number().over(W.partitionBy("solution_id").orderBy(F.desc("shared"), "issue_id"))).where("_n = 1")
-    return best.select("solution_id", "issue_id", (F.col("shared") * 3 + 5).alias("score"), (F.col("shared") * 3 + 5 >= 14).alias("high"))
+def issue_solution_links(issues: DataFrame, solutions: DataFrame, least: int = 2, each: int = 3) -> DataFrame:
+    """(solution_id, issue_id, score, high): the ``each`` issues that share most words with each solution. Both: (id, content)."""
+    mine = lambda df, test: df.where(T.mentions_any(F.col("content"), test)).select("id", T.tokens(F.col("content")).alias("words"))
+    best = shared_words(kept(mine(solutions, T.SOLUTION)), kept(mine(issues, T.ISSUE)), least, each)
+    score = F.col("shared") * 3 + 5
+    return best.select(F.col("left_id").alias("solution_id"), F.col("right_id").alias("issue_id"), score.alias("score"), (score >= 14).alias("high"))
 
 
 def dependency_links(observations: DataFrame, entities: DataFrame, least: int = 3) -> DataFrame:
-    """(from_id, to_id): observations with a dependency word that mention another entity's name. Names are the broadcast side only below Spark's own size threshold."""
-    rows = observations.where((F.col("status") == "active") & T.mentions_any(F.col("content"), T.DEPENDENCY)).select(F.col("memory_entity_id").alias("from_id"), F.lower("content").alias("c"))
-    names = entities.where((F.length("name") >= least) & (F.col("entity_type") != "Project")).select(F.col("id").alias("to_id"), F.lower("name").alias("n"))
-    return rows.join(names, F.col("c").contains(F.col("n")) & (F.col("from_id") != F.col("to_id"))).select("from_id", "to_id").distinct()
+    """(from_id, to_id): observations with a dependency word that mention another entity's name or one of its aliases."""
+    rows = observations.where((F.col("status") == "active") & T.mentions_any(F.col("content"), T.DEPENDENCY)).select("id", F.col("memory_entity_id").alias("from_id"), F.lower("content").alias("text"))
+    each = F.array_distinct(F.concat(T.alias_list(F.col("name")), T.alias_list(F.col("aliases"))))
+    names = entities.where(F.col("entity_type") != "Project").select(F.col("id").alias("to_id"), F.explode(each).alias("n")).select("to_id", F.lower("n").alias("needle")).where(F.length("needle") >= least)
+    met = containing(rows.select(F.col("id").alias("text_id"), "text"), names.select("needle")).withColumnRenamed("text_id", "id")
+    found = met.join(rows.select("id", "from_id"), "id").select("needle", "from_id").distinct()
+    return found.join(names, "needle").where("from_id <> to_id").select("from_id", "to_id").distinct()
 
 
-def top_proposals(proposals: DataFrame, relations: DataFrame, limit: int = 3) -> DataFrame:
-    """Proposals (from_id, to_id, relation_type, score) without self-links and existing relations, one a pair and type, best three an entity."""
+def top_proposals(proposals: DataFrame, relations: DataFrame, suppressed: DataFrame | None = None, limit: int = 3) -> DataFrame:
+    """Proposals (from_id, to_id, relation_type, score) without self-links, existing relations and suppressed ones, one a pair and type, best three an entity."""
     there = relations.select(F.col("from_entity_id").alias("from_id"), F.col("to_entity_id").alias("to_id"), "relation_type")
     fresh = proposals.where("from_id <> to_id").join(there, ["from_id", "to_id", "relation_type"], "left_anti")
+    if suppressed is not None:
+        fresh = fresh.join(suppressed.select("from_id", "to_id", "relation_type"), ["from_id", "to_id", "relation_type"], "left_anti")
     one = fresh.groupBy("from_id", "to_id", "relation_type").agg(F.max("score").alias("score"))
     w = W.partitionBy("from_id").orderBy(F.desc("score"), "to_id", "relation_type")
     return one.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
 
-def diverse_evidence(ranked: DataFrame, each: int = 3, all_: int = 20) -> DataFrame:
-    """Rows (memory_entity_id, position, ...) in rank order: at most ``each`` an entity, ``all_`` in all."""
-    w = W.partitionBy("memory_entity_id").orderBy("position")
-    return ranked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).drop("_n").orderBy("position").limit(all_)
+def diverse_evidence(rows: DataFrame, *order: Column, each: int = 3, all_: int = 20) -> DataFrame:
+    """Rows (memory_entity_id, ...) in an order without ties: at most ``each`` an entity, ``all_`` in all."""
+    w = W.partitionBy("memory_entity_id").orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).drop("_n").orderBy(*order).limit(all_)
 
 
 def fresh_contents(incoming: DataFrame, observations: DataFrame) -> DataFrame:

@@ -103,10 +103,10 @@ def picker(entities: DataFrame, text: str, limit: int = 20) -> DataFrame:
 
 
 def within_budget(files: DataFrame, order: str, size: str, most_each: int, most_all: int, most_files: int) -> DataFrame:
-    """Files in order while their sizes add up within a budget."""
-    rows = files.where(F.col(size) <= most_each)
-    w = W.orderBy(order)
-    return rows.withColumn("total", F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.row_number().over(w)).where((F.col("total") <= most_all) & (F.col("n") <= most_files))
+    """The first ``most_files`` files in order, as long as their sizes add up within a budget."""
+    rows = files.where(F.col(size) <= most_each).orderBy(order).limit(most_files)
+    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)  # ``most_files`` rows
+    return rows.withColumn("total", F.sum(size).over(w)).where(F.col("total") <= most_all)
 
 
 def in_order(df: DataFrame, ids: list[int]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knotwork.functions import vectors as V
+from knotwork.sources.shared import kept
 
 #: Rank constant of reciprocal rank fusion, and the distance a vector match must stay under.
 RRF_K, MAX_DISTANCE = 60, 0.85
@@ -19,22 +20,26 @@ FIELDS = [("entity_type", 15.0, 7.5), ("name", 10.0, 5.0), ("aliases", 5.0, 2.5)
 
 
 def text_search(entities: DataFrame, query: str, limit: int | None = 50) -> DataFrame:
-    """id, name, entity_type, score, matched_fields, best first (score, lower type, lower name, id)."""
+    """id, name, entity_type, score, matched_fields, best first (score, lower type, lower name, id).
+
+    Rows without a hit go before anything is split; the lower-cased fields and
+    their words are made once a row.
+    """
     found = list(dict.fromkeys(query.lower().split()))
-    total, hits, fields = F.lit(0.0), F.lit(0), []
-    for field, part, whole in FIELDS:
-        low = F.lower(F.coalesce(F.col(field), F.lit("")))
-        split = F.split(low, r"[\s,|]+")
-        any_hit = F.lit(False)
-        for t in found:
-            total = total + F.when(low.contains(t), part + F.when(F.array_contains(split, t), whole).otherwise(0.0)).otherwise(0.0)
-            any_hit = any_hit | low.contains(t)
-        fields.append(F.when(any_hit, F.lit(field)))
-    for t in found:
-        hits = hits + reduce(Column.__or__, [F.lower(F.coalesce(F.col(f), F.lit(""))).contains(t) for f, _, _ in FIELDS]).cast("int")
+    if not found:
+        found, entities = [""], entities.limit(0)
+    low = {f: F.lower(F.coalesce(F.col(f), F.lit(""))) for f, _, _ in FIELDS}
+    whole = F.concat_ws("\n", *low.values())
+    rows = entities.where(reduce(Column.__or__, [F.contains(whole, F.lit(t)) for t in found]))
+    rows = rows.select("id", "name", "entity_type", *[c.alias(f"_{f}") for f, c in low.items()])
+    rows = rows.select("*", *[F.split(f"_{f}", r"[\s,|]+").alias(f"_w_{f}") for f in low])
+    # (contains, is a word) of each token in each field
+    hit = {(f, t): F.contains(F.col(f"_{f}"), F.lit(t)) for f in low for t in found}
+    total = reduce(Column.__add__, [F.when(hit[f, t], part + F.when(F.array_contains(f"_w_{f}", t), more).otherwise(0.0)).otherwise(0.0) for f, part, more in FIELDS for t in found])
+    hits = reduce(Column.__add__, [reduce(Column.__or__, [hit[f, t] for f in low]).cast("int") for t in found])
     bonus = F.when((F.lit(len(query.split())) > 1) & (hits > 1), 3.0 * (hits - 1)).otherwise(0.0)
-    scored = entities.withColumn("score", total + bonus).where(F.col("score") >= 1)
-    out = scored.select("id", "name", "entity_type", "score", F.concat_ws(",", *fields).alias("matched_fields"))
+    fields = F.concat_ws(",", *[F.when(reduce(Column.__or__, [hit[f, t] for t in found]), F.lit(f)) for f in low])
+    out = rows.select("id", "name", "entity_type", (total + bonus).alias("score"), fields.alias("matched_fields"))
     ordered = out.orderBy(F.desc("score"), F.lower("entity_type"), F.lower("name"), "id")
     return ordered if limit is None else ordered.limit(limit)
 
@@ -80,13 +85,12 @@ def structural_boost() -> Column:
 def boosted(scored: DataFrame, entities: DataFrame, relations: DataFrame, query: str, scope: DataFrame | None = None, root_id: int | None = None, floor: float | None = None) -> DataFrame:
     """Apply name, type, structure and context boosts, in that order, to (id, score).
 
-    The few scored ids restrict the degree count before it is aggregated.
+    The scored ids are written once; both ends of an edge are looked up among them
+    in one pass over the relations.
     """
-    ids = scored.select("id")
-    near = relations.join(ids, relations["from_entity_id"] == ids["id"], "left_semi").select(F.col("from_entity_id").alias("id")).unionAll(
-        relations.join(ids, relations["to_entity_id"] == ids["id"], "left_semi").select(F.col("to_entity_id").alias("id"))
-    )
-    counts = near.groupBy("id").agg(F.count("*").alias("degree"))
+    scored = kept(scored)
+    ends = relations.select(F.explode(F.array("from_entity_id", "to_entity_id")).alias("id"))
+    counts = ends.join(scored.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
     rows = scored.join(entities.select("id", "name", "entity_type"), "id").join(counts, "id", "left")
     base = F.col("score") + name_boost(query)
     if floor is not None:

@@ -53,7 +53,7 @@ def _(spark, d):
 
 @query("entity_lookup", _E + "SELECT id, name, entity_type FROM entities WHERE id = 50000000007")
 def _(spark, d):
-    return S.entities(spark, d).where("id = 50000000007").select("id", "name", "entity_type")
+    return S.entity(spark, d, 50_000_000_007).select("id", "name", "entity_type")
 
 
 @query("list_entities_page", _E + "SELECT id, name, entity_type FROM entities ORDER BY id LIMIT 20 OFFSET 40")
@@ -183,7 +183,7 @@ def _(spark, d):
     return G.isolated(g.entities, g.observations, g.relations).select("id", "name")
 
 
-@query("root_nodes", _ER + ", r AS (SELECT id, name, 0 AS part FROM entities WHERE entity_type = 'Project' UNION ALL SELECT id, name, 1 FROM entities WHERE entity_type <> 'Project' AND id NOT IN (SELECT from_entity_id FROM relations WHERE relation_type = 'part_of')) SELECT * FROM r")
+@query("root_nodes", _ER + ", r AS (SELECT id, name, 0 AS part FROM entities WHERE entity_type = 'Project' UNION ALL SELECT id, name, 1 FROM entities WHERE entity_type <> 'Project' AND id NOT IN (SELECT from_entity_id FROM relations WHERE relation_type = 'part_of')) SELECT *, row_number() OVER (ORDER BY part, name, id) AS position FROM r")
 def _(spark, d):
     return G.root_nodes(S.entities(spark, d), S.relations(spark, d))
 
@@ -220,7 +220,7 @@ def _(spark, d):
     return Q.duplicate_relations(S.raw_relations(spark, d))
 
 
-@query("reverse_pairs", _R + "SELECT a.id AS keep_id, b.id AS delete_id, a.relation_type FROM relations a JOIN relations b ON a.from_entity_id = b.to_entity_id AND a.to_entity_id = b.from_entity_id AND a.relation_type = b.relation_type AND a.id < b.id")
+@query("reverse_pairs", _R + "SELECT least(up, down) AS keep_id, greatest(up, down) AS delete_id, relation_type FROM (SELECT relation_type, min(CASE WHEN from_entity_id < to_entity_id THEN id END) AS up, min(CASE WHEN from_entity_id > to_entity_id THEN id END) AS down FROM relations GROUP BY least(from_entity_id, to_entity_id), greatest(from_entity_id, to_entity_id), relation_type) WHERE up IS NOT NULL AND down IS NOT NULL")
 def _(spark, d):
     return Q.reverse_pairs(S.relations(spark, d))
 
@@ -230,6 +230,11 @@ def _(spark, d):
     return Q.multi_parent(S.raw_relations(spark, d))
 
 
+@query("merge_collisions", _RAW + ", p AS (SELECT *, first_value(id) OVER w AS keep_id, min(to_entity_id) OVER (PARTITION BY from_entity_id) AS lo, max(to_entity_id) OVER (PARTITION BY from_entity_id) AS hi FROM raw_relations WHERE relation_type = 'part_of' WINDOW w AS (PARTITION BY from_entity_id ORDER BY id)) SELECT from_entity_id, relation_type, keep_id, id AS delete_id FROM p WHERE lo <> hi AND id <> keep_id")
+def _(spark, d):
+    return Q.merge_collisions(S.raw_relations(spark, d))
+
+
 @query("dangling_relations", _ER + "SELECT id FROM relations WHERE from_entity_id NOT IN (SELECT id FROM entities WHERE id % 10 <> 0) OR to_entity_id NOT IN (SELECT id FROM entities WHERE id % 10 <> 0)")
 def _(spark, d):
     return Q.dangling(S.entities(spark, d).where("id % 10 <> 0"), S.relations(spark, d))
@@ -359,7 +364,7 @@ def _(spark, d):
 
 _BOOST = "CASE WHEN lower(e.name) = '{q}' THEN 0.10 WHEN starts_with(lower(e.name), '{q}') OR starts_with('{q}', lower(e.name)) THEN 0.04 ELSE 0 END"
 _WEIGHT = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in search.TYPE_WEIGHTS.items()) + " ELSE 1.0 END"
-_HYBRID = f"""{_TEXT.replace("red", "red")},
+_HYBRID = f"""{_TEXT},
 tl AS (SELECT * FROM scored WHERE score >= 1 ORDER BY score DESC, lower(entity_type), lower(name), id LIMIT 40),
 tr AS (SELECT id, (1 + score / greatest(max(score) OVER (), 1)) / (60 + row_number() OVER (ORDER BY score DESC, lower(entity_type), lower(name), id)) AS part, 'text' AS source FROM tl),
 o AS (SELECT memory_entity_id AS id, min(1 - list_cosine_similarity(embedding::DOUBLE[], {_Q})) AS distance FROM observations WHERE status = 'active' AND embedding IS NOT NULL GROUP BY 1 ORDER BY 2, 1 LIMIT 40),
@@ -375,11 +380,11 @@ def hybrid(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid_search(g.entities, g.observations, g.relations, "red brand#3 Component", query_vector(spark, d), limit=20)
 
 
-@query("rank_ids_boosted", views("entities", "relations", "degree")[:-1] + f" SELECT e.id, round(greatest({_BOOST.format(q='order#1')}, 0.01) * {_WEIGHT} + CASE WHEN degree > 0 THEN log2(1 + degree) * 0.003 ELSE 0 END + CASE WHEN e.id = 10000000001 THEN 0.04 WHEN e.id < 20000000010 THEN 0.02 ELSE 0 END, 6) AS score FROM entities e LEFT JOIN degree USING (id) WHERE e.id % 10 = 1")
+@query("rank_ids_boosted", views("entities", "relations", "degree")[:-1] + f" SELECT e.id, round(greatest({_BOOST.format(q='order#1')}, 0.01) * {_WEIGHT} + CASE WHEN degree > 0 THEN log2(1 + degree) * 0.003 ELSE 0 END + CASE WHEN e.id = 10000000001 THEN 0.04 WHEN e.id < 20000000010 THEN 0.02 ELSE 0 END, 6) AS score FROM entities e LEFT JOIN degree USING (id)")
 def _(spark, d):
     e, r = S.entities(spark, d), S.relations(spark, d)
     scope = e.where("id < 20000000010").select("id")
-    return search.rank_entity_ids(e.where("id % 10 = 1").select("id"), e, r, "order#1", scope, 10_000_000_001)
+    return search.rank_entity_ids(e.select("id"), e, r, "order#1", scope, 10_000_000_001)
 
 
 @query("subgraph_candidates", views("entities", "observations") + "SELECT id FROM entities WHERE lower(coalesce(name, '')) LIKE '%gizmo%' OR lower(coalesce(entity_type, '')) LIKE '%gizmo%' OR lower(coalesce(aliases, '')) LIKE '%gizmo%' UNION SELECT memory_entity_id FROM observations WHERE status = 'active' AND lower(content) LIKE '%gizmo%'")
@@ -418,9 +423,9 @@ def _(spark, d):
     return R.trust_scores(S.observations(spark, d), S.relations(spark, d), S.NOW).select("id", "trust_score")
 
 
-@query("rank_observations", views("relations", "degree", "observations")[:-1] + f", {_TRUST} SELECT id, trust_score FROM trust WHERE memory_entity_id % 10 = 3 ORDER BY trust_score DESC, coalesce(confidence, 0) DESC, id LIMIT 30")
+@query("rank_observations", views("relations", "degree", "observations")[:-1] + f", {_TRUST} SELECT id, trust_score FROM trust ORDER BY trust_score DESC, coalesce(confidence, 0) DESC, id LIMIT 30")
 def _(spark, d):
-    return R.rank_observations(S.observations(spark, d).where("memory_entity_id % 10 = 3"), S.relations(spark, d), S.NOW, limit=30).select("id", "trust_score")
+    return R.rank_observations(S.observations(spark, d), S.relations(spark, d), S.NOW, limit=30).select("id", "trust_score")
 
 
 @query("rank_observations_by_query", views("relations", "degree", "observations")[:-1] + f""", {_TRUST}, t AS (SELECT *, {_TOK.format(c='content')} AS c, {_TOK.format(c=repr('la que der house'))} AS q, 1 - list_cosine_similarity(embedding::DOUBLE[], {_Q}) AS dist FROM trust),
@@ -436,10 +441,11 @@ def _(spark, d):
     return stats.grouped_evidence(S.observations(spark, d), S.entities(spark, d))
 
 
-@query("append_upsert", _E + "SELECT name, entity_type FROM entities WHERE entity_type IN ('Project', 'Framework') UNION ALL SELECT * FROM (VALUES ('new one', 'Tool')) v(name, entity_type)")
+@query("append_upsert", _E + "SELECT name, entity_type FROM entities UNION ALL SELECT 'event ' || event_id, event_type FROM events WHERE event_id % 2 = 1")
 def _(spark, d):
-    old = S.entities(spark, d).where("entity_type IN ('Project', 'Framework')").select("name", "entity_type")
-    new = old.limit(7).unionAll(spark.createDataFrame([("new one", "Tool")], "name string, entity_type string"))
+    old = S.entities(spark, d).select("name", "entity_type")
+    e = S.table(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Order#"), (F.col("event_id") % 1000).cast("string"))).otherwise(F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("name"), F.col("event_type").alias("entity_type"))
+    new = e.where("name IS NOT NULL")
     return appended(old, new, ["name"])
 
 

@@ -65,7 +65,7 @@ def _(spark, d):
     return stats.types_around_projects(S.entities(spark, d), S.relations(spark, d))
 
 
-@query("walk_order", views("entities", "relations", then="w(id, depth) AS (SELECT id, 0 FROM entities WHERE entity_type = 'Project' UNION SELECT from_entity_id, depth + 1 FROM w JOIN relations ON to_entity_id = w.id AND relation_type = 'part_of')", recursive=True) + ", t AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT id, 0 AS part, depth FROM t UNION ALL SELECT id, 1, 0 FROM entities WHERE entity_type <> 'Project' AND id NOT IN (SELECT id FROM t)")
+@query("walk_order", views("entities", "relations", then="w(id, depth) AS (SELECT id, 0 FROM entities WHERE entity_type = 'Project' UNION SELECT from_entity_id, depth + 1 FROM w JOIN relations ON to_entity_id = w.id AND relation_type = 'part_of')", recursive=True) + ", t AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT *, row_number() OVER (ORDER BY part, depth, id) AS position FROM (SELECT id, 0 AS part, depth FROM t UNION ALL SELECT id, 1, 0 FROM entities WHERE entity_type <> 'Project' AND id NOT IN (SELECT id FROM t))")
 def _(spark, d):
     return G.walk_order(S.entities(spark, d), S.relations(spark, d))
 
@@ -80,17 +80,17 @@ _PAIRS = """v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embe
 pairs AS (SELECT a.id AS a, b.id AS b, 1 - list_cosine_similarity(a.v, b.v) AS distance FROM v a JOIN v b ON a.label = b.label AND a.id < b.id)"""
 
 
-@query("suggest_merges", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS n FROM pairs WHERE distance < 0.75) SELECT a, b, round(distance, 6) AS distance, distance < 0.6 AS high_confidence FROM r WHERE n <= 3 AND NOT (a % 5 = 0 AND b % 3 = 0) ORDER BY a, r.distance, b LIMIT 50")
+@query("suggest_merges", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS n FROM pairs WHERE distance < 0.75) SELECT a, b, round(distance, 6) AS distance, distance < 0.6 AS high_confidence FROM r WHERE n <= 3 AND NOT ((b - a) % 5 = 0 AND b - a <= 50) ORDER BY a, r.distance, b LIMIT 50")
 def _(spark, d):
     v = S.vectors(spark, d)
-    some = v.select("id")
-    suppressed = some.where("id % 5 = 0").select(F.col("id").alias("a")).join(some.where("id % 3 = 0").select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    steps = F.explode(F.sequence(F.lit(5), F.lit(50), F.lit(5)))  # decided pairs: ids that differ by multiples of 5 up to 50
+    suppressed = v.select(F.col("id").alias("a"), steps.alias("step")).select("a", (F.col("a") + F.col("step")).alias("b"))
     return resolve.suggest_merges(v, 0.75, 50, suppressed, 0.6).select("a", "b", F.round("distance", 6).alias("distance"), "high_confidence")
 
 
 @query("top_neighbours", f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS n FROM pairs WHERE distance < 0.85) SELECT a, b, round(distance, 6) AS distance FROM r WHERE n <= 3")
 def _(spark, d):
-    return resolve.suggest_merges(S.vectors(spark, d), 0.85, 2_000_000_000).select("a", "b", F.round("distance", 6).alias("distance"))
+    return resolve.suggest_merges(S.vectors(spark, d), 0.85, None).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query("merge_evidence", f"""WITH {_PAIRS}, e AS (SELECT vec_id AS id, 'v' || vec_id % 50 AS name, 'v' || vec_id % 20 || ', x' AS aliases FROM embeddings),
@@ -99,28 +99,33 @@ facts AS (SELECT DISTINCT doc_id AS id, text FROM documents),
 s AS (SELECT p.a, p.b, distance, (CASE WHEN distance < 0.7 THEN 8 ELSE 4 END + CASE WHEN x.name = y.name THEN 8 WHEN true THEN 5 ELSE 0 END + least(2 * CASE WHEN fa.text = fb.text THEN 1 ELSE 0 END, 6)) AS score
  FROM n9 p JOIN e x ON x.id = a JOIN e y ON y.id = b LEFT JOIN facts fa ON fa.id = a LEFT JOIN facts fb ON fb.id = b WHERE n <= 9),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, distance, b) AS n FROM s WHERE score >= 4)
-SELECT a, b, round(distance, 6) AS distance, score::INT AS score, CASE WHEN (SELECT count(*) FROM facts WHERE id = a) > (SELECT count(*) FROM facts WHERE id = b) THEN a ELSE b END AS survivor, CASE WHEN distance < 0.7 AND score >= 10 THEN 'merge' ELSE 'review' END AS decision FROM r WHERE n <= 3""")
+SELECT a, b, round(distance, 6) AS distance, score::INT AS score, CASE WHEN 10 * greatest(a % 7, 1) * (SELECT count(*) FROM facts WHERE id = a) + (SELECT count(*) FROM events WHERE user_id = a) > 10 * greatest(b % 7, 1) * (SELECT count(*) FROM facts WHERE id = b) + (SELECT count(*) FROM events WHERE user_id = b) THEN a ELSE b END AS survivor, CASE WHEN distance < 0.7 AND score >= 10 THEN 'merge' ELSE 'review' END AS decision FROM r WHERE n <= 3""")
 def _(spark, d):
     v = S.vectors(spark, d).withColumn("aliases", F.concat(F.lit("v"), (F.col("id") % 20).cast("string"), F.lit(", x")))
-    o = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("memory_entity_id"), F.col("text").alias("content"), F.lit("active").alias("status"))
-    none = S.relations(spark, d).where("false")
-    rows = resolve.merge_evidence(v, o, none, 0.85, 3, 0.7)
+    # each vector's entity has its document and so many older facts that all differ by weight
+    copies = F.explode(F.expr("CASE WHEN doc_id % 7 = 0 THEN array(-1) ELSE sequence(0, CAST(doc_id % 7 AS INT) - 1) END"))
+    facts = S.table(spark, d, "documents").select(F.col("doc_id").alias("memory_entity_id"), F.col("text"), copies.alias("k"))
+    o = facts.select(F.col("memory_entity_id").alias("id"), "memory_entity_id", F.when(F.col("k") <= 0, F.col("text")).otherwise(F.concat(F.lit("fact "), (F.col("memory_entity_id") * 10 + F.col("k")).cast("string"))).alias("content"), F.lit("active").alias("status"))
+    edges = S.table(spark, d, "events").select(F.col("user_id").alias("from_entity_id"), F.lit(-1).cast("long").alias("to_entity_id"))
+    rows = resolve.merge_evidence(v, o, edges, 0.85, 3, 0.7)
     return rows.withColumn("distance", F.round("distance", 6))
 
 
 _NEG = " OR ".join(f"list_contains(w, '{m}')" for m in T.NEGATIVE)
 
 
-@query("contradictions", views("observations") + f""", near AS (SELECT id, embedding::DOUBLE[] AS v, string_split_regex(lower(content), '[^a-z0-9_'']+') AS w FROM observations WHERE status = 'active' AND embedding IS NOT NULL AND memory_entity_id % 2 = 0),
-b AS (SELECT id, v, ({_NEG}) AS neg FROM near),
-p AS (SELECT x.id AS a, y.id AS b, 1 - list_cosine_similarity(x.v, y.v) AS distance, x.neg AS na, y.neg AS nb FROM b x JOIN b y ON x.id <> y.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS n FROM p WHERE distance < 0.8),
-k AS (SELECT least(a, b) AS observation_id_1, greatest(a, b) AS observation_id_2, min(distance) AS distance FROM r WHERE n <= 20 AND na <> nb GROUP BY 1, 2)
-SELECT observation_id_1, observation_id_2, round(distance, 6) AS distance, round(least((1 - k.distance) * 1.1, 0.99), 4) AS confidence FROM k ORDER BY 4 DESC, 1, 2 LIMIT 20""")
+@query("contradictions", views("observations", "relations") + f""", g AS (SELECT from_entity_id AS e, to_entity_id AS m FROM relations UNION SELECT to_entity_id, from_entity_id FROM relations UNION SELECT memory_entity_id, memory_entity_id FROM observations),
+o AS (SELECT id, memory_entity_id AS m, embedding::DOUBLE[] AS v, string_split_regex(lower(content), '[^a-z0-9_'']+') AS w FROM observations WHERE status = 'active' AND embedding IS NOT NULL),
+n AS (SELECT e, id, v, ({_NEG}) AS neg FROM g JOIN o USING (m)),
+p AS (SELECT x.e, x.id AS a, y.id AS b, 1 - list_cosine_similarity(x.v, y.v) AS distance, x.neg AS na, y.neg AS nb FROM n x JOIN n y ON x.e = y.e AND x.id <> y.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY e, a ORDER BY distance, b) AS n FROM p WHERE distance < 0.9),
+k AS (SELECT e AS entity_id, least(a, b) AS observation_id_1, greatest(a, b) AS observation_id_2, min(distance) AS distance FROM r WHERE n <= 20 AND na <> nb GROUP BY 1, 2, 3),
+c AS (SELECT *, round(least((1 - k.distance) * 1.1, 0.99), 4) AS confidence FROM k)
+SELECT entity_id, observation_id_1, observation_id_2, round(distance, 6) AS distance, confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, observation_id_1, observation_id_2) AS n FROM c) WHERE n <= 20""")
 def _(spark, d):
-    o = S.observations(spark, d, with_vectors=True)
-    near = o.where("memory_entity_id % 2 = 0").select(F.col("memory_entity_id").alias("id")).distinct()
-    return resolve.contradictions(o, near, 0.8, 20)
+    o, r = S.observations(spark, d, with_vectors=True), S.relations(spark, d)
+    ends = r.select(F.explode(F.array("from_entity_id", "to_entity_id")).alias("id")).unionAll(o.select("memory_entity_id"))
+    return resolve.contradictions(o, r, ends, 0.9, 20)
 
 
 _PLAIN = "regexp_replace(lower({c}), '[^\\p{{L}}\\p{{Nd}}\\s]+', ' ', 'g')"
@@ -128,60 +133,67 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 _TOK = "list_filter(list_distinct(list_filter(string_split_regex(" + _PLAIN + ", '\\s+'), lambda w: length(w) >= 2)), lambda w: NOT list_contains(" + _STOP + ", w))"
 
 
-@query("orphan_project_match", _ER + f""", o AS (SELECT * FROM entities WHERE entity_type = 'Component' AND id % 20 = 3),
-t AS (SELECT id, unnest({_TOK.format(c="concat_ws(' ', name, entity_type, description)")}) AS t FROM o),
+@query("orphan_project_match", views("entities", "observations") + f""", f AS (SELECT memory_entity_id AS id, string_agg(content, ' ' ORDER BY id) AS facts FROM (SELECT *, row_number() OVER (PARTITION BY memory_entity_id ORDER BY id) AS n FROM observations WHERE status = 'active') x(id, memory_entity_id, content, confidence, source, status, valid_from, valid_until, created_at, tag, embedding, obsoleted_at, superseded_by_id, n) WHERE n <= 5 GROUP BY 1),
+o AS (SELECT e.id, {_TOK.format(c="concat_ws(' ', name, entity_type, description, facts)")} AS ts FROM entities e LEFT JOIN f USING (id) WHERE entity_type = 'Component'),
+t AS (SELECT id, unnest(ts) AS t FROM o), u AS (SELECT DISTINCT t FROM t),
 p AS (SELECT id AS project_id, lower(name) AS pn, {_TOK.format(c='name')} AS pt, lower(coalesce(aliases, '')) AS pa, {_TOK.format(c="coalesce(aliases, '')")} AS pat FROM entities WHERE entity_type = 'User'),
-s AS (SELECT t.id, project_id, sum(CASE WHEN list_contains(pt, t) THEN 10 WHEN contains(pn, t) THEN 5 WHEN list_contains(pat, t) THEN 8 WHEN contains(pa, t) THEN 3 ELSE 0 END) AS score FROM t JOIN p ON true GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, project_id) AS n, lead(score) OVER (PARTITION BY id ORDER BY score DESC, project_id) AS next FROM s WHERE score > 0)
+q AS (SELECT t, project_id, CASE WHEN list_contains(pt, t) THEN 10 WHEN contains(pn, t) THEN 5 WHEN list_contains(pat, t) THEN 8 ELSE 3 END AS points FROM u JOIN p ON contains(pn, t) OR contains(pa, t)),
+s AS (SELECT t.id, project_id, sum(points) AS score FROM t JOIN q USING (t) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, project_id) AS n, lead(score) OVER (PARTITION BY id ORDER BY score DESC, project_id) AS next FROM s)
 SELECT id, project_id, score::BIGINT AS score, score >= 10 AND (next IS NULL OR score - next >= 3) AS auto FROM r WHERE n = 1""")
 def _(spark, d):
     e = S.entities(spark, d)
-    orphans, projects = e.where("entity_type = 'Component' AND id % 20 = 3"), e.where("entity_type = 'User'")
-    return resolve.auto_parents(resolve.orphan_matches(orphans, projects, S.observations(spark, d).where("false")))
+    orphans, projects = e.where("entity_type = 'Component'"), e.where("entity_type = 'User'")
+    return resolve.auto_parents(resolve.orphan_matches(orphans, projects, S.observations(spark, d)))
 
 
-@query("shared_observation_links", views("observations", "entities") + "SELECT a.memory_entity_id AS from_id, b.memory_entity_id AS to_id, count(DISTINCT a.content) AS n FROM observations a JOIN observations b ON a.content = b.content AND a.memory_entity_id < b.memory_entity_id WHERE a.status = 'active' AND b.status = 'active' AND length(a.content) >= 15 GROUP BY 1, 2")
+@query("shared_observation_links", views("observations") + ", f AS (SELECT DISTINCT memory_entity_id % 7 AS id, content FROM observations WHERE status = 'active' AND length(content) >= 15), p AS (SELECT DISTINCT a.id AS from_id, b.id AS to_id FROM f a JOIN f b ON a.content = b.content AND a.id < b.id), r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS n FROM p) SELECT from_id, to_id FROM r WHERE n <= 3")
 def _(spark, d):
-    return resolve.shared_observation_links(S.observations(spark, d), S.entities(spark, d))
+    o = S.observations(spark, d).withColumn("memory_entity_id", F.col("memory_entity_id") % 7)
+    e = spark.range(7).select("id", F.lit("Task").alias("entity_type"))
+    return resolve.shared_observation_links(o, e)
 
 
 def _marks(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower(content), '{w}')" for w in words) + ")"
 
 
-@query("issue_solution_links", views("observations") + f""", n AS (SELECT id, content || CASE WHEN id % 3 = 0 THEN ' fix' ELSE ' issue' END AS content FROM observations WHERE id < 300),
+@query("issue_solution_links", views("observations") + f""", n AS (SELECT id, content || CASE WHEN id % 3 = 0 THEN ' fix' ELSE ' issue' END AS content FROM observations),
 a AS (SELECT id AS solution_id, unnest({_TOK.format(c='content')}) AS t FROM n WHERE id % 3 = 0 AND {_marks(T.SOLUTION)}), b AS (SELECT id AS issue_id, unnest({_TOK.format(c='content')}) AS t FROM n WHERE id % 3 <> 0 AND {_marks(T.ISSUE)}),
 p AS (SELECT solution_id, issue_id, count(*) AS shared FROM a JOIN b USING (t) GROUP BY 1, 2 HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY solution_id ORDER BY shared DESC, issue_id) AS n FROM p)
-SELECT solution_id, issue_id, shared * 3 + 5 AS score, shared * 3 + 5 >= 14 AS high FROM r WHERE n = 1""")
+SELECT solution_id, issue_id, shared * 3 + 5 AS score, shared * 3 + 5 >= 14 AS high FROM r WHERE n <= 3""")
 def _(spark, d):
-    o = S.observations(spark, d).where("id < 300").select("id", F.concat("content", F.when(F.col("id") % 3 == 0, " fix").otherwise(" issue")).alias("content"))
+    o = S.observations(spark, d).select("id", F.concat("content", F.when(F.col("id") % 3 == 0, " fix").otherwise(" issue")).alias("content"))
     return resolve.issue_solution_links(o.where("id % 3 <> 0"), o.where("id % 3 = 0"))
 
 
-@query("dependency_links", views("entities") + "SELECT DISTINCT o_orderkey + 60000000000 AS from_id, e.id AS to_id FROM orders JOIN entities e ON e.entity_type = 'Framework' AND contains(lower(o_orderpriority || ' depends on ' || (SELECT n_name FROM nation WHERE n_nationkey = o_orderkey % 25)), lower(e.name)) WHERE o_orderkey % 7 = 0")
+@query("dependency_links", views("entities") + """, n AS (SELECT id AS to_id, unnest(list_distinct(list_filter(list_concat(list_transform(string_split_regex(name, '[,|;]'), lambda x: trim(x)), list_transform(string_split_regex(coalesce(aliases, ''), '[,|;]'), lambda x: trim(x))), lambda x: length(x) >= 3))) AS n FROM entities WHERE entity_type NOT IN ('Project', 'Task', 'User')),
+c AS (SELECT DISTINCT o_orderkey % 500 + 60000000000 AS from_id, lower(o_orderpriority || ' depends on ' || n_name || ' and Brand#' || o_orderkey % 30) AS c FROM orders JOIN nation ON n_nationkey = o_orderkey % 25),
+k AS (SELECT DISTINCT c FROM c), m AS (SELECT DISTINCT lower(n) AS n FROM n), x AS (SELECT c, n FROM k JOIN m ON contains(c, n))
+SELECT DISTINCT from_id, to_id FROM c JOIN x USING (c) JOIN n ON lower(n.n) = x.n""")
 def _(spark, d):
     n = S.table(spark, d, "nation").select("n_nationkey", "n_name")
-    o = S.table(spark, d, "orders").where("o_orderkey % 7 = 0").join(F.broadcast(n), F.col("o_orderkey") % 25 == F.col("n_nationkey"))
-    facts = o.select((F.col("o_orderkey") + 6 * S.KIND).alias("memory_entity_id"), F.concat("o_orderpriority", F.lit(" depends on "), "n_name").alias("content"), F.lit("active").alias("status"))
-    return resolve.dependency_links(facts, S.entities(spark, d).where("entity_type = 'Framework'"))
+    o = S.table(spark, d, "orders").withColumn("n_nationkey", (F.col("o_orderkey") % 25).cast("int")).join(n, "n_nationkey")
+    content = F.concat("o_orderpriority", F.lit(" depends on "), "n_name", F.lit(" and Brand#"), (F.col("o_orderkey") % 30).cast("string"))
+    facts = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 500 + 6 * S.KIND).alias("memory_entity_id"), content.alias("content"), F.lit("active").alias("status"))
+    return resolve.dependency_links(facts, S.entities(spark, d).where("entity_type NOT IN ('Task', 'User')"))
 
 
-@query("top_proposals", _R + ", p AS (SELECT l_partkey + 50000000000 AS from_id, l_suppkey + 40000000000 AS to_id, 'relates_to' AS relation_type, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), f AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.from_entity_id = p.from_id AND r.to_entity_id = p.to_id AND r.relation_type = p.relation_type)), r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY score DESC, to_id) AS n FROM f) SELECT from_id, to_id, relation_type, score FROM r WHERE n <= 3")
+@query("top_proposals", _R + ", p AS (SELECT l_partkey + 50000000000 AS from_id, l_suppkey + 40000000000 AS to_id, 'relates_to' AS relation_type, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2), f AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.from_entity_id = p.from_id AND r.to_entity_id = p.to_id AND r.relation_type = p.relation_type)), r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY score DESC, to_id) AS n FROM f WHERE (from_id + to_id) % 7 <> 0) SELECT from_id, to_id, relation_type, score FROM r WHERE n <= 3")
 def _(spark, d):
     p = S.table(spark, d, "lineitem").select((F.col("l_partkey") + 5 * S.KIND).alias("from_id"), (F.col("l_suppkey") + 4 * S.KIND).alias("to_id"), F.lit("relates_to").alias("relation_type"), F.col("l_quantity").alias("score"))
-    return resolve.top_proposals(p, S.relations(spark, d))
+    return resolve.top_proposals(p, S.relations(spark, d), p.where("(from_id + to_id) % 7 = 0"))
 
 
 @query("evidence_diverse_topk", views("observations") + ", r AS (SELECT id, memory_entity_id, row_number() OVER (ORDER BY coalesce(confidence, 0) DESC, id) AS position FROM observations), k AS (SELECT *, row_number() OVER (PARTITION BY memory_entity_id % 6 ORDER BY position) AS n FROM r) SELECT id, memory_entity_id % 6 AS memory_entity_id FROM k WHERE n <= 3 ORDER BY position LIMIT 20")
 def _(spark, d):
     o = S.observations(spark, d).select("id", (F.col("memory_entity_id") % 6).alias("memory_entity_id"), F.coalesce("confidence", F.lit(0.0)).alias("c"))
-    ranked = G.numbered(o, F.desc("c"), F.asc("id"))
-    return resolve.diverse_evidence(ranked).select("id", "memory_entity_id")
+    return resolve.diverse_evidence(o, F.desc("c"), F.asc("id")).select("id", "memory_entity_id")
 
 
-@query("import_fresh_contents", views("observations") + "SELECT doc_id % 200 + 50000000000 AS memory_entity_id, text AS content FROM documents d WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM observations o WHERE o.status = 'active' AND o.memory_entity_id = d.doc_id % 200 + 50000000000 AND o.content = d.text)")
+@query("import_fresh_contents", views("observations") + "SELECT doc_id % 200 + 50000000000 AS memory_entity_id, text AS content FROM documents d WHERE NOT EXISTS (SELECT 1 FROM observations o WHERE o.status = 'active' AND o.memory_entity_id = d.doc_id % 200 + 50000000000 AND o.content = d.text)")
 def _(spark, d):
-    new = S.table(spark, d, "documents").where("doc_id % 2 = 0").select((F.col("doc_id") % S.SUBJECTS + 5 * S.KIND).alias("memory_entity_id"), F.col("text").alias("content"))
+    new = S.table(spark, d, "documents").select((F.col("doc_id") % S.SUBJECTS + 5 * S.KIND).alias("memory_entity_id"), F.col("text").alias("content"))
     return resolve.fresh_contents(new, S.observations(spark, d))
 
 

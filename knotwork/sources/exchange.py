@@ -39,8 +39,7 @@ def write_lines(entities: DataFrame, observations: DataFrame, relations: DataFra
 def flatten_tree(spark: SparkSession, text: str) -> DataFrame:
     """Rows (node_path, parent_path, depth, name, entity_type, aliases, observations, relation_type) of an export document.
 
-    The depth of a tree has no bound, so one document is walked here; many
-    documents go through ``mapInPandas`` with this function's walk.
+    The depth of a tree has no bound, so the one document is walked here.
     """
     rows, stack = [], [(str(i), None, 0, n) for i, n in enumerate(json.loads(text).get("root_nodes", []))]
     while stack:
@@ -69,7 +68,5 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", most_each: in
 
 def newest_kept(snapshots: DataFrame, keep: int = 10) -> DataFrame:
     """Which snapshots (path, created_at) stay when all but the newest are pruned."""
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.orderBy(F.desc("created_at"), "path"))
-    return snapshots.withColumn("keep", n <= keep)
+    newest = snapshots.orderBy(F.desc("created_at"), "path").limit(keep).select("path", F.lit(True).alias("_kept"))
+    return snapshots.join(F.broadcast(newest), "path", "left").withColumn("keep", F.coalesce("_kept", F.lit(False))).drop("_kept")

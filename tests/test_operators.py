@@ -1,15 +1,18 @@
 """Small named fixtures: search, traversal, ranking, mutation, exchange and edge cases."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
 from knotwork.functions import vectors as V
-from knotwork.operators import graph, mutate, quality, ranking, scan, search
+from knotwork.operators import blocks, graph, mutate, order, quality, ranking, scan, search
 from knotwork.sources import exchange
 from knotwork.sources.views import Graph
+from knotwork.streaming import audit
 
 NOW = "2024-06-01 00:00:00"
 EDGES = "id long, from_entity_id long, to_entity_id long, relation_type string"
@@ -68,6 +71,31 @@ def test_subtree_and_loops(spark, cyclic):
     assert graph.would_cycle(tree, 2, 3) and not graph.would_cycle(tree, 3, 2)
 
 
+def test_walks_have_no_silent_depth(spark):
+    chain = spark.createDataFrame([(k, k + 1, k, "part_of") for k in range(1, 71)], EDGES)
+    entities = spark.createDataFrame([(k, f"n{k}", "Project" if k == 1 else "Task") for k in range(1, 72)], "id long, name string, entity_type string")
+    assert graph.project_subtree(chain, ids(spark, 1), cap=None).agg({"depth": "max"}).first()[0] == 70
+    assert graph.would_cycle(chain, 1, 71) and not graph.would_cycle(chain, 71, 1)
+    up = graph.ancestor_projects(entities, chain)
+    assert up.count() == 71 and {r.project_id for r in up.collect()} == {1}
+    facts = observations(spark, [(1, 71, "x", None, None, "active", None, None), (2, 1, "x", None, None, "active", None, None)])
+    left = mutate.delete_nodes(Graph(entities, facts, chain), ids(spark, 2), cascade=True)
+    assert [r.id for r in left.entities.collect()] == [1] and [r.id for r in left.observations.collect()] == [2] and left.relations.count() == 0
+    assert [(r.id, r.position) for r in graph.walk_order(entities, chain).orderBy("position").collect()] == [(k, k) for k in range(1, 72)]
+
+
+def test_ancestors_of_loops_and_roots(spark):
+    edges = spark.createDataFrame([(1, 2, 3, "part_of"), (2, 3, 2, "part_of"), (3, 4, 5, "part_of"), (4, 6, 1, "part_of"), (5, 7, 6, "part_of"), (6, 8, 8, "part_of"), (7, 9, 99, "part_of")], EDGES)
+    entities = spark.createDataFrame([(k, "Project" if k == 1 else "Task") for k in range(1, 10)], "id long, entity_type string")
+    assert sorted((r.id, r.project_id) for r in graph.ancestor_projects(entities, edges).collect()) == [(1, 1), (6, 1), (7, 1)]
+
+
+def test_truncated_walks_are_told(spark, cyclic):
+    reached = graph.expand(cyclic, ids(spark, A), 5, cap=3)
+    assert graph.truncated(cyclic, reached, 5)
+    assert not graph.truncated(cyclic, graph.expand(cyclic, ids(spark, A), 5), 5)
+
+
 def observations(spark, rows):
     kinds = "id long, memory_entity_id long, content string, confidence double, source string, status string, valid_from timestamp, valid_until timestamp"
     return spark.createDataFrame(rows, kinds)
@@ -87,10 +115,10 @@ def test_trust(spark, cyclic):
 
 def test_tokens_polarity_and_aliases(spark):
     row = spark.range(1).select(
-        T.tokens(F.lit("Graph-Mem: the summarization tool")).alias("t"), T.negative(F.lit("Feature X is not enabled")).alias("n"), T.negative(F.lit("Feature X is enabled")).alias("p"),
+        T.tokens(F.lit("Night-Bus: the timetable of a city")).alias("t"), T.negative(F.lit("The lift is not in service")).alias("n"), T.negative(F.lit("The lift is in service")).alias("p"),
         T.alias_list(F.lit(" Brand#20|LARGE0; 0 ,,")).alias("a"), T.alias_list(F.lit(None).cast("string")).alias("none"),
     ).first()
-    assert row.t == ["graph", "mem", "summarization", "tool"] and row.n and not row.p
+    assert row.t == ["night", "bus", "timetable", "city"] and row.n and not row.p
     assert row.a == ["Brand#20", "LARGE0", "0"] and row.none == []
 
 
@@ -142,3 +170,124 @@ def test_pages(spark):
     rows = spark.range(1, 46)
     assert [r.id for r in scan.paged(rows, 3, 20).collect()] == [41, 42, 43, 44, 45]
     assert scan.page_totals(rows, 20).first().total_pages == 3 and scan.page_totals(rows.limit(0), 20).first().total_pages == 1
+
+
+def test_nearest_pairs_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    rows = [(k % 2 if k % 11 else None, k, rng.normal(size=3 if k % 13 else 4).tolist()) for k in range(80)]
+    rows += [(0, 200 + k, [1.0, 2.0, 3.0]) for k in range(5)]
+    for later in (True, False):
+        got = {}
+        for r in sorted(blocks.nearest_pairs(spark.createDataFrame(rows, "key int, id long, v array<double>"), 0.9, 3, later).collect(), key=lambda r: (r.a, round(r.distance, 9), r.b)):
+            got.setdefault((r.key, r.a), []).append(r.b)
+        want = {}
+        for k, i, v in rows:
+            x, near = np.array(v), []
+            for l, j, w in rows:
+                if l == k and len(w) == len(v) and (j > i if later else j != i):
+                    d = 1 - x @ np.array(w) / np.linalg.norm(x) / np.linalg.norm(w)
+                    near += [(round(d, 9), j)] if d < 0.9 else []
+            if near:
+                want[k, i] = [j for _, j in sorted(near)[:3]]
+        assert got == want
+    assert blocks.nearest_pairs(spark.createDataFrame([], "key int, id long, v array<double>"), 1.0, 3).count() == 0
+
+
+def test_shared_words_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "WORD_BLOCK", 6)
+    monkeypatch.setattr(blocks, "COLUMNS", 8)
+    rng = random.Random(4)
+    made = lambda n: [(rng.randrange(n), rng.sample([f"w{k}" for k in range(40)], rng.randrange(12))) for _ in range(n)]
+    left, right = made(20), made(25)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, words array<string>")
+    got = {}
+    for r in sorted(blocks.shared_words(frame(left), frame(right), 2, 3).collect(), key=lambda r: (r.left_id, -r.shared, r.right_id)):
+        got.setdefault(r.left_id, []).append((r.right_id, r.shared))
+    want = {}
+    for i in {i for i, _ in left}:
+        best = {}
+        for k, x in left:
+            for j, y in right:
+                if k == i and len(set(x) & set(y)) >= 2:
+                    best[j] = max(best.get(j, 0), len(set(x) & set(y)))
+        if best:
+            want[i] = sorted(best.items(), key=lambda b: (-b[1], b[0]))[:3]
+    assert got == want
+    assert blocks.shared_words(frame([]), frame(right), 2, 3).count() == 0
+
+
+def test_containing_against_all_pairs(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    texts = [(k, text(rng.randrange(30))) for k in range(60)] + [(60, None), (61, "")]
+    for least in (1, 2, 4):
+        needles = [(text(rng.randrange(least, least + 3)),) for _ in range(40)]
+        got = sorted(map(tuple, blocks.containing(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(needles, "needle string")).collect()))
+        assert got == sorted((n, k) for n in {n for (n,) in needles if n.strip()} for k, t in texts if t and n in t)
+
+
+def test_numbered_over_many_partitions(spark):
+    rows = spark.createDataFrame([(k * 37 % 101, k % 5) for k in range(101)], "id long, g int").repartition(7)
+    got = [(r.position, r.g, r.id) for r in order.numbered(rows, F.desc("g"), F.asc("id")).orderBy("position").collect()]
+    assert [p for p, _, _ in got] == list(range(1, 102)) and [(-g, i) for _, g, i in got] == sorted((-g, i) for _, g, i in got)
+    assert order.numbered(rows.limit(0), F.asc("id")).count() == 0
+
+
+def test_integrity_sweep(spark):
+    entities = spark.createDataFrame([(A,), (B,)], "id long")
+    edges = spark.createDataFrame([(1, A, B, "part_of"), (2, A, B, "part_of"), (3, A, C, "part_of"), (4, B, A, "part_of")], EDGES)
+    facts = observations(spark, [(1, A, "x", None, None, "active", None, None), (2, A, "x", None, None, "active", None, None), (3, A, "x", None, None, "obsolete", None, None)])
+    _, kept_facts, kept_edges = quality.repaired(entities, facts, edges)
+    assert sorted(r.id for r in kept_facts.collect()) == [1, 3] and sorted(r.id for r in kept_edges.collect()) == [1, 4]
+    assert [(r.keep_id, r.delete_id) for r in quality.reverse_pairs(edges).collect()] == [(1, 4)]
+    assert [(r.from_entity_id, r.keep_id, r.delete_id) for r in quality.merge_collisions(edges).orderBy("delete_id").collect()] == [(A, 1, 2), (A, 1, 3)]
+
+
+def test_lines_written_are_read_back(spark, tmp_path):
+    entities = spark.createDataFrame([(1, "one", "Task"), (2, "two", "Tool")], "id long, name string, entity_type string")
+    facts = observations(spark, [(1, 1, "x", None, None, "active", None, None), (2, 1, "y", None, None, "active", None, None)])
+    edges = spark.createDataFrame([(1, 1, 2, "part_of")], EDGES)
+    exchange.write_lines(entities, facts, edges, str(tmp_path / "out"))
+    e, o, r = exchange.read_lines(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, e.collect())) == [("one", "Task"), ("two", "Tool")]
+    assert sorted(map(tuple, o.collect())) == [("one", "x"), ("one", "y")] and [(x.from_name, x.to_name, x.relation_type) for x in r.collect()] == [("one", "two", "part_of")]
+
+
+def test_trees_files_and_snapshots(spark, tmp_path):
+    tree = {"root_nodes": [{"name": "p", "entity_type": "Project", "observations": ["o", {"content": "q"}], "children": [{"name": "c", "relation_type": "part_of", "children": [{"name": "d"}]}]}]}
+    rows = exchange.flatten_tree(spark, json.dumps(tree)).orderBy("node_path").collect()
+    assert [(r.node_path, r.parent_path, r.depth, r.name) for r in rows] == [("0", None, 0, "p"), ("0.children.0", "0", 1, "c"), ("0.children.0.children.0", "0.children.0", 2, "d")]
+    assert rows[0].observations == ["o", "q"]
+    for name, data in (("a.txt", b"hello"), ("b.txt", b"\0bin"), ("c.txt", b"x" * 20), ("d.txt", b"yy")):
+        (tmp_path / name).write_bytes(data)
+    files = exchange.read_files(spark, str(tmp_path), "*.txt", most_each=10, most_all=7, most_files=5).collect()
+    assert sorted(f.content for f in files) == ["hello", "yy"]
+    shots = spark.createDataFrame([(f"s{k}", k) for k in range(5)], "path string, created_at int")
+    assert sorted(r.path for r in exchange.newest_kept(shots, 2).where("keep").collect()) == ["s3", "s4"]
+
+
+def test_change_stream(spark, tmp_path):
+    source, log = str(tmp_path / "source"), str(tmp_path / "log")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(source)
+    events = audit.read_events(spark, source).where("true")
+    assert events.isStreaming
+    events = spark.readStream.schema(audit.EVENTS).parquet(source)
+    audit.append_changes(events, log, str(tmp_path / "mark")).awaitTermination()
+    audit.append_changes(events, log, str(tmp_path / "mark")).awaitTermination()  # nothing twice
+    assert spark.read.parquet(log).count() == spark.read.parquet(source).count()
+    counted = audit.action_counts(spark.readStream.schema(audit.EVENTS).parquet(source))
+    query = counted.writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "mark2")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, audit.action_counts(spark.read.parquet(source)).collect()))
+
+
+def test_small_text_and_vector_helpers(spark):
+    row = spark.range(1).select(
+        T.squish(F.lit("  a \n b ")).alias("squish"), T.snake_case(F.lit("HTMLPageView2Go")).alias("snake"), F.rlike(F.lit("see the Night  bus!"), T.phrase_pattern(F.lit("night-bus"))).alias("hit"),
+        F.rlike(F.lit("nightbus"), T.phrase_pattern(F.lit("night-bus"))).alias("miss"), T.compose_observation_text(F.lit("x"), F.lit("blog"), F.lit(None).cast("string")).alias("text"),
+        V.parsed(F.lit("[0.5, 2]")).alias("v"), V.or_zero(F.lit(None).cast("array<float>"), 2).alias("zero"), V.has_dim(V.literal([1.0, 2.0]), 2).alias("dim"),
+    ).first()
+    assert (row.squish, row.snake, row.hit, row.miss, row.text) == ("a b", "html_page_view2_go", True, False, "x\nSource: blog")
+    assert row.v == [0.5, 2.0] and row.zero == [0.0, 0.0] and row.dim
+    assert [r.id for r in scan.in_order(spark.range(9), [5, 2, 7]).collect()] == [5, 2, 7]

@@ -18,8 +18,13 @@ Common prefixes of neighbours then give each suffix its longest match in a
 smaller document. Matched spans go back to the blocks, where bytes are removed.
 
 An anchor that a third of all blocks hold is one entry a block in the first
-shuffle; in the second, equal segments compress and merge. No task holds more
-than some parts, whose number grows with the input.
+shuffle. In the second, equal segments compress and merge; the segments of a hot
+anchor (in many blocks, or many times in one) are divided: a window that reaches
+far to the right of the anchor goes by the bytes there, another by the bytes to its
+left, so each part of them shares a longer run. No task holds more than some parts,
+whose number grows with the input. Anchors are known by hashes of 48 bits and more
+within a part; a window is taken for another's only if the hashes of their anchors
+collide and all their other bytes are equal.
 
 Defined cases: a null text is empty; an empty or shorter text loses nothing; a
 null doc_id counts as the largest; rows that repeat an id don't remove each
@@ -44,8 +49,10 @@ from knotwork.llm.common import arrow_map, batches_by_key, sized_batches, writte
 LENGTH, K = 50, 24
 #: Bytes of a block (a longer document stands alone), of input to a part, and windows hashed at once.
 BLOCK, PART, SLICE = 4 << 20, 8 << 20, 1 << 16
-#: Symbols of one suffix array; an anchor's strings are never divided.
+#: Symbols at which a suffix array is closed.
 SYMBOLS = 1 << 17
+#: An anchor is hot if it stands in so many blocks, or so many times in one of them.
+HOT_BLOCKS, HOT_SEGMENTS = 256, 512
 LAST_ID = (1 << 63) - 1
 _BLOCKS = "block long, ids array<long>, lens array<long>, text binary"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -337,14 +344,15 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(blocks: DataFrame, parts: int, length: int) -> DataFrame:
-    """(block, part, bits): which of a block's distinct anchors of a part occur in another document."""
+    """(block, part, bits): which of a block's distinct anchors of a part occur in another document, then which are hot."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lens, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own = BlockAnchors(*opened(text, lens), parts, length)
                 low = np.ascontiguousarray(own.distinct, "<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows = [low[a:b].tobytes() + np.packbits(own.several[a:b]).tobytes() for a, b in zip(own.cuts, own.cuts[1:], strict=False)]
+                many = own.sizes >= HOT_SEGMENTS
+                rows = [low[a:b].tobytes() + np.packbits(own.several[a:b]).tobytes() + np.packbits(many[a:b]).tobytes() for a, b in zip(own.cuts, own.cuts[1:], strict=False)]
                 yield pa.record_batch([pa.array(own.parts, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(np.diff(own.cuts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "block", "n", "payload"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,16 +360,20 @@ def shared_anchors(blocks: DataFrame, parts: int, length: int) -> DataFrame:
             n, payload = t.column("n").to_pylist(), t.column("payload").to_pylist()
             cuts = np.concatenate(([0], np.cumsum(n)))
             wide = np.zeros((int(cuts[-1]), 8), np.uint8)
-            flag = np.empty(len(wide), bool)
+            flag, hot = np.empty(len(wide), bool), np.empty(len(wide), bool)
             for a, b, m, raw in zip(cuts, cuts[1:], n, payload, strict=False):
                 data = np.frombuffer(raw, np.uint8)
                 wide[a:b, :6] = data[: 6 * m].reshape(m, 6)
-                flag[a:b] = np.unpackbits(data[6 * m :], count=m)
+                flag[a:b] = np.unpackbits(data[6 * m : 6 * m + -(-m // 8)], count=m)
+                hot[a:b] = np.unpackbits(data[6 * m + -(-m // 8) :], count=m)
             h = wide.reshape(-1).view("<u8")
             order = np.argsort(h)
             same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
             flag[order[same]] = flag[order[same + 1]] = True
-            rows = [np.packbits(flag[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            heads = np.flatnonzero(np.concatenate(([True], h[order[1:]] != h[order[:-1]])))
+            blocks = np.diff(np.append(heads, len(h)))
+            hot[order] = np.repeat(np.logical_or.reduceat(hot[order], heads) | (blocks >= HOT_BLOCKS), blocks)
+            rows = [np.packbits(flag[a:b]).tobytes() + np.packbits(hot[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.record_batch([t.column("block").combine_chunks(), t.column("part").combine_chunks(), pa.array(rows, pa.binary())], names=["block", "part", "bits"])
 
     rows = arrow_map(blocks.select("block", "lens", "text"), sent, "part int, block long, n int, payload binary")
@@ -378,6 +390,31 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield t.slice(a, b - a).combine_chunks()
 
 
+def divided(buf: np.ndarray, h: np.ndarray, place: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Segments, those of hot anchors cut in two: windows with ``half`` bytes to the right of the anchor go by these, the others by the bytes to its left."""
+    if not hot.any():
+        return h, place, first, left, right, doc
+    half = (length - K) // 2
+    back = length - K - half + 1  # bytes to the left of the anchor that the other windows have at least
+    to_right, to_left = hot & (right >= half), hot & (left >= back)
+
+    def named(rows: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+        near = buf[begin[rows][:, None] + np.arange(size)].astype(_U) + _U(1)
+        weight = run_hashes(np.arange(size + K - 1).astype(np.uint8)) | _U(1)
+        x = h[rows] * _U(_M) + (near * weight[:size]).sum(1, dtype=_U) + _U(size)
+        for _ in range(2):
+            x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+        return x ^ (x >> _U(32))
+
+    right_first = np.maximum(first, place - (back - 1))
+    sides = [
+        (h[~hot], place[~hot], first[~hot], left[~hot], right[~hot], doc[~hot]),
+        (named(to_right, place + K, half), place[to_right], right_first[to_right], (place - right_first)[to_right], right[to_right], doc[to_right]),
+        (named(to_left, place - back, back), place[to_left], first[to_left], left[to_left], np.minimum(right, half - 1)[to_left], doc[to_left]),
+    ]
+    return tuple(np.concatenate(c) for c in zip(*sides, strict=True))
+
+
 def shared_segments(blocks: DataFrame, flags: DataFrame, parts: int, length: int) -> DataFrame:
     """(part, block, payload) of the segments whose anchors are shared."""
 
@@ -387,19 +424,23 @@ def shared_segments(blocks: DataFrame, flags: DataFrame, parts: int, length: int
             for block, ids, lens, text, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buf, offs = opened(text, lens)
                 own = BlockAnchors(buf, offs, parts, length)
-                flag = np.zeros(len(own.distinct), bool)
+                flag, hot = np.zeros(len(own.distinct), bool), np.zeros(len(own.distinct), bool)
                 told = {b["part"]: b["bits"] for b in bits}
                 for p, a, b in zip(own.parts.tolist(), own.cuts, own.cuts[1:], strict=False):
                     if p in told:
-                        flag[a:b] = np.unpackbits(np.frombuffer(told[p], np.uint8), count=b - a)
+                        both, half = np.frombuffer(told[p], np.uint8), -(-(b - a) // 8)
+                        flag[a:b] = np.unpackbits(both[:half], count=b - a)
+                        hot[a:b] = np.unpackbits(both[half:], count=b - a)
                 keep = own.order[np.repeat(flag, own.sizes)]
-                keep = keep[np.lexsort((own.first[keep], part_of(own.hash[keep], parts)))]
                 if not len(keep):
                     continue
                 key = np.array([LAST_ID if i is None else i for i in ids], np.int64)
                 h, place, first, windows, doc = (x[keep] for x in (own.hash, own.place, own.first, own.windows, own.doc))
                 left, right = place - first, first + windows + length - 1 - place - K
+                h, place, first, left, right, doc = divided(buf, h, place, first, left, right, doc, np.repeat(hot[flag], own.sizes[flag]), length)
                 part = part_of(h, parts)
+                order = np.lexsort((first, part))
+                h, place, first, left, right, doc, part = (x[order] for x in (h, place, first, left, right, doc, part))
                 heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist()
                 rows = []
                 for a, b in zip(heads, [*heads[1:], len(part)], strict=True):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,5 +74,36 @@ def test_removed_bytes_match_brute_force(spark):
         assert sum(r[2] for r in want) > 1000
 
 
+def test_hot_anchors_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK", 4000)
+    monkeypatch.setattr(suffix, "HOT_BLOCKS", 3)
+    monkeypatch.setattr(suffix, "HOT_SEGMENTS", 10)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase = "the one and only common phrase of all"  # shorter than a window, in every document
+    rows = [(d, noise(rng.randrange(60)) + phrase + noise(rng.randrange(60))) for d in range(300)]
+    for d in range(0, 300, 7):  # and some longer matches around it, to each side
+        i, text = rows[d]
+        at = text.index(phrase)
+        a, b = rng.randrange(30), rng.randrange(30)
+        rows[(d * 5 + 1) % 300] = (rng.randrange(400), noise(20) + text[max(0, at - a) : at + len(phrase) + b] + noise(20))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in suffix.remove_repeats(df).collect()), key=str)
+    want = brute(rows)
+    assert got == want and sum(r[2] for r in want) > 500
+
+
+def test_division_keeps_every_window():
+    rng = np.random.default_rng(9)
+    buf = rng.integers(97, 105, 3000).astype(np.uint8)
+    h, place, first, windows, doc = suffix.segments(buf, np.array([0, 1000, 3000]))
+    left, right = place - first, first + windows + 49 - place - suffix.K
+    hot = rng.random(len(h)) < 0.7
+    made = suffix.divided(buf, h, place, first, left, right, doc, hot, 50)
+    starts = lambda place, first, right: sorted(s for p, f, r in zip(place, first, right, strict=True) for s in range(f, p + suffix.K + r - 49))
+    assert starts(made[1], made[2], made[4]) == starts(place, first, right)
+    assert ((made[1] - made[2]) == made[3]).all() and (made[4] >= 0).all()
+
+
 def test_no_rows(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -31,7 +31,7 @@ def op2_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    return quotes.conversations(quotes.link_quotes(table(spark, sf_dir, "conversations")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +105,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-#: Over messages without quote marks; quoted messages are tested on a fixture.
+#: Quoted lines are taken out and passages counted; links are made for messages without quote marks (fixtures test the others).
 _QUOTES = r"""
-WITH m AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, trim(replace(coalesce(text, ''), chr(13), '')) AS body FROM conversations),
+WITH l AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS l FROM conversations),
+q AS (SELECT *, list_transform(l, lambda x: length(regexp_replace(regexp_extract(x, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g'))) AS levels FROM l),
+m AS (SELECT conv_id, turn, role, trim(array_to_string(list_filter(l, lambda x, i: levels[i] = 0), chr(10))) AS body,
+  len(list_filter(range(1, len(l) + 1), lambda i: levels[i] > 0 AND (i = 1 OR levels[i - 1] <> levels[i]))) AS n_passages FROM q),
 t AS (SELECT DISTINCT conv_id, turn FROM m),
-b AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM t)
-SELECT m.conv_id, m.turn, m.role, coalesce(b.previous, -1) AS parent_turn, 0::BIGINT AS n_passages, 0::BIGINT AS n_linked, m.body,
-  '<|' || m.role || '|>' || chr(10) || m.body || chr(10) AS chat
-FROM m JOIN b ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.turn IS NOT DISTINCT FROM b.turn
+b AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM t),
+p AS (SELECT m.*, coalesce(b.previous, -1) AS parent_turn, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) || replace(body, '<|', '< |') || chr(10) AS chat
+  FROM m JOIN b ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.turn IS NOT DISTINCT FROM b.turn),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY parent_turn, turn, role, body) AS position FROM p)
+SELECT conv_id, (position - 1) // 256 AS part, count(*) AS n_messages, sum(n_passages)::BIGINT AS n_passages, 0::BIGINT AS n_linked,
+  string_agg(turn || '<' || parent_turn, ',' ORDER BY position) AS replies, string_agg(chat, '' ORDER BY position) AS text
+FROM n GROUP BY 1, 2
 """
 
 ORACLE_SQL = {"op2_similar": _SIMILAR, "op3_quotes": _QUOTES, "op4_exact_dedup": _EXACT, "op5_neighbours": _NEIGHBOURS}

@@ -9,18 +9,21 @@ stands nowhere as it is belongs to the earlier message that holds most of its li
 if that is more than half (each counted once; of equal messages the later).
 A message replies to the message that its shallowest linked passage comes from
 (whole bodies before lines, then the later turn), or else to the one before it.
-Conversations are given message by message in reply order: (conv_id,
-parent_turn, turn) puts a parent before its replies and replies to one message
-together; quoted lines are gone from ``body``.
+Conversations are built in reply order: (conv_id, parent_turn, turn) puts a parent
+before its replies and replies to one message together; quoted lines are gone, and
+role marks inside bodies are broken up by a blank. A long conversation is given in
+parts of a bounded number of messages.
 
 The first join is a union sorted by (conversation, hash, turn) with a running maximum,
-so a passage quoted a thousand times makes no thousand squared pairs.
+so a passage quoted a thousand times makes no thousand squared pairs. Turns are
+numbered over range partitions, so one conversation may hold a third of all rows.
+Messages are known by 128 bits of hash of all they hold.
 
 Defined cases: a null text is an empty message; a null role counts as ``user``;
 a message without an earlier one has parent_turn -1; a null turn comes first and
 nothing replies to it; rows that repeat (conv_id, turn) are one turn's messages,
-linked each (equal rows alike); a null conv_id is a conversation of its own; other columns are
-ignored.
+linked each (equal rows alike); a null conv_id is a conversation of its own; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knotwork.llm.common import written
+from knotwork.operators.order import numbered
 
 #: Marks kept out of texts before they delimit runs and levels.
 RUN, LEVEL = "\u0001", "\u0002"
+#: Messages of one part of a conversation.
+PART_MESSAGES = 256
 _QUOTE = r"^((?:\s*>)+)"
 
 
@@ -117,9 +123,9 @@ def most_held(left: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, parent_turn, n_passages, n_linked, body, chat."""
+    """One row per message: conv_id, turn, role, parent_turn, position (from 1 in its conversation), n_passages, n_linked, body, chat."""
     # equal rows share their key and their links
-    key = F.xxhash64(F.to_json(F.struct("conv_id", "turn", "role", "body", "passages"), {"ignoreNullFields": "false"}))
+    key = F.md5(F.to_json(F.struct("conv_id", "turn", "role", "body", "passages"), {"ignoreNullFields": "false"}))
     rows = parsed(messages).withColumn("row", key)
     quoting = parsed(messages.where(F.col("text").contains(">"))).where(F.size("passages") > 0).withColumn("row", key)
     asked = quoting.select("conv_id", "turn", "row", F.posexplode("passages").alias("at", "p")).select("conv_id", "turn", "row", "at", F.col("p.level").alias("level"), F.md5(normalised(F.col("p.text"))).alias("hash"), filled(F.col("p.text")).alias("lines"))
@@ -130,7 +136,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     lines = filled(F.col("body"))
     parts = F.array_distinct(F.concat(lines, blocks(F.col("free")), windows(lines, F.col("lengths"))))
     offered = F.concat(F.array(F.struct(F.lit(1).alias("whole"), hashed(F.col("body")).alias("hash"))), F.transform(parts, lambda x: F.struct(F.lit(0).alias("whole"), F.md5(x).alias("hash"))))
-    index = quoted.select("conv_id", "turn", F.explode(offered).alias("o")).select("conv_id", "o.hash", "turn", F.col("o.whole").alias("whole"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("lines"))
+    index = quoted.select("conv_id", "turn", F.explode(offered).alias("o")).select("conv_id", "o.hash", "turn", F.col("o.whole").alias("whole"), F.lit(None).cast("string").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("lines"))
     earlier = W.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     both = index.unionByName(asked.withColumn("whole", F.lit(None).cast("int")))
     found = written(both.withColumn("source", F.max(F.when(F.col("row").isNull(), F.struct(F.col("whole"), F.col("turn")))).over(earlier)).where(F.col("row").isNotNull()), "found")
@@ -139,13 +145,31 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     partly = most_held(left, held).select("row", "at", F.struct(F.lit(0).alias("whole"), "turn").alias("partly"))
     linked = found.join(partly, ["row", "at"], "left").withColumn("source", F.coalesce("source", "partly"))
     best = linked.groupBy("row").agg(F.max(F.when(F.col("source").isNotNull(), F.struct(-F.col("level"), F.col("source.whole"), F.col("source.turn").alias("turn")))).alias("best"), F.count_if(F.col("source").isNotNull()).alias("n_linked"))
-    turns = rows.select("conv_id", "turn").distinct()
-    before = turns.withColumn("previous", F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")))
+    # a turn's previous one stands before it in the order of all turns
+    turns = numbered(rows.select("conv_id", "turn").distinct(), F.asc("conv_id"), F.asc("turn"), name="n")
+    last = turns.select((F.col("n") + 1).alias("n"), F.col("conv_id").alias("_c"), F.col("turn").alias("previous"))
+    before = turns.join(last, "n", "left").withColumn("previous", F.when(F.col("conv_id").eqNullSafe(F.col("_c")), F.col("previous"))).drop("n", "_c")
     joined = rows.join(best, "row", "left").alias("m").join(before.alias("b"), F.col("m.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("m.turn").eqNullSafe(F.col("b.turn")), "left")
-    chat = F.concat(F.lit("<|"), F.col("m.role"), F.lit("|>\n"), F.col("m.body"), F.lit("\n"))
-    return joined.select(
+    plain = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
+    chat = F.concat(F.lit("<|"), plain(F.col("m.role")), F.lit("|>\n"), plain(F.col("m.body")), F.lit("\n"))
+    linked = joined.select(
         F.col("m.conv_id").alias("conv_id"), F.col("m.turn").alias("turn"), F.col("m.role").alias("role"),
         F.coalesce(F.col("best.turn"), F.col("b.previous"), F.lit(-1).cast("long")).alias("parent_turn"),
         F.size("m.passages").cast("long").alias("n_passages"), F.coalesce(F.col("n_linked"), F.lit(0).cast("long")).alias("n_linked"),
         F.col("m.body").alias("body"), chat.alias("chat"),
-    ).orderBy("conv_id", "parent_turn", "turn")
+    )
+    placed = numbered(linked, *[F.asc(c) for c in ("conv_id", "parent_turn", "turn", "role", "body")], name="n")
+    first = placed.groupBy(F.col("conv_id").alias("_c")).agg((F.min("n") - 1).alias("_before"))
+    own = placed.join(first, F.col("conv_id").eqNullSafe(F.col("_c")))
+    return own.select("conv_id", "turn", "role", "parent_turn", (F.col("n") - F.col("_before")).cast("long").alias("position"), "n_passages", "n_linked", "body", "chat")
+
+
+def conversations(linked: DataFrame, most: int = PART_MESSAGES) -> DataFrame:
+    """The linked messages as conversations: conv_id, part (from 0), n_messages, n_passages, n_linked, replies ("turn<parent", in order) and text; a part holds ``most`` messages at most."""
+    part = F.floor((F.col("position") - 1) / most).cast("long").alias("part")
+    reply = F.concat(F.coalesce(F.col("turn").cast("string"), F.lit("")), F.lit("<"), F.col("parent_turn").cast("string"))
+    rows = linked.groupBy("conv_id", part).agg(
+        F.count("*").alias("n_messages"), F.sum("n_passages").alias("n_passages"), F.sum("n_linked").alias("n_linked"),
+        F.array_sort(F.collect_list(F.struct("position", reply.alias("reply"), "chat"))).alias("m"),
+    )
+    return rows.select("conv_id", "part", "n_messages", "n_passages", "n_linked", F.array_join(F.transform("m", lambda x: x["reply"]), ",").alias("replies"), F.array_join(F.transform("m", lambda x: x["chat"]), "").alias("text"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -257,3 +258,92 @@ def test_quotes_of_several_lines_out_of_longer_messages(spark):
     out = sorted(((r.conv_id, r.turn, r.parent_turn, r.n_passages, r.n_linked) for r in got.collect()), key=repr)
     want = [(1, 0, -1, 0, 0), (1, 1, 0, 0, 0), (1, 2, 1, 0, 0), (1, 3, 0, 1, 1), (1, 4, 0, 1, 1), (1, 5, 2, 2, 2), (1, 6, 5, 1, 1), (1, 7, 0, 1, 1), (1, 8, 7, 1, 0), (1, 9, 5, 1, 1), (1, 10, 4, 2, 2), (1, 10, 4, 2, 2), (None, 0, -1, 0, 0), (None, 1, 0, 0, 0), (None, 2, 0, 1, 1)]
     assert out == sorted(want, key=repr)
+
+
+def quoted_brute(rows, most_lines=True):
+    """Per message what the operator's description says, pair by pair: (conv_id, turn, parent_turn, n_passages, n_linked, body)."""
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t.lower()).strip(" ")
+    mark = re.compile(r"(?:\s*>)+", re.ASCII)
+
+    def parsed(text):
+        runs = []
+        for line in (text or "").split("\n"):
+            found = mark.match(line)
+            level = found.group().count(">") if found else 0
+            if level:
+                line = re.sub(r"^ ", "", line[found.end() :])
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(line)
+            else:
+                runs.append((level, [line]))
+        runs = [(n, "\n".join(x)) for n, x in runs]
+        free = [x for n, x in runs if not n]
+        return "\n".join(free).strip(" "), free, [(n, x) for n, x in runs if n]
+
+    lines = lambda t: [x for x in map(norm, t.split("\n")) if x]
+    made = [(c, t, *parsed(x)) for c, t, _, x in rows]
+    out = []
+    for c, t, body, _, passages in made:
+        lengths = {len(lines(x)) for d, *_, p in made if d == c for _, x in p}
+        earlier = [m for m in made if m[0] == c and t is not None and m[1] is not None and m[1] < t and m[2]]
+        links = []
+        for level, text in passages:
+            hits = []
+            for _, s, other, free, _ in earlier:
+                own = lines(other)
+                parts = {norm(x) for r in free for x in [r, *re.split(r"\n[\x20\x09-\x0D]*\n", r)]} - {""} | set(own)
+                parts |= {" ".join(own[i : i + k]) for k in lengths if k > 1 for i in range(len(own) - k + 1)}
+                if norm(text) == norm(other):
+                    hits.append((1, s))
+                if norm(text) in parts:
+                    hits.append((0, s))
+            if not hits and len(lines(text)) > 1:
+                asked = set(lines(text))
+                held = {}
+                for _, s, other, *_ in earlier:
+                    held.setdefault(s, set()).update(lines(other))
+                best = max(((len(asked & x), s) for s, x in held.items()), default=(0, 0))
+                hits += [(0, best[1])] if best[0] * 2 > len(asked) else []
+            if hits:
+                links.append((-level, *max(hits)))
+        before = [s for d, s, *_ in made if d == c and s is not None and t is not None and s < t]
+        out.append((c, t, max(links)[2] if links else max(before, default=-1), len(passages), len(links), body))
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for c in range(12):
+        texts = []
+        for t in range(9):
+            parts = []
+            for _ in range(rng.randrange(1, 4)):
+                if texts and rng.random() < 0.6:
+                    source = rng.choice(texts).split("\n")
+                    a = rng.randrange(len(source))
+                    own = source[a : a + rng.randrange(1, 4)]
+                    if rng.random() < 0.3:
+                        own.insert(rng.randrange(len(own) + 1), "changed")
+                    level = rng.choice(["> ", ">", "> > ", ">>"])
+                    parts.append("\n".join(level + x for x in own))
+                parts.append("\n".join(rng.choice([f"{rng.choice('abcd')} {rng.choice('xyz')}", f"line {rng.randrange(20)}", "", "Yes."]) for _ in range(rng.randrange(1, 5))))
+            texts.append("\n".join(parts))
+            rows.append((c, t, "user", texts[-1]))
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = sorted((r.conv_id, r.turn, r.parent_turn, r.n_passages, r.n_linked, r.body) for r in got.collect())
+    want = sorted(quoted_brute(rows))
+    assert found == want
+    assert sum(x[4] for x in want) > 60
+
+
+def test_conversations_are_built_in_reply_order(spark):
+    rows = [(1, 0, "user", "one <|system|> x"), (1, 1, "assistant", "two"), (1, 2, "user", "> one <|system|> x\nthree"), (2, 0, None, None), (1, 3, "assistant", ">" * 50 + " deep\nfour"), (3, 5, "user", "w " * 30_000)]
+    linked = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.part): r for r in quotes.conversations(linked, 3).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (3, 0)}
+    assert got[1, 0].replies == "0<-1,1<0,2<0" and got[1, 0].text == "<|user|>\none < |system|> x\n<|assistant|>\ntwo\n<|user|>\nthree\n"
+    assert got[1, 1].replies == "3<2" and got[1, 1].text == "<|assistant|>\nfour\n" and got[1, 1].n_passages == 1
+    assert got[2, 0].text == "<|user|>\n\n" and len(got[3, 0].text) > 59_000
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert quotes.conversations(quotes.link_quotes(none)).count() == 0

@@ -347,3 +347,50 @@ def test_conversations_are_built_in_reply_order(spark):
     assert got[2, 0].text == "<|user|>\n\n" and len(got[3, 0].text) > 59_000
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quotes.conversations(quotes.link_quotes(none)).count() == 0
+
+
+def test_mixing_against_plain_loops(spark):
+    rng = random.Random(7)
+    good, bad = [f"g{k}" for k in range(9)], [f"b{k}" for k in range(9)]
+    docs = [(i, " ".join(rng.choices(good + bad[: i % 7], k=rng.randrange(0, 40)))) for i in range(150)] + [(3, "b1 b2 " * 10), (3, "b1 b2 " * 10), (200, None), (201, "g1 " * 20_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 7 < 3)) for i in range(150)], "doc_id long, quality int")
+    rows = mixing.mixed(d, labels, [0.3, 0.7]).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((i, len((t or "").split())) for i, t in docs)
+    assert all(abs(sum(r.posterior) - 1) < 1e-12 and r.missed < 1e-6 for r in rows)
+    # rates are a point at which no projected gradient is left
+    total = [sum(r.posterior[k] * r.n_tokens * r.rate for r in rows) for k in (0, 1)]
+    want = [0.3 * sum(total), 0.7 * sum(total)]
+    for r in rows:
+        gradient = r.n_tokens * sum(p * (w - t) for p, w, t in zip(r.posterior, want, total, strict=True))
+        assert abs(gradient) <= 1e-3 * r.n_tokens * sum(total) or (r.rate == 0 and gradient < 0)
+    same = spark.createDataFrame([(i, "a b c") for i in range(30)], "doc_id long, text string")
+    missed = mixing.mixed(same, labels.where("doc_id < 30"), [0.9, 0.1], least=1.0).collect()
+    assert all(r.missed > 0.05 and r.rate >= 1 for r in missed)  # one mixture of domains cannot become another
+
+
+def test_toxicity_scores_are_the_noisy_or_of_sentences(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"word{k}" for k in range(30)] + ["Zorg", "né", "x1"]
+    weights = rng.normal(size=toxicity.BUCKETS) * 2
+
+    def z(sentence):
+        own = sorted(set(re.findall(r"[^ ,]+", sentence)))
+        features = set()
+        for w in own:
+            s = toxicity.sentences(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+            features |= set(s.bucket.tolist())
+        return sum(weights[b] for b in features) - 3.0
+
+    texts = []
+    for _ in range(40):
+        lines = [" ".join(rng.choice(vocabulary, rng.integers(1, 7))) for _ in range(rng.integers(1, 5))]
+        texts.append("".join(x + rng.choice([". ", "! ", "?\n", "\n"]) for x in lines))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "word1 " * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(frame, (weights, -3.0)).collect()}
+    for i, t in enumerate(texts):
+        clean = 1.0
+        for sentence in filter(None, (x.strip() for x in re.split(r"[.!?\n]+", t))):
+            clean *= 1 - 1 / (1 + np.exp(-z(sentence)))
+        assert abs(got[i] - (1 - clean)) < 1e-4, i
+    assert got[99] == 0 and abs(got[98] - 1 / (1 + np.exp(-z("word1")))) < 1e-4

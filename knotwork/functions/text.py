@@ -79,6 +79,6 @@ def compose_observation_text(content: Column, source: Column, tags: Column) -> C
 
 
 def phrase_pattern(phrase: Column) -> Column:
-    """Case-insensitive pattern that finds a phrase at word bounds, whatever stands between its words."""
-    plain = F.regexp_replace(F.trim(phrase), r"[^A-Za-z0-9]+", "\\\\W+")
-    return F.concat(F.lit(r"(?i)(^|\W)"), plain, F.lit(r"($|\W)"))
+    """Case-insensitive pattern that finds a phrase at word bounds, whatever but word characters stands between its words."""
+    plain = F.regexp_replace(F.trim(phrase), r"([^A-Za-z0-9_\s])", r"\\$1")
+    return F.concat(F.lit(r"(?i)(?:^|\W)"), F.regexp_replace(plain, r"\s+", r"\\W+"), F.lit(r"(?:$|\W)"))

@@ -74,6 +74,12 @@ def counter_drift(entities: DataFrame, observations: DataFrame, column: str = "m
     return rows.where(F.col("stored") != F.col("counted"))
 
 
+def counters_repaired(entities: DataFrame, observations: DataFrame, column: str = "memory_observations_count") -> DataFrame:
+    """Entities with the stored counter set to what is there."""
+    counted = observations.groupBy(F.col("memory_entity_id").alias("id")).agg(F.count("*").alias("_counted"))
+    return entities.join(counted, "id", "left").withColumn(column, F.coalesce("_counted", F.lit(0).cast("long"))).select(*entities.columns)
+
+
 def stale_embeddings(df: DataFrame) -> DataFrame:
     return df.where(F.col("embedding").isNull()).select("id")
 

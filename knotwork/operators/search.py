@@ -150,3 +150,18 @@ def subgraph_candidates(entities: DataFrame, observations: DataFrame, query: str
 
 def page(ordered: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return ordered.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def vector_page(vectors: DataFrame, observations: DataFrame, query: Column, limit: int = 100, most: float = MAX_DISTANCE) -> DataFrame:
+    """(id, position): the nearest entities by their own vectors, then those by their observations' that aren't among them."""
+    own = ranked(vector_search(vectors, query, limit, most=most), F.col("distance"), F.col("id")).select("id", F.lit(0).alias("list"), "rank")
+    seen = observation_search(observations, query, limit).withColumnRenamed("memory_entity_id", "id")
+    seen = ranked(seen, F.col("distance"), F.col("id")).select("id", F.lit(1).alias("list"), "rank")
+    first = own.unionByName(seen).groupBy("id").agg(F.min(F.struct("list", "rank")).alias("place"))
+    return first.select("id", F.row_number().over(W.orderBy("place")).alias("position"))  # 2 x limit rows
+
+
+def in_scope_first(results: DataFrame, scope: DataFrame, *order: Column) -> DataFrame:
+    """(…, in_scope) of an ordered result list: what stands in the scope before the rest."""
+    rows = results.join(scope.select("id").distinct().withColumn("in_scope", F.lit(True)), "id", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
+    return rows.orderBy(F.desc("in_scope"), *order)

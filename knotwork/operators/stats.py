@@ -92,3 +92,25 @@ def child_counts(relations: DataFrame, ids: DataFrame) -> DataFrame:
 def running_progress(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Progress that never falls back."""
     return df.withColumn("progress", F.max(value).over(W.partitionBy(key).orderBy(order, value).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def snapshot(g: Graph, audit: DataFrame) -> DataFrame:
+    """(section, name, value): totals, isolated entities, embedding coverage, the latest change of each kind."""
+    parts = [totals(g, audit).select(F.lit("totals").alias("section"), F.col("metric").alias("name"), F.col("n").cast("double").alias("value"))]
+    parts.append(G.isolated(g.entities, g.observations, g.relations).agg(F.count("*").cast("double").alias("value")).select(F.lit("graph").alias("section"), F.lit("isolated").alias("name"), "value"))
+    if "embedding" in g.observations.columns:
+        covered = embedding_coverage(g.observations)
+        parts += [covered.select(F.lit("embeddings").alias("section"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in ("missing", "percent")]
+    latest = latest_per(audit, "auditable_type", F.desc("created_at"), F.desc("id"))
+    parts.append(latest.select(F.lit("latest").alias("section"), F.col("auditable_type").alias("name"), F.col("id").cast("double").alias("value")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def first_of_each(rows: DataFrame, key: str, most: int, *order) -> DataFrame:
+    """The first ``most`` rows of each key with their position."""
+    return rows.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("position") <= most)
+
+
+def path_counts(entities: DataFrame, relations: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
+    """(root, n): nodes of each root's export tree, counted once a path."""
+    return G.export_paths(entities, relations, roots, depth).groupBy("root").agg(F.count("*").alias("n"))

@@ -31,8 +31,8 @@ _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 #: A blank beside other white space: there a blank isn't just the mark before a word.
 _TANGLED = re.compile(rf" [{_W}]|[{_W}] ")
-#: Entries in one generation of remembered counts.
-REMEMBERED = 300_000
+#: Entries in one generation of remembered counts, and characters of the longest chunk remembered.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 class Remembered:
@@ -104,6 +104,12 @@ class PairMergeCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        model = spec["model"]
+        plain = model["type"] == "BPE" and not model["dropout"] and not model["end_of_word_suffix"] and not model["continuing_subword_prefix"] and not model.get("ignore_merges")
+        if spec["normalizer"] or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or not spec["pre_tokenizer"].get("use_regex", True) or not plain:
+            raise ValueError("counts are made for byte-level pair encodings without a normaliser only")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens that take in what is beside them are not counted")
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
@@ -132,8 +138,9 @@ class PairMergeCounter:
                 n = old.old.get(chunk)
                 if n is None:
                     n = self._by_piece(" " + chunk)
-                old.put(chunk, n)
-                get = old.young.get
+                if len(chunk) <= LONGEST:
+                    old.put(chunk, n)
+                    get = old.young.get
             total += n
         return total
 
@@ -143,7 +150,7 @@ class PairMergeCounter:
             n = self.pieces.get(piece)
             if n is None:
                 n = merges_left(piece.encode(), self.ranks)
-                if len(piece) < 64:
+                if len(piece) <= LONGEST:
                     self.pieces.put(piece, n)
             total += n
         return total

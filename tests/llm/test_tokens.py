@@ -151,3 +151,59 @@ def test_packer_leaves_no_padding(lengths):
     sizes = check_pieces(rows, {i: list(range(n)) for i, n in enumerate(lengths)}, 64)
     assert all(n & (n - 1) == 0 for n in sizes)
     assert sum(n != 64 for n in sizes) <= 6
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_repeated_rows_and_null_ids_are_documents_each(spark, tmp_path):
+    texts = ["one two three", "one two three", None, "", "x y", "x y z " * 3000]
+    rows = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[4]), (8, texts[3]), (9, texts[5])]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, length long, shard string").repartition(3)
+    counts = sorted(((r.doc_id, r.n_tokens) for r in token_count.token_counts(docs, BYTE).collect()), key=repr)
+    assert counts == sorted(((i, len(library(BYTE, t))) for i, t in rows), key=repr)
+    path = str(tmp_path / "store")
+    token_store.write_store(docs, path, WORD)
+    got = token_store.read_store(spark.read.parquet(path)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 7, 7, 8, 9]
+    want = sorted(((i, crc([*library(WORD, t), 1])) for i, t in rows), key=repr)
+    assert sorted(((r.doc_id, r.ids_crc32) for r in got), key=repr) == want
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(6)]
+    pieces = packing.pack_sequences(docs, WORD).collect()
+    held = {}
+    for r in pieces:
+        held[r.doc_id, r.doc_tokens] = held.get((r.doc_id, r.doc_tokens), 0) + r.length
+    sizes = {}
+    for i, t in rows:
+        n = len(library(WORD, t)) + 1
+        sizes[i, n] = sizes.get((i, n), 0) + n
+    assert held == sizes
+    none = docs.limit(0)
+    assert token_count.token_counts(none, BYTE).count() == 0
+
+
+def test_identifiers_of_a_whole_table(spark, tmp_path):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    encoded = {i: e.ids for i, e in zip(rows, library_word.encode_batch([t or "" for t in rows.values()], add_special_tokens=False), strict=True)}
+    path = str(tmp_path / "store")
+    token_store.write_store(table, path, WORD)
+    at = 0
+    for r in token_store.read_store(spark.read.parquet(path)).orderBy("doc_id").collect():
+        ids = [*encoded[r.doc_id], 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    pieces = packing.pack_sequences(table, WORD).collect()
+    check_pieces(pieces, {i: [*ids, 2] for i, ids in encoded.items()})
+    for r in token_count.token_counts(table, BYTE).collect():
+        assert r.n_tokens == len(library_byte.encode(rows[r.doc_id], add_special_tokens=False).ids)
+
+
+def test_another_kind_of_tokenizer_goes_to_the_library_whole():
+    own = ChunkEncoder(BYTE)
+    assert not own.by_chunk
+    for text in ["Hello  world", "a<|endoftext|>b", ""]:
+        assert np.frombuffer(own.encode([text], False)[0], "<u4").tolist() == library_byte.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        token_count.counter(WORD)

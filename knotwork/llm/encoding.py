@@ -24,7 +24,7 @@ import pyarrow as pa
 from knotwork.llm.common import utf8
 
 #: Entries in one generation of remembered chunks, bytes of their identifiers, and characters of the longest chunk remembered.
-REMEMBERED, REMEMBERED_BYTES, LONGEST = 400_000, 32 << 20, 64
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 1 << 18, 32 << 20, 64
 #: New chunks that are cut and encoded at once.
 AT_ONCE = 8192
 

@@ -46,7 +46,7 @@ WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
 SMALL, LEVELS, STALL = 4096, 5, 0.7
 #: Sets in a block of a large bucket; bins of a sketch and the agreement that makes a partner plausible.
 BLOCK, BINS, PLAUSIBLE = 4096, 32, 0.5
-_TILE, _COLUMNS = 1024, 8192
+ROWS_A_TASK, _TILE, _COLUMNS = 1 << 15, 1024, 8192
 _SETS = "uid long, doc_id long, key binary, n long, paths array<long>, later array<array<long>>, sketch binary, tokens binary"
 _U = np.uint64
 
@@ -325,11 +325,12 @@ def blocked(members: DataFrame) -> DataFrame:
     return rows.select("*", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j")).withColumn("side", F.when(F.col("own_block") == F.col("i"), 0).otherwise(1)).drop("own_block", "other", "size")
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    return df.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "side", "uid")
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Small rows, much work: the number of tasks goes by the rows, not by their bytes."""
+    return df.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP, "side", "uid")
 
 
-def survivors(members: DataFrame) -> DataFrame:
+def survivors(members: DataFrame, parts: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, heads, ends in _groups(batches):
             raw, _ = utf8(t.column("sketch"))
@@ -343,10 +344,10 @@ def survivors(members: DataFrame) -> DataFrame:
             kept = t.select([*_GROUP, "side", "uid"]).filter(pa.array(keep))
             yield from kept.to_batches()
 
-    return arrow_map(dealt(members), search, "path long, i int, j int, side int, uid long")
+    return arrow_map(dealt(members, parts), search, "path long, i int, j int, side int, uid long")
 
 
-def links(members: DataFrame, threshold: float) -> DataFrame:
+def links(members: DataFrame, threshold: float, parts: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, heads, ends in _groups(batches):
             raw, offs = utf8(t.column("tokens"))
@@ -363,7 +364,7 @@ def links(members: DataFrame, threshold: float) -> DataFrame:
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["uid", "links", "with"])
 
-    return arrow_map(dealt(members), search, "uid long, links long, with long")
+    return arrow_map(dealt(members, parts), search, "uid long, links long, with long")
 
 
 def classified(docs: DataFrame, threshold: float, recall: float, width: int, id_col: str, text_col: str, rows: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -378,9 +379,10 @@ def classified(docs: DataFrame, threshold: float, recall: float, width: int, id_
     ended = written(all_buckets(classes, sets, threshold, recall), "ended")
     own = written(ended.groupBy("uid").agg(F.collect_set("path").alias("own")), "own")
     light = ended.join(own, "uid").join(sets.select("uid", "sketch"), "uid")
-    pairs = survivors(blocked(light))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ended.count() // ROWS_A_TASK)
+    pairs = survivors(blocked(light), parts)
     payload = pairs.join(own, "uid").join(classes.select("uid", "weight"), "uid").join(sets.select("uid", "tokens"), "uid")
-    found = written(links(payload, threshold), "links")
+    found = written(links(payload, threshold, parts), "links")
     graph = components(found.select(F.col("uid").alias("a"), F.col("with").alias("b")))
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
     return sets, classes.join(counts, "uid", "left").join(graph.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))

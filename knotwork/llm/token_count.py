@@ -32,7 +32,7 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 #: A blank beside other white space: there a blank isn't just the mark before a word.
 _TANGLED = re.compile(rf" [{_W}]|[{_W}] ")
 #: Entries in one generation of remembered counts, and characters of the longest chunk remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 
 
 class Remembered:

@@ -204,6 +204,26 @@ def export_paths(entities: DataFrame, relations: DataFrame, roots: DataFrame, de
     return out
 
 
+def nested_paths(relations: DataFrame, roots: DataFrame, depth: int = 3, cap: int | None = MAX_NODES) -> DataFrame:
+    """(root, path, id, relation_id, direction, depth): a nested view of what is around each root, both ways.
+
+    Only edges between nodes that a walk of ``depth`` (1 to 3) reaches take part; a
+    branch never meets a node twice.
+    """
+    depth = max(1, min(depth, 3))
+    near = kept(expand(relations, roots, depth, cap=cap).select("id"))
+    inside = induced_edges(relations, near).select("id", "from_entity_id", "to_entity_id")
+    out = inside.select(F.col("from_entity_id").alias("a"), F.col("to_entity_id").alias("b"), F.col("id").alias("relation_id"), F.lit("outgoing").alias("direction"))
+    edges = kept(out.unionByName(inside.select(F.col("to_entity_id").alias("a"), F.col("from_entity_id").alias("b"), F.col("id").alias("relation_id"), F.lit("incoming").alias("direction"))))
+    now = roots.select(F.col("id").alias("root"), F.array("id").alias("path"), "id", F.lit(None).cast("long").alias("relation_id"), F.lit(None).cast("string").alias("direction"), F.lit(0).alias("depth"))
+    rows = now
+    for level in range(1, depth + 1):
+        step = now.select("root", "path", F.col("id").alias("a")).join(edges, "a").where(~F.array_contains("path", F.col("b")))
+        now = kept(step.select("root", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("id"), "relation_id", "direction", F.lit(level).alias("depth")))
+        rows = rows.unionByName(now)
+    return rows
+
+
 def walk_order(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(id, part, depth, position): breadth first from Projects, ids in order within a level, then what no Project reaches (part 1)."""
     tree = project_subtree(relations, entities.where(F.col("entity_type") == "Project"), cap=None)

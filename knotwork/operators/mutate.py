@@ -10,17 +10,42 @@ from pyspark.sql import Window as W
 
 from knotwork.functions import text as T
 from knotwork.operators import graph as G
+from knotwork.sources.shared import kept
 from knotwork.sources.views import Graph
 
 
+def last_targets(pairs: DataFrame) -> DataFrame:
+    """(source, target) with chains followed to their end, steps doubling; a source has one target, and loops raise."""
+    if not pairs.groupBy("source").count().where("count > 1").isEmpty():
+        raise ValueError("a source has several targets")
+    now = kept(pairs.select("source", "target"))
+    for _ in range(now.count().bit_length() + 1):
+        step = now.select(F.col("source").alias("target"), F.col("target").alias("then"))
+        moved = now.join(step, "target", "left")
+        if moved.where("then IS NOT NULL").isEmpty():
+            return now
+        now = kept(moved.select("source", F.coalesce("then", "target").alias("target")))
+    raise ValueError("pairs run in a loop")
+
+
+def remapped(g: Graph, pairs: DataFrame) -> Graph:
+    """Endpoints of edges and owners of observations moved from source to target, sources deleted; nothing else is united or dropped."""
+    remap = lambda df, c: df.join(pairs.select(F.col("source").alias(c), F.col("target").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    return Graph(
+        g.entities.join(pairs.select(F.col("source").alias("id")), "id", "left_anti"),
+        remap(g.observations, "memory_entity_id").select(*g.observations.columns),
+        remap(remap(g.relations, "from_entity_id"), "to_entity_id").select(*g.relations.columns),
+    )
+
+
 def merge(g: Graph, pairs: DataFrame) -> Graph:
-    """Merge (source, target) pairs of equal type, no Projects; chains must be resolved to their last target.
+    """Merge (source, target) pairs of equal type, no Projects; chains go to their last target.
 
     Observations move; edges are repointed, loops dropped, and of repeated edges
     the one that stood at its ends already stays, then the lowest id; aliases are united with the name.
     """
     kind = g.entities.select("id", "entity_type")
-    ok = pairs.join(kind.withColumnsRenamed({"id": "source", "entity_type": "ts"}), "source").join(kind.withColumnsRenamed({"id": "target", "entity_type": "tt"}), "target").where("ts = tt AND ts <> 'Project' AND source <> target").select("source", "target")
+    ok = last_targets(pairs).join(kind.withColumnsRenamed({"id": "source", "entity_type": "ts"}), "source").join(kind.withColumnsRenamed({"id": "target", "entity_type": "tt"}), "target").where("ts = tt AND ts <> 'Project' AND source <> target").select("source", "target")
     remap = lambda df, c: df.join(ok.withColumnRenamed("source", c), c, "left").withColumn(c, F.coalesce("target", c)).drop("target")
     moved = remap(g.observations, "memory_entity_id").select(*g.observations.columns)
     edges = g.relations.withColumn("_was", F.struct("from_entity_id", "to_entity_id"))
@@ -85,6 +110,9 @@ def with_relations(g: Graph, new: DataFrame) -> Graph:
     good = good.join(g.relations.select("from_entity_id", "to_entity_id", "relation_type"), ["from_entity_id", "to_entity_id", "relation_type"], "left_anti")
     parents = g.relations.where("relation_type = 'part_of'").select("from_entity_id", "relation_type")
     good = good.join(parents, ["from_entity_id", "relation_type"], "left_anti")
+    # of several new parents of one child the first stays
+    place = F.row_number().over(W.partitionBy("from_entity_id", "relation_type", F.when(F.col("relation_type") != "part_of", F.col("to_entity_id"))).orderBy("id"))
+    good = good.withColumn("_n", place).where("_n = 1").drop("_n")
     return replace(g, relations=g.relations.unionByName(good.select(*g.relations.columns)))
 
 

@@ -30,6 +30,14 @@ def trust_scores(observations: DataFrame, relations: DataFrame, now: str) -> Dat
     return rows.withColumn("trust_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(base + boost, 4)))).drop("degree")
 
 
+def rescored(observations: DataFrame, relations: DataFrame, changed: DataFrame, now: str) -> DataFrame:
+    """Observations (with ``trust_score``) after edges changed: those of the ends of ``changed`` are scored again, the others stand."""
+    ends = changed.select(F.explode(F.array("from_entity_id", "to_entity_id")).alias("memory_entity_id")).distinct()
+    near = relations.where("from_entity_id IS NOT NULL AND to_entity_id IS NOT NULL")
+    again = trust_scores(observations.join(ends, "memory_entity_id", "left_semi").drop("trust_score"), near, now)
+    return observations.join(ends, "memory_entity_id", "left_anti").unionByName(again.select(*observations.columns))
+
+
 def relevance(observations: DataFrame, query: str, vector: Column | None = None) -> DataFrame:
     """Observations with ``relevance``: 0.6 token overlap + 0.4 (1 - distance); overlap alone without a vector."""
     q = F.expr("array()").cast("array<string>") if not query.strip() else T.tokens(F.lit(query))

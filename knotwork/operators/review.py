@@ -49,7 +49,11 @@ def in_review_order(items: DataFrame) -> DataFrame:
     return items.orderBy(F.desc("root"), F.desc_nulls_last("score"), "position")
 
 
-def status_counts(rows: DataFrame) -> DataFrame:
+def status_counts(rows: DataFrame, status: str | None = None, kind: str | None = None) -> DataFrame:
+    """Rows of each status, of one status or kind if asked."""
+    for column, value in (("status", status), ("kind", kind)):
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
     return rows.groupBy("status").agg(F.count("*").alias("n"))
 
 

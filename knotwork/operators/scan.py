@@ -28,7 +28,14 @@ def contains(column: str, text: str) -> Column:
     return F.lower(F.coalesce(F.col(column), F.lit(""))).contains(text.lower())
 
 
-def entity_scan(entities: DataFrame, entity_type: str | list[str] | None = None, name: str | None = None, aliases: str | None = None, ids: list[int] | None = None, since: str | None = None, until: str | None = None, min_observations: int | None = None, any_of: list[dict] | None = None) -> DataFrame:
+def between(df: DataFrame, column: str, since: str | None, until: str | None) -> DataFrame:
+    """Rows of a span of time, both ends included."""
+    if since is not None:
+        df = df.where(F.col(column) >= F.lit(since).cast("timestamp"))
+    return df if until is None else df.where(F.col(column) <= F.lit(until).cast("timestamp"))
+
+
+def entity_scan(entities: DataFrame, entity_type: str | list[str] | None = None, name: str | None = None, aliases: str | None = None, ids: list[int] | None = None, since: str | None = None, until: str | None = None, min_observations: int | None = None, any_of: list[dict] | None = None, updated_since: str | None = None, updated_until: str | None = None) -> DataFrame:
     """Filters and-ed; ``any_of``: every field of every object or-ed, and an empty list matches nothing."""
     out = entities
     if entity_type is not None:
@@ -38,10 +45,7 @@ def entity_scan(entities: DataFrame, entity_type: str | list[str] | None = None,
             out = out.where(contains(column, value))
     if ids is not None:
         out = out.where(F.col("id").isin(ids))
-    if since is not None:
-        out = out.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
-    if until is not None:
-        out = out.where(F.col("created_at") <= F.lit(until).cast("timestamp"))
+    out = between(between(out, "created_at", since, until), "updated_at", updated_since, updated_until)
     if min_observations is not None:
         out = out.where(F.col("memory_observations_count") >= min_observations)
     if any_of is not None:
@@ -56,22 +60,25 @@ def entity_scan(entities: DataFrame, entity_type: str | list[str] | None = None,
     return out
 
 
-def observation_scan(observations: DataFrame, entity_id: int | None = None, content: str | None = None, since: str | None = None, include_obsolete: bool = False) -> DataFrame:
+def observation_scan(observations: DataFrame, entity_id: int | None = None, content: str | None = None, since: str | None = None, include_obsolete: bool = False, until: str | None = None, page: int | None = None, per_page: int = 20) -> DataFrame:
+    """Observations by filters; with ``page`` one page of them by id."""
     out = observations
     if entity_id is not None:
         out = out.where(F.col("memory_entity_id") == entity_id)
     if content is not None:
         out = out.where(contains("content", content))
-    if since is not None:
-        out = out.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
-    return out if include_obsolete else out.where(F.col("status") == "active")
+    out = between(out, "created_at", since, until)
+    out = out if include_obsolete else out.where(F.col("status") == "active")
+    return out if page is None else paged(out, page, per_page)
 
 
-def relation_scan(relations: DataFrame, entities: DataFrame, from_id: int | None = None, to_id: int | None = None, relation_type: str | None = None) -> DataFrame:
-    """Relations with their ends' names."""
+def relation_scan(relations: DataFrame, entities: DataFrame, from_id: int | None = None, to_id: int | None = None, relation_type: str | None = None, since: str | None = None, until: str | None = None, page: int | None = None, per_page: int = 20) -> DataFrame:
+    """Relations with their ends' names; with ``page`` one page of them by id, cut before names are joined."""
     from knotwork.operators.graph import find_relations
 
-    rows = find_relations(relations, from_id, to_id, relation_type)
+    rows = between(find_relations(relations, from_id, to_id, relation_type), "created_at", since, until)
+    if page is not None:
+        rows = paged(rows, page, per_page)
     name = entities.select("id", "name")
     a = name.withColumnsRenamed({"id": "from_entity_id", "name": "from_name"})
     b = name.withColumnsRenamed({"id": "to_entity_id", "name": "to_name"})

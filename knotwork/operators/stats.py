@@ -39,12 +39,18 @@ def embedding_coverage(df: DataFrame) -> DataFrame:
 
 
 def activity(df: DataFrame, at: str, now: str) -> DataFrame:
-    """Clients by how long ago they were seen: active (5 minutes), recent (an hour), stale, unknown."""
+    """Clients by how long ago they were seen: active (5 minutes), idle (an hour), stale, unknown."""
     age = F.lit(now).cast("timestamp").cast("double") - F.col(at).cast("timestamp").cast("double")
-    bucket = F.when(F.col(at).isNull(), "unknown").when(age <= 300, "active").when(age <= 3600, "recent").otherwise("stale")
+    bucket = F.when(F.col(at).isNull(), "unknown").when(age <= 300, "active").when(age <= 3600, "idle").otherwise("stale")
     return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def activity_summary(df: DataFrame, at: str, context: str, now: str) -> DataFrame:
+    """One row: clients in all, seen in the last 5 minutes, and with a project context."""
+    age = F.lit(now).cast("timestamp").cast("double") - F.col(at).cast("timestamp").cast("double")
+    return df.agg(F.count("*").alias("total"), F.count_if(age <= 300).alias("recent_count"), F.count(context).alias("with_context_count"))
+
+
 def latest_per(df: DataFrame, key: str, *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 

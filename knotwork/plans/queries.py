@@ -245,9 +245,17 @@ def _(spark, d):
     return Q.lifecycle_issues(S.observations(spark, d))
 
 
-@query("constraint_violations", _O + "SELECT id, 'active_obsoleted' AS rule FROM observations WHERE status = 'active' AND obsoleted_at IS NOT NULL UNION ALL SELECT id, 'superseded_without_reference' FROM observations WHERE status = 'superseded' AND superseded_by_id IS NULL UNION ALL SELECT id, 'validity_order' FROM observations WHERE valid_until < valid_from")
+@query("constraint_violations", _O + """, b AS (SELECT id, CASE WHEN id % 23 = 0 THEN '  ' ELSE content END AS content, CASE WHEN id % 29 = 0 THEN 1.5 WHEN id % 31 = 0 THEN -0.1 ELSE confidence END AS confidence, CASE WHEN id % 37 = 0 THEN 'odd' ELSE status END AS status, CASE WHEN id % 41 = 0 THEN id ELSE superseded_by_id END AS superseded_by_id, obsoleted_at, CASE WHEN id % 43 = 0 THEN TIMESTAMP '2026-01-01' ELSE valid_from END AS valid_from, CASE WHEN id % 43 = 0 THEN TIMESTAMP '2025-01-01' ELSE valid_until END AS valid_until FROM observations)
+SELECT id, 'active_obsoleted' AS rule FROM b WHERE status = 'active' AND obsoleted_at IS NOT NULL UNION ALL SELECT id, 'superseded_without_reference' FROM b WHERE status = 'superseded' AND superseded_by_id IS NULL UNION ALL SELECT id, 'validity_order' FROM b WHERE valid_until < valid_from
+UNION ALL SELECT id, 'content_blank' FROM b WHERE content IS NULL OR trim(content) = '' UNION ALL SELECT id, 'confidence_range' FROM b WHERE confidence < 0 OR confidence > 1 UNION ALL SELECT id, 'status_unknown' FROM b WHERE status NOT IN ('active', 'obsolete', 'superseded') UNION ALL SELECT id, 'self_reference' FROM b WHERE superseded_by_id = id""")
 def _(spark, d):
-    return scan.violations(S.observations(spark, d))
+    k, t = F.col("id"), lambda x: F.lit(x).cast("timestamp")
+    dirty = S.observations(spark, d).withColumns({
+        "content": F.when(k % 23 == 0, "  ").otherwise(F.col("content")), "confidence": F.when(k % 29 == 0, 1.5).when(k % 31 == 0, -0.1).otherwise(F.col("confidence")),
+        "status": F.when(k % 37 == 0, "odd").otherwise(F.col("status")), "superseded_by_id": F.when(k % 41 == 0, k).otherwise(F.col("superseded_by_id")),
+        "valid_from": F.when(k % 43 == 0, t("2026-01-01")).otherwise(F.col("valid_from")), "valid_until": F.when(k % 43 == 0, t("2025-01-01")).otherwise(F.col("valid_until")),
+    })
+    return scan.violations(dirty)
 
 
 @query("counter_drift", views("entities", "observations") + ", c AS (SELECT e.id, e.id % 6 AS stored, count(o.id) AS counted FROM entities e LEFT JOIN observations o ON o.memory_entity_id = e.id WHERE entity_type = 'Component' GROUP BY e.id) SELECT * FROM c WHERE stored <> counted")
@@ -313,7 +321,7 @@ def _(spark, d):
     return stats.running_progress(S.audit_logs(spark, d), "actor", "created_at", "value").select("id", "actor", "progress")
 
 
-@query("client_activity", _A + ", seen AS (SELECT actor, max(created_at) AS seen_at FROM audit GROUP BY actor), b AS (SELECT CASE WHEN seen_at IS NULL THEN 'unknown' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(seen_at) <= 300 THEN 'active' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(seen_at) <= 3600 THEN 'recent' ELSE 'stale' END AS bucket FROM seen) SELECT bucket, count(*) AS n FROM b GROUP BY 1")
+@query("client_activity", _A + ", seen AS (SELECT actor, max(created_at) AS seen_at FROM audit GROUP BY actor), b AS (SELECT CASE WHEN seen_at IS NULL THEN 'unknown' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(seen_at) <= 300 THEN 'active' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(seen_at) <= 3600 THEN 'idle' ELSE 'stale' END AS bucket FROM seen) SELECT bucket, count(*) AS n FROM b GROUP BY 1")
 def _(spark, d):
     seen = S.audit_logs(spark, d).groupBy("actor").agg(F.max("created_at").alias("at"))
     return stats.activity(seen, "at", "2024-01-30")
@@ -463,3 +471,33 @@ def _(spark, d):
 @query("preview_contents", _O + "SELECT id, CASE WHEN length(content) > 100 THEN substring(content, 1, 97) || '...' ELSE content END AS preview, len(list_filter(list_transform(string_split_regex(coalesce(source, ''), '[,|;]'), lambda a: trim(a)), lambda a: a <> ''))::BIGINT AS parts FROM observations")
 def _(spark, d):
     return S.observations(spark, d).select("id", T.truncated(F.col("content")).alias("preview"), F.size(T.alias_list(F.col("source"))).cast("long").alias("parts"))
+
+
+@query("entity_scan_by_updates", _E + ", o AS (SELECT id, name, updated_at, id % 6 AS n FROM entities) SELECT id, name FROM o WHERE updated_at >= TIMESTAMP '2024-03-01' AND updated_at <= TIMESTAMP '2024-04-01' AND n >= 3")
+def _(spark, d):
+    e = S.entities(spark, d).withColumn("memory_observations_count", F.col("id") % 6)
+    return scan.entity_scan(e, min_observations=3, updated_since="2024-03-01", updated_until="2024-04-01").select("id", "name")
+
+
+@query("observation_scan_page", _O + "SELECT id, status FROM observations WHERE lower(coalesce(content, '')) LIKE '%an%' AND created_at >= TIMESTAMP '2024-02-01' AND created_at <= TIMESTAMP '2024-08-01' ORDER BY id LIMIT 20 OFFSET 20")
+def _(spark, d):
+    return scan.observation_scan(S.observations(spark, d), content="AN", since="2024-02-01", until="2024-08-01", include_obsolete=True, page=2).select("id", "status")
+
+
+@query("relation_scan_page", _ER + ", r AS (SELECT * FROM relations WHERE relation_type = 'part_of' AND id % 300 BETWEEN 31 AND 90 ORDER BY id LIMIT 20 OFFSET 40) SELECT r.id, a.name AS from_name, b.name AS to_name FROM r LEFT JOIN entities a ON a.id = from_entity_id LEFT JOIN entities b ON b.id = to_entity_id")
+def _(spark, d):
+    r = S.relations(spark, d).withColumn("created_at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=(F.col("id") % 300).cast("int")))
+    return scan.relation_scan(r, S.entities(spark, d), relation_type="part_of", since="2024-02-01", until="2024-03-31", page=3).select("id", "from_name", "to_name")
+
+
+@query("client_summary", _A + ", seen AS (SELECT actor, max(created_at) AS seen_at FROM audit GROUP BY actor) SELECT count(*) AS total, count(*) FILTER (epoch(TIMESTAMP '2024-01-30') - epoch(seen_at) <= 300) AS recent_count, count(*) FILTER (actor % 3 = 0) AS with_context_count FROM seen")
+def _(spark, d):
+    seen = S.audit_logs(spark, d).groupBy("actor").agg(F.max("created_at").alias("at")).withColumn("project_id", F.when(F.col("actor") % 3 == 0, F.col("actor")))
+    return stats.activity_summary(seen, "at", "project_id", "2024-01-30")
+
+
+@query("trust_rescored", views("relations", "degree", "observations")[:-1] + f", {_TRUST}, c AS (SELECT l_partkey + 50000000000 AS id FROM lineitem WHERE l_orderkey % 100 = 7) SELECT id, CASE WHEN memory_entity_id IN (SELECT id FROM c) THEN trust_score ELSE -1 END AS trust_score FROM trust")
+def _(spark, d):
+    r = S.relations(spark, d)
+    changed = r.where("relation_type = 'depends_on' AND (from_entity_id - 60000000000) % 100 = 7")
+    return R.rescored(S.observations(spark, d).withColumn("trust_score", F.lit(-1.0)), r, changed, S.NOW).select("id", "trust_score")

@@ -241,12 +241,19 @@ def _(spark, d):
     return mutate.supersede(o, new, S.NOW).select("id", "status", "superseded_by_id").fillna(-1)
 
 
-@query("review_signatures", "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'entity_merge|' || least(event_id, user_id) || '-' || greatest(event_id, user_id) WHEN 1 THEN 'orphan_parent|' || event_id WHEN 2 THEN 'relationship_proposal|' || event_id || '|' || user_id || '|' || event_type END AS signature FROM events WHERE event_id <> user_id")
+_KINDS = "entity_merge relationship_proposal entity_error orphan_parent embedding_backfill_failed lifecycle_corruption relation_integrity delete_relation delete_observation delete_entity dismiss_compaction_review move_observation reparent_entity".split()
+
+
+@query("review_signatures", f"""WITH e AS (SELECT event_id AS i, user_id AS u, event_type AS t, [{', '.join(repr(k) for k in _KINDS)}][event_id % 13 + 1] AS kind FROM events WHERE event_id <> user_id)
+SELECT i AS id, CASE kind WHEN 'entity_merge' THEN kind || '|' || least(i, u) || '-' || greatest(i, u) WHEN 'relationship_proposal' THEN kind || '|' || i || '|' || u || '|' || t WHEN 'entity_error' THEN kind || '|' || i || '|' || t
+WHEN 'relation_integrity' THEN CASE WHEN i % 5 <> 0 THEN kind || '|' || t || '|' || i || '|' || u END WHEN 'move_observation' THEN kind || '|' || i || '|' || u WHEN 'reparent_entity' THEN kind || '|' || i || '|' || u ELSE kind || '|' || i END AS signature FROM e""")
 def _(spark, d):
-    c, k = F.col, F.col("event_id") % 4
-    kind = F.when(k == 0, "entity_merge").when(k == 1, "orphan_parent").when(k == 2, "relationship_proposal").otherwise("else")
-    payload = F.to_json(F.struct(c("event_id").alias("source_id"), c("user_id").alias("target_id"), c("event_id").alias("entity_id"), c("event_id").alias("from_id"), c("user_id").alias("to_id"), c("event_type").alias("relation_type")))
-    return S.table(spark, d, "events").where("event_id <> user_id").select(c("event_id").alias("id"), review.signature(kind, payload).alias("signature"))
+    c, k = F.col, F.col("event_id") % 13
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k + 1).cast("int"))
+    i, u, t = c("event_id"), c("user_id"), c("event_type")
+    inner = F.struct(F.when(i % 5 != 0, t).alias("kind"), i.alias("keep_id"), u.alias("delete_id"), i.alias("relation_id"), i.alias("review_item_id"))
+    payload = F.to_json(F.struct(i.alias("source_id"), u.alias("target_id"), i.alias("entity_id"), i.alias("from_id"), u.alias("to_id"), t.alias("relation_type"), t.alias("phase"), i.alias("observation_id"), u.alias("parent_id"), inner.alias("payload")))
+    return S.table(spark, d, "events").where("event_id <> user_id").select(i.alias("id"), review.signature(kind, payload).alias("signature"))
 
 
 @query("review_seed", "WITH i AS (SELECT user_id, min(event_id) AS position FROM events GROUP BY 1) SELECT position, 'orphan_parent|' || user_id AS signature FROM i WHERE user_id % 5 <> 0 AND user_id % 7 <> 0")
@@ -300,3 +307,19 @@ def _(spark, d):
     return rows.fillna(0)
 
 
+@query("review_counts_of_kind", "SELECT CASE event_id % 3 WHEN 0 THEN 'approved' ELSE 'active' END AS status, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+def _(spark, d):
+    rows = S.table(spark, d, "events").select(F.when(F.col("event_id") % 3 == 0, "approved").otherwise("active").alias("status"), F.col("event_type").alias("kind"))
+    return review.status_counts(rows, kind="error")
+
+
+@query("nested_paths", views("relations", then="n AS (SELECT 10000000003::BIGINT AS id UNION SELECT from_entity_id FROM relations WHERE to_entity_id = 10000000003), m AS (SELECT id FROM n UNION SELECT to_entity_id FROM relations WHERE from_entity_id IN (SELECT id FROM n) UNION SELECT from_entity_id FROM relations WHERE to_entity_id IN (SELECT id FROM n)), i AS (SELECT * FROM relations WHERE from_entity_id IN (SELECT id FROM m) AND to_entity_id IN (SELECT id FROM m)), e AS (SELECT id, from_entity_id AS a, to_entity_id AS b, 'outgoing' AS d FROM i UNION ALL SELECT id, to_entity_id, from_entity_id, 'incoming' FROM i), w(root, path, id, relation_id, direction, depth) AS (SELECT 10000000003::BIGINT, [10000000003::BIGINT], 10000000003::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0 UNION ALL SELECT root, list_append(path, b), b, e.id, d, depth + 1 FROM w JOIN e ON a = w.id WHERE depth < 2 AND NOT list_contains(path, b))", recursive=True) + "SELECT root, array_to_string(path, '/') AS path, id, coalesce(relation_id, -1) AS relation_id, coalesce(direction, '') AS direction, depth FROM w")
+def _(spark, d):
+    rows = G.nested_paths(S.relations(spark, d), ids(spark, 10_000_000_003), 2, cap=None)
+    return rows.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/")).fillna({"relation_id": -1, "direction": ""})
+
+
+@query("remapped", _R + "SELECT id, CASE WHEN from_entity_id BETWEEN 50000000000 AND 59999999999 AND from_entity_id % 10 = 1 THEN from_entity_id - 1 ELSE from_entity_id END AS from_entity_id, CASE WHEN to_entity_id BETWEEN 50000000000 AND 59999999999 AND to_entity_id % 10 = 1 THEN to_entity_id - 1 ELSE to_entity_id END AS to_entity_id FROM relations")
+def _(spark, d):
+    pairs = S.table(spark, d, "part").where("p_partkey % 10 = 1").select((F.col("p_partkey") + 5 * S.KIND).alias("source"), (F.col("p_partkey") - 1 + 5 * S.KIND).alias("target"))
+    return mutate.remapped(S.graph(spark, d), pairs).relations.select("id", "from_entity_id", "to_entity_id")

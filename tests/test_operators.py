@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
 from knotwork.functions import vectors as V
-from knotwork.operators import blocks, graph, mutate, order, quality, ranking, scan, search
+from knotwork.operators import blocks, graph, imports, mutate, order, quality, ranking, scan, search
 from knotwork.sources import exchange
 from knotwork.sources.views import Graph
 from knotwork.streaming import audit
@@ -291,3 +291,38 @@ def test_small_text_and_vector_helpers(spark):
     assert (row.squish, row.snake, row.hit, row.miss, row.text) == ("a b", "html_page_view2_go", True, False, "x\nSource: blog")
     assert row.v == [0.5, 2.0] and row.zero == [0.0, 0.0] and row.dim
     assert [r.id for r in scan.in_order(spark.range(9), [5, 2, 7]).collect()] == [5, 2, 7]
+
+
+def test_merge_chains_go_to_their_end(spark):
+    pairs = lambda *rows: spark.createDataFrame(rows, "source long, target long")
+    got = mutate.last_targets(pairs(*[(k, k + 1) for k in range(1, 40)], (90, 40), (91, 92))).collect()
+    assert sorted(map(tuple, got)) == [*[(k, 40) for k in range(1, 40)], (90, 40), (91, 92)]
+    for bad in (pairs((1, 2), (2, 3), (3, 1)), pairs((1, 2), (1, 3))):
+        with pytest.raises(ValueError):
+            mutate.last_targets(bad)
+
+
+def test_one_new_parent_of_a_child(spark, cyclic):
+    entities = spark.createDataFrame([(k, f"n{k}", "Task") for k in range(1, 7)], "id long, name string, entity_type string")
+    g = Graph(entities, observations(spark, []), cyclic)
+    new = spark.createDataFrame([(11, C, E, "part_of"), (10, C, G6, "part_of"), (12, C, G6, "relates_to"), (13, C, E, "relates_to"), (14, C, 99, "relates_to"), (15, A, G6, "part_of")], EDGES)
+    assert sorted(r.id for r in mutate.with_relations(g, new).relations.collect()) == [1, 2, 3, 4, 5, 10, 12, 13]
+
+
+def test_import_is_carried_out(spark):
+    entities = spark.createDataFrame([(1, "p", "Project"), (2, "c", "Task"), (3, "q", "Project")], "id long, name string, entity_type string")
+    edges = spark.createDataFrame([(1, 2, 3, "part_of")], EDGES)
+    kinds = "node_path string, parent_path string, name string, entity_type string, relation_type string, parent_to_child boolean, status string, match_id long"
+    rows = [("0", None, "p", "Project", None, None, "skip", 1), ("0.children.0", "0", "c", "todo", "child_of", None, "add_relation", 2), ("0.children.1", "0", "new", "bug", None, None, "new", None), ("0.children.1.children.0", "0.children.1", "deep", "Tool", "requires", True, "new", None), ("0.children.2", "0", "new", "bug", None, None, "new", None)]
+    out = imports.executed(Graph(entities, observations(spark, []), edges), spark.createDataFrame(rows, kinds), 100)
+    assert sorted((r.id, r.name, r.entity_type) for r in out.entities.collect())[3:] == [(100, "new", "Issue"), (101, "deep", "Tool")]
+    assert sorted((r.from_entity_id, r.to_entity_id, r.relation_type) for r in out.relations.collect()) == [(2, 1, "part_of"), (100, 1, "part_of"), (100, 101, "depends_on")]
+
+
+def test_duplicates_need_vectors(spark):
+    old = spark.createDataFrame([(1, 5, "a", "active", [1.0, 0.0]), (2, 5, "b", "active", None), (3, 6, "c", "active", [1.0, 0.0])], "id long, memory_entity_id long, content string, status string, embedding array<double>")
+    new = lambda *rows: spark.createDataFrame(rows, "key long, memory_entity_id long, content string, embedding array<double>")
+    got = imports.duplicate_contents(new((1, 5, "a", None), (2, 5, " ", None), (3, 6, "x", [0.9, 0.1]), (4, 6, "y", [0.0, 1.0]), (5, 7, "z", [0.0, 1.0])), old).orderBy("key").collect()
+    assert [(r.duplicate, r.observation_id, r.exact) for r in got] == [(True, 1, True), (False, None, False), (True, 3, False), (False, 3, False), (False, None, False)]
+    with pytest.raises(ValueError):
+        imports.duplicate_contents(new((6, 5, "n", [1.0, 0.0])), old)

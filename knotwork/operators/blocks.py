@@ -62,21 +62,23 @@ def _least(distance: np.ndarray, a: np.ndarray, b: np.ndarray, most: float, each
 def nearest_pairs(rows: DataFrame, most: float, each: int, later_only: bool = True) -> DataFrame:
     """(key, a, b, distance) of (key, id, v): for each a the ``each`` nearest b of its key by cosine distance under ``most``.
 
-    ``later_only``: only b with a larger id. Vectors of different lengths don't
-    meet. Ties go to the smaller b.
+    ``later_only``: only b with a larger id. With a column ``asked`` only rows that are
+    asked meet only rows that aren't. Vectors of different lengths don't meet. Ties go
+    to the smaller b.
     """
     keys = ["key", "dim"]
-    sized = rows.select("key", "id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"))
+    told = "asked" in rows.columns
+    sized = rows.select("key", "id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"), F.col("asked") if told else F.lit(False).alias("asked"))
     counts = sized.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).withColumnsRenamed({"key": "_k", "dim": "_d"})
     joined = sized.join(counts, F.col("key").eqNullSafe(F.col("_k")) & (F.col("dim") == F.col("_d")))
     own = joined.withColumn("own", F.pmod(F.xxhash64("id"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = own.select("key", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "v")
+    dealt = own.select("key", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "v", "asked")
     group = [*keys, "i", "j"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _groups(batches, group):
             ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+            i, j, asked = table.column("i").to_numpy(), table.column("j").to_numpy(), table.column("asked").to_numpy()
             lists = table.column("v").combine_chunks()
             flat, starts = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for a, b in zip(bounds, bounds[1:], strict=False):
@@ -93,6 +95,8 @@ def nearest_pairs(rows: DataFrame, most: float, each: int, later_only: bool = Tr
                     if len(p) and len(q):
                         d = 1 - v[x] @ v[y].T
                         d[(p[:, None] >= q) if later_only else (p[:, None] == q)] = np.inf
+                        if told:
+                            d[~asked[a:b][x][:, None] | asked[a:b][y]] = np.inf
                         found.append(_least(d, p, q, most, each))
                 if found and sum(len(f[0]) for f in found):
                     p, q, d = (np.concatenate(c) for c in zip(*found, strict=True))

@@ -28,6 +28,13 @@ def suggest_merges(rows: DataFrame, threshold: float = 0.3, limit: int | None =
     return out if limit is None else out.orderBy("a", "distance", "b").limit(limit)
 
 
+def similar_before_creation(new: DataFrame, entities: DataFrame, most: float = 0.25) -> DataFrame:
+    """(id, similar_id, distance): the nearest embedded entity of its type for each new one that lies under ``most``; such a one should not be created. Ids of both are distinct."""
+    rows = lambda df, asked: df.where(V.embedded(F.col("embedding"))).select(F.col("entity_type").alias("key"), "id", F.col("embedding").alias("v"), F.lit(asked).alias("asked"))
+    near = nearest_pairs(rows(new, True).unionByName(rows(entities, False)), most, 1, later_only=False)
+    return near.select(F.col("a").alias("id"), F.col("b").alias("similar_id"), "distance")
+
+
 def merge_evidence(rows: DataFrame, observations: DataFrame, relations: DataFrame, threshold: float = 0.30, limit: int = 3, close: float = 0.10) -> DataFrame:
     """Scored merge candidates with a survivor and a decision (merge or review)."""
     near = close_pairs(rows.where(F.col("entity_type") != "Project"), threshold, 9)

@@ -82,13 +82,17 @@ def structural_boost() -> Column:
     return F.when(n > 0, F.log2(1 + n) * 0.003).otherwise(0.0)
 
 
-def boosted(scored: DataFrame, entities: DataFrame, relations: DataFrame, query: str, scope: DataFrame | None = None, root_id: int | None = None, floor: float | None = None) -> DataFrame:
+def boosted(scored: DataFrame, entities: DataFrame, relations: DataFrame, query: str, scope: DataFrame | None = None, root_id: int | None = None, floor: float | None = None, few: bool = False) -> DataFrame:
     """Apply name, type, structure and context boosts, in that order, to (id, score).
 
     The scored ids are written once; both ends of an edge are looked up among them
-    in one pass over the relations.
+    in one pass over the relations. ``few``: a result list, whose limit bounds it; its
+    ids filter entities and relations before anything is joined or made distinct.
     """
     scored = kept(scored)
+    if few:
+        ids = [r.id for r in scored.select("id").collect()]
+        entities, relations = entities.where(F.col("id").isin(ids)), relations.where(F.col("from_entity_id").isin(ids) | F.col("to_entity_id").isin(ids))
     ends = relations.select(F.explode(F.array("from_entity_id", "to_entity_id")).alias("id"))
     counts = ends.join(scored.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
     rows = scored.join(entities.select("id", "name", "entity_type"), "id").join(counts, "id", "left")
@@ -128,7 +132,7 @@ def hybrid_search(entities: DataFrame, observations: DataFrame, relations: DataF
     fused = fuse(lists)
     if restrict and scope is not None:
         fused = fused.join(scope.select("id"), "id", "left_semi")
-    out = boosted(fused, entities, relations, query, scope, root_id)
+    out = boosted(fused, entities, relations, query, scope, root_id, few=True)
     return out.select("id", "name", "entity_type", F.round("score", 4).alias("score"), "sources").orderBy(F.desc("score"), "id").limit(limit)
 
 

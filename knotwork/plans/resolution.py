@@ -323,3 +323,9 @@ def _(spark, d):
 def _(spark, d):
     pairs = S.table(spark, d, "part").where("p_partkey % 10 = 1").select((F.col("p_partkey") + 5 * S.KIND).alias("source"), (F.col("p_partkey") - 1 + 5 * S.KIND).alias("target"))
     return mutate.remapped(S.graph(spark, d), pairs).relations.select("id", "from_entity_id", "to_entity_id")
+
+
+@query("similar_before_creation", "WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id, b.id AS similar_id, 1 - list_cosine_similarity(a.v, b.v) AS distance FROM v a JOIN v b ON a.label = b.label AND a.id % 10 = 3 AND b.id % 10 <> 3), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, similar_id) AS n FROM p WHERE distance < 0.75) SELECT id, similar_id, round(distance, 6) AS distance FROM r WHERE n = 1")
+def _(spark, d):
+    v = S.vectors(spark, d)
+    return resolve.similar_before_creation(v.where("id % 10 = 3"), v.where("id % 10 <> 3"), 0.75).withColumn("distance", F.round("distance", 6))

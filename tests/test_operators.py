@@ -326,3 +326,12 @@ def test_duplicates_need_vectors(spark):
     assert [(r.duplicate, r.observation_id, r.exact) for r in got] == [(True, 1, True), (False, None, False), (True, 3, False), (False, 3, False), (False, None, False)]
     with pytest.raises(ValueError):
         imports.duplicate_contents(new((6, 5, "n", [1.0, 0.0])), old)
+
+
+def test_bulk_adds_all(spark, cyclic):
+    entities = spark.createDataFrame([(k, f"n{k}", "Task") for k in range(1, 7)], "id long, name string, entity_type string")
+    g = Graph(entities, observations(spark, [(1, A, "x", None, None, "active", None, None)]), cyclic)
+    out = mutate.bulk(g, spark.createDataFrame([(7, "new", "Task")], "id long, name string, entity_type string"), observations(spark, [(2, 7, "y", None, None, "active", None, None)]), spark.createDataFrame([(9, 7, A, "part_of")], EDGES))
+    assert (out.entities.count(), out.observations.count(), out.relations.count()) == (7, 2, 6)
+    with pytest.raises(ValueError):  # one bad row rejects the batch
+        mutate.bulk(g, spark.createDataFrame([(7, "new", "Task")], "id long, name string, entity_type string"), observations(spark, [(2, 99, "y", None, None, "active", None, None)]))

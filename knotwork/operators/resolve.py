@@ -63,11 +63,12 @@ def contradictions(observations: DataFrame, relations: DataFrame, ids: DataFrame
     other but of opposite polarity. Each observation meets its ``limit`` nearest
     first; polarity is tested after that; each entity keeps its ``limit`` best pairs.
     """
+    rows = kept(observations.where((F.col("status") == "active") & V.embedded(F.col("embedding"))).select("memory_entity_id", "id", F.col("embedding").alias("v"), T.negative(F.col("content")).alias("neg")))
+    holders = rows.select("memory_entity_id").distinct()  # only edges to them matter
     own = ids.select(F.col("id").alias("key")).distinct()
     out = relations.select(F.col("from_entity_id").alias("key"), F.col("to_entity_id").alias("memory_entity_id"))
-    near = out.unionAll(out.select(F.col("memory_entity_id").alias("key"), F.col("key").alias("memory_entity_id"))).join(own, "key", "left_semi")
-    near = near.unionAll(own.select("key", F.col("key").alias("memory_entity_id"))).distinct()
-    rows = kept(observations.where((F.col("status") == "active") & V.embedded(F.col("embedding"))).select("memory_entity_id", "id", F.col("embedding").alias("v"), T.negative(F.col("content")).alias("neg")))
+    near = out.unionAll(out.select(F.col("memory_entity_id").alias("key"), F.col("key").alias("memory_entity_id"))).join(holders, "memory_entity_id", "left_semi").select("key", "memory_entity_id")
+    near = near.join(own, "key", "left_semi").unionAll(own.join(holders, F.col("key") == F.col("memory_entity_id")).select("key", "memory_entity_id")).distinct()
     pairs = nearest_pairs(near.join(rows, "memory_entity_id").select("key", "id", "v"), most, limit, later_only=False)
     neg = rows.select("id", "neg")
     pairs = pairs.join(neg.withColumnsRenamed({"id": "a", "neg": "neg_a"}), "a").join(neg.withColumnsRenamed({"id": "b", "neg": "neg_b"}), "b").where("neg_a <> neg_b")

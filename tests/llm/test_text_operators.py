@@ -260,7 +260,7 @@ def test_quotes_of_several_lines_out_of_longer_messages(spark):
     assert out == sorted(want, key=repr)
 
 
-def quoted_brute(rows, most_lines=True):
+def quoted_brute(rows):
     """Per message what the operator's description says, pair by pair: (conv_id, turn, parent_turn, n_passages, n_linked, body)."""
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t.lower()).strip(" ")
     mark = re.compile(r"(?:\s*>)+", re.ASCII)

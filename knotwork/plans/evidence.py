@@ -80,7 +80,7 @@ def _(spark, d):
 
 
 @query("evidence_summary", _ALL + f""", {_LISTS.format(n=10)}, {_TRUST},
-h AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS start FROM (SELECT f.id, round({_FUSED}, 4) AS score FROM f JOIN entities e USING (id) LEFT JOIN degree USING (id) ORDER BY 2 DESC, 1 LIMIT 5)),
+h AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS start FROM (SELECT f.id, round({_FUSED} + 0.02, 4) AS score FROM f JOIN entities e USING (id) LEFT JOIN degree USING (id) WHERE f.id BETWEEN 50000000000 AND 50000000199 ORDER BY 2 DESC, 1 LIMIT 5)),
 e2 AS (SELECT id AS edge, from_entity_id AS a, to_entity_id AS b FROM relations UNION ALL SELECT id, to_entity_id, from_entity_id FROM relations),
 m AS (SELECT start, b AS id, min(edge) AS edge FROM h JOIN e2 ON a = h.id WHERE b <> h.id GROUP BY 1, 2),
 x AS (SELECT id, min(start) AS start FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY edge, id) AS n FROM m) WHERE n <= 4 AND id NOT IN (SELECT id FROM h) GROUP BY id),
@@ -96,7 +96,8 @@ SELECT position, z.id, memory_entity_id, e.name AS entity_name, round(er, 4) AS
 FROM z LEFT JOIN entities e ON e.id = memory_entity_id""")
 def _(spark, d):
     g, v = S.graph(spark, d, with_vectors=True), query_vector(spark, d)
-    found = search.hybrid_search(g.entities, g.observations, g.relations, "red brand#3 Component", v, _entity_vectors(spark, d), 5)
+    scope = spark.range(5 * S.KIND, 5 * S.KIND + S.SUBJECTS)  # entities that have observations
+    found = search.hybrid_search(g.entities, g.observations, g.relations, "red brand#3 Component", v, _entity_vectors(spark, d), 5, scope, restrict=True)
     scored = evidence.expanded(found.select("id", "score"), g.relations, 1, 5)
     return evidence.evidence(scored, g.entities, g.observations, g.relations, S.NOW, "red brand#3 Component", v, conflict=0.95)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import exact_dedup, jaccard, mixing, neighbours, packing, quotes, suffix, token_count, token_store, toxicity
+from knotwork.llm import exact_dedup, jaccard, mixing, neighbours, packing, quotes, suffix, token_count, token_store, toxicity, whitening
 from knotwork.llm.common import shared_dir, table
 
 #: Shares of the expected tokens that low-quality and good documents are to have.
@@ -66,6 +66,17 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark.read.schema(token_store.BLOCK_SCHEMA).parquet(path))
 
 
+def by_component(whitened: DataFrame) -> DataFrame:
+    """A row for each vector and component; a deviation beyond 64 bits is null here (the operator's is a decimal)."""
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part")
+    rows = whitened.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", parts)
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_similar": op2_similar, "op3_quotes": op3_quotes, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours,
-    "op6_suffix_dedup": op6_suffix_dedup, "op7_toxicity": op7_toxicity, "op8_packing": op8_packing, "op9_token_count": op9_token_count, "op10_token_store": op10_token_store, "pipeline": pipeline,
+    "op6_suffix_dedup": op6_suffix_dedup, "op7_toxicity": op7_toxicity, "op8_packing": op8_packing, "op9_token_count": op9_token_count, "op10_token_store": op10_token_store,
+    "op11_whitening": op11_whitening, "pipeline": pipeline,
 }
 
 _EXACT = r"""

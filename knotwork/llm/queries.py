@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import exact_dedup, jaccard, mixing, neighbours, packing, quotes, suffix, token_count, token_store, toxicity, whitening
+from knotwork.llm import exact_dedup, impact, jaccard, mixing, neighbours, packing, quotes, suffix, token_count, token_store, toxicity, whitening
 from knotwork.llm.common import shared_dir, table
 
 #: Shares of the expected tokens that low-quality and good documents are to have.
@@ -77,6 +77,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
 
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_similar": op2_similar, "op3_quotes": op3_quotes, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours,
     "op6_suffix_dedup": op6_suffix_dedup, "op7_toxicity": op7_toxicity, "op8_packing": op8_packing, "op9_token_count": op9_token_count, "op10_token_store": op10_token_store,
-    "op11_whitening": op11_whitening, "pipeline": pipeline,
+    "op11_whitening": op11_whitening, "op13_exact_search": op13_exact_search, "pipeline": pipeline,
 }
 
 _EXACT = r"""
@@ -117,6 +121,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+_EXACT_SEARCH = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 #: Quoted lines are taken out and passages counted; links are made for messages without quote marks (fixtures test the others).
 _QUOTES = r"""
 WITH l AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS l FROM conversations),
@@ -133,4 +145,4 @@ SELECT conv_id, (position - 1) // 256 AS part, count(*) AS n_messages, sum(n_pas
 FROM n GROUP BY 1, 2
 """
 
-ORACLE_SQL = {"op2_similar": _SIMILAR, "op3_quotes": _QUOTES, "op4_exact_dedup": _EXACT, "op5_neighbours": _NEIGHBOURS}
+ORACLE_SQL = {"op2_similar": _SIMILAR, "op3_quotes": _QUOTES, "op4_exact_dedup": _EXACT, "op5_neighbours": _NEIGHBOURS, "op13_exact_search": _EXACT_SEARCH}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import exact_dedup, impact, jaccard, mixing, neighbours, packing, quotes, suffix, token_count, token_store, toxicity, whitening
+from knotwork.llm import exact_dedup, impact, jaccard, lexical, mixing, neighbours, packing, quotes, suffix, token_count, token_store, toxicity, whitening
 from knotwork.llm.common import shared_dir, table
 
 #: Shares of the expected tokens that low-quality and good documents are to have.
@@ -77,6 +77,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -90,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_similar": op2_similar, "op3_quotes": op3_quotes, "op4_exact_dedup": op4_exact_dedup, "op5_neighbours": op5_neighbours,
     "op6_suffix_dedup": op6_suffix_dedup, "op7_toxicity": op7_toxicity, "op8_packing": op8_packing, "op9_token_count": op9_token_count, "op10_token_store": op10_token_store,
-    "op11_whitening": op11_whitening, "op13_exact_search": op13_exact_search, "pipeline": pipeline,
+    "op11_whitening": op11_whitening, "op12_lexical": op12_lexical, "op13_exact_search": op13_exact_search, "pipeline": pipeline,
 }
 
 _EXACT = r"""
@@ -121,6 +125,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+_LEXICAL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+f AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY ALL),
+g AS (SELECT count(*)::BIGINT AS n, sum(n)::BIGINT AS l FROM n),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * g.n + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term, g.n),
+m AS (SELECT doc_id, 100 - 25 + (25 * n.n * g.n) // g.l AS m FROM n, g),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM a JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
 _EXACT_SEARCH = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
@@ -145,4 +164,4 @@ SELECT conv_id, (position - 1) // 256 AS part, count(*) AS n_messages, sum(n_pas
 FROM n GROUP BY 1, 2
 """
 
-ORACLE_SQL = {"op2_similar": _SIMILAR, "op3_quotes": _QUOTES, "op4_exact_dedup": _EXACT, "op5_neighbours": _NEIGHBOURS, "op13_exact_search": _EXACT_SEARCH}
+ORACLE_SQL = {"op2_similar": _SIMILAR, "op3_quotes": _QUOTES, "op4_exact_dedup": _EXACT, "op5_neighbours": _NEIGHBOURS, "op12_lexical": _LEXICAL, "op13_exact_search": _EXACT_SEARCH}

@@ -30,7 +30,8 @@ def parsed(text: Column) -> Column:
 
 
 def embedded(v: Column) -> Column:
-    return v.isNotNull() & F.exists(v, lambda x: x != 0)
+    """Not null, not zero, and without null, NaN or infinite components."""
+    return v.isNotNull() & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def or_zero(v: Column, dim: int) -> Column:

@@ -63,12 +63,15 @@ def nearest_pairs(rows: DataFrame, most: float, each: int, later_only: bool = Tr
     """(key, a, b, distance) of (key, id, v): for each a the ``each`` nearest b of its key by cosine distance under ``most``.
 
     ``later_only``: only b with a larger id. With a column ``asked`` only rows that are
-    asked meet only rows that aren't. Vectors of different lengths don't meet. Ties go
-    to the smaller b.
+    asked meet only rows that aren't. Vectors of different lengths don't meet; those that
+    are null, zero or hold null, NaN or infinite components meet none. Ties go to the
+    smaller b.
     """
     keys = ["key", "dim"]
     told = "asked" in rows.columns
     sized = rows.select("key", "id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("dim"), F.col("asked") if told else F.lit(False).alias("asked"))
+    v = F.col("v")
+    sized = sized.where(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0))
     counts = sized.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).withColumnsRenamed({"key": "_k", "dim": "_d"})
     joined = sized.join(counts, F.col("key").eqNullSafe(F.col("_k")) & (F.col("dim") == F.col("_d")))
     own = joined.withColumn("own", F.pmod(F.xxhash64("id"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))

@@ -145,6 +145,26 @@ def would_cycle(relations: DataFrame, child: int, parent: int) -> bool:
     return not below.where(F.col("id") == parent).isEmpty()
 
 
+def on_loops(relations: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of ``part_of`` edges (from_entity_id, to_entity_id, …) that stand among the relations, those from whose upper end parents lead back to the lower one.
+
+    All edges are followed up at once, a level a round; a node is visited once for each edge.
+    """
+    up = kept(relations.where(F.col("relation_type") == "part_of").select(F.col("from_entity_id").alias("at"), F.col("to_entity_id").alias("then")).distinct())
+    now = kept(edges.select(F.col("from_entity_id").alias("low"), F.col("to_entity_id").alias("high")).distinct().withColumn("at", F.col("high")))
+    seen, level = now, 0
+    while True:
+        level += 1
+        new = kept(now.where(F.col("at") != F.col("low")).join(up, "at").select("low", "high", F.col("then").alias("at")).distinct().join(seen, ["low", "high", "at"], "left_anti"))
+        if new.isEmpty():
+            break
+        seen, now = seen.unionByName(new), new
+        if level % 16 == 0:
+            seen = kept(seen)
+    hit = seen.where(F.col("at") == F.col("low")).select(F.col("low").alias("from_entity_id"), F.col("high").alias("to_entity_id")).distinct()
+    return edges.join(hit, ["from_entity_id", "to_entity_id"], "left_semi")
+
+
 def induced_edges(relations: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends in ``ids``."""
     own = ids.select("id").distinct()

@@ -169,7 +169,7 @@ def _(spark, d):
 
 
 @query("import_duplicates", f"""WITH o AS (SELECT doc_id AS id, doc_id % 200 AS m, text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 11 <> 0),
-i AS (SELECT doc_id AS key, doc_id % 200 AS m, CASE WHEN doc_id % 4 = 0 THEN ' ' WHEN doc_id % 4 = 1 THEN text ELSE 'new ' || doc_id END AS content, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = (doc_id * 7 + 1) % 500 WHERE doc_id < 500),
+i AS (SELECT doc_id AS key, doc_id % 200 AS m, CASE WHEN doc_id % 4 = 0 THEN ' ' WHEN doc_id % 4 = 1 THEN text ELSE 'new ' || doc_id END AS content, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = (doc_id * 7 + 1) % (SELECT count(*) FROM embeddings)),
 x AS (SELECT key, min(o.id) AS same FROM i JOIN o ON i.m = o.m AND i.content = o.text WHERE trim(content) <> '' GROUP BY key),
 n AS (SELECT key, arg_min(o.id, (1 - list_cosine_similarity(i.v, o.v), o.id)) AS id, min(1 - list_cosine_similarity(i.v, o.v)) AS distance FROM i JOIN o USING (m) WHERE trim(content) <> '' AND key NOT IN (SELECT key FROM x) GROUP BY key)
 SELECT key, same IS NOT NULL OR coalesce(distance <= 0.9, false) AS duplicate, coalesce(same, n.id) AS observation_id, CASE WHEN same IS NOT NULL THEN 0.0 ELSE round(distance, 6) END AS distance, same IS NOT NULL AS exact FROM i LEFT JOIN x USING (key) LEFT JOIN n USING (key)""")
@@ -178,26 +178,52 @@ def _(spark, d):
     k = F.col("doc_id")
     o = docs.join(v, k == F.col("vec_id")).select(k.alias("id"), (k % 200).alias("memory_entity_id"), F.col("text").alias("content"), F.when(k % 11 == 0, "obsolete").otherwise("active").alias("status"), "embedding")
     content = F.when(k % 4 == 0, " ").when(k % 4 == 1, F.col("text")).otherwise(F.concat(F.lit("new "), k.cast("string")))
-    new = docs.where("doc_id < 500").join(v, (k * 7 + 1) % 500 == F.col("vec_id")).select(k.alias("key"), (k % 200).alias("memory_entity_id"), content.alias("content"), "embedding")
+    n = v.agg(F.count("*").alias("n"))  # one row
+    new = docs.crossJoin(F.broadcast(n)).join(v, (k * 7 + 1) % F.col("n") == F.col("vec_id")).select(k.alias("key"), (k % 200).alias("memory_entity_id"), content.alias("content"), "embedding")
     return imports.duplicate_contents(new, o, 0.9).withColumn("distance", F.round("distance", 6))
 
 
-@query("import_executed", views("relations") + f""", m AS ({_CHILDREN}), c AS (SELECT c_custkey AS k, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS n, status, match_id, CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 13 = 0 THEN 'depends_on' ELSE 'part_of' END AS t, c_custkey % 17 = 0 AS down FROM customer JOIN m ON node_path = '0.children.' || c_custkey),
-g AS (SELECT k, n, t, down FROM c WHERE status <> 'skip' AND match_id IS NOT NULL),
-e AS (SELECT CASE WHEN down THEN n + 20000000000 ELSE k + 30000000000 END AS f, CASE WHEN down THEN k + 30000000000 ELSE n + 20000000000 END AS t2, t FROM g),
-keep AS (SELECT f, min(t2) AS t2 FROM e WHERE t = 'part_of' GROUP BY f),
-s AS (SELECT from_entity_id, to_entity_id, relation_type FROM relations r LEFT JOIN keep ON f = from_entity_id WHERE f IS NULL OR relation_type <> 'part_of' OR to_entity_id = keep.t2),
-a AS (SELECT DISTINCT f, t2, t FROM e WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE r.from_entity_id = f AND r.to_entity_id = t2 AND r.relation_type = t))
-SELECT from_entity_id, to_entity_id, relation_type, count(*) AS n FROM (SELECT * FROM s UNION ALL SELECT * FROM a) GROUP BY ALL""")
+# A tree of customers below their nations: some moved, some new, every nineteenth below two nations
+_TREE = """c AS (SELECT c_custkey AS k, c_nationkey AS home, c_name || CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN ' jr' ELSE '' END AS name, CASE WHEN c_custkey % 7 = 0 THEN 'Tool' ELSE 'User' END AS kind,
+  CASE WHEN c_custkey % 13 = 0 THEN 'depends_on' ELSE 'part_of' END AS t, c_custkey % 13 = 0 AND c_custkey % 17 = 0 AS down, c_custkey % 5 = 0 OR c_custkey % 7 = 0 AS fresh FROM customer),
+n AS (SELECT *, CASE WHEN k % 3 = 0 THEN (home + 1) % 25 ELSE home END AS n, k AS pos FROM c UNION ALL SELECT *, (home + 2) % 25, 100000000 + k FROM c WHERE k % 19 = 0),
+i AS (SELECT k, 9000000000000 + row_number() OVER (ORDER BY pos) - 1 AS id FROM (SELECT k, min(n * 10000000000 + pos) AS pos FROM n WHERE fresh GROUP BY k)),
+m AS (SELECT n.*, CASE WHEN fresh THEN i.id ELSE n.k + 30000000000 END AS id, NOT fresh AND t = 'part_of' AND n.n = home AS skipped FROM n LEFT JOIN i USING (k)),
+last AS (SELECT id, arg_max(n, n * 10000000000 + pos) + 20000000000 AS parent FROM m WHERE t = 'part_of' AND NOT skipped GROUP BY id)"""
+
+
+def _import_tree(spark, d):
+    c, k = S.table(spark, d, "customer"), F.col("c_custkey").cast("long")
+    fresh = (k % 5 == 0) | (k % 7 == 0)
+    rows = c.select(
+        k.alias("k"), F.col("c_nationkey").alias("home"), F.when(fresh, F.concat("c_name", F.lit(" jr"))).otherwise(F.col("c_name")).alias("name"), F.when(k % 7 == 0, "gem tool").otherwise("person").alias("_kind"), F.when(k % 7 == 0, "tools").otherwise("person").alias("entity_type"),
+        F.when(k % 13 == 0, "requires").otherwise("belongs_to").alias("relation_type"), ((k % 13 == 0) & (k % 17 == 0)).alias("parent_to_child"),
+        F.concat(F.lit("a"), (k % 3).cast("string"), F.lit(";x")).alias("aliases"), F.array(F.concat(F.lit("fact "), (k % 4).cast("string")), F.lit("seen"), F.lit(" "), F.lit("seen")).alias("observations"),
+    ).drop("_kind")
+    first = rows.withColumn("n", F.when(F.col("k") % 3 == 0, (F.col("home") + 1) % 25).otherwise(F.col("home"))).withColumn("at", F.col("k"))
+    again = rows.where("k % 19 = 0").withColumn("n", (F.col("home") + 2) % 25).withColumn("at", F.col("k") + 100_000_000)
+    both = first.unionByName(again)
+    nations = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("parent_name"))
+    path = F.concat_ws(".children.", F.col("n").cast("string"), F.col("at").cast("string"))
+    children = both.join(nations, "n").select(path.alias("node_path"), F.col("n").cast("string").alias("parent_path"), "parent_name", "name", "entity_type", "relation_type", "parent_to_child", "aliases", "observations")
+    return children, nations.select(F.col("n").cast("string").alias("node_path"), F.col("parent_name").alias("name"), F.lit("lib").alias("entity_type"), F.lit("skip").alias("status"))
+
+
+@query("import_executed", views("entities", "relations") + f""", {_TREE},
+e AS (SELECT DISTINCT CASE WHEN down THEN n + 20000000000 ELSE id END AS f, CASE WHEN down THEN id ELSE n + 20000000000 END AS t2 FROM m WHERE t = 'depends_on')
+SELECT 'relation' AS part, from_entity_id AS id, to_entity_id AS ref_id, relation_type AS label, NULL AS aliases FROM relations WHERE NOT (relation_type = 'part_of' AND from_entity_id IN (SELECT id FROM last))
+UNION ALL SELECT 'relation', id, parent, 'part_of', NULL FROM last UNION ALL SELECT 'relation', f, t2, 'depends_on', NULL FROM e
+UNION ALL SELECT DISTINCT 'observation', id, NULL::BIGINT, unnest(['fact ' || k % 4, 'seen']), NULL FROM m
+UNION ALL SELECT 'entity', id, NULL, name, aliases FROM entities UNION ALL SELECT 'entity', id, NULL, arg_min(name, n * 10000000000 + pos), CASE WHEN count(*) > 1 THEN 'a' || any_value(k) % 3 || ',x' ELSE 'a' || any_value(k) % 3 || ';x' END FROM m WHERE fresh GROUP BY id""")
 def _(spark, d):
-    g, nodes = S.graph(spark, d), _children(spark, d)
-    matched = imports.match_children(nodes, g.entities, g.relations)
-    # new names stay out here: their ids follow from an order of paths that tests check
-    decided = nodes.join(matched, "node_path").where("match_id IS NOT NULL").withColumn("parent_path", F.concat(F.lit("p"), "parent_name"))
-    none = F.lit(None).cast("string")
-    parents = S.table(spark, d, "nation").select(F.concat(F.lit("p"), F.upper("n_name")).alias("node_path"), none.alias("parent_path"), F.col("n_name").alias("name"), F.lit("Framework").alias("entity_type"), none.alias("relation_type"), F.lit(False).alias("parent_to_child"), F.lit("skip").alias("status"), (F.col("n_nationkey").cast("long") + 2 * S.KIND).alias("match_id"))
-    out = imports.executed(g, parents.unionByName(decided.select(*parents.columns)), 9 * S.EDGE)
-    return out.relations.groupBy("from_entity_id", "to_entity_id", "relation_type").agg(F.count("*").alias("n"))
+    g = S.graph(spark, d)
+    children, nations = _import_tree(spark, d)
+    decided = children.join(imports.match_children(children, g.entities, g.relations), "node_path").unionByName(nations, allowMissingColumns=True)
+    out = imports.executed(g, decided, 9 * S.EDGE).graph
+    none = F.lit(None)
+    parts = out.relations.select(F.lit("relation").alias("part"), F.col("from_entity_id").alias("id"), F.col("to_entity_id").alias("ref_id"), F.col("relation_type").alias("label"), none.cast("string").alias("aliases"))
+    new = out.observations.where(F.col("id") >= 9 * S.EDGE).select(F.lit("observation"), "memory_entity_id", none.cast("long"), "content", none.cast("string"))
+    return parts.unionAll(new).unionAll(out.entities.select(F.lit("entity"), "id", none.cast("long"), "name", "aliases"))
 
 
 # Project checks: notes of orders that mention nations and brands

@@ -314,7 +314,7 @@ def test_import_is_carried_out(spark):
     edges = spark.createDataFrame([(1, 2, 3, "part_of")], EDGES)
     kinds = "node_path string, parent_path string, name string, entity_type string, relation_type string, parent_to_child boolean, status string, match_id long"
     rows = [("0", None, "p", "Project", None, None, "skip", 1), ("0.children.0", "0", "c", "todo", "child_of", None, "add_relation", 2), ("0.children.1", "0", "new", "bug", None, None, "new", None), ("0.children.1.children.0", "0.children.1", "deep", "Tool", "requires", True, "new", None), ("0.children.2", "0", "new", "bug", None, None, "new", None)]
-    out = imports.executed(Graph(entities, observations(spark, []), edges), spark.createDataFrame(rows, kinds), 100)
+    out = imports.executed(Graph(entities, observations(spark, []), edges), spark.createDataFrame(rows, kinds), 100).graph
     assert sorted((r.id, r.name, r.entity_type) for r in out.entities.collect())[3:] == [(100, "new", "Issue"), (101, "deep", "Tool")]
     assert sorted((r.from_entity_id, r.to_entity_id, r.relation_type) for r in out.relations.collect()) == [(2, 1, "part_of"), (100, 1, "part_of"), (100, 101, "depends_on")]
 

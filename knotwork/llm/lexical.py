@@ -12,6 +12,9 @@ block whose bound is lower cannot hold a member and is never read for that query
 All scores are integers, so results are exact. Terms are known by 128 bits of hash; two
 terms of one block that share the first 64 are told apart by the others.
 
+Blocks stay where they are written as long as Spark finds the list of wanted blocks small
+enough to broadcast; else they are shuffled by their number, once a round.
+
 Queries meet blocks in groups of QUERY_GROUP queries and their terms, so that a task
 holds a block, a group and k scores a query; only terms that a query holds leave the
 pass over the maxima. A group is met by many blocks: it is small, so Spark broadcasts
@@ -109,6 +112,15 @@ def places_in(d1: np.ndarray, d2: np.ndarray, h1: np.ndarray, h2: np.ndarray) ->
         at = at + other
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 in the least of 1, 2 or 4 bytes each."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n if n else 1}").astype(np.int64)
+
+
 def _row(values: tuple, schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
@@ -132,7 +144,7 @@ def forward_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 pairs, counts = np.unique((np.cumsum(n_terms > 0)[row] - 1) * len(d1) + codes, return_counts=True)
                 heads = np.searchsorted(pairs, np.arange(len(there) + 1) * len(d1))
                 kept = ids.take(pa.array(there + i))
-                values = block, kept.to_pylist(), n_terms[there].tolist(), d1.tobytes(), d2.tobytes(), heads.astype(np.int32).tobytes(), (pairs % len(d1)).astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), len(there), len(h1)
+                values = block, kept.to_pylist(), n_terms[there].tolist(), d1.tobytes(), d2.tobytes(), heads.astype(np.int32).tobytes(), narrow(pairs % len(d1)), narrow(counts), len(there), len(h1)
                 yield _row(values, _BLOCK)
                 block += 1
 
@@ -148,8 +160,7 @@ def _blocks_of(offs: np.ndarray) -> Iterator[tuple[int, int]]:
 def impacts(counts: np.ndarray, n_terms: list[int], heads: np.ndarray, n: int, total: int) -> np.ndarray:
     """t(tf, m) of each posting; m = 75 + 25 n N div L of its document."""
     m = np.array([75 + 25 * x * n // total for x in n_terms], np.int64)  # in Python's integers
-    tf = counts.astype(np.int64)
-    return SCALE * tf // (K1 * tf + K1B * np.repeat(m, np.diff(heads)))
+    return SCALE * counts // (K1 * counts + K1B * np.repeat(m, np.diff(heads)))
 
 
 def block_maxima(blocks: DataFrame, n: int, total: int) -> DataFrame:
@@ -159,7 +170,8 @@ def block_maxima(blocks: DataFrame, n: int, total: int) -> DataFrame:
         for batch in batches:
             for block, n_terms, h1, h2, heads, codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h1, h2 = np.frombuffer(h1, np.int64), np.frombuffer(h2, np.int64)
-                heads, codes, counts = (np.frombuffer(x, np.int32) for x in (heads, codes, counts))
+                heads = np.frombuffer(heads, np.int32)
+                codes, counts = widened(codes, int(heads[-1])), widened(counts, int(heads[-1]))
                 best = np.zeros(len(h1), np.int64)
                 np.maximum.at(best, codes, impacts(counts, n_terms, heads, n, total))
                 df = np.bincount(codes, minlength=len(h1))
@@ -193,7 +205,8 @@ def scored_blocks(tiles: DataFrame, k: int, n: int, total: int) -> DataFrame:
         for batch in batches:
             for ids, n_terms, h1, h2, heads, codes, counts, wanted, floors, rows, items, starts, q1, q2, weights in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 d1, d2 = np.frombuffer(h1, np.int64), np.frombuffer(h2, np.int64)
-                heads, codes, counts = (np.frombuffer(x, np.int32) for x in (heads, codes, counts))
+                heads = np.frombuffer(heads, np.int32)
+                codes, counts = widened(codes, int(heads[-1])), widened(counts, int(heads[-1]))
                 starts, weights = np.array(starts), np.array(weights, np.int64)
                 code = places_in(d1, d2, np.array(q1, np.int64), np.array(q2, np.int64))
                 place = {row: p for p, row in enumerate(rows)}
@@ -286,7 +299,8 @@ def search(index: Index, queries: DataFrame, k: int = 20, id_col: str = "item_id
         else:
             floors = best.where(F.col("rank") == k).select("row", F.col("score").alias("floor"))
             pairs = pairs.join(floors, "row", "left").fillna(0, ["floor"]).where("bound >= floor")
-        wanted = pairs.groupBy("block", _group("row", groups)).agg(F.collect_list(F.struct("row", "floor")).alias("w"))
+        # written, so that Spark knows its size and sends it to the blocks where it is small, not the blocks to it
+        wanted = written(pairs.groupBy("block", _group("row", groups)).agg(F.collect_list(F.struct("row", "floor")).alias("w")), "wanted")
         tiles = wanted.select("block", "group", F.col("w.row").alias("wanted"), F.col("w.floor").alias("floors")).join(index.blocks.drop("with_terms", "total"), "block").join(packed, "group")
         found = scored_blocks(tiles, k, index.n, index.total)
         best = written(_best(found if best is None else best.drop("rank").unionAll(found), k), "best")

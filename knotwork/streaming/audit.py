@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, per_trigger: int = 10) -> DataFrame:
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", "events*.parquet").parquet(folder)
+def read_events(spark: SparkSession, folder: str, per_trigger: int = 10, pattern: str = "events*.parquet") -> DataFrame:
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", pattern).parquet(folder)
 
 
 def action_counts(events: DataFrame, window: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from knotwork.plans import evidence, queries, resolution  # noqa: F401  they register themselves
+from knotwork.plans import evidence, queries, resolution, upkeep  # noqa: F401  they register themselves
 from knotwork.plans.base import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"

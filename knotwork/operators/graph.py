@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.order import numbered
+from knotwork.operators.order import numbered, summed_before
 from knotwork.sources.shared import kept
 
 MAX_DEPTH, MAX_NODES, MAX_SCOPE = 5, 1000, 1000
@@ -224,6 +224,48 @@ def export_paths(entities: DataFrame, relations: DataFrame, roots: DataFrame, de
     return out
 
 
+def ordered_tree(entities: DataFrame, relations: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
+    """(position, key, id, depth, relation_id, direction): export trees in document order, from 1.
+
+    Children come in the order of their edges: ``part_of`` and ``depends_on`` backwards,
+    then other edges forwards; two edges to one child give it twice. A path never meets a
+    node twice, and a nested Project is a leaf. Roots come by id, each once.
+
+    Subtree sizes are added from the deepest level up; a node's place is its parent's
+    plus the sizes of what stands between, which is a difference of two sums over the
+    level in (parent, edge) order. So a parent of any number of children is spread over
+    range partitions, and each level costs some shuffles of that level only.
+    """
+    up = F.col("relation_type").isin("part_of", "depends_on")
+    edge = F.struct(F.when(up, 0).otherwise(1).alias("group"), F.col("id").alias("relation_id"))
+    edges = kept(relations.select(F.when(up, F.col("to_entity_id")).otherwise(F.col("from_entity_id")).alias("a"), F.when(up, F.col("from_entity_id")).otherwise(F.col("to_entity_id")).alias("b"), edge.alias("edge"), F.when(up, "incoming").otherwise("outgoing").alias("direction")))
+    kind = entities.select(F.col("id").alias("b"), (F.col("entity_type") == "Project").alias("leaf"))
+    none = F.lit(None)
+    first = roots.select("id").distinct().join(entities.select("id"), "id", "left_semi")
+    levels = [kept(first.select(F.col("id").cast("string").alias("key"), none.cast("string").alias("parent"), F.struct(F.lit(0).alias("group"), F.col("id").alias("relation_id")).alias("edge"), "id", F.array("id").alias("path"), none.cast("string").alias("direction"), F.lit(False).alias("leaf")))]
+    for _ in range(depth):
+        step = levels[-1].where(~F.col("leaf")).select(F.col("key").alias("parent"), "path", F.col("id").alias("a")).join(edges, "a").where(~F.array_contains("path", F.col("b"))).join(kind, "b")
+        step = kept(step.select(F.concat_ws("/", "parent", F.col("edge.relation_id").cast("string")).alias("key"), "parent", "edge", F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"), "direction", "leaf"))
+        if step.isEmpty():
+            break
+        levels.append(step)
+    sized, below = [], None
+    for level in reversed(levels):
+        size = level if below is None else level.join(below.groupBy(F.col("parent").alias("key")).agg(F.sum("size").alias("below")), "key", "left")
+        below = kept(size.withColumn("size", F.lit(1).cast("long") if below is None else 1 + F.coalesce("below", F.lit(0))).select("key", "parent", "edge", "id", "direction", "size"))
+        sized.insert(0, below)
+    out, above = None, None
+    for k, level in enumerate(sized):
+        before = summed_before(level, F.col("size"), F.asc("parent"), F.asc("edge"))
+        if above is not None:
+            own = before.groupBy("parent").agg(F.min("before").alias("_first"))
+            before = before.join(own, "parent").join(above, "parent").withColumn("before", F.col("_above") + 1 + F.col("before") - F.col("_first"))
+        placed = kept(before.select((F.col("before") + 1).alias("position"), "key", "id", F.lit(k).alias("depth"), F.when(F.lit(k > 0), F.col("edge.relation_id")).alias("relation_id"), "direction"))
+        above = placed.select(F.col("key").alias("parent"), (F.col("position") - 1).alias("_above"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
 def nested_paths(relations: DataFrame, roots: DataFrame, depth: int = 3, cap: int | None = MAX_NODES) -> DataFrame:
     """(root, path, id, relation_id, direction, depth): a nested view of what is around each root, both ways.
 

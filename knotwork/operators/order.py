@@ -10,13 +10,20 @@ from knotwork.sources.shared import kept
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
-    """Rows with their place (from 1) in a global order that has no ties.
+    """Rows with their place (from 1) in a global order that has no ties."""
+    return summed_before(df, F.lit(1), *order, name=name).withColumn(name, F.col(name) + 1)
 
-    Range partitions are sorted and numbered each; what stands before a partition
-    is added from the partitions' counts, one row for each partition.
+
+def summed_before(df: DataFrame, value: Column, *order: Column, name: str = "before") -> DataFrame:
+    """Rows with the sum of a whole number over those that stand before them in a global order without ties.
+
+    Range partitions are sorted and summed each; what stands before a partition is added
+    from the partitions' sums, one row for each partition.
     """
+    df = df.withColumn("_v", value.cast("long"))
     ranged = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    counts = ranged.groupBy("_part").agg(F.sum("_v").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = ranged.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return own.join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+    earlier = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = ranged.withColumn(name, F.coalesce(F.sum("_v").over(earlier), F.lit(0)))
+    return own.join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before", "_v")

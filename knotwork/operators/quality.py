@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from knotwork.operators.graph import isolated
+from knotwork.sources.shared import kept
+from knotwork.sources.views import Graph
+
 
 def duplicate_observations(observations: DataFrame, case_insensitive: bool = False) -> DataFrame:
     """(memory_entity_id, keep_id, n) of repeated active contents; long contents are grouped by their digest."""
@@ -84,6 +90,48 @@ def stale_embeddings(df: DataFrame) -> DataFrame:
     return df.where(F.col("embedding").isNull()).select("id")
 
 
+def sweep(g: Graph, touched: DataFrame | None = None, counter: str = "memory_observations_count") -> tuple[Graph, DataFrame]:
+    """The integrity sweep: (the graph after it, findings (step, kind, id, ref_id)).
+
+    1. repeated edges go, the first stays; edges both ways and second parents are told;
+    2. entities without anything are told; repeated active contents go, the first stays;
+    3. stored counters are set to what is there;
+    4. edges with a missing end go;
+    5. rows without a vector are told;
+    6. faults in the life of observations are told.
+
+    Each step reads what the ones before left. With ``touched`` (ids), as after an earlier
+    sweep, counters and lives are looked at for those entities only, and for those whose
+    observations this sweep deleted.
+    """
+    row = lambda df, step, kind, i, ref: df.select(F.lit(step).alias("step"), F.lit(kind).alias("kind"), F.col(i).cast("long").alias("id"), (F.lit(None) if ref is None else F.col(ref)).cast("long").alias("ref_id"))
+    w = W.partitionBy("from_entity_id", "to_entity_id", "relation_type")
+    marked = kept(g.relations.withColumn("_keep", F.min("id").over(w)))
+    again = marked.where("id <> _keep")
+    found = [row(again, 1, "same_direction", "id", "_keep"), row(reverse_pairs(g.relations), 1, "reverse_pair", "delete_id", "keep_id"), row(merge_collisions(g.relations), 1, "second_parent", "delete_id", "keep_id")]
+    relations = marked.where("id = _keep").select(*g.relations.columns)
+    keep = F.min("id").over(W.partitionBy("memory_entity_id", F.md5("content")))
+    repeats = kept(g.observations.where("status = 'active'").withColumn("_keep", keep).where("id <> _keep").select("id", "memory_entity_id", "_keep"))
+    found += [row(isolated(g.entities, g.observations, relations), 2, "orphan", "id", None), row(repeats, 2, "repeated_observation", "id", "_keep")]
+    observations = g.observations.join(repeats.select("id"), "id", "left_anti").select(*g.observations.columns)
+    entities, looked, lives = g.entities, g.entities, observations
+    if touched is not None:
+        some = kept(touched.select("id").unionAll(repeats.select(F.col("memory_entity_id").alias("id"))).distinct())
+        looked = entities.join(some, "id", "left_semi")
+        lives = observations.join(some.withColumnRenamed("id", "memory_entity_id"), "memory_entity_id", "left_semi").select(*observations.columns)
+    if counter in entities.columns:
+        drift = kept(counter_drift(looked, lives, counter))
+        found.append(row(drift, 3, "counter", "id", "counted"))
+        entities = entities.join(drift.select("id", "counted"), "id", "left").withColumn(counter, F.coalesce("counted", counter).cast(entities.schema[counter].dataType)).select(*g.entities.columns)
+    lost = kept(dangling(entities, relations))
+    found.append(row(lost, 4, "dangling", "id", None))
+    relations = relations.join(lost, "id", "left_anti").select(*g.relations.columns)
+    found += [row(stale_embeddings(df), 5, f"{what}_without_vector", "id", None) for what, df in (("entity", entities), ("observation", observations)) if "embedding" in df.columns]
+    faults = lifecycle_issues(observations) if touched is None else lifecycle_issues(observations).join(lives.select("id"), "id", "left_semi")
+    found.append(faults.select(F.lit(6).alias("step"), F.col("issue").alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("ref_id")))
+    return Graph(entities, observations, relations), reduce(DataFrame.unionByName, found)
+
+
 def repaired(entities: DataFrame, observations: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Integrity sweep as table rewrites: repeated edges, repeated observations, dangling edges, in that order."""
     first = relations.withColumn("_n", F.row_number().over(W.partitionBy("from_entity_id", "to_entity_id", "relation_type").orderBy("id"))).where("_n = 1").drop("_n")

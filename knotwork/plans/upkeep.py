@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from knotwork.operators import compaction
-from knotwork.plans.base import query
+from knotwork.operators import compaction, quality
+from knotwork.operators import graph as G
+from knotwork.plans.base import query, views
 from knotwork.plans.queries import _TOK
 from knotwork.plans.resolution import _PAIRS
+from knotwork.sources import exchange
 from knotwork.sources import views as S
 from knotwork.sources.shared import shared_dir
 from knotwork.streaming import audit
@@ -87,3 +89,63 @@ def _(spark, d):
     changes = done[1]
     rows = changes["orphans"].unionByName(changes["merges"]).unionByName(changes["observations"])
     return rows.select("kind", "a", "b", "score")
+
+
+@query("tree_in_order", views("entities", "relations", then="""ed AS (SELECT CASE WHEN relation_type IN ('part_of', 'depends_on') THEN to_entity_id ELSE from_entity_id END AS a, CASE WHEN relation_type IN ('part_of', 'depends_on') THEN from_entity_id ELSE to_entity_id END AS b,
+  id AS edge, CASE WHEN relation_type IN ('part_of', 'depends_on') THEN 'incoming' ELSE 'outgoing' END AS direction, CASE WHEN relation_type IN ('part_of', 'depends_on') THEN 0 ELSE 100000000000000 END + id AS place FROM relations),
+w(id, path, places, depth, relation_id, direction) AS (SELECT id, [id], [id], 0, NULL::BIGINT, NULL::VARCHAR FROM entities WHERE entity_type = 'Project' UNION ALL SELECT b, list_append(path, b), list_append(places, place), depth + 1, edge, ed.direction FROM w JOIN ed ON a = w.id WHERE depth < 3 AND NOT list_contains(path, b) AND (depth = 0 OR w.id >= 20000000000))""", recursive=True) + "SELECT row_number() OVER (ORDER BY places) AS position, id, depth, coalesce(relation_id, -1) AS relation_id, coalesce(direction, '') AS direction FROM w")
+def _(spark, d):
+    e = S.entities(spark, d)
+    rows = G.ordered_tree(e, S.relations(spark, d), e.where("entity_type = 'Project'"), 3)
+    return rows.select("position", "id", "depth", "relation_id", "direction").fillna({"relation_id": -1, "direction": ""})
+
+
+# Lines: orders as entities below their customers, some known, repeated or of another type
+
+
+@query("lines_upserted", views("entities", "relations") + """, l AS (SELECT o_orderkey AS k, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Order#' || o_orderkey ELSE 'Note#' || o_orderkey // 2 END AS name, o_orderkey % 3 <> 0 AS fresh FROM orders),
+nw AS (SELECT name, min(k) AS f FROM l WHERE fresh GROUP BY name), ni AS (SELECT name, f, 8000000000000 + row_number() OVER (ORDER BY f) - 1 AS id FROM nw),
+t AS (SELECT l.*, CASE WHEN fresh THEN ni.id ELSE k + 60000000000 END AS id, f FROM l LEFT JOIN ni USING (name)),
+o1 AS (SELECT id, 'placed ' || k % 5 AS content FROM t UNION ALL SELECT id, 'placed ' || k % 5 FROM t WHERE k = f UNION ALL SELECT id, 'seen' FROM t),
+o2 AS (SELECT id, content, count(*) FILTER (content LIKE 'placed%') AS n FROM o1 GROUP BY 1, 2),
+fo AS (SELECT id, 'placed ' || f % 5 AS content FROM t WHERE k = f),
+e AS (SELECT id, arg_min(o_custkey, k) + 30000000000 AS parent FROM t WHERE fresh GROUP BY id)
+SELECT 'entity' AS part, id, NULL::BIGINT AS ref_id, name AS label, 1::BIGINT AS n FROM ni
+UNION ALL SELECT 'observation', o2.id, NULL, o2.content, CASE WHEN fo.id IS NULL THEN 1 ELSE 2 END FROM o2 LEFT JOIN fo ON fo.id = o2.id AND fo.content = o2.content
+UNION ALL SELECT 'relation', id, parent, 'part_of', 1 FROM e UNION ALL SELECT 'relation', from_entity_id, to_entity_id, relation_type, 1 FROM relations WHERE relation_type = 'part_of'""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Order#"), k.cast("string"))).otherwise(F.concat(F.lit("Note#"), F.floor(k / 2).cast("string")))
+    c = S.table(spark, d, "customer").select("c_custkey", "c_name")
+    orders = S.table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    fact = F.concat(F.lit("placed "), (k % 5).cast("string"))
+    entity = F.to_json(F.struct(F.lit("entity").alias("type"), name.alias("name"), F.when(k % 3 == 0, "todo").otherwise("gems").alias("entityType"), F.array(fact, fact, F.lit("seen"), F.lit(" ")).alias("observations")))
+    edge = F.to_json(F.struct(F.lit("relation").alias("type"), name.alias("from"), F.col("c_name").alias("to"), F.lit("child_of").alias("relationType")))
+    lines = orders.select((k * 4).alias("position"), entity.alias("value")).unionAll(orders.select(k * 4 + 1, edge)).unionAll(orders.where(k % 7 == 0).select(k * 4 + 2, F.concat(F.lit('{"type": "entity", "name": "'), "c_name", F.lit('", "entityType": "Tool", "observations": ["x"]}'))))
+    lines = lines.unionAll(orders.where(k % 11 == 0).select(k * 4 + 3, F.lit("{no json")))
+    g = S.graph(spark, d)
+    out = exchange.upserted(g, lines, 8 * S.EDGE)
+    new = out.entities.where(F.col("id") >= 8 * S.EDGE).select(F.lit("entity").alias("part"), "id", F.lit(None).cast("long").alias("ref_id"), F.col("name").alias("label"), F.lit(1).cast("long").alias("n"))
+    facts = out.observations.where(F.col("id") >= 8 * S.EDGE).groupBy("memory_entity_id", "content").agg(F.count("*").alias("n")).select(F.lit("observation"), "memory_entity_id", F.lit(None).cast("long"), "content", "n")
+    edges = out.relations.where("relation_type = 'part_of'").select(F.lit("relation"), "from_entity_id", "to_entity_id", "relation_type", F.lit(1).cast("long"))
+    return new.unionAll(facts).unionAll(edges)
+
+
+@query("integrity_sweep", views("entities", "raw_relations", "observations")[:-1] + """, e AS (SELECT id, id % 5 AS stored FROM entities WHERE entity_type IN ('Component', 'Task') AND id % 9 <> 0),
+o AS (SELECT id, memory_entity_id, 'fact ' || (id // 200) % 3 AS content, status, obsoleted_at, superseded_by_id FROM observations),
+s1 AS (SELECT *, min(id) OVER (PARTITION BY from_entity_id, to_entity_id, relation_type) AS keep FROM raw_relations), r AS (SELECT * FROM s1 WHERE id = keep),
+mp AS (SELECT from_entity_id, min(id) AS keep FROM raw_relations WHERE relation_type = 'part_of' GROUP BY 1 HAVING count(DISTINCT to_entity_id) > 1),
+s2 AS (SELECT *, min(id) OVER (PARTITION BY memory_entity_id, content) AS keep FROM o WHERE status = 'active'), q AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM s2 WHERE id <> keep)),
+c AS (SELECT e.id, stored, count(q.id) AS n FROM e LEFT JOIN q ON memory_entity_id = e.id GROUP BY 1, 2)
+SELECT 1 AS step, 'same_direction' AS kind, id, keep AS ref_id FROM s1 WHERE id <> keep
+UNION ALL SELECT 1, 'second_parent', id, keep FROM raw_relations JOIN mp USING (from_entity_id) WHERE relation_type = 'part_of' AND id <> keep
+UNION ALL SELECT 2, 'orphan', id, NULL FROM e WHERE id NOT IN (SELECT memory_entity_id FROM o) AND id NOT IN (SELECT from_entity_id FROM r) AND id NOT IN (SELECT to_entity_id FROM r)
+UNION ALL SELECT 2, 'repeated_observation', id, keep FROM s2 WHERE id <> keep UNION ALL SELECT 3, 'counter', id, n FROM c WHERE n <> stored
+UNION ALL SELECT DISTINCT 4, 'dangling', id, NULL FROM r WHERE from_entity_id NOT IN (SELECT id FROM e) OR to_entity_id NOT IN (SELECT id FROM e)
+UNION ALL SELECT 6, 'active_with_obsoleted_at', id, NULL FROM q WHERE status = 'active' AND obsoleted_at IS NOT NULL
+UNION ALL SELECT 6, 'superseded_without_reference', id, NULL FROM q WHERE status = 'superseded' AND superseded_by_id IS NULL
+UNION ALL SELECT 6, 'superseded_by_other_entity', q.id, NULL FROM q JOIN q p ON p.id = q.superseded_by_id WHERE p.memory_entity_id <> q.memory_entity_id""")
+def _(spark, d):
+    e = S.entities(spark, d).where("entity_type IN ('Component', 'Task') AND id % 9 <> 0").withColumn("memory_observations_count", (F.col("id") % 5).cast("int"))
+    o = S.observations(spark, d).withColumn("content", F.concat(F.lit("fact "), (F.floor(F.col("id") / 200) % 3).cast("string")))
+    return quality.sweep(S.Graph(e, o, S.raw_relations(spark, d)))[1]

@@ -7,6 +7,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.functions import text as T
+from knotwork.functions.types import ENTITY_TYPES, RELATION_TYPES, canonical
+from knotwork.operators.mutate import with_relations
+from knotwork.operators.order import numbered
+from knotwork.sources.shared import kept
+from knotwork.sources.views import Graph
+
 LINES = "type string, name string, entityType string, observations array<string>, `from` string, `to` string, relationType string, _corrupt_record string"
 
 
@@ -36,6 +43,69 @@ def write_lines(entities: DataFrame, observations: DataFrame, relations: DataFra
     a.unionAll(b).write.mode("overwrite").text(path)
 
 
+def document_lines(tree: DataFrame, entities: DataFrame, observations: DataFrame, relations: DataFrame) -> DataFrame:
+    """(position, line): an export document of ordered rows (``graph.ordered_tree``); the lines, in order, are its JSON text.
+
+    Each node is one line: what closes the nodes before it follows from its depth and
+    the next one's, so no line waits for another and no tree is held anywhere. Position
+    0 opens the document; the last line closes it.
+    """
+    facts = observations.groupBy(F.col("memory_entity_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda x: F.struct(x["content"].alias("content"))).alias("observations"))
+    info = entities.select("id", "name", "entity_type", *(["aliases"] if "aliases" in entities.columns else []))
+    kind = relations.select(F.col("id").alias("relation_id"), "relation_type").dropDuplicates(["relation_id"])
+    follows = tree.select((F.col("position") - 1).alias("position"), F.col("depth").alias("next"))
+    rows = tree.join(info, "id").join(facts, "id", "left").join(kind, "relation_id", "left").join(follows, "position", "left")
+    own = F.struct("name", "entity_type", *(["aliases"] if "aliases" in entities.columns else []), F.coalesce("observations", F.array().cast("array<struct<content:string>>")).alias("observations"), "relation_type", F.when(F.col("direction") == "incoming", "child_to_parent").when(F.col("direction") == "outgoing", "parent_to_child").alias("relation_direction"))
+    text = F.to_json(own)
+    opened = F.concat(F.expr("substring(j, 1, length(j) - 1)"), F.lit(',"children":['))
+    closers = F.when(F.col("next").isNull(), F.concat(F.repeat(F.lit("]}"), F.col("depth") + 1), F.lit("]}"))).when(F.col("next") > F.col("depth"), "").otherwise(F.concat(F.repeat(F.lit("]}"), F.col("depth") - F.col("next") + 1), F.lit(",")))
+    lines = rows.withColumn("j", text).select("position", F.concat(opened, closers).alias("line"))
+    head = tree.sparkSession.range(1).select(F.lit(0).cast("long").alias("position"), F.lit('{"root_nodes":[').alias("line"))
+    return head.unionByName(lines)
+
+
+def upserted(g: Graph, lines: DataFrame, first_id: int) -> Graph:
+    """Add what a table of lines (position, value: JSON text) has and the graph lacks.
+
+    - An entity is known by name and canonical type; of a name's lines with several types
+      the first one's counts, unless the graph has the name, whose type then counts;
+      lines of other types, without a name or a type are left out.
+    - A new entity gets all observations of its first line, and those of later lines that
+      it hasn't by then; one that was there those it hasn't, of any state; each once.
+    - A relation is added where both names are known afterwards, it isn't there, joins two
+      entities and, as ``part_of``, is the lower one's first parent; of several new parents
+      the first line's stays.
+    - Blank contents and lines that are no JSON or of another kind are left out.
+
+    New rows get ids from ``first_id`` in the order of lines.
+    """
+    rows = kept(lines.select("position", F.from_json("value", LINES.replace(", _corrupt_record string", "")).alias("r")).select("position", "r.*"))
+    named = rows.where((F.col("type") == "entity") & ~T.blank(F.col("name")) & F.col("entityType").isNotNull()).select("position", "name", canonical(F.col("entityType"), ENTITY_TYPES).alias("entity_type"), "observations")
+    old = g.entities.groupBy("name").agg(F.min_by(F.struct("id", "entity_type"), "id").alias("o")).select("name", F.col("o.id").alias("_old"), F.col("o.entity_type").alias("_kind"))
+    first = named.groupBy("name").agg(F.min_by(F.struct("position", "entity_type"), "position").alias("f"))
+    known = first.join(old, "name", "left").select("name", "_old", F.coalesce("_kind", "f.entity_type").alias("entity_type"), F.col("f.position").alias("_first"))
+    made = numbered(known.where("_old IS NULL").select("name", "entity_type", "_first"), F.asc("_first")).select("name", "entity_type", "_first", (F.col("position") + first_id - 1).alias("id"))
+    made = kept(made)
+    ids = known.where("_old IS NOT NULL").select("name", "entity_type", F.col("_old").alias("id"), F.lit(None).cast("long").alias("_first")).unionByName(made.select("name", "entity_type", "id", F.col("_first").cast("long").alias("_first")))
+    each = kept(named.join(ids, ["name", "entity_type"]).select("position", F.col("id").alias("memory_entity_id"), (F.col("position") == F.col("_first")).alias("_new"), F.posexplode("observations").alias("at", "content")).where(~T.blank(F.col("content"))))
+    whole = each.where("_new").select("memory_entity_id", "content", "position", "at")  # as it stands, repeats included
+    later = each.where("_new IS NULL OR NOT _new").groupBy("memory_entity_id", "content").agg(F.min(F.struct("position", "at")).alias("p")).select("memory_entity_id", "content", "p.position", "p.at")
+    there = g.observations.select("memory_entity_id", "content").unionAll(whole.select("memory_entity_id", "content"))
+    facts = whole.unionByName(later.join(there, ["memory_entity_id", "content"], "left_anti")).withColumnRenamed("position", "line")
+    facts = numbered(facts, F.asc("line"), F.asc("at")).select((F.col("position") + first_id - 1).alias("id"), "memory_entity_id", "content", F.lit("active").alias("status"))
+    entities = g.entities.unionByName(made.select("id", "name", "entity_type"), allowMissingColumns=True)
+    name = entities.groupBy("name").agg(F.min("id").alias("id"))
+    edges = rows.where(F.col("type") == "relation").select("position", F.col("from").alias("_f"), F.col("to").alias("_t"), canonical(F.col("relationType"), RELATION_TYPES).alias("relation_type")).where("relation_type IS NOT NULL")
+    edges = edges.join(name.withColumnsRenamed({"name": "_f", "id": "from_entity_id"}), "_f").join(name.withColumnsRenamed({"name": "_t", "id": "to_entity_id"}), "_t")
+    edges = edges.groupBy("from_entity_id", "to_entity_id", "relation_type").agg((F.min("position") + first_id - 1).alias("id"))
+    relations = with_relations(Graph(entities, g.observations, g.relations), _all_columns(edges, g.relations)).relations
+    return Graph(entities, g.observations.unionByName(facts, allowMissingColumns=True), relations)
+
+
+def _all_columns(rows: DataFrame, like: DataFrame) -> DataFrame:
+    return like.limit(0).unionByName(rows, allowMissingColumns=True)
+
+
 def flatten_tree(spark: SparkSession, text: str) -> DataFrame:
     """Rows (node_path, parent_path, depth, name, entity_type, aliases, observations, relation_type) of an export document.
 

@@ -1,12 +1,14 @@
 """Cursors that are stopped anywhere, and compaction runs in slices."""
 
+import json
 import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from knotwork.operators import compaction
+from knotwork.operators import compaction, graph, quality
+from knotwork.sources import exchange
 from knotwork.sources.views import Graph
 from knotwork.streaming import cursor
 
@@ -123,3 +125,74 @@ def test_compaction_of_nothing(spark, tmp_path):
     none = Graph(g.entities.limit(0), g.observations.limit(0), g.relations.limit(0))
     after, changes = compaction.compact(none, v.limit(0), str(tmp_path / "run"), 2)
     assert after.entities.count() == 0 and all(c.count() == 0 for c in changes.values())
+
+
+def test_trees_in_document_order(spark):
+    """Positions and the written document against a recursive walk."""
+    rng = random.Random(5)
+    kinds = ["Project", "Task", "Task", "Tool"]
+    entities = [(i, f'n"{i}\\', kinds[i % 4], None) for i in range(14)]
+    edges = [(k, rng.randint(0, 13), rng.randint(0, 13), rng.choice(["part_of", "depends_on", "relates_to"])) for k in range(40)]
+    facts = [(k, rng.randint(0, 13), f"o{k}", "active") for k in range(10)]
+
+    def node(i, edge, depth, path):
+        own = {"name": entities[i][1], "entity_type": kinds[i % 4], "observations": [{"content": c} for _, m, c, _ in facts if m == i]}
+        if edge:
+            own |= {"relation_type": edge[3], "relation_direction": "child_to_parent" if edge[3] != "relates_to" else "parent_to_child"}
+        down = [] if depth == 3 or (edge and kinds[i % 4] == "Project") else [(e, e[1]) for e in edges if e[2] == i and e[3] != "relates_to"] + [(e, e[2]) for e in edges if e[1] == i and e[3] == "relates_to"]
+        return own | {"children": [node(j, e, depth + 1, [*path, j]) for e, j in down if j not in path]}
+
+    want = {"root_nodes": [node(i, None, 0, [i]) for i in (0, 4, 5)]}
+    e, r = spark.createDataFrame(entities, "id long, name string, entity_type string, aliases string"), spark.createDataFrame(edges, "id long, from_entity_id long, to_entity_id long, relation_type string")
+    o = spark.createDataFrame(facts, "id long, memory_entity_id long, content string, status string")
+    roots = spark.createDataFrame([(5,), (0,), (4,), (4,), (99,)], "id long")
+    tree = graph.ordered_tree(e, r, roots, 3)
+    assert sorted(x.position for x in tree.collect()) == list(range(1, tree.count() + 1))
+    text = "".join(x.line for x in exchange.document_lines(tree, e, o, r).orderBy("position").collect())
+    assert json.loads(text) == want
+    none = graph.ordered_tree(e, r, roots.limit(0), 3)
+    assert none.count() == 0
+
+
+def test_lines_are_upserted_as_one_by_one(spark):
+    rng = random.Random(6)
+    entities, facts, edges = [(1, "a", "Task"), (2, "b", "Tool"), (3, "p", "Project")], [(1, 1, "x", "active"), (2, 2, "y", "obsolete")], [(1, 1, 3, "part_of")]
+    lines = []
+    for _ in range(80):
+        if rng.random() < 0.6:
+            lines.append({"type": "entity", "name": rng.choice("abcdefg"), "entityType": rng.choice(["Task", "Task", "Tool"]), "observations": rng.choices(["x", "y", "z", " "], k=rng.randint(0, 3))})
+        else:
+            lines.append({"type": "relation", "from": rng.choice("abcdefgh"), "to": rng.choice("abcdefghp"), "relationType": rng.choice(["part_of", "relates_to"])})
+    kind, known, content, joined = {n: t for _, n, t in entities}, {n for _, n, _ in entities}, {("a", "x"): 1, ("b", "y"): 1}, {("a", "p", "part_of")}
+    for line in lines:
+        if line["type"] == "entity" and kind.setdefault(line["name"], line["entityType"]) == line["entityType"]:
+            fresh = line["name"] not in known
+            known.add(line["name"])
+            for c in line["observations"]:
+                if c.strip() and (fresh or (line["name"], c) not in content):
+                    content[line["name"], c] = content.get((line["name"], c), 0) + 1
+    for line in lines:
+        if line["type"] == "relation":
+            edge = line["from"], line["to"], line["relationType"]
+            if {edge[0], edge[1]} <= known and edge[0] != edge[1] and edge not in joined and not (edge[2] == "part_of" and any(j[0] == edge[0] and j[2] == "part_of" for j in joined)):
+                joined.add(edge)
+    g = Graph(spark.createDataFrame(entities, "id long, name string, entity_type string"), spark.createDataFrame(facts, "id long, memory_entity_id long, content string, status string"), spark.createDataFrame(edges, "id long, from_entity_id long, to_entity_id long, relation_type string"))
+    rows = [(k, json.dumps(x)) for k, x in enumerate(lines)] + [(900, "{bad"), (901, ""), (902, '{"type": "other"}'), (903, '{"type": "entity", "name": "q"}')]
+    out = exchange.upserted(g, spark.createDataFrame(rows, "position long, value string").repartition(3), 100)
+    name = {r.id: r.name for r in out.entities.collect()}
+    assert sorted(name.values()) == sorted(known) and {r.name: r.entity_type for r in out.entities.collect()} == {n: kind[n] for n in known}
+    assert sorted((name[r.memory_entity_id], r.content) for r in out.observations.collect()) == sorted(k for k, n in content.items() for _ in range(n))
+    assert sorted((name[r.from_entity_id], name[r.to_entity_id], r.relation_type) for r in out.relations.collect()) == sorted(joined)
+    again = exchange.upserted(out, spark.createDataFrame(rows, "position long, value string"), 1000)  # nothing is left to add
+    assert (again.entities.count(), again.observations.count(), again.relations.count()) == (out.entities.count(), out.observations.count(), out.relations.count())
+
+
+def test_a_second_sweep_looks_at_what_was_touched(spark):
+    e = spark.createDataFrame([(1, 3, None), (2, 5, [1.0])], "id long, memory_observations_count int, embedding array<double>")
+    o = spark.createDataFrame([(1, 1, "x", "active", None, None), (2, 1, "x", "active", None, None), (3, 2, "y", "superseded", None, None)], "id long, memory_entity_id long, content string, status string, obsoleted_at timestamp, superseded_by_id long")
+    r = spark.createDataFrame([(1, 1, 2, "part_of"), (2, 1, 2, "part_of"), (3, 2, 9, "part_of"), (4, 2, 1, "part_of")], "id long, from_entity_id long, to_entity_id long, relation_type string")
+    after, found = quality.sweep(Graph(e, o, r))
+    assert sorted(tuple(x) for x in found.select("kind", "id").collect()) == [("counter", 1), ("counter", 2), ("dangling", 3), ("entity_without_vector", 1), ("repeated_observation", 2), ("reverse_pair", 4), ("same_direction", 2), ("second_parent", 4), ("superseded_without_reference", 3)]
+    assert sorted((x.id, x.memory_observations_count) for x in after.entities.collect()) == [(1, 1), (2, 1)] and sorted(x.id for x in after.relations.collect()) == [1, 4]
+    some, told = quality.sweep(Graph(e, o, r), touched=spark.createDataFrame([], "id long"))
+    assert "superseded_without_reference" not in {x.kind for x in told.collect()} and sorted((x.id, x.memory_observations_count) for x in some.entities.collect()) == [(1, 1), (2, 5)]

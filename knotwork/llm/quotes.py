@@ -4,7 +4,7 @@ A line's quote level is the number of ``>`` marks before its text. Runs of lines
 of one level above 0 are quoted passages. Passages and messages are normalised
 (lower case, white space squeezed) and hashed; a passage is joined to the latest
 earlier message of its conversation whose body has that hash, or a line, run,
-paragraph or any so many consecutive lines of it. A passage of several lines that
+paragraph or as many consecutive lines of it, line for line. A passage of several lines that
 stands nowhere as it is belongs to the earlier message that holds most of its lines,
 if that is more than half (each counted once; of equal messages the later).
 A message replies to the message that its shallowest linked passage comes from
@@ -14,9 +14,12 @@ before its replies and replies to one message together; quoted lines are gone, a
 role marks inside bodies are broken up by a blank. A long conversation is given in
 parts of a bounded number of messages.
 
-The first join is a union sorted by (conversation, hash, turn) with a running maximum,
-so a passage quoted a thousand times makes no thousand squared pairs. Turns are
-numbered over range partitions, so one conversation may hold a third of all rows.
+The first join is a union sorted by (conversation, hash, turn) with a running maximum
+over range partitions, so a passage quoted a thousand times makes no thousand squared
+pairs, and no task holds all rows of one hash. Runs of lines are found line by line, by
+hashes of 1, 2, 4 … lines, so a long message costs a row a line and a row for each
+passage length that begins there, not a text for each. Turns are numbered over range
+partitions, so one conversation may hold a third of all rows.
 Messages are known by 128 bits of hash of all they hold.
 
 Defined cases: a null text is an empty message; a null role counts as ``user``;
@@ -54,20 +57,22 @@ def unquoted(line: Column) -> Column:
     return F.regexp_replace(line, _QUOTE + " ?", "")
 
 
-def parsed(messages: DataFrame, *more: str) -> DataFrame:
+def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body (no quoted lines), passages (level, text) and free (the unquoted runs) of each message."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), RUN + LEVEL + "\r", "")
     rows = messages.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.split(text, "\n").alias("lines"), *more
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.split(text, "\n").alias("lines")
     )
     rows = rows.withColumn("levels", F.transform("lines", line_level))
-    # a run begins where the level changes; it carries its level before its lines
+    # a run begins where the level changes; it carries its level before its lines (no lambda
+    # refers to a whole column: a filter pushed below would compute that once a line)
+    shifted = F.concat(F.array(F.lit(-1)), F.slice("levels", 1, F.greatest(F.size("levels") - 1, F.lit(0))))
     joined = F.array_join(
         F.transform(
-            F.arrays_zip("lines", "levels"),
+            F.arrays_zip("lines", "levels", shifted.alias("before")),
             lambda x, i: F.concat(
                 F.when(i == 0, F.concat(x["levels"].cast("string"), F.lit(LEVEL)))
-                .when(x["levels"] != F.get("levels", i - 1), F.concat(F.lit(RUN), x["levels"].cast("string"), F.lit(LEVEL)))
+                .when(x["levels"] != x["before"], F.concat(F.lit(RUN), x["levels"].cast("string"), F.lit(LEVEL)))
                 .otherwise(F.lit("\n")),
                 F.when(x["levels"] > 0, unquoted(x["lines"])).otherwise(x["lines"]),
             ),
@@ -77,7 +82,7 @@ def parsed(messages: DataFrame, *more: str) -> DataFrame:
     runs = F.transform(F.split(joined, RUN), lambda r: F.struct(F.substring_index(r, LEVEL, 1).cast("int").alias("level"), F.substring_index(r, LEVEL, -1).alias("text")))
     rows = rows.withColumn("runs", runs)
     free = F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["text"])
-    return rows.select("conv_id", "turn", "role", F.trim(F.array_join(free, "\n")).alias("body"), F.filter("runs", lambda r: r["level"] > 0).alias("passages"), free.alias("free"), *more)
+    return rows.select("conv_id", "turn", "role", F.trim(F.array_join(free, "\n")).alias("body"), F.filter("runs", lambda r: r["level"] > 0).alias("passages"), free.alias("free"))
 
 
 def hashed(text: Column) -> Column:
@@ -95,51 +100,130 @@ def blocks(runs: Column) -> Column:
     return F.filter(F.transform(F.concat(runs, paragraphs), normalised), lambda x: x != "")
 
 
-def windows(lines: Column, lengths: Column) -> Column:
-    """Texts of so many consecutive lines, for each of the lengths."""
-    fit = F.filter(lengths, lambda k: (k > 1) & (k <= F.size(lines)))
-    return F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), F.size(lines) - k + 1), lambda i: F.array_join(F.slice(lines, i, k), " "))))
+def doubled(lines: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """``h``: for each line (keys, i, hash) the hashes of the 1, 2, 4 … lines that begin with it; null beyond the end."""
+    w = W.partitionBy(*keys).orderBy("i")
+    for k in range(levels + 1):
+        own = F.col("hash") if k == 0 else F.md5(F.concat(F.col(f"_h{k - 1}"), F.lead(f"_h{k - 1}", 1 << (k - 1)).over(w)))
+        lines = lines.withColumn(f"_h{k}", own)
+    return lines.withColumn("h", F.array(*[f"_h{k}" for k in range(levels + 1)])).drop("hash", *[f"_h{k}" for k in range(levels + 1)])
+
+
+def level_of(k: Column) -> Column:
+    """The largest power of two in a number of lines, as an exponent."""
+    return F.length(F.conv(k.cast("string"), 10, 2)) - 1
+
+
+def power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), level_of(k).cast("int"))
+
+
+def run_hash(k: Column, first: Column, last: Column) -> Column:
+    """Of k lines: known by the hashes of its first and its last so many, a power of two that covers more than half."""
+    return F.md5(F.concat_ws("|", k.cast("string"), first, last))
+
+
+def asked_runs(asked: DataFrame, levels: int) -> DataFrame:
+    """(row, at, conv_id, turn, k, first line, hash of the run) of passages of several lines."""
+    each = asked.where(F.size("lines") > 1).select("row", "at", "conv_id", "turn", F.size("lines").alias("k"), F.posexplode(F.transform("lines", F.md5)).alias("i", "hash"))
+    rows = doubled(each.withColumn("line", F.col("hash")), ["row", "at"], levels)
+    own = F.element_at("h", level_of(F.col("k")) + 1)
+    ends = rows.where((F.col("i") == 0) | (F.col("i") == F.col("k") - power(F.col("k"))))
+    # a run of a power of two has its first and last in one row
+    both = ends.groupBy("row", "at", "conv_id", "turn", "k").agg(F.min_by("line", "i").alias("line"), F.min_by(own, "i").alias("first"), F.max_by(own, "i").alias("last"))
+    return both.select("row", "at", "conv_id", "turn", "k", "line", run_hash(F.col("k"), F.col("first"), F.col("last")).alias("hash"))
+
+
+def offered_runs(quoted: DataFrame, runs: DataFrame, levels: int) -> DataFrame:
+    """(conv_id, turn, hash) of runs of lines that begin like a passage of their conversation and are as long.
+
+    Lines are rows, so a message of any number of lines is spread; each start costs a
+    row for each length of the passages that begin with its line, whatever the length.
+    """
+    message = F.md5(F.to_json(F.struct("conv_id", "turn", "body"), {"ignoreNullFields": "false"}))
+    each = quoted.select("conv_id", "turn", "body", message.alias("m")).dropDuplicates(["m"]).select("conv_id", "turn", "m", F.posexplode(F.transform(filled(F.col("body")), F.md5)).alias("i", "hash"))
+    lines = written(doubled(each.withColumn("line", F.col("hash")), ["m"], levels), "lines")
+    begun = runs.select(F.col("conv_id").alias("_c"), F.col("line").alias("_l"), "k").distinct()
+    starts = lines.join(begun, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("line") == F.col("_l")))
+    starts = starts.select("conv_id", "turn", "m", "k", F.element_at("h", level_of(F.col("k")) + 1).alias("first"), (F.col("i") + F.col("k") - power(F.col("k"))).alias("i")).where("first IS NOT NULL")
+    ends = starts.join(lines.select("m", "i", "h"), ["m", "i"]).withColumn("last", F.element_at("h", level_of(F.col("k")) + 1)).where("last IS NOT NULL")
+    return ends.select("conv_id", "turn", run_hash(F.col("k"), F.col("first"), F.col("last")).alias("hash")).distinct()
+
+
+def earlier_max(rows: DataFrame, value: str) -> DataFrame:
+    """Rows (conv_id, hash, turn, …) with ``source``: the largest value of the rows of their conversation and hash whose turn is smaller.
+
+    Rows are dealt by ranges of (conversation, hash, turn), so a hash that all messages
+    share is spread over partitions too. What earlier partitions hold of a key is added
+    from one row for each partition and key that has several: at most two a partition.
+    """
+    ranged = written(rows.repartitionByRange("conv_id", "hash", "turn").withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("_part", "conv_id", "hash").agg(F.max(value).alias("v"))
+    wide = sums.groupBy("conv_id", "hash").agg(F.collect_list(F.struct("_part", "v")).alias("p")).where(F.size("p") > 1)  # a row a partition
+    before = F.transform("p", lambda x: F.struct(x["_part"].alias("part"), F.array_max(F.transform(F.filter("p", lambda y: y["_part"] < x["_part"]), lambda y: y["v"])).alias("v")))
+    carried = wide.select(F.col("conv_id").alias("_c"), F.col("hash").alias("_h"), F.explode(before).alias("b")).select("_c", "_h", F.col("b.part").alias("_p"), F.col("b.v").alias("_v"))
+    earlier = W.partitionBy("_part", "conv_id", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    own = ranged.withColumn("source", F.max(value).over(earlier))
+    met = own.join(F.broadcast(carried), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("_part") == F.col("_p")), "left")
+    return met.withColumn("source", F.greatest("source", "_v")).drop("_part", "_c", "_h", "_p", "_v")
 
 
 def most_held(left: DataFrame, held: DataFrame) -> DataFrame:
     """(row, at, turn): the earlier message that holds most lines of a passage, and more than half of them; of equal ones the later.
 
-    ``left``: conv_id, turn, row, at, lines (hashes); ``held``: conv_id, source, hash. A
-    message with more than half of m lines holds one of any m - m / 2 of them: only the
-    lines that the fewest messages hold make candidates.
+    ``left``: conv_id, turn, row, at, lines (hashes); ``held``: conv_id, source, hash. Only
+    lines that are asked for count, so messages that hold the same of them are one set,
+    and passages of the same lines one question: a line that all messages hold makes a
+    pair of one set and one question. A set with more than half of m lines holds one of
+    any m - m / 2 of them: only the lines that the fewest sets hold make candidates. The
+    latest earlier message of a set comes from a running maximum over turns.
     """
-    count = held.groupBy("conv_id", "hash").agg(F.count("*").alias("n")).withColumnsRenamed({"conv_id": "_c", "hash": "_h"})
-    each = left.select("conv_id", "turn", "row", "at", "lines", F.explode("lines").alias("hash"))
-    known = each.join(count, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")), "left").drop("_c", "_h")
-    rank = F.row_number().over(W.partitionBy("row", "at").orderBy(F.coalesce("n", F.lit(0)), "hash"))
-    rare = known.withColumn("_k", rank).where(F.col("n").isNotNull() & (F.col("_k") <= F.ceil(F.size("lines") / 2))).drop("_k", "n")
-    named = held.withColumnsRenamed({"conv_id": "_c", "hash": "_h"})
-    met = rare.join(named, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")) & (F.col("source") < F.col("turn")))
-    met = met.select("conv_id", "row", "at", "lines", "source").dropDuplicates(["row", "at", "source"])
-    whole = held.groupBy(F.col("conv_id").alias("_c"), F.col("source").alias("_s")).agg(F.collect_set("hash").alias("all"))
-    n = F.size(F.array_intersect("lines", "all"))
-    counted = met.join(whole, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("source") == F.col("_s"))).withColumn("n", n)
-    return counted.where(F.col("n") * 2 > F.size("lines")).groupBy("row", "at").agg(F.max(F.struct("n", "source")).alias("best")).select("row", "at", F.col("best.source").alias("turn"))
+    joined = lambda a: F.md5(F.array_join(a, "|"))
+    asks = written(left.withColumn("lines", F.array_sort("lines")).withColumn("ask", joined(F.col("lines"))), "asks")
+    needed = asks.select(F.col("conv_id").alias("_c"), F.explode("lines").alias("_h")).distinct()
+    known = held.join(needed, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")), "left_semi")
+    sets = known.groupBy("conv_id", "source").agg(F.array_sort(F.collect_set("hash")).alias("all"))  # of one message
+    sets = written(sets.withColumn("set", joined(F.col("all"))), "sets")
+    kinds = sets.select("conv_id", "set", "all").dropDuplicates(["conv_id", "set"])
+    holds = kinds.select("conv_id", "set", F.explode("all").alias("hash"))
+    count = holds.groupBy(F.col("conv_id").alias("_c"), F.col("hash").alias("_h")).agg(F.count("*").alias("n"))
+    each = asks.select("conv_id", "ask", "lines").dropDuplicates(["conv_id", "ask"]).select("conv_id", "ask", F.size("lines").alias("m"), F.explode("lines").alias("hash"))
+    numbered_lines = each.join(count, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h")), "left").drop("_c", "_h")
+    rank = F.row_number().over(W.partitionBy("conv_id", "ask").orderBy(F.coalesce("n", F.lit(0)), "hash"))
+    rare = numbered_lines.withColumn("_k", rank).where(F.col("n").isNotNull() & (F.col("_k") <= F.ceil(F.col("m") / 2))).select("conv_id", "ask", "hash")
+    named = holds.withColumnsRenamed({"conv_id": "_c", "hash": "_h"})
+    met = rare.join(named, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("hash") == F.col("_h"))).select("conv_id", "ask", "set").distinct()
+    a = asks.select(F.col("conv_id").alias("_c"), F.col("ask").alias("_a"), "lines").dropDuplicates(["_c", "_a"])
+    s = kinds.withColumnsRenamed({"conv_id": "_d", "set": "_s"})
+    counted = met.join(a, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("ask") == F.col("_a"))).join(s, F.col("conv_id").eqNullSafe(F.col("_d")) & (F.col("set") == F.col("_s")))
+    counted = counted.withColumn("n", F.size(F.array_intersect("lines", "all"))).where(F.col("n") * 2 > F.size("lines")).select(F.col("conv_id").alias("_c"), F.col("ask").alias("_a"), "set", "n")
+    asking = asks.join(counted, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("ask") == F.col("_a"))).select("conv_id", F.col("set").alias("hash"), "turn", "row", "at", "n", F.lit(None).cast("long").alias("value"))
+    turns = sets.select("conv_id", F.col("set").alias("hash"), F.col("source").alias("turn"), F.lit(None).cast("string").alias("row"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("n"), F.col("source").alias("value"))
+    found = earlier_max(asking.unionByName(turns), "value").where("row IS NOT NULL AND source IS NOT NULL")
+    return found.groupBy("row", "at").agg(F.max(F.struct("n", "source")).alias("best")).select("row", "at", F.col("best.source").alias("turn"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, parent_turn, position (from 1 in its conversation), n_passages, n_linked, body, chat."""
     # equal rows share their key and their links
     key = F.md5(F.to_json(F.struct("conv_id", "turn", "role", "body", "passages"), {"ignoreNullFields": "false"}))
-    rows = parsed(messages).withColumn("row", key)
-    quoting = parsed(messages.where(F.col("text").contains(">"))).where(F.size("passages") > 0).withColumn("row", key)
+    rows = written(parsed(messages).withColumn("row", key), "messages")
+    quoting = rows.where(F.size("passages") > 0)
     asked = quoting.select("conv_id", "turn", "row", F.posexplode("passages").alias("at", "p")).select("conv_id", "turn", "row", "at", F.col("p.level").alias("level"), F.md5(normalised(F.col("p.text"))).alias("hash"), filled(F.col("p.text")).alias("lines"))
     asked = written(asked.dropDuplicates(["row", "at"]), "passages")
     # what can be quoted, in conversations that quote: whole bodies (kind 1); lines, runs, paragraphs and as many consecutive lines as a passage has (kind 0)
-    lengths = asked.groupBy(F.col("conv_id").alias("_c")).agg(F.collect_set(F.size("lines")).alias("lengths"))
-    quoted = parsed(messages.join(lengths, F.col("conv_id").cast("long").eqNullSafe(F.col("_c"))).drop("_c"), "lengths").where((F.col("body") != "") & F.col("turn").isNotNull())
+    asking = asked.select(F.col("conv_id").alias("_c")).distinct()
+    quoted = rows.join(asking, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi").where((F.col("body") != "") & F.col("turn").isNotNull())
     lines = filled(F.col("body"))
-    parts = F.array_distinct(F.concat(lines, blocks(F.col("free")), windows(lines, F.col("lengths"))))
+    parts = F.array_distinct(F.concat(lines, blocks(F.col("free"))))
     offered = F.concat(F.array(F.struct(F.lit(1).alias("whole"), hashed(F.col("body")).alias("hash"))), F.transform(parts, lambda x: F.struct(F.lit(0).alias("whole"), F.md5(x).alias("hash"))))
-    index = quoted.select("conv_id", "turn", F.explode(offered).alias("o")).select("conv_id", "o.hash", "turn", F.col("o.whole").alias("whole"), F.lit(None).cast("string").alias("row"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<string>").alias("lines"))
-    earlier = W.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    both = index.unionByName(asked.withColumn("whole", F.lit(None).cast("int")))
-    found = written(both.withColumn("source", F.max(F.when(F.col("row").isNull(), F.struct(F.col("whole"), F.col("turn")))).over(earlier)).where(F.col("row").isNotNull()), "found")
+    longest = asked.agg(F.max(F.size("lines"))).first()[0] or 1
+    runs = written(asked_runs(asked, longest.bit_length() - 1), "runs")
+    index = quoted.select("conv_id", "turn", F.explode(offered).alias("o")).select("conv_id", "o.hash", "turn", "o.whole").unionByName(offered_runs(quoted, runs, longest.bit_length() - 1).withColumn("whole", F.lit(0)))
+    index = index.select("conv_id", "hash", "turn", F.lit(None).cast("string").alias("row"), F.lit(None).cast("int").alias("at"), F.struct("whole", "turn").alias("value"))
+    named = asked.select("conv_id", "hash", "turn", "row", "at").unionByName(runs.select("conv_id", "hash", "turn", "row", "at")).withColumn("value", F.lit(None).cast(index.schema["value"].dataType))
+    sources = earlier_max(index.unionByName(named), "value").where("row IS NOT NULL").groupBy("row", "at").agg(F.max("source").alias("source"))
+    found = written(asked.drop("hash").join(sources, ["row", "at"]), "found")
     left = found.where(F.col("source").isNull() & (F.size("lines") > 1)).withColumn("lines", F.array_distinct(F.transform("lines", F.md5)))
     held = quoted.select("conv_id", F.col("turn").alias("source"), F.explode(F.transform(lines, F.md5)).alias("hash")).distinct()
     partly = most_held(left, held).select("row", "at", F.struct(F.lit(0).alias("whole"), "turn").alias("partly"))

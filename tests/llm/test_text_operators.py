@@ -394,3 +394,17 @@ def test_toxicity_scores_are_the_noisy_or_of_sentences(spark):
             clean *= 1 - 1 / (1 + np.exp(-z(sentence)))
         assert abs(got[i] - (1 - clean)) < 1e-4, i
     assert got[99] == 0 and abs(got[98] - 1 / (1 + np.exp(-z("word1")))) < 1e-4
+
+
+def test_quotes_of_long_messages_and_of_common_lines(spark):
+    """Runs of many lengths out of one long message, and lines that all messages of a conversation hold."""
+    lines = [f"line {i} of it" for i in range(20_000)]
+    rows = [(1, 0, "user", "\n".join(lines))]
+    rows += [(1, k + 1, "user", "\n".join(f"> {x}" for x in lines[k * 499 : k * 499 + 2 + k * k]) + f"\nreply {k}") for k in range(12)]
+    for k in range(400):
+        rows.append((2, k, "user", f"thanks\nok {k % 7}" if k % 2 else f"> thanks\n> not there {k % 5}\n> ok {k % 7}\nme too {k}"))
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[1, k + 1].n_linked == 1 and got[1, k + 1].parent_turn == 0 for k in range(12))
+    for k in range(0, 400, 2):
+        earlier = [j for j in range(1, k, 2) if j % 7 == k % 7]  # the last one that thanks and says the same
+        assert (got[2, k].n_linked, got[2, k].parent_turn) == ((1, earlier[-1]) if earlier else (0, k - 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -142,5 +143,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return salted.join(copies.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: What lets go of memory that a Python worker keeps for the next task of its kind.
+_FORGET: list[Callable[[], None]] = []
+
+
+def forgettable(cached):
+    """Have a cached function's cache emptied in workers that turn to other tasks."""
+    _FORGET.append(cached.cache_clear)
+    return cached
+
+
+def forget() -> None:
+    for clear in _FORGET:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, tokens: bool = False) -> DataFrame:
+    """``mapInArrow``. Workers go from one stage to the next; those that don't take ``tokens`` let go of tokenizers first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tokens:
+            forget()
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 
-from knotwork.llm.common import utf8
+from knotwork.llm.common import forgettable, utf8
 
 #: Entries in one generation of remembered chunks, bytes of their identifiers, and characters of the longest chunk remembered.
 REMEMBERED, REMEMBERED_BYTES, LONGEST = 1 << 18, 32 << 20, 64
@@ -156,6 +156,7 @@ class ChunkEncoder:
         return out
 
 
+@forgettable
 @lru_cache(2)
 def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)

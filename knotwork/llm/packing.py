@@ -162,4 +162,4 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window
             yield drained()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, pack, PIECES)
+    return arrow_map(rows, pack, PIECES, tokens=True)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import arrow_map, sized_batches
+from knotwork.llm.common import arrow_map, forgettable, sized_batches
 
 # Unicode White_Space, and the published pre-tokenizer pattern of byte-level BPE.
 _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -89,6 +89,7 @@ def merges_left(piece: bytes, ranks: dict[tuple[bytes, bytes], int]) -> int:
     return count
 
 
+@forgettable
 @lru_cache(1)
 def byte_letters() -> dict[str, int]:
     """The published one-letter names of the 256 bytes, made by their rule: printable bytes stand for themselves."""
@@ -156,6 +157,7 @@ class PairMergeCounter:
         return total
 
 
+@forgettable
 @lru_cache(2)
 def counter(path: str) -> PairMergeCounter:
     return PairMergeCounter(path)
@@ -173,4 +175,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return arrow_map(rows, count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return arrow_map(rows, count, "doc_id long, n_bytes long, n_tokens long", tokens=True).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -98,7 +98,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumn("tie", F.xxhash64("text"))
     ranged = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    arrow_map(ranged, blocks, BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
+    arrow_map(ranged, blocks, BLOCK_SCHEMA, tokens=True).write.mode("overwrite").parquet(path)
 
 
 def read_store(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from knotwork.operators import compaction, quality
+from knotwork.operators import applying, compaction, quality
 from knotwork.operators import graph as G
 from knotwork.plans.base import query, views
 from knotwork.plans.queries import _TOK
@@ -149,3 +149,26 @@ def _(spark, d):
     e = S.entities(spark, d).where("entity_type IN ('Component', 'Task') AND id % 9 <> 0").withColumn("memory_observations_count", (F.col("id") % 5).cast("int"))
     o = S.observations(spark, d).withColumn("content", F.concat(F.lit("fact "), (F.floor(F.col("id") / 200) % 3).cast("string")))
     return quality.sweep(S.Graph(e, o, S.raw_relations(spark, d)))[1]
+
+
+# Review rows about customers: moved once or twice, cut off, deleted, moved once more
+
+
+@query("review_applied", """WITH k AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
+r AS (SELECT k * 10 AS id, true AS done FROM k WHERE k % 3 = 0 UNION ALL SELECT k * 10 + 1, true FROM k WHERE k % 6 = 0 UNION ALL SELECT k * 10 + 2, k % 3 <> 0 FROM k WHERE k % 5 = 0
+  UNION ALL SELECT k * 10 + 3, true FROM k WHERE k % 11 = 0 UNION ALL SELECT k * 10 + 4, false FROM k WHERE k % 22 = 0)
+SELECT 'row' AS part, id, NULL::BIGINT AS ref_id, done FROM r
+UNION ALL SELECT 'parent', k + 30000000000, 20000000000 + CASE WHEN k % 6 = 0 THEN (n + 2) % 25 WHEN k % 3 = 0 THEN (n + 1) % 25 ELSE n END, NULL FROM k WHERE k % 11 <> 0 AND (k % 3 = 0 OR k % 5 <> 0)""")
+def _(spark, d):
+    c, k = S.table(spark, d, "customer"), F.col("c_custkey").cast("long")
+    field = lambda **f: F.to_json(F.struct(*[v.alias(n) for n, v in f.items()]))
+    move = lambda by: field(entity_id=k + 3 * S.KIND, parent_id=(F.col("c_nationkey") + by) % 25 + 2 * S.KIND)
+    part = lambda at, kind, payload, every: c.where(k % every == 0).select((k * 10 + at).alias("id"), (k * 10 + at).alias("position"), F.lit(kind).alias("kind"), payload.alias("payload"), F.lit(None).cast("string").alias("edited"))
+    # the second move is the first one's payload with an edited parent
+    again = part(1, "reparent_entity", move(1), 6).drop("edited").join(c.where(k % 6 == 0).select((k * 10 + 1).alias("id"), field(parent_id=(F.col("c_nationkey") + 2) % 25 + 2 * S.KIND).alias("edited")), "id")
+    rows = part(0, "reparent_entity", move(1), 3).unionByName(again).unionByName(part(2, "delete_relation", field(relation_id=k + 2 * S.EDGE), 5))
+    rows = rows.unionByName(part(3, "delete_entity", field(entity_id=k + 3 * S.KIND), 11)).unionByName(part(4, "orphan_parent", move(3), 22))
+    g = S.graph(spark, d)
+    after, told = applying.apply_rows(g, applying.read(rows), 8 * S.EDGE, S.NOW)
+    parents = after.relations.where(F.col("from_entity_id").between(3 * S.KIND, 4 * S.KIND - 1) & (F.col("relation_type") == "part_of"))
+    return told.select(F.lit("row").alias("part"), "id", F.lit(None).cast("long").alias("ref_id"), "done").unionAll(parents.select(F.lit("parent"), "from_entity_id", "to_entity_id", F.lit(None).cast("boolean")))

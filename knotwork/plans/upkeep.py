@@ -172,3 +172,21 @@ def _(spark, d):
     after, told = applying.apply_rows(g, applying.read(rows), 8 * S.EDGE, S.NOW)
     parents = after.relations.where(F.col("from_entity_id").between(3 * S.KIND, 4 * S.KIND - 1) & (F.col("relation_type") == "part_of"))
     return told.select(F.lit("row").alias("part"), "id", F.lit(None).cast("long").alias("ref_id"), "done").unionAll(parents.select(F.lit("parent"), "from_entity_id", "to_entity_id", F.lit(None).cast("boolean")))
+
+
+# A document for each nation: its customers, with their orders below them
+
+
+@query("document_nodes", """SELECT n_nationkey AS doc_id, '0' AS node_path, NULL AS parent_path, 0 AS depth, n_name AS name, 'Framework' AS entity_type, 0 AS n_observations, NULL AS relation_type FROM nation
+UNION ALL SELECT c_nationkey, '0.children.' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1), '0', 1, c_name, 'User', 2, 'part_of' FROM customer
+UNION ALL SELECT c_nationkey, '0.children.' || c || '.children.' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1), '0.children.' || c, 2, 'Order#' || o_orderkey, 'Task', 1, NULL FROM orders JOIN (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS c FROM customer) ON c_custkey = o_custkey""")
+def _(spark, d):
+    listed = lambda key, *fields: F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("_k"), F.struct(*fields).alias("s")))), lambda x: x["s"])
+    text = lambda x: F.struct(x.alias("content"))
+    o = S.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(listed("o_orderkey", F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("name"), F.lit("Task").alias("entity_type"), F.array(F.col("o_orderpriority")).alias("observations")).alias("children"))
+    c = S.table(spark, d, "customer").join(o, "c_custkey", "left")
+    c = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(listed("c_custkey", F.col("c_name").alias("name"), F.lit("User").alias("entity_type"), F.lit("part_of").alias("relation_type"), F.array(text(F.col("c_mktsegment")), text(F.col("c_name"))).alias("observations"), "children").alias("children"))
+    root = F.struct(F.col("n_name").alias("name"), F.lit("Framework").alias("entity_type"), "children")
+    docs = S.table(spark, d, "nation").join(c, "n_nationkey", "left").select(F.col("n_nationkey").alias("doc_id"), F.to_json(F.struct(F.array(root).alias("root_nodes"))).alias("text"))
+    rows = exchange.flatten_documents(docs)
+    return rows.select("doc_id", "node_path", "parent_path", "depth", "name", "entity_type", F.size("observations").alias("n_observations"), "relation_type")

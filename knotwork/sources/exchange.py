@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,17 +104,36 @@ def _all_columns(rows: DataFrame, like: DataFrame) -> DataFrame:
     return like.limit(0).unionByName(rows, allowMissingColumns=True)
 
 
-def flatten_tree(spark: SparkSession, text: str) -> DataFrame:
-    """Rows (node_path, parent_path, depth, name, entity_type, aliases, observations, relation_type) of an export document.
+def flatten_documents(documents: DataFrame) -> DataFrame:
+    """Rows (doc_id, node_path, parent_path, depth, name, entity_type, aliases, observations, relation_type, parent_to_child) of many export documents (doc_id, text).
 
-    The depth of a tree has no bound, so the one document is walked here.
+    Texts are parsed to variants and opened level by level on the executors, so neither
+    the number of documents nor the size of one meets the driver; a level's subtrees are
+    written once for each level above them. A text that is no JSON, has no ``root_nodes`` or
+    is nested more than a thousand times gives no rows; observations are strings or hold
+    their ``content``.
     """
-    rows, stack = [], [(str(i), None, 0, n) for i, n in enumerate(json.loads(text).get("root_nodes", []))]
-    while stack:
-        path, parent, depth, node = stack.pop()
-        rows.append((path, parent, depth, node.get("name"), node.get("entity_type"), node.get("aliases"), [o["content"] if isinstance(o, dict) else o for o in node.get("observations", [])], node.get("relation_type")))
-        stack.extend((f"{path}.children.{k}", path, depth + 1, c) for k, c in enumerate(node.get("children", [])))
-    return spark.createDataFrame(sorted(rows), "node_path string, parent_path string, depth int, name string, entity_type string, aliases string, observations array<string>, relation_type string")
+    get = lambda v, path, kind: F.try_variant_get(v, f"$.{path}", kind)
+    v = F.col("v")
+    roots = get(F.try_parse_json("text"), "root_nodes", "array<variant>")
+    now = documents.select("doc_id", F.posexplode(roots).alias("at", "v")).select("doc_id", F.col("at").cast("string").alias("node_path"), F.lit(None).cast("string").alias("parent_path"), F.lit(0).alias("depth"), "v")
+    content = lambda o: F.coalesce(F.try_variant_get(o, "$.content", "string"), F.try_variant_get(o, "$", "string"))
+    fields = ["doc_id", "node_path", "parent_path", "depth", *[get(v, f, "string").alias(f) for f in ("name", "entity_type", "aliases")]]
+    fields += [F.coalesce(F.transform(get(v, "observations", "array<variant>"), content), F.array().cast("array<string>")).alias("observations"), get(v, "relation_type", "string").alias("relation_type"), F.coalesce(get(v, "relation_direction", "string") == "parent_to_child", F.lit(False)).alias("parent_to_child")]
+    out = None
+    while True:
+        now = kept(now)
+        rows = now.select(*fields)
+        out = rows if out is None else out.unionByName(rows)
+        below = now.select("doc_id", F.col("node_path").alias("parent_path"), (F.col("depth") + 1).alias("depth"), F.posexplode(get(v, "children", "array<variant>")).alias("at", "v"))
+        now = below.select("doc_id", F.concat_ws(".children.", "parent_path", F.col("at").cast("string")).alias("node_path"), "parent_path", "depth", "v")
+        if now.isEmpty():
+            return out
+
+
+def flatten_tree(spark: SparkSession, text: str) -> DataFrame:
+    """The rows of one export document."""
+    return flatten_documents(spark.createDataFrame([(0, text)], "doc_id long, text string")).drop("doc_id", "parent_to_child")
 
 
 def dot_lines(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -196,3 +196,16 @@ def test_a_second_sweep_looks_at_what_was_touched(spark):
     assert sorted((x.id, x.memory_observations_count) for x in after.entities.collect()) == [(1, 1), (2, 1)] and sorted(x.id for x in after.relations.collect()) == [1, 4]
     some, told = quality.sweep(Graph(e, o, r), touched=spark.createDataFrame([], "id long"))
     assert "superseded_without_reference" not in {x.kind for x in told.collect()} and sorted((x.id, x.memory_observations_count) for x in some.entities.collect()) == [(1, 1), (2, 5)]
+
+
+def test_many_documents_and_deep_trees(spark):
+    deep = {"name": "n0", "children": []}
+    at = deep
+    for k in range(1, 25):
+        at["children"] = [{"name": f"n{k}", "relation_direction": "parent_to_child", "observations": ["a", {"content": "b"}, 3]}]
+        at = at["children"][0]
+    docs = [(1, json.dumps({"root_nodes": [deep, {"name": "second", "aliases": "x"}]})), (2, "no json"), (3, None), (4, "{}"), (5, '{"root_nodes": {"name": "no list"}}'), (6, '{"root_nodes": [{"name": null, "children": null}]}')]
+    rows = exchange.flatten_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    by = {(r.doc_id, r.node_path): r for r in rows}
+    assert len(rows) == 27 and by[1, "0" + ".children.0" * 24].name == "n24" and by[1, "0" + ".children.0" * 24].parent_path == "0" + ".children.0" * 23
+    assert by[1, "0.children.0"].observations == ["a", "b", "3"] and by[1, "0.children.0"].parent_to_child and by[1, "1"].aliases == "x" and by[6, "0"].name is None

@@ -109,6 +109,14 @@ def project_subtree(relations: DataFrame, root: DataFrame, cap: int | None = MAX
             seen = kept(seen)
 
 
+def scope(relations: DataFrame, root: DataFrame, cap: int = MAX_SCOPE) -> DataFrame:
+    """(id, depth, truncated): a bounded subtree, and whether the bound left a child of it out."""
+    rows = kept(project_subtree(relations, root, cap))
+    up = relations.where(F.col("relation_type") == "part_of").select(F.col("to_entity_id").alias("parent"), F.col("from_entity_id").alias("id"))
+    more = not up.join(rows.select(F.col("id").alias("parent")), "parent", "left_semi").join(rows.select("id"), "id", "left_anti").isEmpty()
+    return rows.withColumn("truncated", F.lit(more))
+
+
 def first_parents(relations: DataFrame) -> DataFrame:
     """(id, parent): the parent with the lowest id."""
     return relations.where(F.col("relation_type") == "part_of").groupBy(F.col("from_entity_id").alias("id")).agg(F.min("to_entity_id").alias("parent"))

@@ -49,6 +49,11 @@ def in_review_order(items: DataFrame) -> DataFrame:
     return items.orderBy(F.desc("root"), F.desc_nulls_last("score"), "position")
 
 
+def review_page(items: DataFrame, number: int, size: int = 20) -> DataFrame:
+    """One page of the review order, from 1."""
+    return in_review_order(items).offset((number - 1) * size).limit(size)
+
+
 def status_counts(rows: DataFrame, status: str | None = None, kind: str | None = None) -> DataFrame:
     """Rows of each status, of one status or kind if asked."""
     for column, value in (("status", status), ("kind", kind)):

@@ -147,11 +147,9 @@ def _(spark, d):
     return resolve.auto_parents(resolve.orphan_matches(orphans, projects, S.observations(spark, d)))
 
 
-@query("shared_observation_links", views("observations") + ", f AS (SELECT DISTINCT memory_entity_id % 7 AS id, content FROM observations WHERE status = 'active' AND length(content) >= 15), p AS (SELECT DISTINCT a.id AS from_id, b.id AS to_id FROM f a JOIN f b ON a.content = b.content AND a.id < b.id), r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS n FROM p) SELECT from_id, to_id FROM r WHERE n <= 3")
+@query("shared_observation_links", views("observations", "entities") + ", f AS (SELECT DISTINCT memory_entity_id AS id, content FROM observations WHERE status = 'active' AND length(content) >= 15 AND memory_entity_id IN (SELECT id FROM entities WHERE entity_type <> 'Project')), p AS (SELECT DISTINCT a.id AS from_id, b.id AS to_id FROM f a JOIN f b ON a.content = b.content AND a.id < b.id), r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS n FROM p) SELECT from_id, to_id FROM r WHERE n <= 3")
 def _(spark, d):
-    o = S.observations(spark, d).withColumn("memory_entity_id", F.col("memory_entity_id") % 7)
-    e = spark.range(7).select("id", F.lit("Task").alias("entity_type"))
-    return resolve.shared_observation_links(o, e)
+    return resolve.shared_observation_links(S.observations(spark, d), S.entities(spark, d))
 
 
 def _marks(words: list[str]) -> str:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from knotwork.operators import applying, compaction, quality
+from knotwork.operators import applying, compaction, quality, review
 from knotwork.operators import graph as G
 from knotwork.plans.base import query, views
 from knotwork.plans.queries import _TOK
@@ -190,3 +190,27 @@ def _(spark, d):
     docs = S.table(spark, d, "nation").join(c, "n_nationkey", "left").select(F.col("n_nationkey").alias("doc_id"), F.to_json(F.struct(F.array(root).alias("root_nodes"))).alias("text"))
     rows = exchange.flatten_documents(docs)
     return rows.select("doc_id", "node_path", "parent_path", "depth", "name", "entity_type", F.size("observations").alias("n_observations"), "relation_type")
+
+
+@query("scope_truncated", views("relations", then="w(id, depth) AS (SELECT 10000000002::BIGINT, 0 UNION SELECT from_entity_id, depth + 1 FROM w JOIN relations ON to_entity_id = w.id AND relation_type = 'part_of')", recursive=True) + ", t AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT id, depth, truncated FROM (SELECT *, row_number() OVER (ORDER BY depth, id) AS n, count(*) OVER () > 50 AS truncated FROM t) WHERE n <= 50")
+def _(spark, d):
+    return G.scope(S.relations(spark, d), spark.createDataFrame([(10_000_000_002,)], "id long"), 50)
+
+
+@query("review_page", "SELECT event_id, event_type = 'error' AS root, value AS score FROM events ORDER BY (event_type = 'error') DESC, value DESC NULLS LAST, event_id LIMIT 20 OFFSET 40")
+def _(spark, d):
+    rows = S.table(spark, d, "events").select("event_id", (F.col("event_type") == "error").alias("root"), F.col("value").alias("score"), F.col("event_id").alias("position"))
+    return review.review_page(rows, 3).select("event_id", "root", "score")
+
+
+@query("lines_read_back", views("entities", "relations", "observations") + """SELECT 'entity' AS part, name, entity_type AS kind, NULL AS other FROM entities
+UNION ALL SELECT DISTINCT 'relation', a.name, relation_type, b.name FROM relations JOIN entities a ON a.id = from_entity_id JOIN entities b ON b.id = to_entity_id
+UNION ALL SELECT DISTINCT 'observation', name, NULL, md5(content) FROM observations o JOIN entities e ON e.id = memory_entity_id WHERE content IS NOT NULL""")
+def _(spark, d):
+    """The whole graph written as JSON Lines and read again."""
+    g, at = S.graph(spark, d), _folder(spark, "lines")
+    exchange.write_lines(g.entities, g.observations, g.relations, at)
+    e, o, r = exchange.read_lines(spark, at)
+    none = F.lit(None).cast("string")
+    rows = e.select(F.lit("entity").alias("part"), "name", F.col("entity_type").alias("kind"), none.alias("other"))
+    return rows.unionAll(r.select(F.lit("relation"), "from_name", "relation_type", "to_name")).unionAll(o.where("content IS NOT NULL").select(F.lit("observation"), "name", none, F.md5("content")))

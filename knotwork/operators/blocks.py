@@ -11,13 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knotwork.sources.shared import kept
 
 BLOCK, WORD_BLOCK, COLUMNS = 2048, 512, 4096
+#: Units asked for up to this number (of a few characters or a word each) are sent to every task.
+FEW_UNITS = 20_000
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
@@ -157,6 +159,25 @@ def shared_words(left: DataFrame, right: DataFrame, least: int, each: int) -> Da
     return best.withColumn("_n", top).where(F.col("_n") <= each).drop("_n")
 
 
+def by_rarest(texts: DataFrame, units: Column, asked: DataFrame) -> DataFrame:
+    """(needle, text_id): texts that hold the rarest unit of a needle of ``asked`` (needle, unit).
+
+    ``units`` is the array of a text's units. Texts are read twice, first to count
+    the units that are asked, then for the rarest of each needle; no other unit leaves
+    a task. A needle with a unit that no text holds meets none.
+    """
+
+    def held(wanted: DataFrame) -> DataFrame:
+        few = wanted.limit(FEW_UNITS + 1).count() <= FEW_UNITS
+        return texts.select("text_id", F.explode(F.array_distinct(units)).alias("unit")).join(F.broadcast(wanted) if few else wanted, "unit", "left_semi")
+
+    asked = kept(asked.select("needle", "unit").distinct())
+    counts = held(asked.select("unit").distinct()).groupBy("unit").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "unit", "left").groupBy("needle").agg(F.min_by("unit", F.struct("n", "unit")).alias("unit"), F.count_if(F.col("n").isNull()).alias("unknown"))
+    known = kept(rarest.where("unknown = 0").select("needle", "unit"))
+    return known.join(held(known.select("unit").distinct()), "unit").select("needle", "text_id")
+
+
 def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(needle, text_id): which of (text_id, text) hold which of (needle) as a substring; both in one case already.
 
@@ -164,15 +185,11 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     characters without a blank), which are then tested; a needle with a gram that no
     text holds meets none.
     """
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    parts = needles.where(F.trim("needle") != "").select("needle", F.filter(F.split("needle", r"\s+"), lambda w: w != "").alias("words")).distinct()
+    parts = kept(needles.where(F.trim("needle") != "").select("needle", F.filter(F.split("needle", r"\s+"), lambda w: w != "").alias("words")).distinct())
     longest = parts.agg(F.min(F.array_max(F.transform("words", F.length))).alias("n")).first().n
     size = min(3, longest or 3)
     grams = lambda w: F.when(F.length(w) >= size, F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, F.lit(size)))).otherwise(F.expr("array()").cast("array<string>"))
-    held = texts.select("text_id", F.explode(F.array_distinct(words)).alias("w")).select("text_id", F.explode(grams(F.col("w"))).alias("gram")).distinct()
-    held = kept(held)
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    asked = parts.select("needle", F.explode(F.array_distinct(F.flatten(F.transform("words", grams)))).alias("gram"))
-    known = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0").select("needle", "gram")
-    candidates = known.join(held, "gram").select("needle", "text_id")
+    of_words = lambda words: F.flatten(F.transform(words, grams))
+    words = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    candidates = by_rarest(texts, of_words(words), parts.select("needle", F.explode(of_words(F.col("words"))).alias("unit")))
     return candidates.join(texts, "text_id").where(F.contains(F.col("text"), F.col("needle"))).select("needle", "text_id")

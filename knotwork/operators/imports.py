@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from knotwork.functions import text as T
 from knotwork.functions.types import ENTITY_TYPES, RELATION_TYPES, canonical
 from knotwork.operators import graph as G
-from knotwork.operators.blocks import containing, nearest_pairs
+from knotwork.operators.blocks import nearest_pairs
 from knotwork.operators.order import numbered
-from knotwork.operators.search import FIELDS
+from knotwork.operators.postings import search_each
 from knotwork.sources.shared import kept
 from knotwork.sources.views import Graph
 
@@ -21,31 +21,6 @@ from knotwork.sources.views import Graph
 HIGH, LOW = 20.0, 10.0
 
 
-def search_each(queries: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
-    """(key, id, entity_type, score, matched, place): text search for every (key, query) at once, best first.
-
-    Distinct tokens are looked up among the entities once; points are then summed
-    for each query's tokens.
-    """
-    words = F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")
-    asked = kept(queries.select("key", F.array_distinct(words).alias("tokens"), F.size(words).alias("n")))
-    each = asked.select("key", "n", F.explode("tokens").alias("needle"))
-    low = [F.lower(F.coalesce(F.col(f), F.lit(""))) for f, _, _ in FIELDS]
-    texts = entities.select(F.col("id").alias("text_id"), F.concat_ws("\n", *low).alias("text"))
-    met = containing(texts, each.select("needle")).withColumnRenamed("text_id", "id")
-    rows = met.join(entities.select("id", "name", "entity_type", *[c.alias(f"_{k}") for k, c in enumerate(low)]), "id")
-    points, hits = F.lit(0.0), []
-    for k, (field, part, whole) in enumerate(FIELDS):
-        there = F.contains(F.col(f"_{k}"), F.col("needle"))
-        points = points + F.when(there, part + F.when(F.array_contains(F.split(f"_{k}", r"[\s,|]+"), F.col("needle")), whole).otherwise(0.0)).otherwise(0.0)
-        hits.append(F.when(there, F.lit(field)))
-    valued = rows.select("needle", "id", "name", "entity_type", points.alias("points"), F.array_compact(F.array(*hits)).alias("fields"))
-    total = each.join(valued, "needle").groupBy("key", "n", "id", "name", "entity_type").agg(F.sum("points").alias("points"), F.count("*").alias("hits"), F.array_distinct(F.flatten(F.collect_list("fields"))).alias("matched"))  # a query's tokens bound the list
-    scored = total.withColumn("score", F.col("points") + F.when((F.col("n") > 1) & (F.col("hits") > 1), 3.0 * (F.col("hits") - 1)).otherwise(0.0))
-    place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), F.lower("entity_type"), F.lower("name"), "id"))
-    return scored.withColumn("place", place).where(F.col("place") <= limit).select("key", "id", "entity_type", "score", "matched", "place")
-
-
 def match_roots(nodes: DataFrame, entities: DataFrame, limit: int = 10) -> DataFrame:
     """(node_path, status, match_id, score, n_matches) of root nodes (node_path, name, entity_type): high_confidence, low_confidence or new."""
     typed = nodes.select("node_path", "name", canonical(F.col("entity_type"), ENTITY_TYPES).alias("want"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knotwork.functions import text as T
+from knotwork.operators.blocks import by_rarest
 from knotwork.operators.resolve import orphan_matches
 from knotwork.sources.shared import kept
 
@@ -24,11 +25,8 @@ def mentions(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     there. Terms without a letter, digit or underscore are not looked for.
     """
     runs = lambda c: F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != "")
-    held = kept(texts.select("text_id", F.explode(F.array_distinct(runs(F.col("text")))).alias("word")))
-    counts = held.groupBy("word").agg(F.count("*").alias("n"))
-    asked = wanted.select("term").distinct().select("term", F.explode(F.array_distinct(runs(F.col("term")))).alias("word"))
-    known = asked.join(counts, "word", "left").groupBy("term").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0")
-    met = known.join(held, "word").select("term", "text_id").join(texts, "text_id")
+    asked = wanted.select(F.col("term").alias("needle")).distinct().select("needle", F.explode(runs(F.col("needle"))).alias("unit"))
+    met = by_rarest(texts, runs(F.col("text")), asked).withColumnRenamed("needle", "term").join(texts, "text_id")
     return met.where(F.rlike("text", T.phrase_pattern(F.col("term")))).select("term", "text_id")
 
 

@@ -65,7 +65,20 @@ def squish(text: Column) -> Column:
 
 
 def snake_case(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2"))
+    plain = F.regexp_replace(name, "::", "/")
+    return F.lower(F.regexp_replace(F.regexp_replace(plain, r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def camelize(name: Column) -> Column:
+    """``user_profile`` as ``UserProfile``, ``api/user`` as ``Api::User``."""
+    first = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))
+
+    def put(p: Column) -> Column:
+        run = F.regexp_extract(p, "^[_/]([A-Za-z0-9]*)", 1)
+        capital = F.concat(first(F.lower(run)), F.substr(p, F.length(run) + 2))
+        return F.when(F.startswith(p, F.lit("_")), capital).when(F.startswith(p, F.lit("/")), F.concat(F.lit("::"), capital)).when(F.rlike(p, F.lit("^[a-z]")), first(p)).otherwise(p)
+
+    return F.array_join(F.transform(F.split(name, "(?=[_/])"), put), "")
 
 
 def compose_entity_text(entity_type: Column, name: Column, aliases: Column, description: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knotwork.functions import text as T
+from knotwork.functions.types import ENTITY_TYPES, canonical
 from knotwork.operators import graph as G
 from knotwork.sources.shared import kept
 from knotwork.sources.views import Graph
@@ -104,7 +105,7 @@ def supersede(observations: DataFrame, replacements: DataFrame, now: str) -> Dat
 
 
 def with_relations(g: Graph, new: DataFrame) -> Graph:
-    """Add relations that pass: both ends exist, no loop, not there yet, no second parent."""
+    """Add relations that pass: both ends exist and differ, not there yet, no second parent, no ``part_of`` on a loop of parents."""
     ids = g.entities.select("id")
     good = new.where("from_entity_id <> to_entity_id").join(ids.withColumnRenamed("id", "from_entity_id"), "from_entity_id", "left_semi").join(ids.withColumnRenamed("id", "to_entity_id"), "to_entity_id", "left_semi")
     good = good.join(g.relations.select("from_entity_id", "to_entity_id", "relation_type"), ["from_entity_id", "to_entity_id", "relation_type"], "left_anti")
@@ -113,9 +114,39 @@ def with_relations(g: Graph, new: DataFrame) -> Graph:
     # of several new parents of one child the first stays
     place = F.row_number().over(W.partitionBy("from_entity_id", "relation_type", F.when(F.col("relation_type") != "part_of", F.col("to_entity_id"))).orderBy("id"))
     good = good.withColumn("_n", place).where("_n = 1").drop("_n")
+    up = F.col("relation_type") == "part_of"
+    if not new.where(up).isEmpty():
+        good = kept(good)
+        edges = good.where(up).select("id", "from_entity_id", "to_entity_id", "relation_type")
+        loops = G.on_loops(g.relations.select(*edges.columns).unionAll(edges), edges)
+        good = good.join(loops.select("id"), "id", "left_anti")
     return replace(g, relations=g.relations.unionByName(good.select(*g.relations.columns)))
 
 
+def update_entities(entities: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities after the changes, refused changes (id, error)); changes are (id, name, entity_type, aliases, description), one for an id.
+
+    Blank names and types and null aliases and descriptions leave what is there; an empty
+    text clears aliases or a description. A change is refused if it tells nothing, its
+    entity is missing, or its name is another entity's or that of a change with a
+    smaller id. Columns that the table lacks are passed over.
+    """
+    given = lambda c: F.when(~T.blank(F.col(c)), F.col(c))
+    asked = changes.select("id", given("name").alias("_name"), canonical(given("entity_type"), ENTITY_TYPES).alias("_type"), F.col("aliases").alias("_aliases"), F.col("description").alias("_description"))
+    told = F.coalesce("_name", "_type", "_aliases", "_description").isNotNull()
+    asked = asked.withColumn("_key", F.coalesce("_name", F.concat(F.lit("\0"), F.col("id").cast("string"))))  # changes without a name don't meet
+    there = entities.select("id", F.col("name").alias("_was"))
+    owner = entities.groupBy(F.col("name").alias("_key")).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    first = F.row_number().over(W.partitionBy("_key").orderBy("id"))
+    rows = asked.join(there, "id", "left").join(owner, "_key", "left")
+    taken = F.col("_name").isNotNull() & (((F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id"))) | (first > 1))
+    judged = kept(rows.withColumn("error", F.when(~told, "nothing to change").when(F.col("_was").isNull(), "the entity is missing").when(taken, "the name is taken")))
+    good = judged.where("error IS NULL").drop("_was", "_key", "_low", "_high", "error")
+    put = {"name": "_name", "entity_type": "_type", "aliases": "_aliases", "description": "_description"}
+    out = entities.join(good, "id", "left").withColumns({c: F.coalesce(n, c) for c, n in put.items() if c in entities.columns})
+    return out.select(*entities.columns), judged.where("error IS NOT NULL").select("id", "error")
+
+
 def bulk(g: Graph, entities: DataFrame | None = None, observations: DataFrame | None = None, relations: DataFrame | None = None, most: int = 50) -> Graph:
     """All rows or none: any name that is taken, blank content or missing end rejects the whole batch of 1 to ``most`` operations."""
     n = sum(df.count() for df in (entities, observations, relations) if df is not None)

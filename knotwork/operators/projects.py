@@ -8,14 +8,15 @@ from pyspark.sql import Window as W
 
 from knotwork.functions import text as T
 from knotwork.operators.blocks import by_rarest
+from knotwork.operators.postings import search_each
 from knotwork.operators.resolve import orphan_matches
 from knotwork.sources.shared import kept
 
 
 def terms(entities: DataFrame) -> DataFrame:
-    """(id, term): names and aliases of three characters and more, in lower case."""
+    """(id, at, term): names and aliases of three characters and more, in lower case, each once, by place."""
     each = F.concat(F.array(F.trim("name")), T.alias_list(F.col("aliases")))
-    return entities.select("id", F.explode(F.array_distinct(F.transform(each, F.lower))).alias("term")).where(F.length("term") >= 3)
+    return entities.select("id", F.posexplode(F.array_distinct(F.transform(each, F.lower))).alias("at", "term")).where(F.length("term") >= 3)
 
 
 def mentions(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -30,24 +31,58 @@ def mentions(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.where(F.rlike("text", T.phrase_pattern(F.col("term")))).select("term", "text_id")
 
 
-def validated(observations: DataFrame, entities: DataFrame, project_id: int, scanned: Column) -> DataFrame:
+def validated(observations: DataFrame, entities: DataFrame, project_id: int, scanned: Column, ranked: int | None = None) -> DataFrame:
     """(id, action, target_id, n_candidates) of active observations: keep, move, review_move, obsolete or review_delete.
 
     An observation that mentions its entity or the project is kept. Otherwise, if it
     mentions one other entity only, it moves there (from a scan) or is reviewed; if
     several, it is reviewed; if none, it is obsolete (from a scan) or reviewed for deletion.
+    The target is the lowest id. With ``ranked`` only Projects and entities among the first
+    so many of a text search for the content are candidates; the target then is no
+    Project if any other is there, and has the longest name (or alias) mentioned, the
+    higher score, the better place and the lower id.
     """
     rows = kept(observations.where("status = 'active'").where(F.trim("content") != "").select("id", "memory_entity_id", "content", scanned.alias("scanned")))
     names = terms(entities)
-    found = mentions(rows.select(F.col("id").alias("text_id"), F.col("content").alias("text")), names.select("term")).join(names.withColumnRenamed("id", "entity_id"), "term").select(F.col("text_id").alias("id"), "entity_id").distinct()
-    met = rows.select("id", "memory_entity_id").join(found, "id")
-    owned = F.max((F.col("entity_id") == F.col("memory_entity_id")) | (F.col("entity_id") == project_id)).alias("owned")
-    per = met.groupBy("id").agg(owned, F.count("*").alias("n"), F.min("entity_id").alias("target"))
+    met = mentions(rows.select(F.col("id").alias("text_id"), F.col("content").alias("text")), names.select("term"))
+    found = met.join(names.withColumnRenamed("id", "entity_id"), "term").groupBy(F.col("text_id").alias("id"), "entity_id").agg(F.length(F.min_by("term", "at")).alias("long"))
+    is_own = (F.col("entity_id") == F.col("memory_entity_id")) | (F.col("entity_id") == project_id)
+    owned = F.max(is_own).alias("owned")
+    if ranked is None:
+        found, n, target = rows.select("id", "memory_entity_id").join(found, "id"), F.count("*"), F.min("entity_id")
+    else:
+        found = kept(rows.select("id", "memory_entity_id").join(found, "id").join(entities.select(F.col("id").alias("entity_id"), (F.col("entity_type") == "Project").alias("root")), "entity_id"))
+        # only what mentions others and not its own is searched for
+        open_ = found.groupBy("id").agg(owned).where(~F.col("owned")).select("id")
+        best = search_each(rows.join(open_, "id").select(F.col("id").alias("key"), F.col("content").alias("query")), entities, ranked)
+        found = found.join(best.select(F.col("key").alias("id"), F.col("id").alias("entity_id"), "score", "place"), ["id", "entity_id"], "left")
+        found = found.withColumn("counts", F.coalesce("root", F.lit(False)) | F.col("place").isNotNull())
+        order = F.struct(F.coalesce("root", F.lit(False)), -F.col("long"), -F.coalesce("score", F.lit(0.0)), F.coalesce("place", F.lit(ranked + 1)), "entity_id")
+        n, target = F.count_if("counts"), F.min_by("entity_id", F.when(F.col("counts"), order))
+    per = found.groupBy("id").agg(owned, n.alias("n"), target.alias("target"))
     out = rows.join(per, "id", "left").withColumn("n", F.when(F.col("owned"), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))))
     action = F.when(F.col("owned"), "keep").when(F.col("n") > 1, "review_move").when(F.col("n") == 1, F.when(F.col("scanned"), "move").otherwise("review_move")).otherwise(F.when(F.col("scanned"), "obsolete").otherwise("review_delete"))
     return out.select("id", action.alias("action"), F.when(F.col("n") > 0, F.col("target")).alias("target_id"), F.col("n").cast("long").alias("n_candidates"))
 
 
+# Relation types that tell that one entity uses another.
+USAGE_TYPES = "depends_on requires used_by configured_by implements extends integrates_with".split()
+
+
+def absent_targets(relations: DataFrame, entities: DataFrame, context: DataFrame) -> DataFrame:
+    """Ids of usage edges to an entity none of whose names stands in the scan's texts (text_id, text); none if there are no texts.
+
+    Edges to what is no entity are left to other checks. A name is found within one text.
+    """
+    usage = relations.where(F.col("relation_type").isin(*USAGE_TYPES)).select("id", "to_entity_id")
+    targets = entities.join(usage.select(F.col("to_entity_id").alias("id")), "id", "left_semi").select("id", "name", "aliases")
+    names = terms(targets)
+    told = mentions(context, names.select("term")).select("term").distinct()
+    absent = targets.select("id").join(names.join(told, "term", "left_semi").select("id"), "id", "left_anti")
+    there = context.where(~T.blank(F.col("text"))).limit(1).select(F.lit(True).alias("_there"))
+    return usage.join(absent.withColumnRenamed("id", "to_entity_id"), "to_entity_id", "left_semi").join(F.broadcast(there)).select("id")  # one row
+
+
 def wrong_roots(relations: DataFrame, entities: DataFrame, project_id: int) -> DataFrame:
     """Ids of ``part_of`` edges to a Project other than the scanned one."""
     others = entities.where((F.col("entity_type") == "Project") & (F.col("id") != project_id)).select(F.col("id").alias("to_entity_id"))

@@ -134,5 +134,37 @@ def violations(observations: DataFrame) -> DataFrame:
         "superseded_without_reference": over & F.col("superseded_by_id").isNull(),
         "self_reference": F.col("superseded_by_id") == F.col("id"),
     }
+    return _told(observations, rules)
+
+
+def relation_violations(relations: DataFrame) -> DataFrame:
+    """(id, rule) for each broken constraint of a relation; ``properties`` is JSON text, and rules of columns that aren't there don't apply."""
+    has = lambda c: c in relations.columns
+    rules = {"type_blank": F.col("relation_type").isNull() | (F.trim("relation_type") == ""), "self_reference": F.col("from_entity_id") == F.col("to_entity_id")}
+    if has("weight"):
+        rules["weight_negative"] = F.col("weight") < 0
+    if has("confidence"):
+        rules["confidence_range"] = (F.col("confidence") < 0) | (F.col("confidence") > 1)
+    if has("properties"):
+        rules["properties_no_object"] = ~_kind_of("properties").startswith("OBJECT")
+    return _told(relations, rules)
+
+
+def tag_violations(observations: DataFrame) -> DataFrame:
+    """(id, rule) of observations whose ``tags`` (JSON text) are no array of strings; nulls aren't either."""
+    return _told(observations, {"tags_no_strings": ~_kind_of("tags").isin("ARRAY<STRING>", "ARRAY<VOID>") | _holds_null("tags")})
+
+
+def _kind_of(c: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)), F.lit("VOID"))
+
+
+def _holds_null(c: str) -> Column:
+    """A null in an array doesn't change the array's type."""
+    values = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    return F.coalesce(F.exists(values, lambda v: v.isNull() | F.is_variant_null(v)), F.lit(False))
+
+
+def _told(df: DataFrame, rules: dict) -> DataFrame:
     found = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]))
-    return observations.select("id", F.explode(found).alias("rule"))
+    return df.select("id", F.explode(found).alias("rule"))

@@ -57,11 +57,12 @@ def multi_parent(relations: DataFrame) -> DataFrame:
 
 
 def dangling(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Relations with an end that is no entity."""
+    """Ids of relations with an end that is no entity, one row a relation; ids may repeat."""
     ids = entities.select("id")
-    a = relations.join(ids.withColumnRenamed("id", "from_entity_id"), "from_entity_id", "left_anti").select("id")
-    b = relations.join(ids.withColumnRenamed("id", "to_entity_id"), "to_entity_id", "left_anti").select("id")
-    return a.unionAll(b).distinct()
+    froms, tos = ids.withColumnRenamed("id", "from_entity_id"), ids.withColumnRenamed("id", "to_entity_id")
+    a = relations.join(froms, "from_entity_id", "left_anti").select("id")
+    b = relations.join(froms, "from_entity_id", "left_semi").join(tos, "to_entity_id", "left_anti").select("id")
+    return a.unionAll(b)
 
 
 def lifecycle_issues(observations: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def sweep(g: Graph, touched: DataFrame | None = None, counter: str = "memory_obs
         drift = kept(counter_drift(looked, lives, counter))
         found.append(row(drift, 3, "counter", "id", "counted"))
         entities = entities.join(drift.select("id", "counted"), "id", "left").withColumn(counter, F.coalesce("counted", counter).cast(entities.schema[counter].dataType)).select(*g.entities.columns)
-    lost = kept(dangling(entities, relations))
+    lost = kept(dangling(entities, relations).distinct())
     found.append(row(lost, 4, "dangling", "id", None))
     relations = relations.join(lost, "id", "left_anti").select(*g.relations.columns)
     found += [row(stale_embeddings(df), 5, f"{what}_without_vector", "id", None) for what, df in (("entity", entities), ("observation", observations)) if "embedding" in df.columns]

@@ -209,3 +209,9 @@ def test_many_documents_and_deep_trees(spark):
     by = {(r.doc_id, r.node_path): r for r in rows}
     assert len(rows) == 27 and by[1, "0" + ".children.0" * 24].name == "n24" and by[1, "0" + ".children.0" * 24].parent_path == "0" + ".children.0" * 23
     assert by[1, "0.children.0"].observations == ["a", "b", "3"] and by[1, "0.children.0"].parent_to_child and by[1, "1"].aliases == "x" and by[6, "0"].name is None
+
+
+def test_dangling_relations_are_told_one_by_one_though_ids_repeat(spark):
+    entities = spark.createDataFrame([(1,), (2,)], "id long")
+    edges = spark.createDataFrame([(7, 1, 9), (7, 9, 2), (7, 9, 9), (8, 1, 2)], "id long, from_entity_id long, to_entity_id long")
+    assert [r.id for r in quality.dangling(entities, edges).collect()] == [7, 7, 7]

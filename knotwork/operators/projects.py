@@ -31,6 +31,21 @@ def mentions(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.where(F.rlike("text", T.phrase_pattern(F.col("term")))).select("term", "text_id")
 
 
+def mentioned(met: DataFrame, names: DataFrame) -> DataFrame:
+    """(text_id, n, target) of (term, text_id) and (id, term): how many entities a text mentions, and the lowest id.
+
+    Texts that mention the same terms are one set and entities that share the same
+    mentioned terms one kind, so sets meet kinds, not texts entities.
+    """
+    of_texts = kept(met.groupBy("text_id").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    held = names.join(met.select("term").distinct(), "term", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("held"))
+    kinds = kept(held.groupBy("held").agg(F.count("*").alias("n"), F.min("id").alias("target")))
+    asked = of_texts.select("terms").distinct().select("terms", F.explode("terms").alias("term"))
+    pairs = asked.join(kinds.select("held", "n", "target", F.explode("held").alias("term")), "term").drop("term").distinct()
+    counts = pairs.groupBy("terms").agg(F.sum("n").alias("n"), F.min("target").alias("target"))
+    return of_texts.join(counts, "terms").select("text_id", "n", "target")
+
+
 def validated(observations: DataFrame, entities: DataFrame, project_id: int, scanned: Column, ranked: int | None = None) -> DataFrame:
     """(id, action, target_id, n_candidates) of active observations: keep, move, review_move, obsolete or review_delete.
 
@@ -42,25 +57,30 @@ def validated(observations: DataFrame, entities: DataFrame, project_id: int, sca
     Project if any other is there, and has the longest name (or alias) mentioned, the
     higher score, the better place and the lower id.
     """
-    rows = kept(observations.where("status = 'active'").where(F.trim("content") != "").select("id", "memory_entity_id", "content", scanned.alias("scanned")))
-    names = terms(entities)
-    met = mentions(rows.select(F.col("id").alias("text_id"), F.col("content").alias("text")), names.select("term"))
-    found = met.join(names.withColumnRenamed("id", "entity_id"), "term").groupBy(F.col("text_id").alias("id"), "entity_id").agg(F.length(F.min_by("term", "at")).alias("long"))
-    is_own = (F.col("entity_id") == F.col("memory_entity_id")) | (F.col("entity_id") == project_id)
-    owned = F.max(is_own).alias("owned")
+    rows = kept(observations.where("status = 'active'").where(F.trim("content") != "").select("id", "memory_entity_id", "content", F.sha2("content", 256).alias("text_id"), scanned.alias("scanned")))
+    # what a content mentions is looked up once, however many observations hold it
+    texts = kept(rows.groupBy("text_id").agg(F.first("content").alias("text")))
+    names = kept(terms(entities))
+    met = kept(mentions(texts, names.select("term")))
+    is_own = met.join(names.select("term", F.col("id").alias("memory_entity_id")), "term").select("text_id", "memory_entity_id")
+    project = names.where(F.col("id") == project_id).select("term")
+    own = rows.join(is_own.distinct(), ["text_id", "memory_entity_id"], "left_semi").select("id").unionAll(rows.join(met.join(project, "term", "left_semi"), "text_id", "left_semi").select("id")).distinct()
+    out = rows.join(own.withColumn("owned", F.lit(True)), "id", "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
     if ranked is None:
-        found, n, target = rows.select("id", "memory_entity_id").join(found, "id"), F.count("*"), F.min("entity_id")
+        per = mentioned(met, names)
     else:
-        found = kept(rows.select("id", "memory_entity_id").join(found, "id").join(entities.select(F.col("id").alias("entity_id"), (F.col("entity_type") == "Project").alias("root")), "entity_id"))
+        out = kept(out)
         # only what mentions others and not its own is searched for
-        open_ = found.groupBy("id").agg(owned).where(~F.col("owned")).select("id")
-        best = search_each(rows.join(open_, "id").select(F.col("id").alias("key"), F.col("content").alias("query")), entities, ranked)
-        found = found.join(best.select(F.col("key").alias("id"), F.col("id").alias("entity_id"), "score", "place"), ["id", "entity_id"], "left")
-        found = found.withColumn("counts", F.coalesce("root", F.lit(False)) | F.col("place").isNotNull())
-        order = F.struct(F.coalesce("root", F.lit(False)), -F.col("long"), -F.coalesce("score", F.lit(0.0)), F.coalesce("place", F.lit(ranked + 1)), "entity_id")
-        n, target = F.count_if("counts"), F.min_by("entity_id", F.when(F.col("counts"), order))
-    per = found.groupBy("id").agg(owned, n.alias("n"), target.alias("target"))
-    out = rows.join(per, "id", "left").withColumn("n", F.when(F.col("owned"), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))))
+        open_ = out.where("NOT owned").select("text_id").join(met, "text_id", "left_semi").distinct()
+        best = search_each(texts.join(open_, "text_id").select(F.col("text_id").alias("key"), F.col("text").alias("query")), entities, ranked)
+        best = best.select(F.col("key").alias("text_id"), "id", "score", "place")
+        roots = entities.where("entity_type = 'Project'").select("id")
+        of_roots = met.join(open_, "text_id", "left_semi").join(names.join(roots, "id", "left_semi"), "term").select("text_id", "id")
+        candidates = best.select("text_id", "id").unionAll(of_roots).distinct().join(roots.withColumn("root", F.lit(True)), "id", "left").join(best, ["text_id", "id"], "left")
+        found = candidates.join(names, "id").join(met, ["text_id", "term"]).groupBy("text_id", "id").agg(F.length(F.min_by("term", "at")).alias("long"), F.first("root").alias("root"), F.first("score").alias("score"), F.first("place").alias("place"))
+        order = F.struct(F.coalesce("root", F.lit(False)), -F.col("long"), -F.coalesce("score", F.lit(0.0)), F.coalesce("place", F.lit(ranked + 1)), "id")
+        per = found.groupBy("text_id").agg(F.count("*").alias("n"), F.min_by("id", order).alias("target"))
+    out = out.join(per, "text_id", "left").withColumn("n", F.when(F.col("owned"), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))))
     action = F.when(F.col("owned"), "keep").when(F.col("n") > 1, "review_move").when(F.col("n") == 1, F.when(F.col("scanned"), "move").otherwise("review_move")).otherwise(F.when(F.col("scanned"), "obsolete").otherwise("review_delete"))
     return out.select("id", action.alias("action"), F.when(F.col("n") > 0, F.col("target")).alias("target_id"), F.col("n").cast("long").alias("n_candidates"))
 

@@ -59,3 +59,10 @@ def test_rarest_units(spark, monkeypatch, few):
     assert got == {(n, i) for n in needles for i, x in texts if n.strip() and x and n in x}
     met = projects.mentions(t, spark.createDataFrame([("green",), ("blue green",), ("absent",), ("#",)], "term string"))
     assert {(r.term, r.text_id) for r in met.collect()} == {("green", 1), ("green", 2), ("green", 6), ("blue green", 6)}
+
+
+def test_mentioned_entities_are_counted_once_a_text(spark):
+    met = [("brand#1", "x"), ("steel", "x"), ("brand#1", "y"), ("iron", "z")]
+    names = [(1, "brand#1"), (1, "steel"), (2, "brand#1"), (3, "steel"), (4, "iron"), (5, "lead")]
+    out = projects.mentioned(spark.createDataFrame(met, "term string, text_id string"), spark.createDataFrame(names, "id long, term string"))
+    assert sorted(map(tuple, out.collect())) == [("x", 3, 1), ("y", 2, 1), ("z", 1, 4)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
 from knotwork.functions import vectors as V
-from knotwork.operators import blocks, graph, imports, mutate, order, quality, ranking, scan, search
+from knotwork.operators import blocks, graph, imports, mutate, order, quality, ranking, resolve, scan, search
 from knotwork.sources import exchange
 from knotwork.sources.views import Graph
 from knotwork.streaming import audit
@@ -335,3 +335,18 @@ def test_bulk_adds_all(spark, cyclic):
     assert (out.entities.count(), out.observations.count(), out.relations.count()) == (7, 2, 6)
     with pytest.raises(ValueError):  # one bad row rejects the batch
         mutate.bulk(g, spark.createDataFrame([(7, "new", "Task")], "id long, name string, entity_type string"), observations(spark, [(2, 99, "y", None, None, "active", None, None)]))
+
+
+def test_best_matches_are_the_first_of_all_matches(spark):
+    orphans = [(k, f"part #{k * 7 % 60}", "Component", None, f"size {k % 12}") for k in range(90)]
+    projects = [(k, f"Customer#{k:05d}", "size" if k % 3 else None) for k in range(80)]
+    o = spark.createDataFrame(orphans, "id long, name string, entity_type string, aliases string, description string")
+    p = spark.createDataFrame(projects, "id long, name string, aliases string")
+    facts = spark.createDataFrame([], "id long, memory_entity_id long, content string, status string")
+    want = {}
+    for r in resolve.orphan_matches(o, p, facts).collect():
+        want.setdefault(r.id, []).append((-r.score, r.project_id))
+    got = {}
+    for r in resolve.best_matches(o, p, facts).collect():
+        got.setdefault(r.id, []).append((-r.score, r.project_id))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:2] for k, v in want.items()}

@@ -217,6 +217,22 @@ def test_shared_words_against_all_pairs(spark, monkeypatch):
     assert blocks.shared_words(frame([]), frame(right), 2, 3).count() == 0
 
 
+def test_shared_words_travel_to_few_blocks(spark):
+    rows = spark.range(1500).selectExpr("id", "transform(sequence(1, 8), k -> concat('w', pmod(xxhash64(id, k), 50))) AS words")
+
+    def shuffled():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        return sum(j.shuffleWriteRecords() for j in (lambda s: [s.apply(k) for k in range(s.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
+
+    blocks.WORD_BLOCK, held = 10, blocks.WORD_BLOCK
+    try:
+        before = shuffled()
+        assert blocks.shared_words(rows, rows.select((F.col("id") + 5000).alias("id"), "words"), 2, 3).count() == 4500
+        assert shuffled() - before < 150_000
+    finally:
+        blocks.WORD_BLOCK = held
+
+
 def test_containing_against_all_pairs(spark):
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("ab c") for _ in range(n))

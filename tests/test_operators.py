@@ -217,6 +217,16 @@ def test_shared_words_against_all_pairs(spark, monkeypatch):
     assert blocks.shared_words(frame([]), frame(right), 2, 3).count() == 0
 
 
+def test_grams_are_found_by_slots(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "CHUNK", 30)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abéß𝄞\u2028", k=rng.randrange(1, 9)))
+    texts = [(k, rng.choice([" ", "\t ", "\n"]).join(word() for _ in range(rng.randrange(9)))) for k in range(80)] + [(90, None), (91, ""), (92, " \n")]
+    units = sorted({word()[: rng.choice([1, 2, 3, 8])] for _ in range(60)})
+    got = blocks._grams_held(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame([(u,) for u in units], "unit string"), [1, 2, 3, 4, 5, 6, 7, 8])
+    assert sorted((r.text_id, r.unit) for r in got.collect() if r.unit in units) == sorted((k, u) for k, t in texts if t for u in units if u in t)
+
+
 def test_shared_words_travel_to_few_blocks(spark):
     rows = spark.range(1500).selectExpr("id", "transform(sequence(1, 8), k -> concat('w', pmod(xxhash64(id, k), 50))) AS words")
 

@@ -227,18 +227,29 @@ def test_grams_are_found_by_slots(spark, monkeypatch):
     assert sorted((r.text_id, r.unit) for r in got.collect() if r.unit in units) == sorted((k, u) for k, t in texts if t for u in units if u in t)
 
 
-def test_shared_words_travel_to_few_blocks(spark):
-    rows = spark.range(1500).selectExpr("id", "transform(sequence(1, 8), k -> concat('w', pmod(xxhash64(id, k), 50))) AS words")
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
 
-    def shuffled():
-        store = spark.sparkContext._jsc.sc().statusStore()
-        return sum(j.shuffleWriteRecords() for j in (lambda s: [s.apply(k) for k in range(s.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
+def test_equal_texts_are_looked_up_once(spark):
+    o = spark.range(20_000).selectExpr("id", "id % 3 AS memory_entity_id", "'It depends on Ab and cd.' AS content", "'active' AS status")
+    e = spark.createDataFrame([(1, "AB", "cd|x", "Tool"), (2, "Cd.", None, "Tool"), (7, "abc", "n", "Tool"), (8, "and", "ab and", "Project"), (9, "depends", "on Ab,on", "Tool")], "id long, name string, aliases string, entity_type string")
+    before = shuffled(spark)
+    got = sorted(map(tuple, resolve.dependency_links(o, e, 2).collect()))
+    assert got == [(f, t) for f in range(3) for t in (1, 2, 9) if f != t]
+    assert shuffled(spark) - before < 5_000
 
+
+def test_shared_words_travel_to_few_blocks(spark):
+    rows = spark.range(1500).selectExpr("id", "transform(sequence(1, 8), k -> concat('w', pmod(xxhash64(id, k), 50))) AS words")
     blocks.WORD_BLOCK, held = 10, blocks.WORD_BLOCK
     try:
-        before = shuffled()
+        before = shuffled(spark)
         assert blocks.shared_words(rows, rows.select((F.col("id") + 5000).alias("id"), "words"), 2, 3).count() == 4500
-        assert shuffled() - before < 150_000
+        assert shuffled(spark) - before < 150_000
     finally:
         blocks.WORD_BLOCK = held
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.order import numbered, summed_before
+from knotwork.operators.order import numbered, parts, summed_before
 from knotwork.sources.shared import kept
 
 MAX_DEPTH, MAX_NODES, MAX_SCOPE = 5, 1000, 1000
@@ -188,7 +188,9 @@ def ego_network(relations: DataFrame, entity_id: int) -> DataFrame:
 def hierarchy_orphans(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Entities other than Projects without a parent."""
     child = relations.where(F.col("relation_type") == "part_of").select(F.col("from_entity_id").alias("id"))
-    return entities.where(F.col("entity_type") != "Project").join(child, "id", "left_anti")
+    others = entities.where(F.col("entity_type") != "Project")
+    n = parts(others, child)
+    return others.repartition(n, "id").join(child.repartition(n, "id"), "id", "left_anti")
 
 
 def isolated(entities: DataFrame, observations: DataFrame, relations: DataFrame) -> DataFrame:

@@ -243,6 +243,15 @@ def test_equal_texts_are_looked_up_once(spark):
     assert shuffled(spark) - before < 5_000
 
 
+def test_hierarchy_orphans_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(order, "PART_ROWS", 100)
+    e = spark.range(1000).selectExpr("id", "concat('n', id) AS name", "IF(id < 5, 'Project', 'Task') AS entity_type")
+    r = spark.range(0, 1000, 2).selectExpr("id + 5000 AS id", "id AS from_entity_id", "1L AS to_entity_id", "'part_of' AS relation_type")
+    got = graph.hierarchy_orphans(e, r)
+    assert sorted(x.id for x in got.collect()) == list(range(5, 1000, 2))
+    assert got.rdd.getNumPartitions() >= 14
+
+
 def test_shared_words_travel_to_few_blocks(spark):
     rows = spark.range(1500).selectExpr("id", "transform(sequence(1, 8), k -> concat('w', pmod(xxhash64(id, k), 50))) AS words")
     blocks.WORD_BLOCK, held = 10, blocks.WORD_BLOCK

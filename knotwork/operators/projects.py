@@ -95,7 +95,7 @@ def absent_targets(relations: DataFrame, entities: DataFrame, context: DataFrame
     Edges to what is no entity are left to other checks. A name is found within one text.
     """
     usage = relations.where(F.col("relation_type").isin(*USAGE_TYPES)).select("id", "to_entity_id")
-    targets = entities.join(usage.select(F.col("to_entity_id").alias("id")), "id", "left_semi").select("id", "name", "aliases")
+    targets = entities.join(usage.select(F.col("to_entity_id").alias("id")).distinct(), "id", "left_semi").select("id", "name", "aliases")
     names = terms(targets)
     told = mentions(context, names.select("term")).select("term").distinct()
     absent = targets.select("id").join(names.join(told, "term", "left_semi").select("id"), "id", "left_anti")

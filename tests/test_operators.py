@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import text as T
 from knotwork.functions import vectors as V
-from knotwork.operators import blocks, graph, imports, mutate, order, quality, ranking, resolve, scan, search
+from knotwork.operators import blocks, graph, imports, mutate, order, projects, quality, ranking, resolve, scan, search
 from knotwork.sources import exchange
 from knotwork.sources.views import Graph
 from knotwork.streaming import audit
@@ -252,6 +252,19 @@ def test_hierarchy_orphans_are_dealt_by_rows(spark, monkeypatch):
     assert got.rdd.getNumPartitions() >= 14
 
 
+def test_usage_targets_meet_entities_once(spark):
+    e = spark.createDataFrame([(k, f"name{k}", None, "Tool") for k in range(3)], "id long, name string, aliases string, entity_type string")
+    r = spark.range(20_000).selectExpr("id", "id + 10 AS from_entity_id", "id % 3 AS to_entity_id", "'depends_on' AS relation_type")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = projects.absent_targets(r, e, spark.createDataFrame([(1, "has name1")], "text_id long, text string")).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sum(k % 3 != 1 for k in range(20_000))
+    assert shuffled(spark) - before < 30_000
+
+
 def test_shared_words_travel_to_few_blocks(spark):
     rows = spark.range(1500).selectExpr("id", "transform(sequence(1, 8), k -> concat('w', pmod(xxhash64(id, k), 50))) AS words")
     blocks.WORD_BLOCK, held = 10, blocks.WORD_BLOCK

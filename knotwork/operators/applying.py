@@ -7,6 +7,10 @@ out together; then what the others touch is looked up anew, since entities may h
 merged or moved. The number of rounds is the length of the longest chain of rows that
 wait for each other, not the number of rows: moves below one project wait for each other
 only where one's node stands above the other's new parent.
+
+Rounds work on the rows' surroundings only: what they name, what stands above it and what
+hangs on entities that are merged or deleted. The rest of the graph is neither rewritten
+nor looked at again.
 """
 
 from __future__ import annotations
@@ -79,6 +83,35 @@ def _accesses(g: Graph, rows: DataFrame, above: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [direct, facts, edges, chains]).where("what IS NOT NULL")
 
 
+def _surroundings(g: Graph, rows: DataFrame) -> tuple[Graph, Graph]:
+    """(what the rows can read or change, the rest); edges of equal ends and type stand together."""
+    kind = F.col("kind")
+    named = lambda c, *kinds: rows.where(kind.isin(*kinds)).select(F.col(c).alias("id")).where("id IS NOT NULL")
+    both = ("entity_merge", "relationship_proposal", *MOVES)
+    own = kept(named("a", *both, "delete_entity").unionAll(named("b", *both, "move_observation")).distinct())
+    # all that hangs on these moves or goes with them
+    whole = kept(named("a", "entity_merge", "delete_entity").unionAll(named("b", "entity_merge")).distinct())
+    starts = named("a", *MOVES, "relationship_proposal").unionAll(named("b", *MOVES, "relationship_proposal")).unionAll(whole).distinct()
+    above = _above(g.relations, starts.select(F.lit(0).cast("long").alias("position"), F.col("id").alias("at"))).select(F.col("at").alias("id"))
+    lower = own.unionAll(above)
+    edges = kept(named("a", "relation_integrity", "delete_relation"))
+    if not edges.isEmpty():
+        lower = lower.unionAll(g.relations.join(edges, "id", "left_semi").select(F.col("from_entity_id").alias("id")))
+    lower = kept(lower.distinct()).withColumnRenamed("id", "from_entity_id")
+    upper = whole.withColumnRenamed("id", "to_entity_id")
+    other = g.relations.join(lower, "from_entity_id", "left_anti")
+    relations = g.relations.join(lower, "from_entity_id", "left_semi")
+    if not whole.isEmpty():
+        relations = relations.unionByName(other.join(upper, "to_entity_id", "left_semi"))
+        other = other.join(upper, "to_entity_id", "left_anti")
+    facts = kept(named("a", "move_observation", "delete_observation"))
+    owned = g.observations.select("id", F.col("memory_entity_id").alias("_m")).join(whole.withColumnRenamed("id", "_m"), "_m", "left_semi").select("id")
+    facts = kept(facts.unionAll(owned).distinct())  # ids only: texts of the rest aren't shuffled where these are few
+    some = Graph(kept(g.entities.join(own, "id", "left_semi").select(*g.entities.columns)), kept(g.observations.join(facts, "id", "left_semi").select(*g.observations.columns)), kept(relations.select(*g.relations.columns)))
+    rest = Graph(g.entities.join(own, "id", "left_anti").select(*g.entities.columns), g.observations.join(facts, "id", "left_anti").select(*g.observations.columns), other.select(*g.relations.columns))
+    return some, rest
+
+
 def apply_rows(g: Graph, rows: DataFrame, first_id: int, now: str, most: int = 1000) -> tuple[Graph, DataFrame]:
     """Carry out rows (see ``read``) in the order of their positions: (graph, outcomes (id, position, done)).
 
@@ -95,7 +128,11 @@ def apply_rows(g: Graph, rows: DataFrame, first_id: int, now: str, most: int = 1
     if one of them was there. More than ``most`` rounds raise.
     """
     open_rows, done = kept(rows.select(*[f.split()[0] for f in ROWS.split(", ")])), []
+    if open_rows.isEmpty():
+        return g, rows.select("id", "position", F.lit(True).alias("done")).limit(0)
     edge = ["from_entity_id", "to_entity_id", "relation_type"]
+    g, rest = _surroundings(g, open_rows)
+    united = False
     for _ in range(most):
         if open_rows.isEmpty():
             break
@@ -132,6 +169,7 @@ def apply_rows(g: Graph, rows: DataFrame, first_id: int, now: str, most: int = 1
         observations = observations.unionByName(copies.select(*[c for c in copies.columns if c in observations.columns]), allowMissingColumns=True)
         g = Graph(g.entities, observations.select(*g.observations.columns), relations)
         if not merges.isEmpty():
+            united = True
             g = mutate.merge(g, merges.select(F.col("a").alias("source"), F.col("b").alias("target")))
         if not entity.isEmpty():
             g = mutate.delete_nodes(g, entity.select(F.col("a").alias("id")))
@@ -141,6 +179,7 @@ def apply_rows(g: Graph, rows: DataFrame, first_id: int, now: str, most: int = 1
         open_rows = kept(open_rows.join(ready.select("position").distinct(), "position", "left_anti"))
     else:
         raise RuntimeError(f"rows still wait after {most} rounds")
-    if not done:
-        return g, rows.select("id", "position", F.lit(True).alias("done")).limit(0)
+    if united:  # a merge leaves no loops and no repeated edges anywhere
+        rest.relations = mutate.without_repeats(rest.relations.where("from_entity_id <> to_entity_id"))
+    g = Graph(rest.entities.unionByName(g.entities), rest.observations.unionByName(g.observations), rest.relations.unionByName(g.relations))
     return g, reduce(DataFrame.unionByName, done).groupBy("id", "position").agg(F.max("done").alias("done"))

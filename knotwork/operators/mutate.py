@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,6 +39,12 @@ def remapped(g: Graph, pairs: DataFrame) -> Graph:
     )
 
 
+def without_repeats(relations: DataFrame, *first: Column) -> DataFrame:
+    """Of edges with the same ends and type one: the first by ``first``, then the lowest id."""
+    w = W.partitionBy("from_entity_id", "to_entity_id", "relation_type").orderBy(*first, "id")
+    return relations.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def merge(g: Graph, pairs: DataFrame) -> Graph:
     """Merge (source, target) pairs of equal type, no Projects; chains go to their last target.
 
@@ -52,8 +58,7 @@ def merge(g: Graph, pairs: DataFrame) -> Graph:
     edges = g.relations.withColumn("_was", F.struct("from_entity_id", "to_entity_id"))
     edges = remap(remap(edges, "from_entity_id"), "to_entity_id").where("from_entity_id <> to_entity_id")
     moved_flag = F.col("_was") != F.struct("from_entity_id", "to_entity_id")
-    w = W.partitionBy("from_entity_id", "to_entity_id", "relation_type").orderBy(moved_flag, "id")
-    edges = edges.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*g.relations.columns)
+    edges = without_repeats(edges, moved_flag).select(*g.relations.columns)
     gone = g.entities.join(ok.withColumnRenamed("source", "id"), "id").select(F.col("target").alias("id"), F.array_union(T.alias_list(F.col("aliases")), F.array("name")).alias("more"))
     more = gone.groupBy("id").agg(F.array_distinct(F.flatten(F.array_sort(F.collect_list("more")))).alias("more"))
     kept = g.entities.join(ok.withColumnRenamed("source", "id"), "id", "left_anti").join(more, "id", "left")

@@ -20,11 +20,20 @@ def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     rows = spark.read.schema(LINES).option("mode", "PERMISSIVE").json(path)
     good = rows.where(F.col("_corrupt_record").isNull())
     named = good.where((F.col("type") == "entity") & F.col("name").isNotNull())
-    entities = named.groupBy("name").agg(F.min("entityType").alias("entity_type"))
-    observations = named.select("name", F.explode("observations").alias("content")).distinct()
-    edges = good.where(F.col("type") == "relation").select(F.col("from").alias("from_name"), F.col("to").alias("to_name"), F.col("relationType").alias("relation_type")).distinct()
+    counted = kept(named.groupBy("name").agg(F.min("entityType").alias("entity_type"), F.count("*").alias("_lines")))
+    entities = counted.select("name", "entity_type")
+    # only names on several lines can repeat a content on another line; all other contents stay where they are
+    again = counted.where("_lines > 1").select("name", F.lit(True).alias("_again"))
+    each = lambda df: df.select("name", F.explode(F.array_distinct("observations")).alias("content"))
+    if again.isEmpty():
+        observations = each(named)
+    else:
+        again = kept(again)
+        observations = each(named.join(again, "name", "left_anti")).unionAll(each(named.join(again, "name", "left_semi")).distinct())
+    edges = good.where(F.col("type") == "relation").select(F.col("from").alias("from_name"), F.col("to").alias("to_name"), F.col("relationType").alias("relation_type"))
     known = entities.select("name")
-    relations = edges.join(known.withColumnRenamed("name", "from_name"), "from_name", "left_semi").join(known.withColumnRenamed("name", "to_name"), "to_name", "left_semi")
+    # rows that stand together by their lower end are made distinct there
+    relations = edges.join(known.withColumnRenamed("name", "from_name"), "from_name", "left_semi").distinct().join(known.withColumnRenamed("name", "to_name"), "to_name", "left_semi")
     return entities, observations, relations
 
 
@@ -34,11 +43,12 @@ def appended(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_lines(entities: DataFrame, observations: DataFrame, relations: DataFrame, path: str) -> None:
+    """Lines of all entities and relations below a folder, compressed by gzip."""
     facts = observations.groupBy(F.col("memory_entity_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda x: x["content"]).alias("observations"))
     a = entities.join(facts, "id", "left").select(F.to_json(F.struct(F.lit("entity").alias("type"), "name", F.col("entity_type").alias("entityType"), F.coalesce("observations", F.expr("array()").cast("array<string>")).alias("observations"))).alias("value"))
     name = entities.select("id", "name")
     b = relations.join(name.withColumnsRenamed({"id": "from_entity_id", "name": "from"}), "from_entity_id").join(name.withColumnsRenamed({"id": "to_entity_id", "name": "to"}), "to_entity_id").select(F.to_json(F.struct(F.lit("relation").alias("type"), "from", "to", F.col("relation_type").alias("relationType"))).alias("value"))
-    a.unionAll(b).write.mode("overwrite").text(path)
+    a.unionAll(b).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def document_lines(tree: DataFrame, entities: DataFrame, observations: DataFrame, relations: DataFrame) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knotwork.functions import vectors as V
+from knotwork.operators.order import parts
 from knotwork.sources.shared import kept
 
+#: From so many scored ids on, ends of edges are counted before they are looked up; then a task has so many of the ids.
+MANY_IDS, IDS_EACH = 100_000, 500_000
 #: Rank constant of reciprocal rank fusion, and the distance a vector match must stay under.
 RRF_K, MAX_DISTANCE = 60, 0.85
 # Multipliers of entity types.
@@ -85,16 +88,22 @@ def structural_boost() -> Column:
 def boosted(scored: DataFrame, entities: DataFrame, relations: DataFrame, query: str, scope: DataFrame | None = None, root_id: int | None = None, floor: float | None = None, few: bool = False) -> DataFrame:
     """Apply name, type, structure and context boosts, in that order, to (id, score).
 
-    The scored ids are written once; both ends of an edge are looked up among them
-    in one pass over the relations. ``few``: a result list, whose limit bounds it; its
+    The scored ids are written once and dealt by their number. Both ends of an edge are
+    looked up among them in one pass over the relations; where they are many, ends are
+    counted first and then looked up. ``few``: a result list, whose limit bounds it; its
     ids filter entities and relations before anything is joined or made distinct.
     """
     scored = kept(scored)
+    many = not few and scored.count() > MANY_IDS
     if few:
         ids = [r.id for r in scored.select("id").collect()]
         entities, relations = entities.where(F.col("id").isin(ids)), relations.where(F.col("from_entity_id").isin(ids) | F.col("to_entity_id").isin(ids))
     ends = relations.select(F.explode(F.array("from_entity_id", "to_entity_id")).alias("id"))
-    counts = ends.join(scored.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+    if many:
+        scored = scored.repartition(parts(scored, rows_each=IDS_EACH), "id")
+    else:
+        ends = ends.join(scored.select("id"), "id", "left_semi")
+    counts = ends.groupBy("id").agg(F.count("*").alias("degree"))
     rows = scored.join(entities.select("id", "name", "entity_type"), "id").join(counts, "id", "left")
     base = F.col("score") + name_boost(query)
     if floor is not None:

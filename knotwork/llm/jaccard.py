@@ -17,6 +17,8 @@ first compares 32-bin sketches and passes on only the sets with a plausible
 partner; those sets are then compared in full. Sets hold 32-bit hashes: of a text
 of 20,000 words two runs share one with a chance of 5 %, and its set is then smaller
 by one. Links are counted and joined into components without listing a group's pairs.
+Tokens stay where they are made: sets follow the paths of large buckets in place,
+and only sets with a plausible partner are shuffled whole.
 
 Defined cases: a null text is empty; an empty text has no links and a class of
 its own; a null doc_id takes part and counts as the largest id (class_id is null
@@ -134,29 +136,53 @@ def token_sets(docs: DataFrame, threshold: float, recall: float, width: int, id_
     return arrow_map(given, make, with_row(_SETS, docs, rows))
 
 
-def split_further(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(path, uid, parent, above) of the tokens that sets in large buckets choose next."""
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``uid`` is one of ``ids``, where they stand: a bit for each set goes to every task, so wide rows need no shuffle."""
+    bits = ids.groupBy(F.bitmap_bucket_number("uid").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("uid")).alias("_bits"))
+    at = F.bitmap_bit_position("uid")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number("uid") == F.col("_bucket"))
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def split_further(large: DataFrame, starts: DataFrame, opened: list[np.ndarray], threshold: float) -> DataFrame:
+    """(path, uid, parent, above) of the tokens that sets in large buckets choose next.
+
+    ``starts``: uid, paths, tokens; ``opened``: paths of each level above that were split.
+    Sets follow their paths down from the first level where they stand, so that only
+    paths are shuffled, no tokens. Only large buckets' paths and sizes are sent to the tasks,
+    one for SMALL rows of ``large`` at most.
+    """
+    sizes = large.select("path", "size").distinct().toPandas().sort_values("path")
+    here, above = sizes["path"].to_numpy(np.int64), sizes["size"].to_numpy(np.int64)
+    levels = [*opened, here]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = utf8(batch.column(3))
-            path, uid, above = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-            out = []
-            for k in range(batch.num_rows):
+            buf, offs = utf8(batch.column(2))
+            uid, out = batch.column(0).to_numpy(), []
+            starting = _lists(pa.chunked_array([batch.column(1)]))
+            flat, row = np.concatenate(starting), np.repeat(np.arange(len(starting)), [len(x) for x in starting])
+            for k in np.unique(row[np.isin(flat, levels[0])]).tolist():
                 own = np.frombuffer(buf[offs[k] : offs[k + 1]].tobytes(), np.uint32)
-                at = path[k : k + 1].astype(np.int64).view(_U)
-                new = next_path(own[chosen(own, at, limits(np.array([len(own)]), threshold))], at).view(np.int64)
-                out.append((new, np.full(len(new), uid[k]), np.full(len(new), path[k]), np.full(len(new), above[k])))
+                limit, now = limits(np.array([len(own)]), threshold), starting[k]
+                for depth, level in enumerate(levels):
+                    now = np.unique(now[np.isin(now, level)])
+                    new = [next_path(own[chosen(own, p, limit)], p).view(np.int64) for p in now.view(_U)[:, None]]
+                    if depth < len(levels) - 1:
+                        now = np.concatenate([*new, np.empty(0, np.int64)])
+                parent = np.repeat(now, [len(x) for x in new])
+                out.append((np.concatenate([*new, np.empty(0, np.int64)]), np.full(len(parent), uid[k]), parent, above[np.searchsorted(here, parent)]))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["path", "uid", "parent", "above"])
 
-    rows = big.join(sets.select("uid", "tokens"), "uid").select("path", "uid", "size", "tokens")
-    return arrow_map(rows, step, "path long, uid long, parent long, above long")
+    found = arrow_map(starts.select("uid", "paths", "tokens"), step, "path long, uid long, parent long, above long")
+    return found.join(large.select(F.col("path").alias("parent"), "uid"), ["parent", "uid"], "left_semi").select("path", "uid", "parent", "above")
 
 
-def buckets(now: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, int]:
-    """From (path, uid): (path, uid, size) of the buckets at which splitting ended, of two sets at least; uid of sets in split buckets; the deepest level."""
-    ended, split = None, None
+def buckets(now: DataFrame, starts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, int]:
+    """From (path, uid), with ``starts`` (uid, paths, tokens) that hold them: (path, uid, size) of the buckets at which splitting ended, of two sets at least; uid of sets in split buckets; the deepest level."""
+    ended, split, opened_paths = None, None, []
     for level in range(1, LEVELS + 1):
         sizes = now.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         met = written(now.join(sizes, "path"), "buckets")
@@ -164,11 +190,13 @@ def buckets(now: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFram
         if level == LEVELS or large.isEmpty():
             part = met.select("path", "uid", "size")
             return part if ended is None else ended.unionByName(part), split, level
-        children = written(split_further(large.select("path", "uid", "size"), sets, threshold), "split")
+        children = written(split_further(large, starts, opened_paths, threshold), "split")
         stalled = children.groupBy("path", "parent", "above").count().where(F.col("count") >= STALL * F.col("above")).select(F.col("parent").alias("path")).distinct()
         part = met.where(F.col("size") <= SMALL).select("path", "uid", "size").unionByName(large.join(stalled, "path", "left_semi").select("path", "uid", "size"))
         ended = part if ended is None else ended.unionByName(part)
-        opened = large.join(stalled, "path", "left_anti").select("uid").distinct()
+        opened = written(large.join(stalled, "path", "left_anti").select("path", "uid"), "opened")
+        opened_paths.append(opened.select("path").distinct().toPandas()["path"].to_numpy(np.int64))
+        opened = opened.select("uid").distinct()
         split = opened if split is None else split.unionByName(opened)
         now = children.join(stalled.withColumnRenamed("path", "parent"), "parent", "left_anti").select("path", "uid")
     raise AssertionError("the last level returns")
@@ -177,13 +205,14 @@ def buckets(now: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFram
 def all_buckets(classes: DataFrame, sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(path, uid, size) of all runs; runs go on for sets in split buckets until the recall is reached."""
     done = runs_needed(threshold, recall)
-    own = sets.join(classes.select("uid"), "uid", "left_semi")
-    ended, split, depth = buckets(own.select(F.explode("paths").alias("path"), "uid"), sets, threshold)
+    own = among(sets.select("uid", "paths", "tokens"), classes.select("uid"))
+    ended, split, depth = buckets(own.select(F.explode("paths").alias("path"), "uid"), own, threshold)
     first = done
     while split is not None and (needed := runs_needed(threshold, recall, depth)) > done:
         split = written(split.distinct(), "again")
         paths = F.array_distinct(F.flatten(F.slice("later", done - first + 1, needed - done)))
-        more, again, deepest = buckets(sets.select("uid", "later").join(split, "uid", "left_semi").select(F.explode(paths).alias("path"), "uid"), sets, threshold)
+        own = among(sets.select("uid", paths.alias("paths"), "tokens"), split)
+        more, again, deepest = buckets(own.select(F.explode("paths").alias("path"), "uid"), own, threshold)
         ended, done, depth = ended.unionByName(more), needed, max(depth, deepest)
         split = split if again is None else split.unionByName(again)
     return ended.distinct()
@@ -380,8 +409,8 @@ def classified(docs: DataFrame, threshold: float, recall: float, width: int, id_
     own = written(ended.groupBy("uid").agg(F.collect_set("path").alias("own")), "own")
     light = ended.join(own, "uid").join(sets.select("uid", "sketch"), "uid")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ended.count() // ROWS_A_TASK)
-    pairs = survivors(blocked(light), parts)
-    payload = pairs.join(own, "uid").join(classes.select("uid", "weight"), "uid").join(sets.select("uid", "tokens"), "uid")
+    pairs = written(survivors(blocked(light), parts), "pairs")
+    payload = pairs.join(own, "uid").join(classes.select("uid", "weight"), "uid").join(among(sets.select("uid", "tokens"), pairs.select("uid")), "uid")
     found = written(links(payload, threshold, parts), "links")
     graph = components(found.select(F.col("uid").alias("a"), F.col("with").alias("b")))
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
@@ -402,4 +431,4 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     sets, named = classified(docs, threshold, recall, width, id_col, text_col, True)
     least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "uid")).alias("r"))
     stay = least.select(F.col("r.uid").alias("uid")).unionAll(sets.where("n = 0").select("uid"))
-    return sets.select("uid", "row").join(stay, "uid", "left_semi").select("row.*")
+    return among(sets.select("uid", "row"), stay).select("row.*")

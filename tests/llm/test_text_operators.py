@@ -126,6 +126,35 @@ def test_similar_reaches_its_recall_where_all_buckets_are_split(spark, monkeypat
     assert jaccard.RECALL * 800 <= got <= 800
 
 
+def test_similar_moves_no_tokens_to_split_buckets(spark):
+    """Two levels of splitting against a plain loop, with sets that stay where they are."""
+    rng = np.random.default_rng(9)
+    u = np.uint64
+    sets = {int(k) + (int(k) % 3 << 33): np.unique(rng.integers(0, 60, 40)).astype(np.uint32) for k in range(70_000, 70_120)}
+    first = np.array([3, -5, 8], np.int64)
+    frame = spark.createDataFrame([(k, first.tolist(), bytearray(v.tobytes())) for k, v in sets.items()], "uid long, paths array<long>, tokens binary")
+
+    def below(own, path):
+        at = np.array([path], np.int64).view(u)
+        return jaccard.next_path(own[jaccard.chosen(own, at, jaccard.limits(np.array([len(own)]), 0.8))], at).view(np.int64).tolist()
+
+    one = {(p, k, int(f)) for k, own in sets.items() for f in first[:2] for p in below(own, f)}
+    asked = [k for k in sets if k % 2]
+    large = spark.createDataFrame([(int(f), k, 60) for k in asked for f in first[:2]], "path long, uid long, size long")
+    got = jaccard.split_further(large, frame, [], 0.8)
+    assert {tuple(r) for r in got.collect()} == {(p, k, f, 60) for p, k, f in one if k % 2}
+    assert not [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line and "tokens" in line]
+    second = [(p, k, 7) for p, k, f in one if k % 2 and f == 3]
+    deeper = jaccard.split_further(spark.createDataFrame(second, "path long, uid long, size long"), frame, [np.array([3], np.int64)], 0.8)
+    assert {tuple(r) for r in deeper.collect()} == {(q, k, p, 7) for p, k, _ in second for q in below(sets[k], p)}
+
+    few = spark.createDataFrame([(k,) for k in asked[:9]] + [(0,), (32_768,)], "uid long")
+    wide = frame.unionByName(spark.createDataFrame([(k, [], bytearray()) for k in (0, 1, 32_768, 32_769)], frame.schema))
+    near = jaccard.among(wide, few)
+    assert sorted(r.uid for r in near.collect()) == sorted([*asked[:9], 0, 32_768])
+    assert not [line for line in near._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line and "tokens" in line]
+
+
 def test_similar_of_nothing(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = jaccard.similar(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).collect()

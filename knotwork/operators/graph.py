@@ -15,6 +15,8 @@ from knotwork.operators.order import numbered, parts, summed_before
 from knotwork.sources.shared import kept
 
 MAX_DEPTH, MAX_NODES, MAX_SCOPE = 5, 1000, 1000
+#: Edges that one task sorts; paths for each such task that go to the edges as Spark sees fit.
+EDGES_EACH, FEW_PATHS = 500_000, 1000
 
 
 def directed(relations: DataFrame, direction: str = "both", types: list[str] | None = None) -> DataFrame:
@@ -216,16 +218,22 @@ def export_paths(entities: DataFrame, relations: DataFrame, roots: DataFrame, de
     """(root, path, id, depth, relation_type, direction): the export tree as rows.
 
     Children come by ``part_of`` and ``depends_on`` backwards, then by other edges
-    forwards; a path never meets a node twice; a nested Project is a leaf.
+    forwards; a path never meets a node twice; a nested Project is a leaf. Edges and paths
+    are dealt by their number.
     """
     down = relations.where(F.col("relation_type").isin("part_of", "depends_on")).select(F.col("to_entity_id").alias("a"), F.col("from_entity_id").alias("b"), "relation_type", F.lit("incoming").alias("direction"), F.col("id").alias("_edge"))
     side = relations.where(~F.col("relation_type").isin("part_of", "depends_on")).select(F.col("from_entity_id").alias("a"), F.col("to_entity_id").alias("b"), "relation_type", F.lit("outgoing").alias("direction"), F.col("id").alias("_edge"))
-    edges = kept(down.unionAll(side).groupBy("a", "b", "direction").agg(F.min_by("relation_type", "_edge").alias("relation_type")))
+    both = kept(down.unionAll(side))
     kind = entities.select(F.col("id").alias("b"), (F.col("entity_type") == "Project").alias("leaf"))
+    n = parts(both, rows_each=EDGES_EACH)
+    edges = both.repartition(n, "b").groupBy("a", "b", "direction").agg(F.min_by("relation_type", "_edge").alias("relation_type"))
+    edges = kept(edges.join(kind.repartition(n, "b"), "b"))
     now = roots.select(F.col("id").alias("root"), F.array("id").alias("path"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("relation_type"), F.lit(None).cast("string").alias("direction"))
     out, open_paths = now, now
     for level in range(1, depth + 1):
-        step = open_paths.select("root", "path", F.col("id").alias("a")).join(edges, "a").where(~F.array_contains("path", F.col("b"))).join(kind, "b")
+        far = open_paths.select("root", "path", F.col("id").alias("a"))
+        step = far.join(edges, "a") if far.count() < n * FEW_PATHS else far.repartition(n, "a").join(edges.repartition(n, "a"), "a")
+        step = step.where(~F.array_contains("path", F.col("b")))
         step = kept(step.select("root", F.concat("path", F.array("b")).alias("path"), F.col("b").alias("id"), F.lit(level).alias("depth"), "relation_type", "direction", "leaf"))
         out = out.unionByName(step.drop("leaf"))
         open_paths = step.where(~F.col("leaf")).drop("leaf")

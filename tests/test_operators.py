@@ -446,3 +446,15 @@ def test_best_matches_are_the_first_of_all_matches(spark):
     for r in resolve.best_matches(o, p, facts).collect():
         got.setdefault(r.id, []).append((-r.score, r.project_id))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:2] for k, v in want.items()}
+
+
+def test_export_paths_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_EACH", 20)
+    monkeypatch.setattr(graph, "FEW_PATHS", 2)
+    e = spark.createDataFrame([(k, "Project" if k == 1 else "Task") for k in [*range(1, 402), 500]], "id long, entity_type string")
+    r = spark.createDataFrame([(k, k, 1, "part_of") for k in range(2, 402)] + [(2000 + k, 500, k, "part_of") for k in range(2, 402)] + [(1000, 3, 1, "depends_on"), (1001, 4, 1, "part_of"), (1002, 2, 5, "relates_to")], "id long, from_entity_id long, to_entity_id long, relation_type string")
+    rows = graph.export_paths(e, r, e.where("id = 1").select("id"), 2)
+    want = {(1,): None} | {(1, k): "part_of" for k in range(2, 402)} | {(1, 2, 5): "relates_to"} | {(1, k, 500): "part_of" for k in range(2, 402)}
+    got = [(tuple(x.path), x.relation_type) for x in rows.collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert len(rows.inputFiles()) > 10  # one task wrote a level before

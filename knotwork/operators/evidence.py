@@ -15,6 +15,16 @@ from knotwork.sources.shared import kept
 
 #: Columns of the rows that make up a page: which entity, what kind of row, its place, what it refers to.
 ROWS = ["entity_id", "part", "position", "ref_id", "kind", "label"]
+#: Up to so many ids filter the tables before anything is joined or made distinct.
+FEW_IDS = 1000
+
+
+def _about(ids: DataFrame, observations: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The observations and edges of the ids if these are few, else all."""
+    few = [r.id for r in ids.select("id").distinct().limit(FEW_IDS + 1).collect()]
+    if len(few) > FEW_IDS:
+        return observations, relations
+    return observations.where(F.col("memory_entity_id").isin(few)), relations.where(F.col("from_entity_id").isin(few) | F.col("to_entity_id").isin(few))
 
 
 def _ranked(ids: DataFrame, observations: DataFrame, relations: DataFrame, now: str, query: str | None, vector: Column | None, limit: int, include_obsolete: bool) -> DataFrame:
@@ -43,14 +53,17 @@ def entity_details(ids: DataFrame, entities: DataFrame, observations: DataFrame,
 
     Rows, not nested lists: a hub's edges stay many rows.
     """
+    observations, relations = _about(ids, observations, relations)
+    relations = kept(relations)
     ranked = kept(_ranked(ids, observations, relations, now, query, vector, limit, include_obsolete))
     cut = ranked.where("position = 1 AND _all > %d" % limit) if limit > 0 else ranked.where("false")
     truncated = cut.select(F.col("memory_entity_id").alias("entity_id"), F.lit("truncated").alias("part"), F.lit(0).alias("position"), F.col("_all").alias("ref_id"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("label"))
     names = entities.select("id", "name")
 
     def edges(own: str, other: str, part: str) -> DataFrame:
-        mine = relations.join(ids.select(F.col("id").alias(own)).distinct(), own, "left_semi").select(F.col(own).alias("entity_id"), F.col("id").alias("ref_id"), F.col("relation_type").alias("kind"), F.col(other).alias("_other"))
-        named = mine.join(names.withColumnsRenamed({"id": "_other", "name": "label"}), "_other", "left")
+        mine = kept(relations.join(ids.select(F.col("id").alias(own)).distinct(), own, "left_semi").select(F.col(own).alias("entity_id"), F.col("id").alias("ref_id"), F.col("relation_type").alias("kind"), F.col(other).alias("_other")))
+        asked = names.join(mine.select(F.col("_other").alias("id")), "id", "left_semi")  # few edges go to the names, not all names to them
+        named = mine.join(asked.withColumnsRenamed({"id": "_other", "name": "label"}), "_other", "left")
         return named.select("entity_id", F.lit(part).alias("part"), F.lit(0).alias("position"), "ref_id", "kind", "label")
 
     parts = [_entities(ids, entities), _observations(ranked), truncated, edges("from_entity_id", "to_entity_id", "relation_from"), edges("to_entity_id", "from_entity_id", "relation_to")]
@@ -62,6 +75,7 @@ def entity_details(ids: DataFrame, entities: DataFrame, observations: DataFrame,
 
 def subgraph(ids: DataFrame, entities: DataFrame, observations: DataFrame, relations: DataFrame, now: str, query: str | None = None, vector: Column | None = None, limit: int = 0) -> DataFrame:
     """Rows of the entities among ``ids``, their ranked active observations, the edges between them, and the ids that aren't there (``missing``)."""
+    observations, relations = _about(ids, observations, relations)
     none = F.lit(None).cast("string")
     inside = induced_edges(relations, ids).select(F.col("from_entity_id").alias("entity_id"), F.lit("relation").alias("part"), F.lit(0).alias("position"), F.col("id").alias("ref_id"), F.col("relation_type").alias("kind"), F.col("to_entity_id").cast("string").alias("label"))
     missing = ids.select("id").distinct().join(entities.select("id"), "id", "left_anti").select(F.col("id").alias("entity_id"), F.lit("missing").alias("part"), F.lit(0).alias("position"), F.col("id").alias("ref_id"), none.alias("kind"), none.alias("label"))

@@ -458,3 +458,20 @@ def test_export_paths_are_dealt_by_their_number(spark, monkeypatch):
     got = [(tuple(x.path), x.relation_type) for x in rows.collect()]
     assert dict(got) == want and len(got) == len(want)
     assert len(rows.inputFiles()) > 10  # one task wrote a level before
+
+
+def test_details_of_few_entities_filter_the_tables_first(spark, monkeypatch):
+    from knotwork.operators import evidence
+
+    e = spark.createDataFrame([(k, f"n{k}", "Task") for k in range(1, 6)], "id long, name string, entity_type string")
+    r = spark.createDataFrame([(10, 1, 2, "part_of"), (10, 1, 2, "part_of"), (11, 3, 1, "relates_to"), (12, 4, 5, "part_of"), (13, 1, 99, "part_of"), (14, 1, 1, "part_of")], EDGES).distinct()
+    o = spark.createDataFrame([(k, k % 5 + 1, f"t{k}", 0.5, "hearsay", "active") for k in range(20)], "id long, memory_entity_id long, content string, confidence double, source string, status string")
+    o = o.withColumns({"obsoleted_at": F.lit(None).cast("timestamp"), "valid_from": F.lit(None).cast("timestamp"), "valid_until": F.lit(None).cast("timestamp"), "created_at": F.lit(NOW).cast("timestamp")})
+    some = ids(spark, 1, 3, 99)
+    shown = lambda: sorted(map(tuple, evidence.entity_details(some, e, o, r, NOW, limit=2).collect()), key=repr)
+    few = shown()
+    assert [x for x in few if x[1] == "relation_from"] == [(1, "relation_from", 0, 10, "part_of", "n2"), (1, "relation_from", 0, 13, "part_of", None), (1, "relation_from", 0, 14, "part_of", "n1"), (3, "relation_from", 0, 11, "relates_to", "n1")]
+    plan = evidence._about(some, o, r)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")  # the filter stands below what makes edges distinct
+    monkeypatch.setattr(evidence, "FEW_IDS", 1)
+    assert shown() == few

@@ -475,3 +475,19 @@ def test_details_of_few_entities_filter_the_tables_first(spark, monkeypatch):
     assert plan.index("Aggregate") < plan.index("Filter")  # the filter stands below what makes edges distinct
     monkeypatch.setattr(evidence, "FEW_IDS", 1)
     assert shown() == few
+
+
+def test_top_proposals_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PROPOSALS_EACH", 10)
+    rows = [(k % 40, k % 7, k) for k in range(280)]
+    p = spark.createDataFrame(rows, "from_id long, to_id long, score long").withColumn("relation_type", F.lit("relates_to"))
+    there = spark.createDataFrame([(k, k, (k + 1) % 7, "relates_to" if k % 2 else "part_of") for k in range(40)], EDGES)
+    out = resolve.top_proposals(p, there, p.where("(from_id + to_id) % 5 = 0"))
+    best = {}
+    for a, b, n in rows:
+        if a != b and (a + b) % 5 and not (a % 2 and b == (a + 1) % 7):
+            best[a, b] = max(n, best.get((a, b), n))
+    want = {(a, b, n) for (a, b), n in best.items() if sum(x > n for (c, _), x in best.items() if c == a) < 3}
+    assert {(r.from_id, r.to_id, r.score) for r in out.collect()} == want
+    dealt = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert dealt and all(", 28)" in line for line in dealt)

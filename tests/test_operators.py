@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -448,6 +449,34 @@ def test_best_matches_are_the_first_of_all_matches(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:2] for k, v in want.items()}
 
 
+def broadcast_keys(df) -> set[str]:
+    """Keys of the joins of a plan that send a side to the driver and every task."""
+    lines = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    return {re.sub(r"#\d+L?", "", re.search(r"BroadcastHashJoin \[(.*?)\]", x)[1]) for x in lines}
+
+
+@pytest.mark.parametrize("deal", [5, 1000])
+def test_best_matches_send_no_growing_side_to_all_tasks(spark, monkeypatch, deal):
+    monkeypatch.setattr(resolve, "DEAL", deal)
+    monkeypatch.setattr(resolve, "SCORED_EACH", 100, raising=False)
+    orphans = [(k, f"part #{k * 7 % 60}", "Component", None, f"size {k % 12}") for k in range(90)]
+    # names that repeat, in either case, with aliases that are null or blank
+    projects = [(k, (None, f"Customer#{k % 20:05d}", f"customer#{k % 20:05d}")[k % 3 if k % 7 else 0], ("size", None, "")[k % 3]) for k in range(120)]
+    o = spark.createDataFrame(orphans, "id long, name string, entity_type string, aliases string, description string")
+    p = spark.createDataFrame(projects, "id long, name string, aliases string")
+    facts = spark.createDataFrame([(1, 3, "rings of size 11", "active"), (2, 3, "omer 00", "active")], "id long, memory_entity_id long, content string, status string")
+    want, got = {}, {}
+    for r in resolve.orphan_matches(o, p, facts).collect():
+        want.setdefault(r.id, []).append((-r.score, r.project_id))
+    best = resolve.best_matches(o, p, facts)
+    for r in best.collect():
+        got.setdefault(r.id, []).append((-r.score, r.project_id))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:2] for k, v in want.items()}
+    assert broadcast_keys(best) <= {"t"}  # words that very many projects hold
+    texts, needles = p.selectExpr("id AS text_id", "lower(name) AS text"), o.selectExpr("lower(name) AS needle").unionAll(o.selectExpr("'omer'"))
+    assert broadcast_keys(blocks.containing(texts, needles)) <= {"unit"}  # few units
+
+
 def test_export_paths_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(graph, "EDGES_EACH", 20)
     monkeypatch.setattr(graph, "FEW_PATHS", 2)

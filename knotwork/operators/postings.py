@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from knotwork.operators.blocks import containing
+from knotwork.operators.order import dealt_join
 from knotwork.operators.search import FIELDS
 from knotwork.sources.shared import kept
 
@@ -54,7 +55,7 @@ def search_each(queries: DataFrame, entities: DataFrame, limit: int = 10, common
     tie = F.struct(F.lower("entity_type").alias("t"), F.lower("name").alias("n"), "id", "entity_type")
     texts = entities.select(F.col("id").alias("text_id"), low.alias("low"), tie.alias("tie"))
     met = containing(texts.select("text_id", F.concat_ws("\n", "low").alias("text")), each.select("needle"))
-    postings = kept(_points(met.join(texts, "text_id")))
+    postings = kept(_points(dealt_join(met, texts, "text_id")))
     frequent = kept(postings.groupBy("needle").agg(F.count("*").alias("_n")).where(F.col("_n") > common).select("needle", F.lit(True).alias("frequent")))
     told = each.join(frequent, "needle", "left")
     sets = kept(told.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("frequent"), F.col("needle")))).alias("common")))
@@ -68,13 +69,13 @@ def search_each(queries: DataFrame, entities: DataFrame, limit: int = 10, common
     scored = parts.groupBy("common", "held").agg(F.sum("points").alias("points"), F.count("*").alias("hits"), F.bit_or("bits").alias("bits"), F.min("lead").alias("lead"))
     scored = scored.withColumn("score", F.col("points") + _bonus(F.col("hits")))
     # the best entities stand in as many kinds at most, the kinds ordered by their first members
-    best = _first(scored, "common", limit, F.desc("score"), "lead").drop("place").join(members, "held")
+    best = dealt_join(_first(scored, "common", limit, F.desc("score"), "lead").drop("place"), members, "held")
     by_set = _first(best, "common", limit, F.desc("score"), "tie").select("common", "tie", "score", "bits")
     far = sets.where(F.size("common") > 0).join(by_set, "common").select("key", "tie", "score", "bits")
 
-    rare = told.where("frequent IS NULL").join(postings, "needle").groupBy("key", "tie").agg(F.sum("points").alias("points"), F.count("*").alias("hits"), F.bit_or("bits").alias("bits"))
+    rare = dealt_join(told.where("frequent IS NULL"), postings.join(frequent, "needle", "left_anti"), "needle").groupBy("key", "tie").agg(F.sum("points").alias("points"), F.count("*").alias("hits"), F.bit_or("bits").alias("bits"))
     more = F.filter(F.coalesce("held", F.expr("array()").cast(marks.schema["held"].dataType)), lambda x: F.array_contains("common", x["needle"]))
-    near = rare.join(sets, "key").join(marks, "tie", "left").withColumn("more", more)
+    near = dealt_join(dealt_join(rare, sets, "key"), marks, "tie", "left").withColumn("more", more)
     points = F.aggregate("more", F.col("points"), lambda s, x: s + x["points"])
     bits = F.aggregate("more", F.col("bits"), lambda s, x: s.bitwiseOR(x["bits"]))
     near = near.select("key", "tie", (points + _bonus(F.col("hits") + F.size("more"))).alias("score"), bits.alias("bits"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from knotwork.functions import text as T
 from knotwork.operators.blocks import by_rarest
+from knotwork.operators.order import dealt_join
 from knotwork.operators.postings import search_each
 from knotwork.operators.resolve import orphan_matches
 from knotwork.sources.shared import kept
@@ -27,7 +28,7 @@ def mentions(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     runs = lambda c: F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != "")
     asked = wanted.select(F.col("term").alias("needle")).distinct().select("needle", F.explode(runs(F.col("needle"))).alias("unit"))
-    met = by_rarest(texts, runs(F.col("text")), asked).withColumnRenamed("needle", "term").join(texts, "text_id")
+    met = dealt_join(by_rarest(texts, runs(F.col("text")), asked).withColumnRenamed("needle", "term"), texts, "text_id")
     return met.where(F.rlike("text", T.phrase_pattern(F.col("term")))).select("term", "text_id")
 
 
@@ -62,7 +63,9 @@ def validated(observations: DataFrame, entities: DataFrame, project_id: int, sca
     texts = kept(rows.groupBy("text_id").agg(F.first("content").alias("text")))
     names = kept(terms(entities))
     met = kept(mentions(texts, names.select("term")))
-    is_own = met.join(names.select("term", F.col("id").alias("memory_entity_id")), "term").select("text_id", "memory_entity_id")
+    # pairs of a text and its entity are looked up, so that no text meets all entities of a common term
+    pairs = rows.select("text_id", "memory_entity_id").distinct()
+    is_own = dealt_join(dealt_join(pairs, met, "text_id"), names.select("term", F.col("id").alias("memory_entity_id")), ["term", "memory_entity_id"], "left_semi").select("text_id", "memory_entity_id")
     project = names.where(F.col("id") == project_id).select("term")
     own = rows.join(is_own.distinct(), ["text_id", "memory_entity_id"], "left_semi").select("id").unionAll(rows.join(met.join(project, "term", "left_semi"), "text_id", "left_semi").select("id")).distinct()
     out = rows.join(own.withColumn("owned", F.lit(True)), "id", "left").withColumn("owned", F.coalesce("owned", F.lit(False)))
@@ -72,12 +75,13 @@ def validated(observations: DataFrame, entities: DataFrame, project_id: int, sca
         out = kept(out)
         # only what mentions others and not its own is searched for
         open_ = out.where("NOT owned").select("text_id").join(met, "text_id", "left_semi").distinct()
-        best = search_each(texts.join(open_, "text_id").select(F.col("text_id").alias("key"), F.col("text").alias("query")), entities, ranked)
+        best = search_each(dealt_join(texts, open_, "text_id").select(F.col("text_id").alias("key"), F.col("text").alias("query")), entities, ranked)
         best = best.select(F.col("key").alias("text_id"), "id", "score", "place")
         roots = entities.where("entity_type = 'Project'").select("id")
         of_roots = met.join(open_, "text_id", "left_semi").join(names.join(roots, "id", "left_semi"), "term").select("text_id", "id")
-        candidates = best.select("text_id", "id").unionAll(of_roots).distinct().join(roots.withColumn("root", F.lit(True)), "id", "left").join(best, ["text_id", "id"], "left")
-        found = candidates.join(names, "id").join(met, ["text_id", "term"]).groupBy("text_id", "id").agg(F.length(F.min_by("term", "at")).alias("long"), F.first("root").alias("root"), F.first("score").alias("score"), F.first("place").alias("place"))
+        candidates = best.select("text_id", "id").unionAll(of_roots).distinct().join(roots.withColumn("root", F.lit(True)), "id", "left")
+        candidates = dealt_join(candidates, best, ["text_id", "id"], "left")
+        found = dealt_join(dealt_join(candidates, names, "id"), met, ["text_id", "term"]).groupBy("text_id", "id").agg(F.length(F.min_by("term", "at")).alias("long"), F.first("root").alias("root"), F.first("score").alias("score"), F.first("place").alias("place"))
         order = F.struct(F.coalesce("root", F.lit(False)), -F.col("long"), -F.coalesce("score", F.lit(0.0)), F.coalesce("place", F.lit(ranked + 1)), "id")
         per = found.groupBy("text_id").agg(F.count("*").alias("n"), F.min_by("id", order).alias("target"))
     out = out.join(per, "text_id", "left").withColumn("n", F.when(F.col("owned"), F.lit(0)).otherwise(F.coalesce("n", F.lit(0))))

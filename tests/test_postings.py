@@ -66,3 +66,12 @@ def test_mentioned_entities_are_counted_once_a_text(spark):
     names = [(1, "brand#1"), (1, "steel"), (2, "brand#1"), (3, "steel"), (4, "iron"), (5, "lead")]
     out = projects.mentioned(spark.createDataFrame(met, "term string, text_id string"), spark.createDataFrame(names, "id long, term string"))
     assert sorted(map(tuple, out.collect())) == [("x", 3, 1), ("y", 2, 1), ("z", 1, 4)]
+
+
+def test_search_each_sends_no_entities_to_all_tasks(spark):
+    e = spark.createDataFrame([(k, "Task", f"item {k}", "red|blue" if k % 2 else "green") for k in range(40)], "id long, entity_type string, name string, aliases string")
+    rows = search_each(spark.createDataFrame([(1, "item red 7"), (2, "green 12")], "key long, query string"), e, 3, common=10)
+    assert [(r.key, r.id) for r in rows.orderBy("key", "place").collect()][:4:3] == [(1, 7), (2, 12)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    keys = {re.sub(r"#\d+L?", "", x) for x in re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)}
+    assert "SortMergeJoin" in plan and not keys & {"tie", "held"}

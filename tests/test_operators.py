@@ -477,6 +477,44 @@ def test_best_matches_send_no_growing_side_to_all_tasks(spark, monkeypatch, deal
     assert broadcast_keys(blocks.containing(texts, needles)) <= {"unit"}  # few units
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_contradictions_of_alike_entities_are_searched_once(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "ASK_BLOCK", block, raising=False)
+    rng = np.random.default_rng(block)
+    # few values, so that vectors repeat and distances tie
+    facts = [(k, k % 3, "it is not so" if rng.random() < 0.4 else "it is so", "active", [float(x) for x in rng.integers(-1, 2, 3)]) for k in range(60)]
+    facts += [(90, 0, "not", "old", [1.0, 1.0, 1.0]), (91, 1, "not", "active", None), (92, 2, "never", "active", [1.0, 0.0])]
+    o = spark.createDataFrame(facts, "id long, memory_entity_id long, content string, status string, embedding array<float>")
+    edges = [(1, 10, 0), (2, 1, 10), (3, 11, 1), (4, 0, 11), (5, 12, 2), (6, 12, 12), (7, 0, 2)] + [(20 + k, 100 + k, 2) for k in range(30)]
+    r = spark.createDataFrame(edges, "id long, from_entity_id long, to_entity_id long")
+    held = {}
+    for _, x, y in edges:
+        held.setdefault(x, {x}).add(y)
+        held.setdefault(y, {y}).add(x)
+    want = set()
+    for e, near in held.items():
+        rows = [(i, "not" in c or "never" in c, np.array(v)) for i, m, c, s, v in facts if m in near and s == "active" and v and any(v)]
+        found = {}
+        for i, n, v in rows:
+            others = [(round(1 - float(v @ w) / float(np.sqrt((v @ v) * (w @ w))), 12), j, m) for j, m, w in rows if j != i and len(v) == len(w)]
+            for d, j, m in sorted(x for x in others if x[0] < 0.9)[:4]:
+                if n != m:
+                    found[min(i, j), max(i, j)] = d
+        best = sorted((-round(min((1 - d) * 1.1, 0.99), 4), *ij, round(d, 6)) for ij, d in found.items())[:4]
+        want |= {(e, a, b, d, -c) for c, a, b, d in best}
+    got = [tuple(x) for x in resolve.contradictions(o, r, None, 0.9, 4).collect()]
+    near = lambda rows: sorted((e, a, b, round(d, 5), round(c, 4)) for e, a, b, d, c in rows)
+    assert near(got) == near(want) and len(want) > 100
+    some = [tuple(x) for x in resolve.contradictions(o, r, spark.createDataFrame([(0,), (105,), (999,)], "id long"), 0.9, 4).collect()]
+    assert near(some) == near(x for x in want if x[0] in (0, 105))
+
+
+def test_contradictions_let_the_best_pairs_only_leave_a_task(spark):
+    v = np.random.default_rng(5).normal(size=(300, 4))
+    rows = spark.createDataFrame([(1, 4, 2, k, [float(x) for x in v[k]], k % 2 == 0) for k in range(300)], "key long, dim int, n int, id long, v array<double>, neg boolean")
+    assert 6 <= blocks.opposed_pairs(rows, 0.9, 20, 6).count() <= 12  # two blocks
+
+
 def test_export_paths_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(graph, "EDGES_EACH", 20)
     monkeypatch.setattr(graph, "FEW_PATHS", 2)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +267,25 @@ def test_usage_targets_meet_entities_once(spark):
     assert shuffled(spark) - before < 30_000
 
 
+def test_codes_are_packed():
+    rows = [[], [0], [127, 128, 200], [5, 16_388, 3_000_000, 400_000_000], [], [0, 1, 2, 3]]
+    batch = pa.record_batch([pa.array([0] * 6), pa.array(range(6)), pa.array(range(6)), pa.array(rows, pa.list_(pa.int32()))], names=["side", "row", "id", "codes"])
+    out = next(blocks._packed(iter([batch.slice(1)])))
+    codes, starts = blocks._unpacked(out.column("codes").slice(1))
+    assert [codes[a:b].tolist() for a, b in zip(starts, starts[1:])] == rows[2:]
+    assert out.column("n").to_pylist() == [len(r) for r in rows[1:]] and len(out.column("codes")[4].as_py()) == 4
+
+
+def test_left_blocks_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_CODES", 1_000)
+    monkeypatch.setattr(blocks, "WORD_BLOCK", 100)
+    rows = spark.range(1500).selectExpr("id", "transform(sequence(1, 8), k -> concat('w', pmod(xxhash64(id, k), 50))) AS words")
+    best = blocks.shared_words(rows, rows.limit(500).select((F.col("id") + 5000).alias("id"), "words"), 2, 3)
+    assert "j#" in (plan := best._jdf.queryExecution().executedPlan().toString())
+    assert re.search(r"hashpartitioning\(i#\d+L?, j#\d+L?, (\d+)\)", plan)[1] == "25"  # left blocks are five at most
+    assert best.count() == 4500
+
+
 def test_shared_words_travel_to_few_blocks(spark):
     rows = spark.range(1500).selectExpr("id", "transform(sequence(1, 8), k -> concat('w', pmod(xxhash64(id, k), 50))) AS words")
     blocks.WORD_BLOCK, held = 10, blocks.WORD_BLOCK
